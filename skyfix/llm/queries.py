@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skyfix.llm import bpe, decontam, flac
+from skyfix.llm import bpe, decontam, flac, quality
 from skyfix.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,12 +22,17 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.decode_column(flac.encode_column(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_bpe": op2_bpe, "op4_decontamination": op4_decontamination, "op10_flac": op10_flac}
+    return {"op2_bpe": op2_bpe, "op4_decontamination": op4_decontamination, "op9_quality": op9_quality, "op10_flac": op10_flac}
 
 
 def oracle_sql() -> dict[str, str]:
