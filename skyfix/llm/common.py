@@ -55,18 +55,14 @@ def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES)
         yield batch.slice(start)
 
 
-def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str, text: str = "text") -> DataFrame:
+def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str, text: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
     """mapInArrow over bounded slices. make() runs once for each task and returns the function for one slice."""
 
     def run(batches):
         each = make()
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, limit):
                 if (out := each(part)) is not None:
                     yield out
 
     return df.mapInArrow(run, schema)
-
-
-def arrow_schema(spec: list[tuple[str, pa.DataType]]) -> pa.Schema:
-    return pa.schema(spec)

@@ -7,12 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skyfix.llm import bpe, decontam, flac, quality
+from skyfix.llm import bpe, decontam, flac, langid, quality
 from skyfix.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit(docs))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -32,7 +37,7 @@ def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_bpe": op2_bpe, "op4_decontamination": op4_decontamination, "op9_quality": op9_quality, "op10_flac": op10_flac}
+    return {"op1_langid": op1_langid, "op2_bpe": op2_bpe, "op4_decontamination": op4_decontamination, "op9_quality": op9_quality, "op10_flac": op10_flac}
 
 
 def oracle_sql() -> dict[str, str]:
