@@ -66,3 +66,12 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.R
                     yield out
 
     return df.mapInArrow(run, schema)
+
+
+def opened(uri: str):
+    """(file system, path) of a folder that all executors share, made if it isn't there."""
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(uri)
+    system.create_dir(path, recursive=True)
+    return system, path

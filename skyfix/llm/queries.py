@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skyfix.llm import bpe, chat, decontam, flac, langid, quality
+from skyfix.llm import bpe, chat, decontam, flac, langid, quality, warc
 from skyfix.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
@@ -43,7 +47,7 @@ def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_langid": op1_langid, "op2_bpe": op2_bpe, "op4_decontamination": op4_decontamination, "op8_chat": op8_chat, "op9_quality": op9_quality, "op10_flac": op10_flac}
+    return {"op1_langid": op1_langid, "op2_bpe": op2_bpe, "op4_decontamination": op4_decontamination, "op7_warc": op7_warc, "op8_chat": op8_chat, "op9_quality": op9_quality, "op10_flac": op10_flac}
 
 
 def oracle_sql() -> dict[str, str]:
