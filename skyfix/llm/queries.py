@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skyfix.llm import bpe, chat, decontam, flac, langid, quality, warc
+from skyfix.llm import bpe, chat, decontam, flac, langid, quality, tokencount, warc
 from skyfix.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,12 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    counted = tokencount.count_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, separator=50256)
+    return counted.select("doc_id", "n_tokens")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -47,7 +53,7 @@ def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_langid": op1_langid, "op2_bpe": op2_bpe, "op4_decontamination": op4_decontamination, "op7_warc": op7_warc, "op8_chat": op8_chat, "op9_quality": op9_quality, "op10_flac": op10_flac}
+    return {"op1_langid": op1_langid, "op2_bpe": op2_bpe, "op3_token_counts": op3_token_counts, "op4_decontamination": op4_decontamination, "op7_warc": op7_warc, "op8_chat": op8_chat, "op9_quality": op9_quality, "op10_flac": op10_flac}
 
 
 def oracle_sql() -> dict[str, str]:
