@@ -1,0 +1,134 @@
+"""How many documents hold a key, counted over an incidence matrix of documents by keys that is cut into tiles.
+
+A chunk is some rows of the matrix (documents of one slice), a part a range of its columns (keys). A chunk sends each part one tile: its distinct keys
+there, with how many of its documents hold each. The task of a part adds them up over all chunks and answers every
+tile with the counts of its keys, which go back to the chunk. A key that very many documents hold is thus one entry a chunk on either way,
+and no list of a key's documents is ever gathered.
+
+Keys may be shortened to `width` bytes besides the part's own bits; equal keys stay equal, so counts can only rise.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skyfix.llm.common import SLICE_BYTES, slices, written
+
+#: Counts are told up to this; more is the same.
+MOST = 255
+
+
+def part_count(spark: SparkSession) -> int:
+    return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def parts_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    return (((keys >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)).astype(np.int64)
+
+
+def _packed(keys: np.ndarray, width: int) -> bytes:
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _unpacked(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+    return out.reshape(-1).view("<u8").astype(np.uint64)
+
+
+#: Columns of a written chunk table: rows of tiles, and (part -1) one row for each chunk itself.
+TILE = [("part", pa.int32()), ("chunk", pa.int64()), ("tile_keys", pa.binary()), ("tile_counts", pa.binary()), ("tile_firsts", pa.binary()), ("pair_docs", pa.binary()), ("pair_new", pa.binary())]
+TILE_SQL = "part int, chunk long, tile_keys binary, tile_counts binary, tile_firsts binary, pair_docs binary, pair_new binary"
+
+
+def cut(keys: np.ndarray, docs: np.ndarray, parts: int, width: int, ids: np.ndarray | None = None):
+    """(document, key) pairs without repeats: the tiles (part, keys, counts, firsts), and the pairs in order of keys (docs, new).
+
+    firsts: the smallest of the documents' ids, by key, if ids are given."""
+    order = np.lexsort((docs, keys))
+    keys, docs = keys[order], docs[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    at = np.flatnonzero(new)
+    own, counts = keys[at], np.minimum(np.diff(at, append=len(keys)), MOST).astype(np.uint8)
+    firsts = np.minimum.reduceat(ids[docs], at) if ids is not None and len(at) else None
+    part = parts_of(own, parts)
+    bounds = np.searchsorted(part, np.arange(parts + 1))
+    tiles = [(p, _packed(own[a:b], width), counts[a:b].tobytes(), None if firsts is None else firsts[a:b].astype("<i8").tobytes()) for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])) if b > a]
+    return tiles, docs.astype("<u4").tobytes(), np.packbits(new).tobytes()
+
+
+def chunk_table(df: DataFrame, name: str, width: int, extract: Callable[[pa.RecordBatch], tuple], meta: list[tuple[str, pa.DataType]], meta_sql: str, limit: int = SLICE_BYTES) -> DataFrame:
+    """The written table of tiles and chunks. extract gives (keys, docs, ids or None, a value for each column of meta) of a slice."""
+    parts = part_count(df.sparkSession)
+    kinds = TILE + meta
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for piece in slices(batch, limit=limit):
+                keys, docs, ids, values = extract(piece)
+                tiles, pair_docs, pair_new = cut(keys, docs, parts, width, ids)
+                rows = [(p, chunk, k, c, f, None, None, *[None] * len(meta)) for p, k, c, f in tiles]
+                rows.append((-1, chunk, None, None, None, pair_docs, pair_new, *values))
+                chunk += 1
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, (_, k) in zip(zip(*rows), kinds)], names=[n for n, _ in kinds])
+
+    return written(df.mapInArrow(run, f"{TILE_SQL}, {meta_sql}"), name)
+
+
+def _answers(width: int, firsts: bool):
+    """The task of some parts: rows (chunk, part, counts, keeps); keeps: whether the chunk holds the key's smallest id."""
+
+    def run(batches):
+        own: dict[int, list] = {}
+        for batch in batches:
+            for part, chunk, keys, counts, first in zip(*(c.to_pylist() for c in batch.columns)):
+                own.setdefault(part, []).append((chunk, _unpacked(keys, width), np.frombuffer(counts, np.uint8), np.frombuffer(first, "<i8") if firsts else None))
+        for part, rows in own.items():
+            sizes = [len(r[1]) for r in rows]
+            keys, inverse = np.unique(np.concatenate([r[1] for r in rows]), return_inverse=True)
+            total = np.minimum(np.bincount(inverse, weights=np.concatenate([r[2] for r in rows])), MOST).astype(np.uint8)[inverse]
+            keep = None
+            if firsts:
+                first = np.concatenate([r[3] for r in rows])
+                least = np.full(len(keys), np.iinfo(np.int64).max)
+                np.minimum.at(least, inverse, first)
+                keep = first == least[inverse]
+            ends = np.cumsum(sizes)
+            out = [(r[0], part, total[e - n : e].tobytes(), np.packbits(keep[e - n : e]).tobytes() if firsts else None) for r, n, e in zip(rows, sizes, ends)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), [pa.int64(), pa.int32(), pa.binary(), pa.binary()])], names=["chunk", "part", "counts", "keeps"])
+
+    return run
+
+
+def answered(chunks: DataFrame, width: int, use: Callable, meta: list[str], schema: str, firsts: bool = False) -> DataFrame:
+    """use(row as dict of meta, docs, new key marks, counts by pair, keeps by pair) for every chunk; it gives a RecordBatch or None."""
+    tiles = chunks.where("part >= 0").select("part", "chunk", "tile_keys", "tile_counts", "tile_firsts")
+    replies = tiles.repartition("part").mapInArrow(_answers(width, firsts), "chunk long, part int, counts binary, keeps binary")
+    # a chunk's answers, in the order of its keys: bounded by its slice
+    gathered = replies.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("part", "counts", "keeps"))).alias("replies"))
+    rows = chunks.where("part = -1").select("chunk", "pair_docs", "pair_new", *meta).join(gathered, "chunk", "left").drop("chunk")
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {n: batch.column(j)[i].as_py() for j, n in enumerate(batch.schema.names)}
+                docs = np.frombuffer(row.pop("pair_docs"), "<u4").astype(np.int64)
+                new = np.unpackbits(np.frombuffer(row.pop("pair_new"), np.uint8), count=len(docs)).astype(bool)
+                replies = row.pop("replies") or []
+                counts = np.concatenate([np.frombuffer(r["counts"], np.uint8) for r in replies]) if replies else np.zeros(0, np.uint8)
+                which = np.cumsum(new) - 1
+                keeps = None
+                if firsts:
+                    keeps = np.concatenate([np.unpackbits(np.frombuffer(r["keeps"], np.uint8), count=len(r["counts"])) for r in replies]).astype(bool)[which] if replies else np.zeros(0, bool)
+                if (out := use(row, docs, new, counts[which], keeps)) is not None and out.num_rows:
+                    yield out
+
+    return rows.mapInArrow(run, schema)
