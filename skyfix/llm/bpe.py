@@ -27,6 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skyfix.llm.common import map_slices
 
@@ -377,7 +378,9 @@ class Decoder:
 
 def encode_decode(df: DataFrame, vocabulary_path: str, id_column: str = "doc_id", text_column: str = "text", keep_ids: bool = False) -> DataFrame:
     """Each row's text encoded, and its ids decoded again: n_tokens, ids_sha256, decoded_sha256 (and ids, if kept)."""
-    kind = dict(df.select(id_column).dtypes)[id_column]
+    schema = T.StructType().add(id_column, df.schema[id_column].dataType).add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    if keep_ids:
+        schema = schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def make():
         v = vocabulary(vocabulary_path)
@@ -408,5 +411,4 @@ def encode_decode(df: DataFrame, vocabulary_path: str, id_column: str = "doc_id"
 
         return each
 
-    schema = f"`{id_column}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
     return map_slices(df.select(F.col(id_column), F.col(text_column).alias("text")), make, schema)

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that a Python worker handles at once; bounds its memory whatever the Arrow batch holds.
 SLICE_BYTES = 4 << 20
@@ -55,7 +56,7 @@ def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES)
         yield batch.slice(start)
 
 
-def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str, text: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
+def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str | T.StructType, text: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
     """mapInArrow over bounded slices. make() runs once for each task and returns the function for one slice."""
 
     def run(batches):

@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skyfix.llm.common import crc_mod, map_slices
 
@@ -286,9 +287,9 @@ def label_words(text: str, model: Model) -> list[tuple[str, str, float]]:
     return [(low[a:b], model.languages[int(x.argmax())], float(x.max())) for a, b, x in zip(w.starts.tolist(), w.ends.tolist(), p)]
 
 
-def predict(documents: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", held_out: tuple[int, int] = (4, 2)) -> DataFrame:
-    """Per document: id, held_out, lang_pred, score."""
-    kind = dict(documents.select(id_column).dtypes)[id_column]
+def predict(documents: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", held_out: tuple[int, int] | None = (4, 2)) -> DataFrame:
+    """Per document: id, held_out (false without a fold), lang_pred, score."""
+    kind = documents.schema[id_column].dataType
     shared = documents.sparkSession.sparkContext.broadcast(model)  # 4 bytes x languages x (buckets + lexicon): a fixed bound
 
     def make():
@@ -311,5 +312,7 @@ def predict(documents: DataFrame, model: Model, id_column: str = "doc_id", text_
         return each
 
     source = documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    source = source.select("id", (crc_mod("id", held_out[0]) == held_out[1]).alias("held_out"), "text")
-    return map_slices(source, make, f"id {kind}, held_out boolean, lang_pred string, score double", limit=SLICE).withColumnRenamed("id", id_column)
+    fold = crc_mod("id", held_out[0]) == held_out[1] if held_out else F.lit(False)
+    source = source.select("id", fold.alias("held_out"), "text")
+    schema = T.StructType().add("id", kind).add("held_out", "boolean").add("lang_pred", "string").add("score", "double")
+    return map_slices(source, make, schema, limit=SLICE).withColumnRenamed("id", id_column)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skyfix.llm import bpe, chat, decontam, flac, langid, ngramjoin, quality, tokencount, warc
+from skyfix.llm import bpe, chat, decontam, flac, langid, ngramjoin, quality, suffixes, tokencount, warc
 from skyfix.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,10 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.similar(table(spark, sf_dir, "documents"), n=5, percent=75)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeats(table(spark, sf_dir, "documents")).select("doc_id", "start_word", "end_word", "n_words", "kept")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -57,7 +61,7 @@ def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_langid": op1_langid, "op2_bpe": op2_bpe, "op3_token_counts": op3_token_counts, "op4_decontamination": op4_decontamination, "op5_ngram_join": op5_ngram_join, "op7_warc": op7_warc, "op8_chat": op8_chat, "op9_quality": op9_quality, "op10_flac": op10_flac}
+    return {"op1_langid": op1_langid, "op2_bpe": op2_bpe, "op3_token_counts": op3_token_counts, "op4_decontamination": op4_decontamination, "op5_ngram_join": op5_ngram_join, "op6_suffix_dedup": op6_suffix_dedup, "op7_warc": op7_warc, "op8_chat": op8_chat, "op9_quality": op9_quality, "op10_flac": op10_flac}
 
 
 def oracle_sql() -> dict[str, str]:

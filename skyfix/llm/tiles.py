@@ -61,7 +61,17 @@ def cut(keys: np.ndarray, docs: np.ndarray, parts: int, width: int, ids: np.ndar
     part = parts_of(own, parts)
     bounds = np.searchsorted(part, np.arange(parts + 1))
     tiles = [(p, _packed(own[a:b], width), counts[a:b].tobytes(), None if firsts is None else firsts[a:b].astype("<i8").tobytes()) for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])) if b > a]
-    return tiles, docs.astype("<u4").tobytes(), np.packbits(new).tobytes()
+    return tiles, _indices(docs), np.packbits(new).tobytes()
+
+
+def _indices(x: np.ndarray) -> bytes:
+    """Small numbers in two bytes each if they fit, else four; the first byte says which."""
+    size = 2 if len(x) == 0 or int(x.max()) < 1 << 16 else 4
+    return bytes([size]) + x.astype(f"<u{size}").tobytes()
+
+
+def _read_indices(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
 
 
 def chunk_table(df: DataFrame, name: str, width: int, extract: Callable[[pa.RecordBatch], tuple], meta: list[tuple[str, pa.DataType]], meta_sql: str, limit: int = SLICE_BYTES) -> DataFrame:
@@ -109,7 +119,7 @@ def _answers(width: int, firsts: bool):
 
 
 def answered(chunks: DataFrame, width: int, use: Callable, meta: list[str], schema: str, firsts: bool = False) -> DataFrame:
-    """use(row as dict of meta, docs, new key marks, counts by pair, keeps by pair) for every chunk; it gives a RecordBatch or None."""
+    """use(row as dict of meta, docs, new key marks, counts by pair, keeps by pair: whether the document has the smallest of `ids` among all that hold the key) for every chunk; it gives a RecordBatch or None."""
     tiles = chunks.where("part >= 0").select("part", "chunk", "tile_keys", "tile_counts", "tile_firsts")
     replies = tiles.repartition("part").mapInArrow(_answers(width, firsts), "chunk long, part int, counts binary, keeps binary")
     # a chunk's answers, in the order of its keys: bounded by its slice
@@ -120,7 +130,7 @@ def answered(chunks: DataFrame, width: int, use: Callable, meta: list[str], sche
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {n: batch.column(j)[i].as_py() for j, n in enumerate(batch.schema.names)}
-                docs = np.frombuffer(row.pop("pair_docs"), "<u4").astype(np.int64)
+                docs = _read_indices(row.pop("pair_docs"))
                 new = np.unpackbits(np.frombuffer(row.pop("pair_new"), np.uint8), count=len(docs)).astype(bool)
                 replies = row.pop("replies") or []
                 counts = np.concatenate([np.frombuffer(r["counts"], np.uint8) for r in replies]) if replies else np.zeros(0, np.uint8)
@@ -128,6 +138,9 @@ def answered(chunks: DataFrame, width: int, use: Callable, meta: list[str], sche
                 keeps = None
                 if firsts:
                     keeps = np.concatenate([np.unpackbits(np.frombuffer(r["keeps"], np.uint8), count=len(r["counts"])) for r in replies]).astype(bool)[which] if replies else np.zeros(0, bool)
+                    if len(docs):
+                        own = np.array(row["ids"], np.int64)[docs]
+                        keeps &= own == np.minimum.reduceat(own, np.flatnonzero(new))[which]
                 if (out := use(row, docs, new, counts[which], keeps)) is not None and out.num_rows:
                     yield out
 
