@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skyfix.llm import bpe, chat, decontam, flac, langid, ngramjoin, quality, suffixes, tokencount, warc
 from skyfix.llm.common import table
+from skyfix.llm.oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,4 +66,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
