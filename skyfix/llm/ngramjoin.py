@@ -8,7 +8,7 @@ blocks of documents and cut into tiles by ranges of n-grams (tiles.py), and pair
 2. Columns. For the rest the whole rows are cut into tiles; rows whose n-grams held elsewhere are fewer than ceil(t n) go, and each
    row keeps its prefix: the (1 - t) n + 1 rarest n-grams, of which linked sets share one.
 3. Product. The columns of the prefixes name the pairs. In each round a column ties its pivot (the smallest id outside the first one's component)
-   to the members in other components, which is linear in the column; pairs whose sizes differ too much are discarded, the others' overlaps are
+   to the members in other components, which is linear in the column; pairs whose sizes differ too much, or that have too few n-grams left from the column on, are discarded, the others' overlaps are
    accumulated over the whole rows and held against the bound of their sizes. Links join components between rounds, and columns within one component
    have nothing left to tell. After `rounds` rounds what is left, columns over several components, is multiplied out across components.
 
@@ -109,7 +109,7 @@ def _rows_of(docs: DataFrame, reps: DataFrame, n: int) -> DataFrame:
 
 
 def _prefixes(rows: DataFrame, percent: int) -> DataFrame:
-    """(token, d, n) of the rarest n-grams of rows that can link."""
+    """(token, d, n, pos) of the rarest n-grams of rows that can link; pos: how many of the row's n-grams come before it."""
 
     def use(row, docs, new, counts, keeps):
         ids, sizes = np.array(row["ids"], np.int64), np.array(row["sizes"], np.int64)
@@ -126,10 +126,11 @@ def _prefixes(rows: DataFrame, percent: int) -> DataFrame:
         begin = np.searchsorted(d, np.arange(len(ids)))
         rank = np.arange(len(d)) - begin[d]
         ok = rank < room[d]
-        t, d = t[ok], d[ok]
-        return pa.RecordBatch.from_arrays([pa.array(t.astype(np.int64), pa.int64()), pa.array(ids[d], pa.int64()), pa.array(sizes[d], pa.int64())], names=["token", "d", "n"])
+        t, d, rank = t[ok], d[ok], rank[ok]
+        pos = (sizes - shared)[d] + rank
+        return pa.RecordBatch.from_arrays([pa.array(t.astype(np.int64), pa.int64()), pa.array(ids[d], pa.int64()), pa.array(sizes[d], pa.int64()), pa.array(pos, pa.int64())], names=["token", "d", "n", "pos"])
 
-    return tiles.answered(rows, WIDTH, use, ["ids", "sizes", "hashes"], "token long, d long, n long")
+    return tiles.answered(rows, WIDTH, use, ["ids", "sizes", "hashes"], "token long, d long, n long, pos long")
 
 
 def _sets(rows: DataFrame) -> DataFrame:
@@ -175,7 +176,9 @@ def _labelled(posts: DataFrame, stars: DataFrame | None) -> DataFrame:
 
 
 def _fitting(percent: int):
-    return F.expr(f"100 * least(n, pivot.n) >= {percent} * greatest(n, pivot.n)")
+    """Whether the sizes allow a link, and so many n-grams from this one on (if it is the first the two rows share, they share no more)."""
+    most = "least(n - pos, pivot.n - pivot.pos)"
+    return F.expr(f"100 * least(n, pivot.n) >= {percent} * greatest(n, pivot.n) and 100 * {most} >= {percent} * (n + pivot.n - {most})")
 
 
 def similar(documents: DataFrame, n: int = 5, percent: int = 75, id_column: str = "doc_id", text_column: str = "text", rounds: int = 2) -> DataFrame:
@@ -192,12 +195,12 @@ def similar(documents: DataFrame, n: int = 5, percent: int = 75, id_column: str
         open_ = _labelled(posts, stars)
         if step < rounds:
             # a column's pivot: its smallest id, and from the second round on the smallest outside that one's component
-            lead = open_.groupBy("token").agg(F.min(F.struct("d", "label", "n")).alias("pivot"))
+            lead = open_.groupBy("token").agg(F.min(F.struct("d", "label", "n", "pos")).alias("pivot"))
             if step:
-                lead = open_.join(lead, "token").where("label <> pivot.label").groupBy("token").agg(F.min(F.struct("d", "label", "n")).alias("pivot"))
+                lead = open_.join(lead, "token").where("label <> pivot.label").groupBy("token").agg(F.min(F.struct("d", "label", "n", "pos")).alias("pivot"))
             pairs = open_.join(lead, "token").where("label <> pivot.label").where(_fitting(percent)).select(F.least("d", "pivot.d").alias("a"), F.greatest("d", "pivot.d").alias("b"))
         else:
-            other = open_.select("token", F.struct("d", "label", "n").alias("pivot"))
+            other = open_.select("token", F.struct("d", "label", "n", "pos").alias("pivot"))
             pairs = open_.join(other, "token").where("pivot.label < label").where(_fitting(percent)).select(F.least("d", "pivot.d").alias("a"), F.greatest("d", "pivot.d").alias("b"))
         edges = _linked(pairs.distinct(), sets, percent)
         stars = components(edges if stars is None else edges.unionByName(stars))
