@@ -20,8 +20,8 @@ def region_samples(images: DataFrame, truth: DataFrame) -> DataFrame:
 
 def region_maps(regions: DataFrame, ranges: DataFrame, order: str) -> DataFrame:
     """Regions (region, map_path) with the extent found under the map's stem, the region's name, or the digits of either; level says which."""
-    keys = regions.withColumns({"_k1": file_stem(F.col("map_path")), "_k2": F.lower("region"), "_k3": digits(file_stem(F.col("map_path"))), "_k4": digits(F.col("region"))})
-    return first_of(keys, ranges_by_key(ranges, order), ["_k1", "_k2", "_k3", "_k4"], "key", "box").drop("_k1", "_k2", "_k3", "_k4")
+    keys = regions.withColumns({"_name1": file_stem(F.col("map_path")), "_name2": F.lower("region"), "_name3": digits(file_stem(F.col("map_path"))), "_name4": digits(F.col("region"))})
+    return first_of(keys, ranges_by_key(ranges, order), ["_name1", "_name2", "_name3", "_name4"], "key", "box").drop("_name1", "_name2", "_name3", "_name4")
 
 
 def usable_regions(regions: DataFrame, samples: DataFrame, maps: DataFrame) -> DataFrame:
