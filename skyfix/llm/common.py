@@ -76,3 +76,13 @@ def opened(uri: str):
     system, path = fs.FileSystem.from_uri(uri)
     system.create_dir(path, recursive=True)
     return system, path
+
+
+#: Rows of a narrow table that may be sent to every task; more are shuffled.
+MOST_SENT = 1_000_000
+
+
+def sent(df: DataFrame, name: str, most: int = MOST_SENT) -> DataFrame:
+    """A written table of a few narrow columns, to be broadcast if it has no more rows than this."""
+    table_ = written(df, name)
+    return F.broadcast(table_) if table_.limit(most + 1).count() <= most else table_
