@@ -35,6 +35,8 @@ from skyfix.llm.components import components
 WIDTH = 5
 #: What a set must share in its probe, as a share of the whole set: more makes probes longer and rows fewer.
 PROBE_SHARED = 0.1
+#: Representatives are sent to every task up to this number (24 bytes each); beyond it documents and representatives are shuffled.
+MOST_SENT = 1_000_000
 
 
 def shingle_sets(texts: list[bytes | None], n: int) -> list[np.ndarray]:
@@ -96,7 +98,8 @@ def _survivors(probes: DataFrame, percent: int) -> DataFrame:
 
 def _rows_of(docs: DataFrame, reps: DataFrame, n: int) -> DataFrame:
     """Whole rows of the matrix: chunks of the representatives' n-grams."""
-    chosen = docs.join(reps, docs["id"] == reps["d"]).select("id", "text", "digest")
+    few = reps.limit(MOST_SENT + 1).count() <= MOST_SENT
+    chosen = docs.join(F.broadcast(reps) if few else reps, docs["id"] == reps["d"]).select("id", "text", "digest")
 
     def extract(piece: pa.RecordBatch):
         sets, digests, ids = shingle_sets(piece.column(1).to_pylist(), n), piece.column(2).to_pylist(), piece.column(0).to_pylist()
