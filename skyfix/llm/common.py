@@ -35,7 +35,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: df as a Parquet table in the shared folder, which outlives any executor."""
     path = workspace(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing will read again."""
+    for t in tables:
+        session = t.sparkSession
+        path = session._jvm.org.apache.hadoop.fs.Path(t._written_at)
+        path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def crc_mod(id_column: str, modulus: int):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyfix.llm.common import written
+from skyfix.llm.common import discard, written
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -28,8 +28,10 @@ def components(edges: DataFrame) -> DataFrame:
     now = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), "edges")
     state = _state(now)
     while state[0]:
-        now = written(_stars(now), "edges")
-        if (after := _state(now)) == state:
+        before, now = now, written(_stars(now), "edges")
+        after = _state(now)
+        discard(before)
+        if after == state:
             break
         state = after
     return now

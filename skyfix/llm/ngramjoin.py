@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyfix.llm import tiles, wordhash
-from skyfix.llm.common import written
+from skyfix.llm.common import discard, written
 from skyfix.llm.components import components
 
 WIDTH = 5
@@ -189,8 +189,10 @@ def similar(documents: DataFrame, n: int = 5, percent: int = 75, id_column: str
     docs = documents.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("binary").alias("text"))
     probes = _probes(docs, n, percent)
     each = probes.where("part = -1").select(F.explode(F.arrays_zip("ids", "sizes", "digests")).alias("x")).select(F.col("x.ids").alias("id"), F.col("x.sizes").alias("n_shingles"), F.col("x.digests").alias("digest"))
+    each = written(each, "ngram-sets")
     firsts = each.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("id").alias("d"), F.count(F.lit(1)).alias("copies"))
     reps = written(firsts.join(_survivors(probes, percent), "digest", "left_semi").where(F.col("d").isNotNull()).select("digest", "d"), "ngram-reps")
+    discard(probes)
     rows = _rows_of(docs.where(F.col("id").isNotNull()), reps, n)
     posts = written(_prefixes(rows, percent), "ngram-columns")
     sets, stars = _sets(rows), None
@@ -206,7 +208,11 @@ def similar(documents: DataFrame, n: int = 5, percent: int = 75, id_column: str
             other = open_.select("token", F.struct("d", "label", "n", "pos").alias("pivot"))
             pairs = open_.join(other, "token").where("pivot.label < label").where(_fitting(percent)).select(F.least("d", "pivot.d").alias("a"), F.greatest("d", "pivot.d").alias("b"))
         edges = _linked(pairs.distinct(), sets, percent)
-        stars = components(edges if stars is None else edges.unionByName(stars))
+        before, stars = stars, components(edges if stars is None else edges.unionByName(stars))
+        if before is not None:
+            discard(before)
     moved = firsts.join(stars.select(F.col("u").alias("d"), F.col("v").alias("root")), "d", "left").where(F.col("root").isNotNull() | (F.col("copies") > 1)).select("digest", F.coalesce("root", "d").alias("component"))
     out = each.join(moved, "digest", "left")
-    return out.select(F.col("id").alias(id_column), "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    out = written(out.select(F.col("id").alias(id_column), "n_shingles", F.coalesce("component", "id").alias("component_id")), "ngram-components")
+    discard(each, reps, rows, posts, stars)
+    return out
