@@ -23,9 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyfix.llm import tiles, wordhash
+from skyfix.llm.common import discard, written
 
 
-MIN_WORDS, K, SEED_BYTES, WINDOW_BYTES = 50, 8, 5, 6
+MIN_WORDS, K, SEED_BYTES, WINDOW_BYTES = 50, 8, 5, 8
 NO_ID = (1 << 63) - 1
 
 
@@ -70,7 +71,10 @@ def _seeds(docs: DataFrame, min_words: int, k: int) -> DataFrame:
         cols = list(zip(*rows)) or [(), (), ()]
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["key", "digest", "seeds"])
 
-    return tiles.answered(table, SEED_BYTES, use, ["ids", "digests", "hashes"], "key long, digest binary, seeds binary")
+    found = tiles.answered(table, SEED_BYTES, use, ["ids", "digests", "hashes"], "key long, digest binary, seeds binary")
+    out = written(found.groupBy("key", "digest").agg(F.first("seeds").alias("seeds")), "suffix-shared")  # repeated rows have the same
+    discard(table)
+    return out
 
 
 def _ranges(flags: np.ndarray, size: int, n: int) -> np.ndarray:
@@ -91,7 +95,7 @@ def repeats(documents: DataFrame, min_words: int = MIN_WORDS, k: int = K, id_col
     """Passages that other documents hold too: id, digest (MD5 of the text), start and end in words, n_words, kept."""
     key = F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID))
     docs = documents.select(key.alias("key"), F.col(text_column).cast("binary").alias("text")).withColumn("digest", F.unhex(F.md5("text")))
-    seeds = _seeds(docs, min_words, k).groupBy("key", "digest").agg(F.first("seeds").alias("seeds"))  # repeated rows have the same
+    seeds = _seeds(docs, min_words, k)
     chosen = docs.join(seeds, ["key", "digest"]).select("key", "text", "digest", "seeds")
 
     def extract(piece: pa.RecordBatch):
@@ -135,7 +139,9 @@ def repeats(documents: DataFrame, min_words: int = MIN_WORDS, k: int = K, id_col
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], names=["id", "digest", "start_word", "end_word", "n_words", "kept"])
 
     found = tiles.answered(table, WINDOW_BYTES, use, ["ids", "digests", "sizes", "spans", "pairs"], "id long, digest binary, start_word long, end_word long, n_words long, kept boolean", firsts=True)
-    return found.withColumnRenamed("id", id_column)
+    out = written(found.withColumnRenamed("id", id_column), "suffix-repeats")
+    discard(table, seeds)
+    return out
 
 
 def without_repeats(documents: DataFrame, min_words: int = MIN_WORDS, k: int = K) -> DataFrame:
