@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,17 +45,17 @@ def item_windows(items: list[tuple[int, bytes]], window: int) -> dict[tuple[byte
     return out
 
 
-def item_blocks(benchmark: DataFrame, item_column: str, text_column: str, block_bytes: int) -> list[list[tuple[int, bytes]]]:
-    """The items in blocks of bounded text, one block on the driver at a time as far as its rows go."""
+def item_blocks(benchmark: DataFrame, item_column: str, text_column: str, block_bytes: int) -> Iterator[list[tuple[int, bytes]]]:
+    """The items in blocks of bounded text, one block on the driver at a time; at least one, if empty."""
     rows = benchmark.select(F.col(item_column), F.coalesce(F.col(text_column), F.lit("")).cast("binary")).where(F.col(item_column).isNotNull())
-    blocks, held = [[]], 0
+    block, held = [], 0
     for item, text in rows.toLocalIterator():
         if held and held + len(text) > block_bytes:
-            blocks.append([])
-            held = 0
-        blocks[-1].append((item, bytes(text)))
+            yield block
+            block, held = [], 0
+        block.append((item, bytes(text)))
         held += len(text)
-    return blocks
+    yield block
 
 
 def word_counts(documents: DataFrame, vocabulary: set[bytes], text_column: str) -> dict[bytes, int]:
@@ -76,8 +77,9 @@ def word_counts(documents: DataFrame, vocabulary: set[bytes], text_column: str)
     return {bytes(w): n for w, n in counted.groupBy("word").agg(F.sum("n")).collect()}
 
 
-def _pass(documents: DataFrame, windows: dict[tuple[bytes, ...], set[int]], counts: dict[bytes, int], kind: str) -> DataFrame:
+def _pass(documents: DataFrame, windows: dict[tuple[bytes, ...], set[int]], kind: str) -> DataFrame:
     """One block of items against all documents: doc_id, text_sha, n_words, starts, ends (of merged hit runs), items."""
+    counts = word_counts(documents, {x for w in windows for x in w}, "text") if windows else {}
     offsets: dict[bytes, set[tuple[int, int]]] = {}  # rarest word -> where it stands in its windows, and their length
     for w in windows:
         at = min(range(len(w)), key=lambda i: (counts.get(w[i], 0), w[i], i))
@@ -125,8 +127,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 13,
     """Per document: n_words, n_hit, n_items, items_sha256, contaminated (hit words are at least this share), hit runs [starts, ends), item_ids."""
     docs = documents.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("binary").alias("text"))
     kind = dict(docs.dtypes)["doc_id"]
-    blocks = [item_windows(b, window) for b in item_blocks(benchmark, item_column, item_text, block_bytes)]
-    passes = [_pass(docs, w, word_counts(docs, {x for k in w for x in k}, "text") if w else {}, kind) for w in blocks]
+    passes = [_pass(docs, item_windows(b, window), kind) for b in item_blocks(benchmark, item_column, item_text, block_bytes)]
     hits = passes[0]
     if len(passes) > 1:  # a row's hits of every block, united; equal rows are counted and given back
         rows = hits
