@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyfix.llm import bpe, decontam, langid, ngramjoin, suffixes
-from skyfix.llm.common import sent, table, written
+from skyfix.llm.common import fresh, sent, table, written
 
 #: A document is rejected if its best language has a lower mean probability over its words than this.
 LEAST_LANGUAGE_SCORE = 0.4
@@ -20,9 +20,9 @@ LEAST_LANGUAGE_SCORE = 0.4
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told: neither `und` nor below LEAST_LANGUAGE_SCORE. Judged row by row on the text alone."""
     model = langid.fit(docs)
-    marked = docs.withColumn("_row", F.struct(*docs.columns))
-    judged = langid.predict(marked, model, id_column="_row", held_out=None)
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("_row.*")
+    row = fresh(docs, "row")
+    judged = langid.predict(docs.withColumn(row, F.struct(*docs.columns)), model, id_column=row, held_out=None)
+    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(f"{row}.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,9 +44,10 @@ def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, as ids: with n_tokens, ids_sha256 and decoded_sha256."""
-    marked = docs.withColumn("_row", F.struct(*docs.columns))
-    out = bpe.encode_decode(marked, public_tokenizers.path("word_bpe_49k.json"), id_column="_row")
-    return out.select("_row.*", "n_tokens", "ids_sha256", "decoded_sha256")
+    row = fresh(docs, "row")
+    out = bpe.encode_decode(docs.withColumn(row, F.struct(*docs.columns)), public_tokenizers.path("word_bpe_49k.json"), id_column=row)
+    made = ["n_tokens", "ids_sha256", "decoded_sha256"]
+    return out.select(*[F.col(f"{row}.`{c}`") for c in docs.columns if c.lower() not in made], *made)
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("contamination", contamination), ("encoded", encoded)]

@@ -22,6 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def workspace(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared one. Only where the session names none (as in tests) a local one is set."""
     root = spark.conf.get(SHARED, None) or spark.sparkContext.getConf().get(SHARED)

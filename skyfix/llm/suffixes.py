@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyfix.llm import tiles, wordhash
-from skyfix.llm.common import discard, written
+from skyfix.llm.common import discard, fresh, written
 
 
 MIN_WORDS, K, SEED_BYTES, WINDOW_BYTES = 50, 8, 5, 8
@@ -146,8 +146,9 @@ def repeats(documents: DataFrame, min_words: int = MIN_WORDS, k: int = K, id_col
 
 def without_repeats(documents: DataFrame, min_words: int = MIN_WORDS, k: int = K) -> DataFrame:
     """The documents table with repeated passages cut, except where they stand first; n_chars follows. A document of which nothing is left goes."""
-    spans = repeats(documents, min_words, k).where("not kept").groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("_key"), F.col("digest").alias("_digest")).agg(F.sort_array(F.collect_set(F.struct("start_word", "end_word"))).alias("_spans"))
-    rows = documents.withColumns({"_key": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_digest": F.unhex(F.md5(F.col("text").cast("binary")))}).join(spans, ["_key", "_digest"], "left").drop("_key", "_digest")
+    key, digest, cuts = (fresh(documents, n) for n in ("_key", "_digest", "_spans"))
+    spans = repeats(documents, min_words, k).where("not kept").groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias(key), F.col("digest").alias(digest)).agg(F.sort_array(F.collect_set(F.struct("start_word", "end_word"))).alias(cuts))
+    rows = documents.withColumns({key: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), digest: F.unhex(F.md5(F.col("text").cast("binary")))}).join(spans, [key, digest], "left").drop(key, digest)
     kinds = documents.schema
     names = kinds.names
 
@@ -176,4 +177,4 @@ def without_repeats(documents: DataFrame, min_words: int = MIN_WORDS, k: int = K
                 columns[names.index("n_chars")] = pa.array(lengths, columns[names.index("n_chars")].type)
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep))
 
-    return rows.select(*names, "_spans").mapInArrow(run, kinds)
+    return rows.select(*names, cuts).mapInArrow(run, kinds)
