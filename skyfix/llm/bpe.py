@@ -41,7 +41,7 @@ SPACES = regex.compile(rf"[{WHITE}]+")
 LETTERS, SIGNS = regex.compile(r"[\p{L}]+"), regex.compile(rf"[^{WHITE}\p{{L}}\p{{N}}]+")
 END = "</w>"
 #: Characters of text that are read at once, words that stay memoised (and the most symbols of one), symbols between flushes.
-PIECE, MEMO, MEMO_LEN, FLUSH = 1 << 16, 500_000, 32, 2048
+PIECE, MEMO, MEMO_LEN, FLUSH = 1 << 16, 200_000, 32, 2048
 
 
 def byte_symbols() -> list[str]:

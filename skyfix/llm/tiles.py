@@ -100,8 +100,9 @@ def _answers(width: int, firsts: bool):
         own: dict[int, list] = {}
         for batch in batches:
             for part, chunk, keys, counts, first in zip(*(c.to_pylist() for c in batch.columns)):
-                own.setdefault(part, []).append((chunk, _unpacked(keys, width), np.frombuffer(counts, np.uint8), np.frombuffer(first, "<i8") if firsts else None))
-        for part, rows in own.items():
+                own.setdefault(part, []).append((chunk, keys, counts, first))
+        for part in list(own):
+            rows = [(chunk, _unpacked(keys, width), np.frombuffer(counts, np.uint8), np.frombuffer(first, "<i8") if firsts else None) for chunk, keys, counts, first in own.pop(part)]
             sizes = [len(r[1]) for r in rows]
             keys, inverse = np.unique(np.concatenate([r[1] for r in rows]), return_inverse=True)
             total = np.minimum(np.bincount(inverse, weights=np.concatenate([r[2] for r in rows])), MOST).astype(np.uint8)[inverse]

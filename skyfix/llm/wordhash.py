@@ -8,7 +8,7 @@ import numpy as np
 
 #: A-Z become a-z, and the six ASCII white-space characters a space; every other byte belongs to a word.
 SPACE_WORDS = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 32 or 9 <= b <= 13 else b for b in range(256))
-SEGMENT = 4 << 20
+SEGMENT = 1 << 20
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -23,11 +23,20 @@ def _bytes_table() -> np.ndarray:
     return mix(np.arange(1, 257, dtype=np.uint64) * A)
 
 
-@functools.lru_cache(maxsize=2)
+_POWERS = np.ones(1, np.uint64)
+
+
 def _powers(n: int) -> np.ndarray:
-    p = np.full(n, A | np.uint64(1))
+    """At least the first n powers; one table serves all sizes, and of very long texts none is kept."""
+    global _POWERS
+    if n <= len(_POWERS):
+        return _POWERS
+    p = np.full(1 << (n - 1).bit_length(), A | np.uint64(1))
     p[0] = 1
-    return np.cumprod(p, dtype=np.uint64)
+    np.cumprod(p, out=p, dtype=np.uint64)
+    if len(p) <= 4 * SEGMENT:
+        _POWERS = p
+    return p
 
 
 def _segment(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -35,7 +44,7 @@ def _segment(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside = flat != 32
     edge = np.diff(inside.astype(np.int8), prepend=0)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    power = _powers(1 << max(10, int(len(flat)).bit_length()))
+    power = _powers(len(flat) + 1)
     sums = np.zeros(len(flat) + 1, np.uint64)
     np.cumsum(_bytes_table()[flat] * power[: len(flat)], out=sums[1:], dtype=np.uint64)
     h = (sums[ends] - sums[starts]) * power[len(flat) - starts] * _inverse_power(len(flat))  # a word hashes alike wherever it stands
@@ -105,7 +114,7 @@ def long_runs(h: np.ndarray, n: int) -> np.ndarray:
     m = len(h) - n + 1
     if m <= 0:
         return np.zeros(0, np.uint64)
-    power = _powers(1 << max(10, (len(h) + 1).bit_length()))
+    power = _powers(len(h) + 1)
     sums = np.zeros(len(h) + 1, np.uint64)
     np.cumsum(h * power[: len(h)], out=sums[1:], dtype=np.uint64)
     return mix((sums[n:] - sums[:m]) * power[len(h) - np.arange(m)] * _inverse_power(len(h)) + np.uint64(n * int(B) % (1 << 64)))
