@@ -29,14 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyfix.llm import tiles, wordhash
-from skyfix.llm.common import discard, written
+from skyfix.llm.common import MOST_SENT, discard, sent, written
 from skyfix.llm.components import components
 
 WIDTH = 5
 #: What a set must share in its probe, as a share of the whole set: more makes probes longer and rows fewer.
 PROBE_SHARED = 0.1
-#: Representatives are sent to every task up to this number (24 bytes each); beyond it documents and representatives are shuffled.
-MOST_SENT = 1_000_000
 
 
 def shingle_sets(texts: list[bytes | None], n: int) -> list[np.ndarray]:
@@ -212,6 +210,7 @@ def similar(documents: DataFrame, n: int = 5, percent: int = 75, id_column: str
         if before is not None:
             discard(before)
     moved = firsts.join(stars.select(F.col("u").alias("d"), F.col("v").alias("root")), "d", "left").where(F.col("root").isNotNull() | (F.col("copies") > 1)).select("digest", F.coalesce("root", "d").alias("component"))
+    moved = sent(moved, "ngram-moved")  # sets of one document that stays alone aren't among them
     out = each.join(moved, "digest", "left")
     out = written(out.select(F.col("id").alias(id_column), "n_shingles", F.coalesce("component", "id").alias("component_id")), "ngram-components")
     discard(each, reps, rows, posts, stars)
