@@ -97,7 +97,7 @@ def opened(uri: str):
 
 
 #: Rows of a narrow table that may be sent to every task; more are shuffled.
-MOST_SENT = 1_000_000
+MOST_SENT = 250_000
 
 
 def sent(df: DataFrame, name: str, most: int = MOST_SENT) -> DataFrame:
