@@ -42,6 +42,7 @@ LETTERS, SIGNS = regex.compile(r"[\p{L}]+"), regex.compile(rf"[^{WHITE}\p{{L}}\p
 END = "</w>"
 #: Characters of text that are read at once, words that stay memoised (and the most symbols of one), symbols between flushes.
 PIECE, MEMO, MEMO_LEN, FLUSH = 1 << 16, 200_000, 32, 2048
+SLICE = 1 << 20
 
 
 def byte_symbols() -> list[str]:
@@ -411,4 +412,4 @@ def encode_decode(df: DataFrame, vocabulary_path: str, id_column: str = "doc_id"
 
         return each
 
-    return map_slices(df.select(F.col(id_column), F.col(text_column).alias("text")), make, schema)
+    return map_slices(df.select(F.col(id_column), F.col(text_column).alias("text")), make, schema, limit=SLICE)

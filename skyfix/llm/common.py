@@ -61,6 +61,15 @@ def crc_mod(id_column: str, modulus: int):
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % F.lit(modulus), F.lit(0))
 
 
+#: Rows of an Arrow batch, where the session doesn't say otherwise: whole texts are long, and batches stand in memory several times over.
+BATCH_RECORDS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bound_batches(session: SparkSession) -> None:
+    if session.conf.get(BATCH_RECORDS) == "10000":
+        session.conf.set(BATCH_RECORDS, "1000")
+
+
 def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose texts hold about limit bytes (a longer text is a run of its own)."""
     sizes = pa.compute.binary_length(batch.column(batch.schema.get_field_index(text))).fill_null(0).to_numpy(zero_copy_only=False)
@@ -84,6 +93,7 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.R
                 if (out := each(part)) is not None:
                     yield out
 
+    bound_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyfix.llm.common import SLICE_BYTES, slices, written
+from skyfix.llm.common import SLICE_BYTES, bound_batches, slices, written
 
 #: Counts are told up to this; more is the same.
 MOST = 255
@@ -77,6 +77,7 @@ def _read_indices(data: bytes) -> np.ndarray:
 def chunk_table(df: DataFrame, name: str, width: int, extract: Callable[[pa.RecordBatch], tuple], meta: list[tuple[str, pa.DataType]], meta_sql: str, limit: int = SLICE_BYTES) -> DataFrame:
     """The written table of tiles and chunks. extract gives (keys, docs, ids or None, a value for each column of meta) of a slice."""
     parts = part_count(df.sparkSession)
+    bound_batches(df.sparkSession)
     kinds = TILE + meta
 
     def run(batches) -> Iterator[pa.RecordBatch]:
