@@ -39,7 +39,7 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.repeats(table(spark, sf_dir, "documents")).select("doc_id", "start_word", "end_word", "n_words", "kept")
+    return suffixes.repeats(table(spark, sf_dir, "documents"), whole=True).select("doc_id", "start_word", "end_word", "n_words", "kept")
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

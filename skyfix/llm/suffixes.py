@@ -9,7 +9,8 @@ Of a document's suffixes only those at minimisers stay: the places whose k-gram
    (Neighbours in the order of the suffixes alone would not do: the one that agrees furthest to the right may differ at once to the left.)
 3. Matching windows that follow or overlap each other extend the match left and right, to the longest run of repeated words.
 
-A window's first holder is the document of smallest id. Words in windows that the document holds first are `kept`; other repeated words are not.
+A window's first holder is the document of smallest id. Words in windows that the document holds first are `kept`; words in windows that a document of smaller id
+holds are not. A word can be in windows of both kinds (a passage from elsewhere within a longer one that stands here first): see `whole`.
 
 Defined results: words are split at ASCII white space and A-Z count as a-z; null, empty or shorter texts have no passages; repeated rows are documents of
 their own (both are holders of the smallest id); a row without an id is never first and is reported without one. Other columns are never read. Empty input, empty output.
@@ -91,8 +92,10 @@ def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()))
 
 
-def repeats(documents: DataFrame, min_words: int = MIN_WORDS, k: int = K, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Passages that other documents hold too: id, digest (MD5 of the text), start and end in words, n_words, kept."""
+def repeats(documents: DataFrame, min_words: int = MIN_WORDS, k: int = K, id_column: str = "doc_id", text_column: str = "text", whole: bool = False) -> DataFrame:
+    """Passages that other documents hold too: id, digest (MD5 of the text), start and end in words, n_words, kept.
+
+    whole: rows not kept have all words of windows that a document of smaller id holds, those within kept rows too."""
     key = F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID))
     docs = documents.select(key.alias("key"), F.col(text_column).cast("binary").alias("text")).withColumn("digest", F.unhex(F.md5("text")))
     seeds = _seeds(docs, min_words, k)
@@ -132,7 +135,8 @@ def repeats(documents: DataFrame, min_words: int = MIN_WORDS, k: int = K, id_col
             hit, first = np.zeros(n, bool), np.zeros(n, bool)
             hit[starts], first[starts] = matched[own], matched[own] & keeps[own]
             kept = _ranges(first, min_words, n)
-            for mask, flag in ((kept, True), (_ranges(hit & ~first, min_words, n) & ~kept, False)):
+            lost = _ranges(hit & ~first, min_words, n)
+            for mask, flag in ((kept, True), (lost if whole else lost & ~kept, False)):
                 out += [(None if doc == NO_ID else doc, digest, a, b, b - a, flag) for a, b in _runs(mask)]
         cols = list(zip(*out)) or [()] * 6
         kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
@@ -145,9 +149,9 @@ def repeats(documents: DataFrame, min_words: int = MIN_WORDS, k: int = K, id_col
 
 
 def without_repeats(documents: DataFrame, min_words: int = MIN_WORDS, k: int = K) -> DataFrame:
-    """The documents table with repeated passages cut, except where they stand first; n_chars follows. A document of which nothing is left goes."""
+    """The documents table without the words of windows that a document of smaller id holds; n_chars follows. A document of which nothing is left goes."""
     key, digest, cuts = (fresh(documents, n) for n in ("_key", "_digest", "_spans"))
-    spans = repeats(documents, min_words, k).where("not kept").groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias(key), F.col("digest").alias(digest)).agg(F.sort_array(F.collect_set(F.struct("start_word", "end_word"))).alias(cuts))
+    spans = repeats(documents, min_words, k, whole=True).where("not kept").groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias(key), F.col("digest").alias(digest)).agg(F.sort_array(F.collect_set(F.struct("start_word", "end_word"))).alias(cuts))
     rows = documents.withColumns({key: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), digest: F.unhex(F.md5(F.col("text").cast("binary")))}).join(spans, [key, digest], "left").drop(key, digest)
     kinds = documents.schema
     names = kinds.names

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from skyfix.llm import suffixes
+from skyfix.llm import queries, suffixes
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -59,3 +59,15 @@ def test_cutting_keeps_the_first_copy(spark):
     df = spark.createDataFrame([("x", *r) for r in rows], "_key string, doc_id long, text string, n_chars long")
     got = sorted((tuple(r)[1:] for r in suffixes.without_repeats(df).collect() if r[0] == "x"), key=str)
     assert got == sorted([(1, f"a {passage}", 0), (2, "b one\nb two", 11), (4, "clean", 5), (5, None, None), (None, "n m", 3)], key=str)
+
+
+def test_one_passage_in_two_repeated_contexts(spark, tmp_path):
+    run = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    p = run("p", 60)
+    rows = [(1, f"{run('a', 20)} {p}"), *[(d, f"{run(f'own{d}-', 5)} {x} {p} {y}") for d, x, y in ((2, "x1 x2", "y1"), (3, "x1 x2", "y1"), (4, "u1", "v1 v2"), (5, "u1", "v1 v2"))]]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.text.split() for r in suffixes.without_repeats(docs).collect()}
+    assert got == {1: rows[0][1].split(), 2: [*run("own2-", 5).split(), "x1", "x2", "y1"], 3: run("own3-", 5).split(), 4: [*run("own4-", 5).split(), "u1", "v1", "v2"], 5: run("own5-", 5).split()}
+    listed = sorted(map(tuple, queries.op6_suffix_dedup(spark, str(tmp_path)).collect()))
+    assert listed == [(1, 20, 80, 60, True), (2, 5, 68, 63, True), (2, 7, 67, 60, False), (3, 5, 68, 63, False), (4, 5, 68, 63, True), (4, 6, 66, 60, False), (5, 5, 68, 63, False)]
