@@ -7,7 +7,7 @@ document's language is the one with the highest mean probability over its words,
 
 Training maximises the likelihood of code-switched sequences: fragments of a few words of documents of any language, dealt
 in random order (of a fixed seed), each word labelled with its document's language. The documents are a bounded sample: about `per_language` of each language,
-those of lowest hash of their id, and at most `window` characters of each. At most `max_languages` languages, the most frequent, are learned.
+those of lowest hash of their id, and at most `window` characters of each. Every language is learned, or the `max_languages` most frequent if that is given.
 
 Inference is vectorised: documents are cut into blocks whose transfer matrices are multiplied in lockstep, messages pass
 from block to block, and then again in lockstep inside all blocks. The result is that of one pass over each document.
@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from skyfix.llm.common import crc_mod, map_slices
 
-PER_LANGUAGE, WINDOW, MAX_LANGUAGES = 800, 2000, 64
+PER_LANGUAGE, WINDOW = 800, 2000
 BUCKETS, LEXICON, BLOCK, SLICE = 1 << 18, 1 << 16, 64, 1 << 20
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -263,11 +263,12 @@ def train(rows: list[tuple[str, str]], seed: int = 13, length: int = 48, batch:
     return Model(languages, weights.astype(np.float32), np.exp(t), lexicon, entries)
 
 
-def fit(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", held_out: tuple[int, int] = (4, 2), per_language: int = PER_LANGUAGE, window: int = WINDOW, max_languages: int = MAX_LANGUAGES) -> Model:
+def fit(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", held_out: tuple[int, int] = (4, 2), per_language: int = PER_LANGUAGE, window: int = WINDOW, max_languages: int | None = None) -> Model:
     """Learns from rows whose crc32 of the id, modulo held_out[0], isn't held_out[1]."""
     known = documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(lang_column).alias("lang"))
     known = known.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("id", held_out[0]) != held_out[1]))
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang")
+    counts = (counts if max_languages is None else counts.limit(max_languages)).collect()
     if not counts:
         return Model((), np.zeros((BUCKETS, 0), np.float32), np.ones((0, 0)), np.zeros(LEXICON, np.uint64), np.zeros(LEXICON, np.int64))
     share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, per_language / r["n"])))])[F.col("lang")]
@@ -290,7 +291,7 @@ def label_words(text: str, model: Model) -> list[tuple[str, str, float]]:
 def predict(documents: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", held_out: tuple[int, int] | None = (4, 2)) -> DataFrame:
     """Per document: id, held_out (false without a fold), lang_pred, score."""
     kind = documents.schema[id_column].dataType
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # 4 bytes x languages x (buckets + lexicon): a fixed bound
+    shared = documents.sparkSession.sparkContext.broadcast(model)  # 4 bytes x languages x (buckets + lexicon)
 
     def make():
         m = shared.value

@@ -84,3 +84,16 @@ def test_query_edge_cases(spark):
     assert langid.fit(hidden).languages == ("aa", "bb", "cc")
     assert langid.predict(df.limit(0), model).collect() == []
     assert [x.lang_pred for x in langid.predict(df.limit(1), langid.fit(df.limit(0))).collect()] == ["und"]
+
+
+def test_every_language_is_learned(spark):
+    r = random.Random(8)
+    syllables = {f"l{i:02}": [chr(0x4E00 + 4 * i + j) for j in range(4)] for i in range(66)}
+    text = lambda lang: " ".join("".join(r.choices(syllables[lang], k=2)) for _ in range(40))
+    rows = [(100 * i + j, text(lang), lang) for i, lang in enumerate(syllables) for j in range(12 if i < 64 else 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, held_out=(1, 1))
+    assert model.languages == tuple(syllables)
+    rare = langid.predict(df.where("doc_id >= 6400"), model).collect()
+    assert [x.lang_pred for x in rare] == [f"l{x.doc_id // 100:02}" for x in rare] and len(rare) == 18
+    assert langid.fit(df, held_out=(1, 1), max_languages=2).languages == ("l00", "l01")
