@@ -101,7 +101,7 @@ def _rows_of(docs: DataFrame, reps: DataFrame, n: int) -> DataFrame:
 
     def extract(piece: pa.RecordBatch):
         sets, digests, ids = shingle_sets(piece.column(1).to_pylist(), n), piece.column(2).to_pylist(), piece.column(0).to_pylist()
-        rows = [i for i in _first_of_set([_digest(s) for s in sets]) if _digest(sets[i]) == digests[i]]  # an id may have other texts too
+        rows = _first_of_set([d if _digest(s) == d else None for s, d in zip(sets, digests)])  # an id may have other texts too
         keys, which = _flat([sets[i] for i in rows])
         return keys, which, None, ([ids[i] for i in rows], [len(sets[i]) for i in rows], keys.astype("<u8").tobytes())
 

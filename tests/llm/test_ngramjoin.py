@@ -66,3 +66,11 @@ def test_components(spark):
         for a, b in edges:
             root[a] = root[b] = min(root[a], root[b])
     assert got == {i: m for i, m in root.items() if i != m}
+
+
+def test_an_id_with_two_texts_represents_both(spark):
+    r = random.Random(6)
+    a, b = ([f"{c}{r.randint(0, 10_000)}" for _ in range(60)] for c in "ab")
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join(["new", *a[1:]])), (3, " ".join(["new", *b[1:]]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert sorted((x.doc_id, x.component_id) for x in ngramjoin.similar(df).collect()) == [(1, 1), (1, 1), (2, 1), (3, 1)]
