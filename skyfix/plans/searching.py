@@ -29,8 +29,14 @@ def grid_centers(spark, sf_dir):
 @query("candidate_grid", ctes("points") + GRID + """, s AS (SELECT * FROM (VALUES (0, 50e0), (1, 80e0), (2, 110e0), (3, 140e0)) v(scale_idx, span_m)), m AS (SELECT * FROM (VALUES (0, 'pnoa'), (1, 'esri')) v(provider_ord, provider))
 SELECT event_id, provider, count(*) AS n_cells, max(((dy + n) * (2 * n + 1) + dx + n) * 4 + scale_idx) AS last_scan, round(sum(span_m), 3) AS span_sum FROM c, s, m WHERE event_id % 4 = 1 GROUP BY event_id, provider""")
 def candidate_grid(spark, sf_dir):
+    return candidate_grid_all(spark, sf_dir).where("event_id % 4 = 1")  # the rows that the SQL lists
+
+
+@query("candidate_grid_all")
+def candidate_grid_all(spark, sf_dir):
+    """Every prior's cells."""
     providers = spark.createDataFrame([(0, "pnoa"), (1, "esri")], "provider_ord int, provider string")
-    cells = search.candidates(_grid(spark, sf_dir).where("event_id % 4 = 1"), [50, 80, 110, 140]).join(F.broadcast(providers))
+    cells = search.candidates(_grid(spark, sf_dir), [50, 80, 110, 140]).join(F.broadcast(providers))
     return cells.groupBy("event_id", "provider").agg(F.count(F.lit(1)).alias("n_cells"), F.max("scan_idx").alias("last_scan"), F.round(F.sum("span_m"), 3).alias("span_sum"))
 
 
