@@ -22,3 +22,9 @@ def test_every_prior_has_its_cells(spark, events):
     read = lambda name: sorted(map(tuple, plans.QUERIES[name](spark, events).collect()))
     assert read("candidate_grid_all") == want
     assert read("candidate_grid") == [x for x in want if x[0] % 4 == 1]
+
+
+def test_every_event_is_matched_and_measured(spark, events):
+    got = plans.QUERIES["estimate_homography"](spark, events).collect()
+    assert sorted((r.frame, r.n_matches) for r in got) == [(u, 10) for u in range(60)]
+    assert sorted(r.event_id for r in plans.QUERIES["focus_measure"](spark, events).collect()) == list(range(600))
