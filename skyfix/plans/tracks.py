@@ -215,14 +215,20 @@ def drift_curve(spark, sf_dir):
 COORDS = "string_agg(CASE WHEN {a} IS NOT NULL THEN printf('%.8f,%.8f,0', {b}, {a}) END, ' ' ORDER BY frame)"
 
 
-def _drawn(spark, sf_dir):
-    return view(spark, sf_dir, "frame_scores").where("frame % 10 = 3")
+def _kml(rows):
+    rows = rows.withColumns({c: F.col(c) + 3e-11 for c in ("est_lat", "est_lon")})  # no value half-way between two last digits
+    return export.kml(rows, "scenario").select("scenario", "estimated", "ground_truth")
 
 
 @query("kml_track", ctes("frame_scores") + f" SELECT scenario, coalesce({COORDS.format(a='(est_lat + 3e-11)', b='(est_lon + 3e-11)')}, '') AS estimated, coalesce({COORDS.format(a='gt_lat', b='gt_lon')}, '') AS ground_truth FROM frame_scores WHERE frame % 10 = 3 GROUP BY scenario")
 def kml_track(spark, sf_dir):
-    rows = _drawn(spark, sf_dir).withColumns({c: F.col(c) + 3e-11 for c in ("est_lat", "est_lon")})  # no value half-way between two last digits
-    return export.kml(rows, "scenario").select("scenario", "estimated", "ground_truth")
+    return _kml(view(spark, sf_dir, "frame_scores").where("frame % 10 = 3"))  # the frames that the SQL lists
+
+
+@query("kml_track_all")
+def kml_track_all(spark, sf_dir):
+    """Every frame's points."""
+    return _kml(view(spark, sf_dir, "frame_scores"))
 
 
 @query("geojson_summary", ctes("frame_scores") + """ SELECT scenario, count(est_lat) AS n_estimated, round(arg_min(est_lon, frame) FILTER (WHERE est_lat IS NOT NULL), 10) AS first_lon_estimated, round(arg_max(est_lat, frame) FILTER (WHERE est_lat IS NOT NULL), 10) AS last_lat_estimated,
@@ -234,7 +240,7 @@ def geojson_summary(spark, sf_dir):
 
 @query("geojson_track")
 def geojson_track(spark, sf_dir):
-    return export.geojson(_drawn(spark, sf_dir), "scenario")
+    return export.geojson(view(spark, sf_dir, "frame_scores"), "scenario")
 
 
 @query("ratio_test_knn", """WITH d AS (SELECT q.label, q.vec_id AS query_id, t.vec_id AS train_id, sqrt(list_sum(list_transform(list_zip(q.embedding, t.embedding), lambda x: pow(cast(x[1] AS double) - cast(x[2] AS double), 2)))) AS dist FROM embeddings q JOIN embeddings t ON q.label = t.label AND q.vec_id % 2 = 0 AND t.vec_id % 2 = 1),

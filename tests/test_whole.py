@@ -1,5 +1,7 @@
 """Queries over every row of their tables."""
 
+import json
+
 import pytest
 
 from skyfix import plans
@@ -28,3 +30,16 @@ def test_every_event_is_matched_and_measured(spark, events):
     got = plans.QUERIES["estimate_homography"](spark, events).collect()
     assert sorted((r.frame, r.n_matches) for r in got) == [(u, 10) for u in range(60)]
     assert sorted(r.event_id for r in plans.QUERIES["focus_measure"](spark, events).collect()) == list(range(600))
+
+
+def test_tracks_have_every_point(spark, events):
+    frames = {s: [f for f in range(600) if f % 60 % 10 == s] for s in range(10)}
+    truth = {s: [(-5.62429 + f % 997 * 1e-6, 43.521955 + f % 1009 * 1e-6) for f in own] for s, own in frames.items()}
+    for r in plans.QUERIES["geojson_track"](spark, events).collect():
+        estimated, known = (x["geometry"]["coordinates"] for x in json.loads(r.geojson)["features"])
+        assert len(estimated) == sum(f % 11 != 0 for f in frames[r.scenario]) and known == [pytest.approx(p, abs=1e-12) for p in truth[r.scenario]]
+        del frames[r.scenario]
+    assert not frames
+    got = {r.scenario: r for r in plans.QUERIES["kml_track_all"](spark, events).collect()}
+    assert {s: r.ground_truth for s, r in got.items()} == {s: " ".join(f"{x:.8f},{y:.8f},0" for x, y in points) for s, points in truth.items()}
+    assert sum(len(r.estimated.split()) for r in got.values()) == sum(f % 11 != 0 for f in range(600))
