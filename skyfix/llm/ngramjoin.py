@@ -1,4 +1,4 @@
-"""Similarity join of documents on sets of word 5-grams, as a blocked product of the document by n-gram incidence matrix.
+"""Similarity join of documents on sets of word 5-grams, as a prefix-filtered join over the document by n-gram incidence matrix.
 
 Documents with equal sets are one row of the matrix, known by a digest of the set and by the smallest of their ids. The matrix is held in
 blocks of documents and cut into tiles by ranges of n-grams (tiles.py), and pairs are discarded by size-derived bounds before any overlap is counted:
@@ -7,9 +7,9 @@ blocks of documents and cut into tiles by ranges of n-grams (tiles.py), and pair
    shared, so a set with fewer there that any other chunk or document holds can link with nothing. Most documents end here, for about a third of the entries.
 2. Columns. For the rest the whole rows are cut into tiles; rows whose n-grams held elsewhere are fewer than ceil(t n) go, and each
    row keeps its prefix: the (1 - t) n + 1 rarest n-grams, of which linked sets share one.
-3. Product. The columns of the prefixes name the pairs. In each round a column ties its pivot (the smallest id outside the first one's component)
-   to the members in other components, which is linear in the column; pairs whose sizes differ too much, or that have too few n-grams left from the column on, are discarded, the others' overlaps are
-   accumulated over the whole rows and held against the bound of their sizes. Links join components between rounds, and columns within one component
+3. Pairs. The columns of the prefixes name the pairs. In each round a column ties its pivot (the smallest id outside the first one's component)
+   to the members in other components, which is linear in the column; pairs whose sizes differ too much, or that have too few n-grams left from the column on, are discarded, the others' whole rows
+   are intersected and the overlap is held against the bound of their sizes. Links join components between rounds, and columns within one component
    have nothing left to tell. After `rounds` rounds what is left, columns over several components, is multiplied out across components.
 
 No link between different sets is lost, and none is listed that doesn't change a component.
@@ -147,7 +147,7 @@ def _sets(rows: DataFrame) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b) those whose sets overlap enough: the product's entries, against the bound of their sizes."""
+    """Of the pairs (a, b) those whose sets overlap enough: intersected, against the bound of their sizes."""
     a = sets.select(F.col("d").alias("a"), F.col("hashes").alias("left"))
     b = sets.select(F.col("d").alias("b"), F.col("hashes").alias("right"))
 
