@@ -1,13 +1,13 @@
-"""Repeated passages by sparse suffix arrays.
+"""Repeated passages by fingerprints of windows at minimisers, in place of a sorted sparse suffix array.
 
 Of a document's suffixes only those at minimisers stay: the places whose k-gram of words has the smallest hash of all k-grams in some window of
 `min_words` words. Content alone selects them, so a passage of min_words words or more has the same ones wherever it stands.
 
 1. Suffixes are grouped by their first k words over all documents (tiles.py); a suffix that no other document shares ends here.
-2. Each remaining suffix stands for the windows of min_words words that it is the minimiser of, from its own place leftwards. These are sorted over
-   all documents, at the same offset from the suffix by construction, and compared with their neighbours: equal neighbours of other documents match.
+2. Each remaining suffix stands for the windows of min_words words that it is the minimiser of, from its own place leftwards. Their 64-bit hashes
+   are counted over all documents: windows that two or more documents hold match.
    (Neighbours in the order of the suffixes alone would not do: the one that agrees furthest to the right may differ at once to the left.)
-3. Matching windows that follow or overlap each other extend the match left and right, to the longest run of repeated words.
+3. Matching windows that follow or overlap each other are united, which gives the longest runs of repeated words.
 
 A window's first holder is the document of smallest id. Words in windows that the document holds first are `kept`; words in windows that a document of smaller id
 holds are not. A word can be in windows of both kinds (a passage from elsewhere within a longer one that stands here first): see `whole`.
