@@ -1,18 +1,21 @@
-"""Similarity join of documents on sets of word 5-grams, as a prefix-filtered join over the document by n-gram incidence matrix.
+"""Similarity join of documents on sets of word 5-grams: a blocked, masked sparse product of the document by n-gram incidence matrix.
 
-Documents with equal sets are one row of the matrix, known by a digest of the set and by the smallest of their ids. The matrix is held in
-blocks of documents and cut into tiles by ranges of n-grams (tiles.py), and pairs are discarded by size-derived bounds before any overlap is counted:
+A row of the matrix is a different text (texts.py); copies are no further rows. Pairs are discarded by size-derived bounds before their overlaps are accumulated:
 
-1. Probe. Sets that link share at least ceil(t n) of n n-grams. In the lowest (1 - t) n + t' of a set's hashes at least t' would be
-   shared, so a set with fewer there that any other chunk or document holds can link with nothing. Most documents end here, for about a third of the entries.
-2. Columns. For the rest the whole rows are cut into tiles; rows whose n-grams held elsewhere are fewer than ceil(t n) go, and each
-   row keeps its prefix: the (1 - t) n + 1 rarest n-grams, of which linked sets share one.
-3. Pairs. The columns of the prefixes name the pairs. In each round a column ties its pivot (the smallest id outside the first one's component)
-   to the members in other components, which is linear in the column; pairs whose sizes differ too much, or that have too few n-grams left from the column on, are discarded, the others' whole rows
-   are intersected and the overlap is held against the bound of their sizes. Links join components between rounds, and columns within one component
-   have nothing left to tell. After `rounds` rounds what is left, columns over several components, is multiplied out across components.
+1. Probe. Sets that link share at least ceil(t n) of n n-grams, so of the (1 - t) n + t' entries of lowest hash at least t'. A set with fewer there
+   that any other text holds can link with nothing. Most texts end here, for about a third of the entries.
+2. Columns. Whole rows of the rest are counted by column; rows whose entries held elsewhere are fewer than ceil(t n) go, and each row keeps
+   as its prefix the (1 - t) n + 1 rarest n-grams, of which linked sets share one.
+3. Mask. A column of the prefixes ties its pivot (the smallest row outside the first one's component) to the members in other components, which is linear in
+   the column, less those whose sizes differ too much or that have too few n-grams left from the column on.
+4. Product. Pivots are dealt to blocks of bounded text, and the members that the mask ties to a block go there once, in slices. A block task
+   multiplies the slice of the matrix with the block's pivots, pivot by pivot: a member's overlap is the sum of the pivot's indicator over the member's
+   columns. Entries of the masked pairs are computed only, and kept if the overlap reaches the bound of their sizes.
+5. Links join components; columns within one component have nothing left to tell. After `rounds` rounds of pivots the mask is all pairs of
+   members of different components that are left in a column, within the bounds.
 
-No link between different sets is lost, and none is listed that doesn't change a component.
+The block task compares words, not hashes (wordhash.identities); a hash that clashes can only let more through to it. So no link between different
+sets is lost, and none is made that the words don't bear out; only links that don't change a component aren't listed.
 
 Defined results: null, empty and white-space texts have no n-grams and link with nothing; a text of fewer words than n is one n-gram.
 Rows keep their number, and repeated rows link like any equal sets; rows without an id have the component of the ids they are linked with, or null.
@@ -21,31 +24,55 @@ Other columns are never read. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyfix.llm import tiles, wordhash
-from skyfix.llm.common import MOST_SENT, discard, sent, written
+from skyfix.llm import wordhash
+from skyfix.llm.common import bound_batches, discard, slices, written
 from skyfix.llm.components import components
+from skyfix.llm.texts import SLICE, firsts, list_column, looked_up, shared_keys, text_table
 
 WIDTH = 5
 #: What a set must share in its probe, as a share of the whole set: more makes probes longer and rows fewer.
 PROBE_SHARED = 0.1
-
-
-def shingle_sets(texts: list[bytes | None], n: int) -> list[np.ndarray]:
-    """The sorted distinct n-gram hashes of each text."""
-    h, _, _, counts = wordhash.words(texts)
-    out, at = [], 0
-    for c in counts.tolist():
-        own = h[at : at + c]
-        at += c
-        out.append(np.unique(wordhash.runs(own, n) if c >= n else wordhash.runs(own, c) if c else own))
-    return out
+#: Bytes of text of the pivots of one block, and of the members that one task multiplies with it.
+BLOCK_BYTES, MEMBER_BYTES = 1 << 20, 16 << 20
+
+
+def shingles(w: wordhash.Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, first word, size by text) of the distinct n-grams of every text, in order of keys; keys may clash, but the n-grams differ by their words."""
+    size = np.where(w.counts >= n, w.counts - n + 1, np.minimum(w.counts, 1))
+    places = wordhash.spread(size, w.first)
+    owner = np.repeat(np.arange(len(size)), size)
+    every = wordhash.runs(w.hashes, n)
+    keys = np.empty(len(places), np.uint64)
+    whole = (w.counts >= n)[owner]
+    keys[whole] = every[places[whole]]
+    for c in range(1, n):
+        own = w.counts[owner] == c
+        if own.any():
+            keys[own] = wordhash.runs(w.hashes, c)[places[own]]
+    order = np.lexsort((keys, owner))
+    keys, places, owner = keys[order], places[order], owner[order]
+    again = np.zeros(len(keys), bool)
+    again[1:] = (keys[1:] == keys[:-1]) & (owner[1:] == owner[:-1])
+    at = np.flatnonzero(again)
+    if len(at):
+        differ = np.zeros(len(at), bool)
+        for i in range(n):
+            longer = w.counts[owner[at]] > i
+            differ[longer] |= w.differ(places[at[longer]] + i, places[at[longer] - 1] + i)
+        clash = np.cumsum(~again)
+        for g in np.unique(clash[at[differ]]).tolist():  # clashing hashes: all n-grams of this hash by their words
+            seen: set = set()
+            for x in range(*np.searchsorted(clash, [g, g + 1]).tolist()):
+                gram = tuple(w.word(int(places[x]) + k) for k in range(min(n, int(w.counts[owner[x]]))))
+                again[x] = gram in seen
+                seen.add(gram)
+    keep = ~again
+    return keys[keep], places[keep], np.bincount(owner[keep], minlength=len(size))
 
 
 def _need(n, percent: int):
@@ -53,118 +80,142 @@ def _need(n, percent: int):
     return -(-n * percent // 100)
 
 
-def _digest(s: np.ndarray) -> bytes | None:
-    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
-
-
-def _flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return (np.concatenate(sets) if sets else np.zeros(0, np.uint64)), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+def _probe(n: int, percent: int):
+    """extract of texts.text_table: sizes of the sets, and their entries of lowest hash."""
 
+    def extract(w: wordhash.Words):
+        keys, _, size = shingles(w, n)
+        take = np.minimum(size, size - _need(size, percent) + np.maximum(1, (size * PROBE_SHARED).astype(np.int64)))
+        return size, take, keys[wordhash.spread(take, np.cumsum(size) - size)]
 
-def _first_of_set(digests: list[bytes | None]) -> list[int]:
-    """Rows that are the first of their set within a slice."""
-    seen: set = set()
-    return [i for i, d in enumerate(digests) if d is not None and not (d in seen or seen.add(d))]
+    return extract
 
 
-def _probes(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    def extract(piece: pa.RecordBatch):
-        sets = shingle_sets(piece.column(1).to_pylist(), n)
-        digests = [_digest(s) for s in sets]
-        rows = _first_of_set(digests)
-        cut = [sets[i][: len(sets[i]) - _need(len(sets[i]), percent) + max(1, int(len(sets[i]) * PROBE_SHARED))] for i in rows]
-        keys, which = _flat(cut)
-        ids = piece.column(0).to_pylist()
-        return keys, which, None, (ids, [len(s) for s in sets], digests, rows)
-
-    meta = [("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("digests", pa.list_(pa.binary())), ("rows", pa.list_(pa.int32()))]
-    return tiles.chunk_table(docs, "ngram-probes", WIDTH, extract, meta, "ids array<long>, sizes array<long>, digests array<binary>, rows array<int>")
-
-
-def _survivors(probes: DataFrame, percent: int) -> DataFrame:
-    """Digests of the sets that may link."""
-
-    def use(row, docs, new, counts, keeps):
-        rows = np.array(row["rows"], np.int64)
-        shared = np.bincount(docs, weights=counts >= 2, minlength=len(rows))
-        sizes = np.array(row["sizes"], np.int64)[rows] if len(rows) else rows
-        keep = rows[shared >= np.maximum(1, (sizes * PROBE_SHARED).astype(np.int64))]
-        return pa.RecordBatch.from_arrays([pa.array([row["digests"][i] for i in keep], pa.binary())], names=["digest"])
-
-    return tiles.answered(probes, WIDTH, use, ["sizes", "digests", "rows"], "digest binary").distinct()
+def _survivors(texts: DataFrame, each: DataFrame) -> DataFrame:
+    """Rows of different texts that share enough of their probe."""
+    total = texts.agg(F.sum(F.size("keys"))).first()[0] or 0
+    keys = written(shared_keys(texts), "ngram-shared")
+    entries = texts.where(F.col("a").isNotNull()).select("a", "b", "n", F.explode("keys").alias("key"))
+    found = looked_up(entries, keys, ["key"], total).groupBy("a", "b").agg(F.count(F.lit(1)).alias("found"), F.first("n").alias("n"))
+    found = found.where(F.col("found") >= F.greatest(F.lit(1), (F.col("n") * PROBE_SHARED).cast("long"))).select("a", "b")  # copies count once each, which can only let more through
+    out = written(each.join(found, ["a", "b"], "left_semi").select("row"), "ngram-survivors")
+    discard(keys)
+    return out
 
 
-def _rows_of(docs: DataFrame, reps: DataFrame, n: int) -> DataFrame:
-    """Whole rows of the matrix: chunks of the representatives' n-grams."""
-    few = reps.limit(MOST_SENT + 1).count() <= MOST_SENT
-    chosen = docs.join(F.broadcast(reps) if few else reps, docs["id"] == reps["d"]).select("id", "text", "digest")
+def _columns(rows: DataFrame, n: int) -> DataFrame:
+    """(row, n, keys) of whole rows of the matrix."""
 
-    def extract(piece: pa.RecordBatch):
-        sets, digests, ids = shingle_sets(piece.column(1).to_pylist(), n), piece.column(2).to_pylist(), piece.column(0).to_pylist()
-        rows = _first_of_set([d if _digest(s) == d else None for s, d in zip(sets, digests)])  # an id may have other texts too
-        keys, which = _flat([sets[i] for i in rows])
-        return keys, which, None, ([ids[i] for i in rows], [len(sets[i]) for i in rows], keys.astype("<u8").tobytes())
+    def run(batches):
+        for batch in batches:
+            for piece in slices(batch, "words", SLICE):
+                keys, _, size = shingles(wordhash.Words(piece.column(1).to_pylist()), n)
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(size, pa.int64()), list_column(keys.astype(np.int64), size, pa.int64())], names=["row", "n", "keys"])
 
-    meta = [("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("hashes", pa.binary())]
-    return tiles.chunk_table(chosen, "ngram-rows", WIDTH, extract, meta, "ids array<long>, sizes array<long>, hashes binary")
+    bound_batches(rows.sparkSession)
+    return written(rows.select("row", "words").mapInArrow(run, "row long, n long, keys array<long>"), "ngram-columns")
 
 
-def _prefixes(rows: DataFrame, percent: int) -> DataFrame:
+def _prefixes(columns: DataFrame, percent: int) -> DataFrame:
     """(token, d, n, pos) of the rarest n-grams of rows that can link; pos: how many of the row's n-grams come before it."""
-
-    def use(row, docs, new, counts, keeps):
-        ids, sizes = np.array(row["ids"], np.int64), np.array(row["sizes"], np.int64)
-        every = np.frombuffer(row["hashes"], "<u8")
-        tokens = every[np.lexsort((np.repeat(np.arange(len(ids)), sizes), every))]  # in the order of the pairs
-        held = counts >= 2
-        shared = np.bincount(docs, weights=held, minlength=len(ids)).astype(np.int64)
-        need = -(-sizes * percent // 100)
-        room = sizes - need + 1 - (sizes - shared)  # n-grams that no other document holds are the rarest of all
-        use_pair = held & (shared >= need)[docs]
-        t, d, c = tokens[use_pair], docs[use_pair], counts[use_pair]
-        order = np.lexsort((t, c, d))
-        t, d = t[order], d[order]
-        begin = np.searchsorted(d, np.arange(len(ids)))
-        rank = np.arange(len(d)) - begin[d]
-        ok = rank < room[d]
-        t, d, rank = t[ok], d[ok], rank[ok]
-        pos = (sizes - shared)[d] + rank
-        return pa.RecordBatch.from_arrays([pa.array(t.astype(np.int64), pa.int64()), pa.array(ids[d], pa.int64()), pa.array(sizes[d], pa.int64()), pa.array(pos, pa.int64())], names=["token", "d", "n", "pos"])
-
-    return tiles.answered(rows, WIDTH, use, ["ids", "sizes", "hashes"], "token long, d long, n long, pos long")
-
-
-def _sets(rows: DataFrame) -> DataFrame:
-    """(d, hashes) of every row of the matrix."""
-
-    def run(batches):
-        for batch in batches:
-            for ids, sizes, hashes in zip(*(c.to_pylist() for c in batch.columns)):
-                ends = np.cumsum(sizes) * 8
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([hashes[e - 8 * s : e] for e, s in zip(ends.tolist(), sizes)], pa.binary())], names=["d", "hashes"])
-
-    return rows.where("part = -1").select("ids", "sizes", "hashes").mapInArrow(run, "d long, hashes binary")
+    total = columns.agg(F.sum("n")).first()[0] or 0
+    entries = columns.select("row", "n", F.explode("keys").alias("key"))
+    keys = written(entries.groupBy("key").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1"), "ngram-held")
+    held = looked_up(entries, keys, ["key"], total)
+    # a row's entries that others hold, by rarity; those that none holds come before them
+    list_ = F.sort_array(F.collect_list(F.struct("holders", "key"))).alias("held")
+    rows = held.groupBy("row").agg(F.first("n").alias("n"), list_).withColumn("shared", F.size("held")).withColumn("need", F.expr(f"-floor(-n * {percent} / 100)"))
+    rows = rows.where("shared >= need").withColumn("held", F.expr("slice(held, 1, cast(shared - need + 1 as int))"))
+    out = rows.select(F.col("row").alias("d"), "n", "shared", F.posexplode("held").alias("rank", "x")).select(F.col("x.key").alias("token"), "d", "n", (F.col("n") - F.col("shared") + F.col("rank")).alias("pos"))
+    out = written(out, "ngram-prefixes")
+    discard(keys)
+    return out
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b) those whose sets overlap enough: intersected, against the bound of their sizes."""
-    a = sets.select(F.col("d").alias("a"), F.col("hashes").alias("left"))
-    b = sets.select(F.col("d").alias("b"), F.col("hashes").alias("right"))
+def _overlaps(w: wordhash.Words, n: int, pivots: int, mask: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The masked product of a block: texts 0 to pivots - 1 are its pivots, the others members; mask[m]: the pivots of member m.
+
+    Gives member, pivot, overlap and size of the union for every masked pair; n-grams are told apart by their words."""
+    keys, places, size = shingles(w, n)
+    words = np.concatenate([w.ids(), np.full(n, -1)])
+    owner = np.repeat(np.arange(len(size)), size)
+    length = np.minimum(n, w.counts[owner])
+
+    def gram(i):
+        return tuple(words[places[i] : places[i] + length[i]].tolist())
+
+    def differ(i, j):
+        out = length[i] != length[j]
+        for k in range(n):
+            out |= (words[places[i] + k] != words[places[j] + k]) & (length[i] > k)
+        return out
+
+    column = wordhash.identities(keys, differ, gram)
+    first = np.cumsum(size) - size
+    tied = np.fromiter((p for own in mask for p in own), np.int64)
+    member = np.repeat(np.arange(len(mask)), [len(own) for own in mask])
+    order = np.argsort(tied, kind="stable")
+    tied, member = tied[order], member[order]
+    overlap = np.zeros(len(tied), np.int64)
+    indicator = np.zeros(int(column.max(initial=-1)) + 1, bool)
+    bounds = np.searchsorted(tied, np.arange(pivots + 1))
+    for p, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+        if a == b:
+            continue
+        own = column[first[p] : first[p] + size[p]]
+        indicator[own] = True
+        rows = member[a:b] + pivots
+        hits = indicator[column[wordhash.spread(size[rows], first[rows])]]
+        overlap[a:b] = np.add.reduceat(hits, np.cumsum(size[rows]) - size[rows], dtype=np.int64)
+        indicator[own] = False
+    return member, tied, overlap, size[member + pivots] + size[tied] - overlap
+
+
+def _linked(mask: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """Of the pairs (member, pivot) of the mask those that link: overlaps accumulated block by block."""
+    texts = rows.select("row", "words", F.length("words").alias("bytes"))
+    at = "ngram-mask"
+    mask = written(mask.distinct(), at)
+    pivots = mask.select(F.col("pivot").alias("row")).distinct().join(texts, "row")
+    blocks = max(1, int((pivots.agg(F.sum("bytes")).first()[0] or 0) // BLOCK_BYTES))
+    block = F.pmod(F.xxhash64("pivot"), F.lit(blocks))
+    tied = mask.groupBy(F.col("member").alias("row"), block.alias("block")).agg(F.collect_list("pivot").alias("pivots"))  # bounded by the member's prefix
+    members = tied.join(texts, "row")
+    # a block with many members is dealt to several tasks
+    deals = members.groupBy("block").agg(F.ceil(F.sum("bytes") / MEMBER_BYTES).cast("int").alias("deals"))
+    members = members.join(deals, "block").select("block", F.pmod(F.xxhash64("row"), F.col("deals")).cast("int").alias("deal"), F.lit(1).alias("kind"), "row", "words", "pivots")
+    block_rows = pivots.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks))).join(deals, "block")
+    block_rows = block_rows.select("block", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), F.lit(0).alias("kind"), "row", "words", F.array().cast("array<long>").alias("pivots"))
 
     def run(batches):
+        now, held, held_rows = None, [], {}
         for batch in batches:
-            u, v = [], []
-            for x, y, left, right in zip(*(c.to_pylist() for c in batch.columns)):
-                p, q = np.frombuffer(left, "<u8"), np.frombuffer(right, "<u8")
-                both = np.concatenate([p, q])
-                both.sort()
-                overlap = int(np.count_nonzero(both[1:] == both[:-1]))
-                if 100 * overlap >= percent * (len(p) + len(q) - overlap):
-                    u.append(y)
-                    v.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "left", "right").mapInArrow(run, "u long, v long")
+            for piece in slices(batch, "words", SLICE):
+                start, heads = 0, list(zip(*(piece.column(i).to_pylist() for i in (0, 1, 2))))
+                while start < len(heads):
+                    stop = start + 1
+                    while stop < len(heads) and heads[stop] == heads[start]:
+                        stop += 1
+                    part = piece.slice(start, stop - start)
+                    ids, words = part.column(3).to_pylist(), part.column(4).to_pylist()
+                    if heads[start][:2] != now:
+                        now, held, held_rows = heads[start][:2], [], {}
+                    if heads[start][2] == 0:
+                        for i, t in zip(ids, words):
+                            held_rows[i] = len(held)
+                            held.append(t)
+                    else:
+                        m, p, overlap, union = _overlaps(wordhash.Words([*held, *words]), n, len(held), [[held_rows[x] for x in own] for own in part.column(5).to_pylist()])
+                        ok = 100 * overlap >= percent * union
+                        if ok.any():
+                            back = np.fromiter(held_rows, np.int64, len(held_rows))
+                            yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[m[ok]]), pa.array(back[p[ok]])], names=["u", "v"])
+                    start = stop
+
+    dealt = block_rows.unionByName(members).repartition("block", "deal").sortWithinPartitions("block", "deal", "kind")
+    out = written(dealt.mapInArrow(run, "u long, v long"), "ngram-links")
+    discard(mask)
+    return out
 
 
 def _labelled(posts: DataFrame, stars: DataFrame | None) -> DataFrame:
@@ -182,36 +233,43 @@ def _fitting(percent: int):
     return F.expr(f"100 * least(n, pivot.n) >= {percent} * greatest(n, pivot.n) and 100 * {most} >= {percent} * (n + pivot.n - {most})")
 
 
-def similar(documents: DataFrame, n: int = 5, percent: int = 75, id_column: str = "doc_id", text_column: str = "text", rounds: int = 2) -> DataFrame:
+def _mask(open_: DataFrame, percent: int, step: int, rounds: int) -> DataFrame:
+    """(member, pivot) of the columns still open: the pivot's pairs of each column, or after all rounds every pair across components."""
+    entry = F.struct("d", "label", "n", "pos")
+    if step < rounds:
+        # a column's pivot: its smallest row, and from the second round on the smallest outside that one's component
+        lead = open_.groupBy("token").agg(F.min(entry).alias("pivot"))
+        if step:
+            lead = open_.join(lead, "token").where("label <> pivot.label").groupBy("token").agg(F.min(entry).alias("pivot"))
+        pairs = open_.join(lead, "token").where("label <> pivot.label")
+    else:
+        pairs = open_.join(open_.select("token", entry.alias("pivot")), "token").where("pivot.label < label")
+    return pairs.where(_fitting(percent)).select(F.col("d").alias("member"), F.col("pivot.d").alias("pivot"))
+
+
+def similar(documents: DataFrame, n: int = WIDTH, percent: int = 75, id_column: str = "doc_id", text_column: str = "text", rounds: int = 2) -> DataFrame:
     """Per document: id, n_shingles, component_id (the smallest id reachable by links of at least this percentage of overlap to union)."""
     docs = documents.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("binary").alias("text"))
-    probes = _probes(docs, n, percent)
-    each = probes.where("part = -1").select(F.explode(F.arrays_zip("ids", "sizes", "digests")).alias("x")).select(F.col("x.ids").alias("id"), F.col("x.sizes").alias("n_shingles"), F.col("x.digests").alias("digest"))
-    each = written(each, "ngram-sets")
-    firsts = each.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("id").alias("d"), F.count(F.lit(1)).alias("copies"))
-    reps = written(firsts.join(_survivors(probes, percent), "digest", "left_semi").where(F.col("d").isNotNull()).select("digest", "d"), "ngram-reps")
-    discard(probes)
-    rows = _rows_of(docs.where(F.col("id").isNotNull()), reps, n)
-    posts = written(_prefixes(rows, percent), "ngram-columns")
-    sets, stars = _sets(rows), None
+    texts = text_table(docs, _probe(n, percent), "ngram-texts")
+    each = written(firsts(texts), "ngram-firsts")
+    alive = _survivors(texts, each)
+    rows = written(texts.join(alive, "row", "left_semi").select("row", "words"), "ngram-rows")
+    columns = _columns(rows, n)
+    posts = _prefixes(columns, percent)
+    discard(alive, columns)
+    stars = None
     for step in range(rounds + 1):
-        open_ = _labelled(posts, stars)
-        if step < rounds:
-            # a column's pivot: its smallest id, and from the second round on the smallest outside that one's component
-            lead = open_.groupBy("token").agg(F.min(F.struct("d", "label", "n", "pos")).alias("pivot"))
-            if step:
-                lead = open_.join(lead, "token").where("label <> pivot.label").groupBy("token").agg(F.min(F.struct("d", "label", "n", "pos")).alias("pivot"))
-            pairs = open_.join(lead, "token").where("label <> pivot.label").where(_fitting(percent)).select(F.least("d", "pivot.d").alias("a"), F.greatest("d", "pivot.d").alias("b"))
-        else:
-            other = open_.select("token", F.struct("d", "label", "n", "pos").alias("pivot"))
-            pairs = open_.join(other, "token").where("pivot.label < label").where(_fitting(percent)).select(F.least("d", "pivot.d").alias("a"), F.greatest("d", "pivot.d").alias("b"))
-        edges = _linked(pairs.distinct(), sets, percent)
-        before, stars = stars, components(edges if stars is None else edges.unionByName(stars))
-        if before is not None:
-            discard(before)
-    moved = firsts.join(stars.select(F.col("u").alias("d"), F.col("v").alias("root")), "d", "left").where(F.col("root").isNotNull() | (F.col("copies") > 1)).select("digest", F.coalesce("root", "d").alias("component"))
-    moved = sent(moved, "ngram-moved")  # sets of one document that stays alone aren't among them
-    out = each.join(moved, "digest", "left")
-    out = written(out.select(F.col("id").alias(id_column), "n_shingles", F.coalesce("component", "id").alias("component_id")), "ngram-components")
-    discard(each, reps, rows, posts, stars)
+        edges = _linked(_mask(_labelled(posts, stars), percent, step, rounds), rows, n, percent)
+        before, stars = stars, components(edges if stars is None else edges.select("u", "v").unionByName(stars))
+        discard(edges, *[before] if before is not None else [])
+    # a component's smallest id, over the ids of its texts
+    root = each.join(stars.select(F.col("u").alias("row"), F.col("v").alias("up")), "row", "left").withColumn("root", F.coalesce("up", "row"))
+    heads = root.where("up is not null").select("root").distinct()
+    tied = root.join(heads, "root", "left_semi")
+    least = tied.groupBy("root").agg(F.min("id").alias("component"))
+    moved = tied.join(least, "root").select("a", "b", "component").unionByName(root.join(heads, "root", "left_anti").where("copies > 1").select("a", "b", F.col("id").alias("component")))
+    moved = written(moved, "ngram-moved")  # texts of one row that stay alone aren't among them
+    out = texts.select("id", "n", "a", "b").join(moved, ["a", "b"], "left").select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    out = written(out, "ngram-components")
+    discard(texts, each, rows, posts, stars, moved)
     return out

@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
-from skyfix.llm import ngramjoin
+from skyfix.llm import ngramjoin, wordhash
 from skyfix.llm.components import components
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -74,3 +75,30 @@ def test_an_id_with_two_texts_represents_both(spark):
     rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join(["new", *a[1:]])), (3, " ".join(["new", *b[1:]]))]
     df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     assert sorted((x.doc_id, x.component_id) for x in ngramjoin.similar(df).collect()) == [(1, 1), (1, 1), (2, 1), (3, 1)]
+
+
+def test_texts_of_clashing_letters(spark):
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    flip = str.maketrans("ab", "ba")
+    rows = [(10 * i + j, t) for i, n in enumerate((1024, 2048, 4096)) for j, t in enumerate((word[:n], word[:n].translate(flip)))]
+    rows += [(100 + i, t + " and four words more") for i, t in rows]
+    got = ngramjoin.similar(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == sorted((i, 1, i) for i, _ in rows)
+
+
+@pytest.mark.parametrize("hashed", [lambda h: h & np.uint64(3), lambda h: h * np.uint64(0)])
+def test_sets_and_overlaps_are_of_words_not_hashes(monkeypatch, hashed):
+    r = random.Random(9)
+    texts = [" ".join(r.choices("abc", k=n)).encode() for n in (0, 1, 2, 4, 5, 6, 30, 60, 60, 200)]
+    real, whole = wordhash.runs, wordhash.Words._hashed
+    monkeypatch.setattr(wordhash, "runs", lambda h, n: hashed(real(h, n)))
+    monkeypatch.setattr(wordhash.Words, "_hashed", lambda self: hashed(whole(self)))
+    w = wordhash.Words(texts)
+    assert len({(int(i), w.word(k)) for k, i in enumerate(w.ids())}) == len(set(w.ids().tolist())) == len({w.word(k) for k in range(len(w.starts))})
+    sets = [{tuple(x[i : i + 5]) for i in range(len(x) - 4)} if len(x) >= 5 else {tuple(x)} if x else set() for x in (t.split() for t in texts)]
+    assert ngramjoin.shingles(w, 5)[2].tolist() == [len(s) for s in sets]
+    mask = [[0, 1, 2, 3, 4, 5] for _ in texts[6:]]
+    member, pivot, overlap, union = ngramjoin._overlaps(w, 5, 6, mask)
+    assert {(m, p): (o, u) for m, p, o, u in zip(*(x.tolist() for x in (member, pivot, overlap, union)))} == {(m, p): (len(sets[p] & sets[m + 6]), len(sets[p] | sets[m + 6])) for m in range(4) for p in range(6)}
