@@ -1,89 +1,200 @@
-"""Repeated passages by fingerprints of windows at minimisers, in place of a sorted sparse suffix array.
+"""Repeated passages by a sparse suffix array: suffixes at minimisers, sorted by their words, compared with neighbours, extended to both sides.
 
-Of a document's suffixes only those at minimisers stay: the places whose k-gram of words has the smallest hash of all k-grams in some window of
-`min_words` words. Content alone selects them, so a passage of min_words words or more has the same ones wherever it stands.
+Of a text's suffixes only those at minimisers stay: the places whose k-gram of words has the smallest hash of all k-grams in some window of
+`min_words` words. Content alone selects them, so a passage of min_words words or more has the same ones wherever it stands. A suffix owns the
+windows that it is the minimiser of: some words to its left and the rest to its right.
 
-1. Suffixes are grouped by their first k words over all documents (tiles.py); a suffix that no other document shares ends here.
-2. Each remaining suffix stands for the windows of min_words words that it is the minimiser of, from its own place leftwards. Their 64-bit hashes
-   are counted over all documents: windows that two or more documents hold match.
-   (Neighbours in the order of the suffixes alone would not do: the one that agrees furthest to the right may differ at once to the left.)
-3. Matching windows that follow or overlap each other are united, which gives the longest runs of repeated words.
+1. Heads. Copies of a text are one text (texts.py). Suffixes whose first k words no other text has end here.
+2. Suffixes. The others are rows: the words to the right, up to min_words, and those to the left that a window of theirs can reach. They
+   are dealt to ranges of their words and sorted; equal ones are dealt further by text, so that no task depends on how often a passage occurs.
+3. Neighbours. In a segment of sorted suffixes each is compared with the one before, word by word, which gives how many words they share. For every reach to the
+   left, the suffixes that share enough to the right are a run of neighbours, and are told apart by the words to the left, one word a step: those that still agree match
+   in one window of min_words words, across all suffixes of the run. (The nearest neighbour alone isn't enough: the one that agrees furthest to the right may differ at once to the left.)
+4. Borders. Runs that touch a segment's border may go on in the next one. Their windows are settled over all segments, by a 128-bit digest of the words.
+5. Matching windows that follow or overlap each other are united, which gives the longest runs of repeated words.
 
 A window's first holder is the document of smallest id. Words in windows that the document holds first are `kept`; words in windows that a document of smaller id
 holds are not. A word can be in windows of both kinds (a passage from elsewhere within a longer one that stands here first): see `whole`.
 
 Defined results: words are split at ASCII white space and A-Z count as a-z; null, empty or shorter texts have no passages; repeated rows are documents of
-their own (both are holders of the smallest id); a row without an id is never first and is reported without one. Other columns are never read. Empty input, empty output.
+their own (both are holders of the smallest id); a row without an id is never first if one with an id has the window, and is reported without one. A window that
+occurs in one document only, however often, is no match. Other columns are never read. Empty input, empty output.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyfix.llm import tiles, wordhash
-from skyfix.llm.common import discard, fresh, written
-
+from skyfix.llm import wordhash
+from skyfix.llm.common import bound_batches, discard, fresh, slices, written
+from skyfix.llm.texts import SLICE, bytes_column, firsts, list_column, looked_up, shared_keys, text_table
 
-MIN_WORDS, K, SEED_BYTES, WINDOW_BYTES = 50, 8, 5, 8
+MIN_WORDS, K = 50, 8
 NO_ID = (1 << 63) - 1
+#: Suffixes that are compared at once.
+SEGMENT = 1 << 14
+
+
+def minimisers(w: wordhash.Words, min_words: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(window, place, k-gram) of every window of min_words words of every text: its first word and its minimiser (the leftmost of equal ones)."""
+    windows = wordhash.spread(np.maximum(w.counts - min_words + 1, 0), w.first)
+    if not len(windows):
+        return windows, windows, np.zeros(0, np.uint64)
+    grams = wordhash.runs(w.hashes, k)
+    view = np.lib.stride_tricks.sliding_window_view(grams, min_words - k + 1)
+    places = np.concatenate([view[a : a + (1 << 16)].argmin(axis=1) for a in range(0, len(view), 1 << 16)])[windows] + windows
+    return windows, places, grams[places]
+
+
+def _heads(min_words: int, k: int):
+    """extract of texts.text_table: words of each text, and the k-grams at its minimisers."""
+
+    def extract(w: wordhash.Words):
+        _, places, grams = minimisers(w, min_words, k)
+        new = np.ones(len(places), bool)
+        new[1:] = places[1:] != places[:-1]
+        owner = np.searchsorted(w.first + w.counts, places[new], side="right")
+        return w.counts, np.bincount(owner, minlength=len(w.counts)), grams[new]
+
+    return extract
+
 
+def _suffixes(texts: DataFrame, each: DataFrame, min_words: int, k: int) -> DataFrame:
+    """Suffixes of different texts whose head another text has: row, id (NO_ID: none), many (whether the text has copies), place, reach to the left (least, most), right, left."""
+    total = texts.agg(F.sum(F.size("keys"))).first()[0] or 0
+    keys = written(shared_keys(texts), "suffix-shared")
+    entries = texts.where(F.col("a").isNotNull()).select("a", "b", F.explode("keys").alias("key"))
+    heads = looked_up(entries, keys, ["key"], total).groupBy("a", "b").agg(F.collect_set("key").alias("heads"))  # bounded by the text
+    chosen = each.join(heads, ["a", "b"]).select("row", F.coalesce("id", F.lit(NO_ID)).alias("id"), (F.col("copies") > 1).alias("many"), "heads")
+    rows = texts.select("row", "words").join(chosen, "row").select("row", "words", "id", "many", "heads")
 
-def minimisers(grams: np.ndarray, width: int) -> np.ndarray:
-    """For every run of width k-grams the place of its smallest (the leftmost of equal ones)."""
-    if len(grams) < width:
-        return np.zeros(0, np.int64)
-    return np.lib.stride_tricks.sliding_window_view(grams, width).argmin(axis=1) + np.arange(len(grams) - width + 1)
-
-
-def _words_by_text(texts: list[bytes | None]):
-    h, _, _, counts = wordhash.words(texts)
-    at = 0
-    for c in counts.tolist():
-        yield h[at : at + c]
-        at += c
-
-
-def _seeds(docs: DataFrame, min_words: int, k: int) -> DataFrame:
-    """(key, digest, seeds) of documents with suffixes that other documents share."""
-
-    def extract(piece: pa.RecordBatch):
-        found = []
-        for h in _words_by_text(piece.column(1).to_pylist()):
-            grams = wordhash.runs(h, k)
-            found.append(np.unique(grams[np.unique(minimisers(grams, min_words - k + 1))]))
-        keys = np.concatenate(found) if found else np.zeros(0, np.uint64)
-        order = np.lexsort((np.repeat(np.arange(len(found)), [len(f) for f in found]), keys))
-        return keys, np.repeat(np.arange(len(found)), [len(f) for f in found]), None, (piece.column(0).to_pylist(), piece.column(2).to_pylist(), keys[order].astype("<u8").tobytes())
-
-    meta = [("ids", pa.list_(pa.int64())), ("digests", pa.list_(pa.binary())), ("hashes", pa.binary())]
-    table = tiles.chunk_table(docs, "suffix-seeds", SEED_BYTES, extract, meta, "ids array<long>, digests array<binary>, hashes binary")
-
-    def use(row, docs, new, counts, keeps):
-        held = counts >= 2
-        own, seeds = docs[held], np.frombuffer(row["hashes"], "<u8")[held]
-        order = np.argsort(own, kind="stable")
-        own, seeds = own[order], seeds[order]
-        which, begin = np.unique(own, return_index=True)
-        ends = [*begin[1:].tolist(), len(own)]
-        rows = [(row["ids"][i], row["digests"][i], seeds[a:b].tobytes()) for i, a, b in zip(which.tolist(), begin.tolist(), ends)]
-        cols = list(zip(*rows)) or [(), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["key", "digest", "seeds"])
-
-    found = tiles.answered(table, SEED_BYTES, use, ["ids", "digests", "hashes"], "key long, digest binary, seeds binary")
-    out = written(found.groupBy("key", "digest").agg(F.first("seeds").alias("seeds")), "suffix-shared")  # repeated rows have the same
-    discard(table)
+    def run(batches):
+        for batch in batches:
+            for piece in slices(batch, "words", SLICE):
+                w = wordhash.Words(piece.column(1).to_pylist())
+                windows, places, grams = minimisers(w, min_words, k)
+                new = np.flatnonzero(np.diff(places, prepend=-1))
+                least, most = places[new] - np.append(windows[new[1:] - 1], windows[-1:]), places[new] - windows[new]
+                place, gram = places[new], grams[new]
+                owner = np.searchsorted(w.first + w.counts, place, side="right")
+                lists = piece.column(4)
+                keep = np.zeros(len(place), bool)
+                for i in range(piece.num_rows):
+                    a, b = np.searchsorted(owner, [i, i + 1])
+                    keep[a:b] = np.isin(gram[a:b].view(np.int64), lists[i].values.to_numpy())
+                place, owner, least, most = place[keep], owner[keep], least[keep], most[keep]
+                end = np.minimum(place + min_words, (w.first + w.counts)[owner]) - 1
+                begin = place - most
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column(0).take(pa.array(owner)), piece.column(2).take(pa.array(owner)), piece.column(3).take(pa.array(owner)), *(pa.array(x.astype(np.int32)) for x in (place - w.first[owner], least, most)), bytes_column(w.flat, w.starts[place], w.ends[end] + 1), bytes_column(w.flat, w.starts[begin], w.starts[place])],
+                    names=["row", "id", "many", "place", "least", "most", "right", "left"],
+                )
+
+    bound_batches(texts.sparkSession)
+    out = written(rows.mapInArrow(run, "row long, id long, many boolean, place int, least int, most int, right binary, left binary"), "suffix-rows")
+    discard(keys)
     return out
 
 
-def _ranges(flags: np.ndarray, size: int, n: int) -> np.ndarray:
-    """Words covered by the windows that start where flags says."""
-    edge = np.zeros(n + 1, np.int64)
-    starts = np.flatnonzero(flags)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + size, -1)
+def _matches(table: pa.Table, min_words: int) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Of a segment of sorted suffixes: the matching windows (suffix, reach, whether held first), and the (suffix, reach) of windows that a border leaves open."""
+    right, left = table.column("right").to_pylist(), table.column("left").to_pylist()
+    row, id_, many = (table.column(c).to_numpy(zero_copy_only=False) for c in ("row", "id", "many"))
+    least, most = (table.column(c).to_numpy() for c in ("least", "most"))
+    n = len(row)
+    w = wordhash.Words([*right, *left])
+    ids, size = w.ids(), w.counts
+    top = int(ids.max(initial=0)) + 2
+    ahead, behind = np.full((n, min_words), -1, np.int32), np.full((n, int(most.max(initial=0)) + 1), -1, np.int32)
+    cut = int(size[:n].sum())
+    ahead[np.repeat(np.arange(n), size[:n]), wordhash.spread(size[:n])] = ids[:cut]
+    behind[np.repeat(np.arange(n), size[n:]), np.repeat(size[n:], size[n:]) - 1 - wordhash.spread(size[n:])] = ids[cut:]
+    common = np.zeros(n, np.int64)
+    if n > 1:
+        common[1:] = np.logical_and.accumulate((ahead[1:] == ahead[:-1]) & (ahead[1:] >= 0), axis=1).sum(axis=1)
+    same = np.zeros(n, np.int64)  # suffixes that agree in the last `reach` words to the left have the same number
+    hits, open_ = [], []
+    for reach in range(int(most.max(initial=-1)) + 1):
+        if reach:
+            same = np.unique(same * top + behind[:, reach - 1] + 1, return_inverse=True)[1]
+        own = np.flatnonzero((least <= reach) & (reach <= most))
+        if not len(own):
+            continue
+        run = np.cumsum(common < min_words - reach)
+        border = (run[own] == run[0]) | (run[own] == run[-1])
+        open_.append((own[border], np.full(int(border.sum()), reach)))
+        own = own[~border]
+        if not len(own):
+            continue
+        found, window = np.unique(run[own] * (n + 1) + same[own], return_inverse=True)
+        lo, hi, first = np.full(len(found), NO_ID), np.full(len(found), -1), np.full(len(found), NO_ID)
+        np.minimum.at(lo, window, row[own])
+        np.maximum.at(hi, window, row[own])
+        np.minimum.at(first, window, id_[own])
+        copied = np.zeros(len(found), bool)
+        copied[window[many[own]]] = True
+        hit = ((lo < hi) | copied)[window]
+        hits.append((own[hit], np.full(int(hit.sum()), reach), (id_[own] == first[window])[hit]))
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*hits)) if hits else (none, none, none.astype(bool)), tuple(np.concatenate(x) for x in zip(*open_)) if open_ else (none, none)
+
+
+def _compared(suffixes: DataFrame, min_words: int, segment: int) -> DataFrame:
+    """Written rows of two kinds: matching windows of a text (row, hits, firsts: lists of window starts), and windows left open (row, hits: one start, id, many, x and y: digest)."""
+
+    def segments(batches):
+        held, size = [], 0
+        for batch in batches:
+            while size + batch.num_rows >= segment:
+                held.append(batch.slice(0, segment - size))
+                batch = batch.slice(segment - size)
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+        if held:
+            yield pa.Table.from_batches(held)
+
+    def run(batches):
+        for table in segments(batches):
+            (i, reach, first), (j, far) = _matches(table, min_words)
+            row, place, id_, many = (table.column(c).to_numpy(zero_copy_only=False) for c in ("row", "place", "id", "many"))
+            names = ["row", "hits", "firsts", "id", "many", "x", "y"]
+            order = np.argsort(row[i], kind="stable")
+            i, reach, first = i[order], reach[order], first[order]
+            starts = (place[i] - reach).astype(np.int32)
+            which, at, count = np.unique(row[i], return_index=True, return_counts=True)
+            n = len(which)
+            kept = np.bincount(np.repeat(np.arange(n), count)[first], minlength=n)
+            nothing = [pa.nulls(n, t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(which), list_column(starts, count, pa.int32()), list_column(starts[first], kept, pa.int32()), *nothing], names=names)
+            if len(j):
+                right, left = table.column("right").to_pylist(), table.column("left").to_pylist()
+                digests = b"".join(_window_digest(left[a], right[a], r, min_words) for a, r in zip(j.tolist(), far.tolist()))
+                x = np.frombuffer(digests, "<i8").reshape(-1, 2)
+                one = np.ones(len(j), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(row[j]), list_column((place[j] - far).astype(np.int32), one, pa.int32()), list_column(np.zeros(0, np.int32), 0 * one, pa.int32()), pa.array(id_[j]), pa.array(many[j]), *(pa.array(np.ascontiguousarray(x[:, c])) for c in (0, 1))], names=names)
+
+    bound_batches(suffixes.sparkSession)
+    dealt = suffixes.repartitionByRange("right", "row").sortWithinPartitions("right", "row")
+    return written(dealt.mapInArrow(run, "row long, hits array<int>, firsts array<int>, id long, many boolean, x long, y long"), "suffix-windows")
+
+
+def _window_digest(left: bytes, right: bytes, reach: int, min_words: int) -> bytes:
+    before = left.rsplit(b" ", reach + 1)[-reach - 1 : -1]
+    after = right.split(b" ", min_words - reach)[: min_words - reach]
+    return hashlib.blake2b(b" ".join([*before, *after]), digest_size=16).digest()
+
+
+def _ranges(starts: np.ndarray, size: int, n: int) -> np.ndarray:
+    """Words covered by the windows of these starts."""
+    edge = np.bincount(starts, minlength=n + 1)[: n + 1] - np.bincount(starts + size, minlength=n + 1)[: n + 1]
     return np.cumsum(edge)[:n] > 0
 
 
@@ -92,59 +203,47 @@ def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()))
 
 
-def repeats(documents: DataFrame, min_words: int = MIN_WORDS, k: int = K, id_column: str = "doc_id", text_column: str = "text", whole: bool = False) -> DataFrame:
-    """Passages that other documents hold too: id, digest (MD5 of the text), start and end in words, n_words, kept.
+def repeats(documents: DataFrame, min_words: int = MIN_WORDS, k: int = K, id_column: str = "doc_id", text_column: str = "text", whole: bool = False, segment: int = SEGMENT) -> DataFrame:
+    """Passages that other documents hold too: id, digest (SHA-256 of the text), start and end in words, n_words, kept.
 
     whole: rows not kept have all words of windows that a document of smaller id holds, those within kept rows too."""
-    key = F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID))
-    docs = documents.select(key.alias("key"), F.col(text_column).cast("binary").alias("text")).withColumn("digest", F.unhex(F.md5("text")))
-    seeds = _seeds(docs, min_words, k)
-    chosen = docs.join(seeds, ["key", "digest"]).select("key", "text", "digest", "seeds")
-
-    def extract(piece: pa.RecordBatch):
-        ids = np.array(piece.column(0).to_pylist(), np.int64)
-        keys, owners, spans, pair, sizes = [], [], [], [], []
-        base = 0
-        for i, (h, seeds) in enumerate(zip(_words_by_text(piece.column(1).to_pylist()), piece.column(3).to_pylist())):
-            grams = wordhash.runs(h, k)
-            places = minimisers(grams, min_words - k + 1)
-            flags = np.isin(grams[places], np.frombuffer(seeds, "<u8"))
-            windows, inverse = np.unique(wordhash.long_runs(h, min_words)[flags], return_inverse=True)
-            keys.append(windows)
-            owners.append(np.full(len(windows), i))
-            pair.append(inverse + base)
-            base += len(windows)
-            spans.append([x for ab in _runs(flags) for x in ab])
-            sizes.append(len(h))
-        keys, owners, pair = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, owners, pair))
-        keys = keys.astype(np.uint64)
-        rank = np.empty(len(keys), np.int64)
-        rank[np.lexsort((owners, keys))] = np.arange(len(keys))
-        return keys, owners.astype(np.int64), ids, (ids.tolist(), piece.column(2).to_pylist(), sizes, spans, rank[pair.astype(np.int64)].astype("<u4").tobytes())
-
-    meta = [("ids", pa.list_(pa.int64())), ("digests", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int64())), ("spans", pa.list_(pa.list_(pa.int64()))), ("pairs", pa.binary())]
-    table = tiles.chunk_table(chosen, "suffix-windows", WINDOW_BYTES, extract, meta, "ids array<long>, digests array<binary>, sizes array<long>, spans array<array<long>>, pairs binary")
-
-    def use(row, docs, new, counts, keeps):
-        pairs, out, at = np.frombuffer(row["pairs"], "<u4"), [], 0
-        matched = counts >= 2
-        for doc, digest, n, spans in zip(row["ids"], row["digests"], row["sizes"], row["spans"]):
-            starts = np.concatenate([np.arange(a, b) for a, b in zip(spans[::2], spans[1::2])]) if spans else np.zeros(0, np.int64)
-            own = pairs[at : at + len(starts)]
-            at += len(starts)
-            hit, first = np.zeros(n, bool), np.zeros(n, bool)
-            hit[starts], first[starts] = matched[own], matched[own] & keeps[own]
-            kept = _ranges(first, min_words, n)
-            lost = _ranges(hit & ~first, min_words, n)
-            for mask, flag in ((kept, True), (lost if whole else lost & ~kept, False)):
-                out += [(None if doc == NO_ID else doc, digest, a, b, b - a, flag) for a, b in _runs(mask)]
-        cols = list(zip(*out)) or [()] * 6
-        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
-        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], names=["id", "digest", "start_word", "end_word", "n_words", "kept"])
-
-    found = tiles.answered(table, WINDOW_BYTES, use, ["ids", "digests", "sizes", "spans", "pairs"], "id long, digest binary, start_word long, end_word long, n_words long, kept boolean", firsts=True)
-    out = written(found.withColumnRenamed("id", id_column), "suffix-repeats")
-    discard(table, seeds)
+    docs = documents.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("binary").alias("text"))
+    texts = text_table(docs.withColumn("tag", F.unhex(F.sha2("text", 256))), _heads(min_words, k), "suffix-texts")
+    each = written(firsts(texts.where(F.col("n") >= min_words)), "suffix-firsts")
+    suffixes = _suffixes(texts, each, min_words, k)
+    windows = _compared(suffixes, min_words, segment)
+    discard(suffixes)
+
+    open_ = windows.where("x is not null").select("row", F.col("hits")[0].alias("start"), "id", "many", "x", "y")
+    counts = open_.groupBy("x", "y").agg(F.min("row").alias("lo"), F.max("row").alias("hi"), F.min("id").alias("first"), F.max("many").alias("copied"), F.count(F.lit(1)).alias("holders"))
+    settled = looked_up(open_, counts.where("lo < hi or copied"), ["x", "y"], open_.count())
+    settled = settled.groupBy("row").agg(F.collect_list("start").alias("hits"), F.collect_list(F.when(F.col("id") == F.col("first"), F.col("start"))).alias("firsts"))
+    found = windows.where("x is null").select("row", "hits", "firsts").unionByName(settled)
+    found = found.groupBy("row").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("firsts")).alias("firsts"))  # bounded by the text
+    found = found.join(each.select("row", "copies"), "row").join(texts.select("row", "n"), "row").select("row", "n", "copies", "hits", "firsts")
+
+    def run(batches):
+        for batch in batches:
+            spans = []
+            for i in range(batch.num_rows):
+                n = batch.column(1)[i].as_py()
+                hits, first = (batch.column(c)[i].values.to_numpy() for c in (3, 4))
+                others = np.setdiff1d(hits, first)
+                if batch.column(2)[i].as_py() > 1:  # copies hold every window
+                    first = np.setdiff1d(np.arange(n - min_words + 1), others)
+                kept, lost = _ranges(first, min_words, n), _ranges(others, min_words, n)
+                spans.append([{"start": a, "end": b, "kept": flag} for mask, flag in ((kept, True), (lost if whole else lost & ~kept, False)) for a, b in _runs(mask)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kept", pa.bool_())])))], names=["row", "spans"])
+
+    spans = written(found.mapInArrow(run, "row long, spans array<struct<start: long, end: long, kept: boolean>>"), "suffix-spans")
+    about = each.join(spans, "row", "left").where("copies > 1 or spans is not null").select("a", "b", F.col("id").alias("first"), "copies", "spans")
+    rows = texts.where(F.col("n") >= min_words).select("id", "tag", "a", "b", "n").join(about, ["a", "b"])
+    own = F.col("id").eqNullSafe(F.col("first"))
+    all_ = F.when(F.col("copies") > 1, F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").alias("end"), own.alias("kept"))))
+    rows = rows.select("id", "tag", F.explode(F.when(own & F.col("spans").isNotNull(), F.col("spans")).otherwise(all_)).alias("x"))
+    out = rows.select(F.col("id").alias(id_column), F.col("tag").alias("digest"), F.col("x.start").alias("start_word"), F.col("x.end").alias("end_word"), (F.col("x.end") - F.col("x.start")).alias("n_words"), F.col("x.kept").alias("kept"))
+    out = written(out, "suffix-repeats")
+    discard(texts, each, windows, spans)
     return out
 
 
@@ -152,7 +251,7 @@ def without_repeats(documents: DataFrame, min_words: int = MIN_WORDS, k: int = K
     """The documents table without the words of windows that a document of smaller id holds; n_chars follows. A document of which nothing is left goes."""
     key, digest, cuts = (fresh(documents, n) for n in ("_key", "_digest", "_spans"))
     spans = repeats(documents, min_words, k, whole=True).where("not kept").groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias(key), F.col("digest").alias(digest)).agg(F.sort_array(F.collect_set(F.struct("start_word", "end_word"))).alias(cuts))
-    rows = documents.withColumns({key: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), digest: F.unhex(F.md5(F.col("text").cast("binary")))}).join(spans, [key, digest], "left").drop(key, digest)
+    rows = documents.withColumns({key: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), digest: F.unhex(F.sha2(F.col("text").cast("binary"), 256))}).join(spans, [key, digest], "left").drop(key, digest)
     kinds = documents.schema
     names = kinds.names
 
@@ -165,7 +264,7 @@ def without_repeats(documents: DataFrame, min_words: int = MIN_WORDS, k: int = K
                 if not own:
                     continue
                 data = texts[i].encode()
-                _, starts, ends, _ = wordhash.words([data])
+                starts = wordhash.Words([data]).starts
                 out, at = [], 0
                 for s in own:
                     out.append(data[at : int(starts[s["start_word"]])])

@@ -33,8 +33,8 @@ def brute(rows, m):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize(("m", "k"), [(50, 8), (12, 4)])
-def test_equal_to_brute_force(spark, m, k):
+@pytest.mark.parametrize(("m", "k", "segment"), [(50, 8, 1 << 14), (12, 4, 1 << 14), (12, 4, 7)])
+def test_equal_to_brute_force(spark, m, k, segment):
     r = random.Random(m)
     word = lambda: r.choice("abcdefgh") + r.choice("xyzé") + str(r.randint(0, 60))
     passages = [[word() for _ in range(r.choice([m - 1, m, m + 1, 3 * m]))] for _ in range(8)] + [["la"] * 2 * m]
@@ -48,7 +48,7 @@ def test_equal_to_brute_force(spark, m, k):
         rows.append((d, " ".join(parts).capitalize()))
     rows += [(20_001, None), (20_002, ""), (20_003, "a b"), (None, " ".join(passages[3])), (20_004, "\n".join(passages[3])), (20_005, "x " * 20_000), rows[0], (rows[1][0], " ".join(passages[2]))]
     df = spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, kept int").repartition(3)
-    got = sorted((tuple(x) for x in suffixes.repeats(df, m, k).drop("digest").collect()), key=str)
+    got = sorted((tuple(x) for x in suffixes.repeats(df, m, k, segment=segment).drop("digest").collect()), key=str)
     assert got == brute(rows, m)
     assert suffixes.repeats(df.limit(0), m, k).collect() == []
 
@@ -71,3 +71,16 @@ def test_one_passage_in_two_repeated_contexts(spark, tmp_path):
     assert got == {1: rows[0][1].split(), 2: [*run("own2-", 5).split(), "x1", "x2", "y1"], 3: run("own3-", 5).split(), 4: [*run("own4-", 5).split(), "u1", "v1", "v2"], 5: run("own5-", 5).split()}
     listed = sorted(map(tuple, queries.op6_suffix_dedup(spark, str(tmp_path)).collect()))
     assert listed == [(1, 20, 80, 60, True), (2, 5, 68, 63, True), (2, 7, 67, 60, False), (3, 5, 68, 63, False), (4, 5, 68, 63, True), (4, 6, 66, 60, False), (5, 5, 68, 63, False)]
+
+
+def test_texts_of_clashing_letters(spark):
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    rows = []
+    for i, n in enumerate((1024, 2048, 4096)):
+        x = word[:n]
+        for j, y in enumerate((x, x.translate(str.maketrans("ab", "ba")))):
+            rows.append((10 * i + j, " ".join([y, *(f"w{i}-{k}" for k in range(60)), y])))
+    got = suffixes.repeats(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.start_word, r.end_word, r.kept) for r in got] == [(10 * i + j, 1, 61, j == 0) for i in range(3) for j in range(2)]
