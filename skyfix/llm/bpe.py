@@ -19,6 +19,7 @@ import heapq
 import itertools
 import json
 import re
+import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
 
@@ -33,12 +34,65 @@ from skyfix.llm.common import map_slices
 
 #: Unicode's White_Space, which the vocabulary's \s means.
 WHITE = "\t-\r \x85\xa0  -     　"
+#: Fixed values, of Unicode 16 as the library's regular expressions know it: letters and numbers that came after Unicode 15.1.
+NEW_LETTERS = (
+    "1C89-1C8A A7CB-A7CD A7DA-A7DC 105C0-105F3 10D4A-10D65 10D6F-10D85 10EC2-10EC4 11380-11389 1138B 1138E 11390-113B5 113B7 113D1 113D3 11BC0-11BE0 "
+    "13460-143FA 16100-1611D 16D40-16D6C 18CFF 1E5D0-1E5ED 1E5F0"
+)
+NEW_NUMBERS = "10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CCF0-1CCF9 1E5F1-1E5FA"
+#: Marks that came too late for the library's composition tables, which pass over nothing there; and the sign of a composition that they lack.
+NEW_MARKS = (
+    "7FD 898-89F 8CA-8D3 9FE C3C D3B-D3C EBA 1715 1ABF-1ACE 1DF6-1DFA A82C 10D24-10D27 10EAB-10EAC 10EFD-10EFF 10F46-10F50 10F82-10F85 11070 1133B 1145E "
+    "11839-1183A 1193D-1193E 11943 119E0 11A34 11A47 11A99 11D42 11D44-11D45 11D97 11F41-11F42 16FF0-16FF1 1E08F 1E130-1E136 1E2AE 1E2EC-1E2EF 1E4EC-1E4EF "
+    "11930"
+)
+#: Capitals that came after Unicode 15.1 (the library's tables are of Unicode 17 here), and how far away or which their small letters are.
+NEW_CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+NEW_CAPITALS |= {c: c + 32 for c in range(0x10D50, 0x10D66)} | {c: c + 27 for c in range(0x16EA0, 0x16EB9)}
+
+
+def code_points(ranges: str) -> set[int]:
+    return {c for x in ranges.split() for c in range(int(x.split("-")[0], 16), int(x.split("-")[-1], 16) + 1)}
+
+
+def _class(kind: str, new: str) -> str:
+    """The members of a character class: those of the installed regex package, less what its newer tables add and with what they lack."""
+    every = "".join(map(chr, itertools.chain(range(0xD800), range(0xE000, sys.maxunicode + 1))))
+    want = {c for c in every if unicodedata.category(c)[0] == kind} | set(map(chr, code_points(new)))
+    have = set(regex.findall(rf"\p{{{kind}}}", every))
+    less = "".join(map(regex.escape, sorted(have - want)))
+    return rf"[\p{{{kind}}}--[{less}]]" + "".join(sorted(want - have)) if less else rf"\p{{{kind}}}" + "".join(sorted(want - have))
+
+
+LETTER, NUMBER = _class("L", NEW_LETTERS), _class("N", NEW_NUMBERS)
 #: Fixed value: the vocabulary's pattern of words (contractions, letters, one digit, other signs).
-WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{WHITE}\p{{L}}\p{{N}}]+")
+WORDS = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^{WHITE}{LETTER}{NUMBER}]+")
 #: The same for lower-case text of characters below 256, as one table of single characters (faster).
 LATIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\t-\r \x85\xa0a-zA-Z0-9\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff\xb2\xb3\xb9\xbc-\xbe]+")
 SPACES = regex.compile(rf"[{WHITE}]+")
-LETTERS, SIGNS = regex.compile(r"[\p{L}]+"), regex.compile(rf"[^{WHITE}\p{{L}}\p{{N}}]+")
+LETTERS, SIGNS = regex.compile(rf"(?V1)[{LETTER}]+"), regex.compile(rf"(?V1)[^{WHITE}{LETTER}{NUMBER}]+")
+_MARKS = re.compile("([" + "".join(map(chr, sorted(code_points(NEW_MARKS)))) + "])")
+_CAPITALS = re.compile("[" + "".join(map(chr, sorted(NEW_CAPITALS))) + "]")
+
+
+def composed(text: str) -> str:
+    """Composed as the library does it: nothing is composed or put in order across marks that its tables lack."""
+    if text.isascii():
+        return text
+    if _MARKS.search(text):
+        return "".join(unicodedata.normalize("NFC", x) for x in _MARKS.split(text))
+    return unicodedata.normalize("NFC", text)
+
+
+def lowered(text: str) -> str:
+    """Lower case, letter by letter."""
+    if text.isascii():
+        return text.lower()
+    if _CAPITALS.search(text):
+        text = text.translate(NEW_CAPITALS)
+    return text.replace("Σ", "σ").lower()
+
+
 END = "</w>"
 #: Characters of text that are read at once, words that stay memoised (and the most symbols of one), symbols between flushes.
 PIECE, MEMO, MEMO_LEN, FLUSH = 1 << 16, 200_000, 32, 2048
@@ -275,7 +329,7 @@ class Encoder:
         """The words of a text that is read in one piece and holds no added token; None for any other."""
         if len(text) > self.piece or (self.v.split_added is not None and "<" in text and self.v.split_added.search(text)):
             return None
-        low = (text if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ")).lower()
+        low = lowered(composed(text))
         try:
             low.encode("latin-1")
         except UnicodeEncodeError:
@@ -313,8 +367,7 @@ class Encoder:
             to = _cut(text, at, self.piece)
             raw, at = text[at:to], to
             ends = at >= len(text) or bool(SPACES.match(text[at]))  # no word goes on beyond this piece
-            raw = raw if raw.isascii() else unicodedata.normalize("NFC", raw).replace("Σ", "σ")
-            s = carried + SPACES.sub(" ", raw).lower()
+            s = carried + lowered(SPACES.sub(" ", composed(raw)))
             carried, out, start = "", [], 0
             if open_run:
                 kind, transducer = open_run
@@ -329,7 +382,7 @@ class Encoder:
             found = WORDS.findall(s, start)
             if found and not ends and s.endswith(found[-1]):
                 last = found.pop()
-                kind = LETTERS if last[0].isalpha() else SIGNS
+                kind = LETTERS if LETTERS.match(last) else SIGNS
                 if len(last) < 16 or not kind.fullmatch(last):
                     carried = last
                     if found and found[-1][-1] == "'" and s.endswith(found[-1] + last):  # may become a contraction

@@ -55,3 +55,21 @@ def test_query_edge_cases(spark):
         want.append((i, len(ids), sha(" ".join(map(str, ids))), sha(LIBRARY.decode(ids, skip_special_tokens=False))))
     assert sorted(got, key=str) == sorted(want, key=str)
     assert bpe.encode_decode(df.limit(0), PATH).collect() == []
+
+
+def test_every_code_point_as_in_the_library():
+    v = bpe.vocabulary(PATH)
+    every = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    wrong = []
+    for a in range(0, len(every), 8192):
+        texts = [f"ab{c}Cd {c}1 x{c}̣ x́{c}̣" for c in map(chr, every[a : a + 8192])]
+        want = LIBRARY.encode_batch(texts, add_special_tokens=False)
+        got = bpe.Encoder(v).slice(texts)
+        wrong += [every[a + i] for i, (w, g) in enumerate(zip(want, got)) if w.ids != [x for ids in g for x in ids]]
+    assert wrong == []
+
+
+@given(st.text(st.characters(exclude_categories=["Cs"]), max_size=30), st.sampled_from([(1 << 16, 2048), (5, 1)]))
+@settings(max_examples=300, deadline=None)
+def test_any_characters_as_in_the_library(text, sizes):
+    assert bpe.Encoder(bpe.vocabulary(PATH), *sizes).encode(text) == LIBRARY.encode(text, add_special_tokens=False).ids
