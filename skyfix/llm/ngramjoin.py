@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from skyfix.llm import wordhash
 from skyfix.llm.common import bound_batches, discard, slices, written
 from skyfix.llm.components import components
-from skyfix.llm.texts import SLICE, firsts, list_column, looked_up, shared_keys, text_table
+from skyfix.llm.texts import SLICE, firsts, held_by_several, list_column, own_keys, text_table
 
 WIDTH = 5
 #: What a set must share in its probe, as a share of the whole set: more makes probes longer and rows fewer.
@@ -93,14 +93,9 @@ def _probe(n: int, percent: int):
 
 def _survivors(texts: DataFrame, each: DataFrame) -> DataFrame:
     """Rows of different texts that share enough of their probe."""
-    total = texts.agg(F.sum(F.size("keys"))).first()[0] or 0
-    keys = written(shared_keys(texts), "ngram-shared")
-    entries = texts.where(F.col("a").isNotNull()).select("a", "b", "n", F.explode("keys").alias("key"))
-    found = looked_up(entries, keys, ["key"], total).groupBy("a", "b").agg(F.count(F.lit(1)).alias("found"), F.first("n").alias("n"))
-    found = found.where(F.col("found") >= F.greatest(F.lit(1), (F.col("n") * PROBE_SHARED).cast("long"))).select("a", "b")  # copies count once each, which can only let more through
-    out = written(each.join(found, ["a", "b"], "left_semi").select("row"), "ngram-survivors")
-    discard(keys)
-    return out
+    entries = own_keys(texts, each)
+    found = entries.join(held_by_several(entries), "key").groupBy("row").agg(F.count(F.lit(1)).alias("found"), F.first("n").alias("n"))
+    return written(found.where(F.col("found") >= F.greatest(F.lit(1), (F.col("n") * PROBE_SHARED).cast("long"))).select("row"), "ngram-survivors")
 
 
 def _columns(rows: DataFrame, n: int) -> DataFrame:
@@ -118,18 +113,14 @@ def _columns(rows: DataFrame, n: int) -> DataFrame:
 
 def _prefixes(columns: DataFrame, percent: int) -> DataFrame:
     """(token, d, n, pos) of the rarest n-grams of rows that can link; pos: how many of the row's n-grams come before it."""
-    total = columns.agg(F.sum("n")).first()[0] or 0
     entries = columns.select("row", "n", F.explode("keys").alias("key"))
-    keys = written(entries.groupBy("key").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1"), "ngram-held")
-    held = looked_up(entries, keys, ["key"], total)
+    held = entries.join(held_by_several(entries), "key")
     # a row's entries that others hold, by rarity; those that none holds come before them
     list_ = F.sort_array(F.collect_list(F.struct("holders", "key"))).alias("held")
     rows = held.groupBy("row").agg(F.first("n").alias("n"), list_).withColumn("shared", F.size("held")).withColumn("need", F.expr(f"-floor(-n * {percent} / 100)"))
     rows = rows.where("shared >= need").withColumn("held", F.expr("slice(held, 1, cast(shared - need + 1 as int))"))
     out = rows.select(F.col("row").alias("d"), "n", "shared", F.posexplode("held").alias("rank", "x")).select(F.col("x.key").alias("token"), "d", "n", (F.col("n") - F.col("shared") + F.col("rank")).alias("pos"))
-    out = written(out, "ngram-prefixes")
-    discard(keys)
-    return out
+    return written(out, "ngram-prefixes")
 
 
 def _overlaps(w: wordhash.Words, n: int, pivots: int, mask: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

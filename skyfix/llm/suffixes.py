@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from skyfix.llm import wordhash
 from skyfix.llm.common import bound_batches, discard, fresh, slices, written
-from skyfix.llm.texts import SLICE, bytes_column, firsts, list_column, looked_up, shared_keys, text_table
+from skyfix.llm.texts import SLICE, bytes_column, firsts, list_column, own_keys, text_table
 
 MIN_WORDS, K = 50, 8
 NO_ID = (1 << 63) - 1
@@ -66,11 +66,10 @@ def _heads(min_words: int, k: int):
 
 def _suffixes(texts: DataFrame, each: DataFrame, min_words: int, k: int) -> DataFrame:
     """Suffixes of different texts whose head another text has: row, id (NO_ID: none), many (whether the text has copies), place, reach to the left (least, most), right, left."""
-    total = texts.agg(F.sum(F.size("keys"))).first()[0] or 0
-    keys = written(shared_keys(texts), "suffix-shared")
-    entries = texts.where(F.col("a").isNotNull()).select("a", "b", F.explode("keys").alias("key"))
-    heads = looked_up(entries, keys, ["key"], total).groupBy("a", "b").agg(F.collect_set("key").alias("heads"))  # bounded by the text
-    chosen = each.join(heads, ["a", "b"]).select("row", F.coalesce("id", F.lit(NO_ID)).alias("id"), (F.col("copies") > 1).alias("many"), "heads")
+    entries = own_keys(texts, each)
+    shared = entries.groupBy("key").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).where("lo < hi")
+    heads = entries.join(shared, "key").groupBy("row").agg(F.collect_set("key").alias("heads"))  # bounded by the text
+    chosen = heads.join(each, "row").select("row", F.coalesce("id", F.lit(NO_ID)).alias("id"), (F.col("copies") > 1).alias("many"), "heads")
     rows = texts.select("row", "words").join(chosen, "row").select("row", "words", "id", "many", "heads")
 
     def run(batches):
@@ -96,9 +95,7 @@ def _suffixes(texts: DataFrame, each: DataFrame, min_words: int, k: int) -> Data
                 )
 
     bound_batches(texts.sparkSession)
-    out = written(rows.mapInArrow(run, "row long, id long, many boolean, place int, least int, most int, right binary, left binary"), "suffix-rows")
-    discard(keys)
-    return out
+    return written(rows.mapInArrow(run, "row long, id long, many boolean, place int, least int, most int, right binary, left binary"), "suffix-rows")
 
 
 def _matches(table: pa.Table, min_words: int) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
@@ -215,8 +212,8 @@ def repeats(documents: DataFrame, min_words: int = MIN_WORDS, k: int = K, id_col
     discard(suffixes)
 
     open_ = windows.where("x is not null").select("row", F.col("hits")[0].alias("start"), "id", "many", "x", "y")
-    counts = open_.groupBy("x", "y").agg(F.min("row").alias("lo"), F.max("row").alias("hi"), F.min("id").alias("first"), F.max("many").alias("copied"), F.count(F.lit(1)).alias("holders"))
-    settled = looked_up(open_, counts.where("lo < hi or copied"), ["x", "y"], open_.count())
+    counts = open_.groupBy("x", "y").agg(F.min("row").alias("lo"), F.max("row").alias("hi"), F.min("id").alias("first"), F.max("many").alias("copied"))
+    settled = open_.join(counts.where("lo < hi or copied"), ["x", "y"])
     settled = settled.groupBy("row").agg(F.collect_list("start").alias("hits"), F.collect_list(F.when(F.col("id") == F.col("first"), F.col("start"))).alias("firsts"))
     found = windows.where("x is null").select("row", "hits", "firsts").unionByName(settled)
     found = found.groupBy("row").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("firsts")).alias("firsts"))  # bounded by the text

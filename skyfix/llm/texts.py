@@ -19,8 +19,6 @@ from skyfix.llm import wordhash
 from skyfix.llm.common import bound_batches, slices, written
 
 SLICE = 2 << 20
-#: A key that more than this share of all entries hold is a hot one: fewer than HOT of them can be, so they may be broadcast.
-HOT = 4096
 
 
 def list_column(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -63,17 +61,11 @@ def firsts(texts: DataFrame) -> DataFrame:
     return texts.where(F.col("a").isNotNull()).groupBy("a", "b").agg(lead, F.count(F.lit(1)).alias("copies")).select("a", "b", "lead.row", "lead.id", "copies")
 
 
-def shared_keys(texts: DataFrame) -> DataFrame:
-    """Keys that at least two different texts hold, with the number of rows that hold them. Two-step sums; no list of holders."""
-    each = texts.where(F.col("a").isNotNull()).select("a", "b", F.explode("keys").alias("key"))
-    held = each.groupBy("key").agg(*[f(c).alias(f"{n}_{c}") for c in "ab" for f, n in ((F.min, "lo"), (F.max, "hi"))], F.count(F.lit(1)).alias("holders"))
-    return held.where("lo_a < hi_a or lo_b < hi_b").select("key", "holders")
+def own_keys(texts: DataFrame, each: DataFrame) -> DataFrame:
+    """(row, n, key) of the different texts: copies' keys aren't told again."""
+    return texts.select("row", "n", "keys").join(each.select("row"), "row", "left_semi").select("row", "n", F.explode("keys").alias("key"))
 
 
-def looked_up(entries: DataFrame, keys: DataFrame, on: list[str], total: int) -> DataFrame:
-    """Entries joined with keys (which have `holders`). Keys of more than 1/HOT of all entries are fewer than HOT, so they are sent; the others are joined."""
-    bar = max(1000, total // HOT)
-    hot = F.broadcast(keys.where(F.col("holders") > bar).select(*[F.col(c).alias(f"hot_{c}") for c in on], F.struct(*[c for c in keys.columns if c not in on]).alias("found")))
-    marked = entries.join(hot, [F.col(c) == F.col(f"hot_{c}") for c in on], "left").drop(*[f"hot_{c}" for c in on])
-    few = marked.where("found is null").drop("found").join(keys.where(F.col("holders") <= bar), on)
-    return few.unionByName(marked.where("found is not null").select(*entries.columns, "found.*"))
+def held_by_several(entries: DataFrame, on: str = "key") -> DataFrame:
+    """(key, holders) of keys with two entries at least. Two-step counts, no list of holders: a key that a third of the texts hold is one row a task."""
+    return entries.groupBy(on).agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
