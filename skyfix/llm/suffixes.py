@@ -98,8 +98,8 @@ def _suffixes(texts: DataFrame, each: DataFrame, min_words: int, k: int) -> Data
     return written(rows.mapInArrow(run, "row long, id long, many boolean, place int, least int, most int, right binary, left binary"), "suffix-rows")
 
 
-def _matches(table: pa.Table, min_words: int) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    """Of a segment of sorted suffixes: the matching windows (suffix, reach, whether held first), and the (suffix, reach) of windows that a border leaves open."""
+def _matches(table: pa.Table, min_words: int) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], list[tuple[np.ndarray, int, np.ndarray, np.ndarray]]]:
+    """Of a segment of sorted suffixes: the matching windows (suffix, reach, whether held first); and those that a border leaves open, as (suffixes, reach, first place, size) of each window's holders."""
     right, left = table.column("right").to_pylist(), table.column("left").to_pylist()
     row, id_, many = (table.column(c).to_numpy(zero_copy_only=False) for c in ("row", "id", "many"))
     least, most = (table.column(c).to_numpy() for c in ("least", "most"))
@@ -123,26 +123,24 @@ def _matches(table: pa.Table, min_words: int) -> tuple[tuple[np.ndarray, np.ndar
         if not len(own):
             continue
         run = np.cumsum(common < min_words - reach)
-        border = (run[own] == run[0]) | (run[own] == run[-1])
-        open_.append((own[border], np.full(int(border.sum()), reach)))
-        own = own[~border]
-        if not len(own):
-            continue
-        found, window = np.unique(run[own] * (n + 1) + same[own], return_inverse=True)
-        lo, hi, first = np.full(len(found), NO_ID), np.full(len(found), -1), np.full(len(found), NO_ID)
-        np.minimum.at(lo, window, row[own])
-        np.maximum.at(hi, window, row[own])
-        np.minimum.at(first, window, id_[own])
-        copied = np.zeros(len(found), bool)
-        copied[window[many[own]]] = True
-        hit = ((lo < hi) | copied)[window]
-        hits.append((own[hit], np.full(int(hit.sum()), reach), (id_[own] == first[window])[hit]))
+        window = run[own] * (n + 1) + same[own]
+        order = np.argsort(window, kind="stable")
+        own, window = own[order], window[order]
+        at = np.flatnonzero(np.diff(window, prepend=-1))
+        size_of = np.diff(at, append=len(own))
+        border = (run[own[at]] == run[0]) | (run[own[at]] == run[-1])
+        open_.append((own, reach, at[border], size_of[border]))
+        some = np.minimum.reduceat(row[own], at) < np.maximum.reduceat(row[own], at)
+        hit = np.repeat((some | np.logical_or.reduceat(many[own], at)) & ~border, size_of)
+        first = id_[own] == np.repeat(np.minimum.reduceat(id_[own], at), size_of)
+        hits.append((own[hit], np.full(int(hit.sum()), reach), first[hit]))
     none = np.zeros(0, np.int64)
-    return tuple(np.concatenate(x) for x in zip(*hits)) if hits else (none, none, none.astype(bool)), tuple(np.concatenate(x) for x in zip(*open_)) if open_ else (none, none)
+    return tuple(np.concatenate(x) for x in zip(*hits)) if hits else (none, none, none.astype(bool)), open_
 
 
 def _compared(suffixes: DataFrame, min_words: int, segment: int) -> DataFrame:
-    """Written rows of two kinds: matching windows of a text (row, hits, firsts: lists of window starts), and windows left open (row, hits: one start, id, many, x and y: digest)."""
+    """Written rows of two kinds: matching windows of a text (row; hits, firsts: lists of window starts), and windows left open, once a segment (x and y: digest;
+    lo, hi, first, copied: smallest and largest row and smallest id of the holders, and whether one has copies; rows, hits, ids: the holders, with the window's start)."""
 
     def segments(batches):
         held, size = [], 0
@@ -160,27 +158,51 @@ def _compared(suffixes: DataFrame, min_words: int, segment: int) -> DataFrame:
 
     def run(batches):
         for table in segments(batches):
-            (i, reach, first), (j, far) = _matches(table, min_words)
+            (i, reach, first), open_ = _matches(table, min_words)
             row, place, id_, many = (table.column(c).to_numpy(zero_copy_only=False) for c in ("row", "place", "id", "many"))
-            names = ["row", "hits", "firsts", "id", "many", "x", "y"]
-            order = np.argsort(row[i], kind="stable")
-            i, reach, first = i[order], reach[order], first[order]
-            starts = (place[i] - reach).astype(np.int32)
-            which, at, count = np.unique(row[i], return_index=True, return_counts=True)
-            n = len(which)
-            kept = np.bincount(np.repeat(np.arange(n), count)[first], minlength=n)
-            nothing = [pa.nulls(n, t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(which), list_column(starts, count, pa.int32()), list_column(starts[first], kept, pa.int32()), *nothing], names=names)
-            if len(j):
-                right, left = table.column("right").to_pylist(), table.column("left").to_pylist()
-                digests = b"".join(_window_digest(left[a], right[a], r, min_words) for a, r in zip(j.tolist(), far.tolist()))
-                x = np.frombuffer(digests, "<i8").reshape(-1, 2)
-                one = np.ones(len(j), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(row[j]), list_column((place[j] - far).astype(np.int32), one, pa.int32()), list_column(np.zeros(0, np.int32), 0 * one, pa.int32()), pa.array(id_[j]), pa.array(many[j]), *(pa.array(np.ascontiguousarray(x[:, c])) for c in (0, 1))], names=names)
+            yield _by_row(row[i], (place[i] - reach).astype(np.int32), first, WINDOW_NAMES, WINDOW_KINDS)
+            right, left = table.column("right"), table.column("left")
+            for own, far, at, size in open_:
+                if len(at):
+                    digests = np.frombuffer(b"".join(_window_digest(left[j].as_py(), right[j].as_py(), far, min_words) for j in own[at].tolist()), "<i8").reshape(-1, 2)
+                    every = own[wordhash.spread(size, at)]
+                    bounds = np.cumsum(size) - size
+                    columns = {"x": np.ascontiguousarray(digests[:, 0]), "y": np.ascontiguousarray(digests[:, 1]), "lo": np.minimum.reduceat(row[every], bounds), "hi": np.maximum.reduceat(row[every], bounds), "first": np.minimum.reduceat(id_[every], bounds), "copied": np.logical_or.reduceat(many[every], bounds)}
+                    columns |= {"rows": list_column(row[every], size, pa.int64()), "hits": list_column((place[every] - far).astype(np.int32), size, pa.int32()), "ids": list_column(id_[every], size, pa.int64())}
+                    yield pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns and isinstance(columns[c], np.ndarray) else columns.get(c, pa.nulls(len(at), k)) for c, k in zip(WINDOW_NAMES, WINDOW_KINDS)], names=WINDOW_NAMES)
 
     bound_batches(suffixes.sparkSession)
     dealt = suffixes.repartitionByRange("right", "row").sortWithinPartitions("right", "row")
-    return written(dealt.mapInArrow(run, "row long, hits array<int>, firsts array<int>, id long, many boolean, x long, y long"), "suffix-windows")
+    return written(dealt.mapInArrow(run, "row long, hits array<int>, firsts array<int>, x long, y long, lo long, hi long, first long, copied boolean, rows array<long>, ids array<long>"), "suffix-windows")
+
+
+WINDOW_NAMES = ["row", "hits", "firsts", "x", "y", "lo", "hi", "first", "copied", "rows", "ids"]
+WINDOW_KINDS = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), *[pa.int64()] * 5, pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+
+
+def _by_row(row: np.ndarray, starts: np.ndarray, first: np.ndarray, names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    """One row for each different row: hits, its starts, and firsts, those that are marked; other columns are null."""
+    order = np.argsort(row, kind="stable")
+    row, starts, first = row[order], starts[order], first[order]
+    which, count = np.unique(row, return_counts=True)
+    kept = np.bincount(np.repeat(np.arange(len(which)), count)[first], minlength=len(which))
+    columns = {"row": pa.array(which, pa.int64()), "hits": list_column(starts, count, pa.int32()), "firsts": list_column(starts[first], kept, pa.int32())}
+    return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(len(which), k)) for c, k in zip(names, kinds)], names=names)
+
+
+def _settled(windows: DataFrame) -> DataFrame:
+    """(row, hits, firsts) of the windows left open, by what all segments hold."""
+    open_ = windows.where("x is not null")
+    counts = open_.groupBy("x", "y").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("first").alias("least"), F.max("copied").alias("copied")).where("lo < hi or copied")
+    found = open_.select("x", "y", "rows", "hits", "ids").join(counts.select("x", "y", "least"), ["x", "y"]).select("rows", "hits", "ids", "least")
+
+    def run(batches):
+        for batch in batches:
+            sizes = np.diff(batch.column(0).offsets.to_numpy())
+            row, starts, ids = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in (0, 1, 2))
+            yield _by_row(row, starts, ids == np.repeat(batch.column(3).to_numpy(), sizes), WINDOW_NAMES[:3], WINDOW_KINDS[:3])
+
+    return found.mapInArrow(run, "row long, hits array<int>, firsts array<int>")
 
 
 def _window_digest(left: bytes, right: bytes, reach: int, min_words: int) -> bytes:
@@ -211,11 +233,7 @@ def repeats(documents: DataFrame, min_words: int = MIN_WORDS, k: int = K, id_col
     windows = _compared(suffixes, min_words, segment)
     discard(suffixes)
 
-    open_ = windows.where("x is not null").select("row", F.col("hits")[0].alias("start"), "id", "many", "x", "y")
-    counts = open_.groupBy("x", "y").agg(F.min("row").alias("lo"), F.max("row").alias("hi"), F.min("id").alias("first"), F.max("many").alias("copied"))
-    settled = open_.join(counts.where("lo < hi or copied"), ["x", "y"])
-    settled = settled.groupBy("row").agg(F.collect_list("start").alias("hits"), F.collect_list(F.when(F.col("id") == F.col("first"), F.col("start"))).alias("firsts"))
-    found = windows.where("x is null").select("row", "hits", "firsts").unionByName(settled)
+    found = windows.where("x is null").select("row", "hits", "firsts").unionByName(_settled(windows))
     found = found.groupBy("row").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("firsts")).alias("firsts"))  # bounded by the text
     found = found.join(each.select("row", "copies"), "row").join(texts.select("row", "n"), "row").select("row", "n", "copies", "hits", "firsts")
 
