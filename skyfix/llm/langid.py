@@ -6,8 +6,9 @@ Exact forward-backward gives every word's label probabilities, so that code-swit
 document's language is the one with the highest mean probability over its words, which is the score.
 
 Training maximises the likelihood of code-switched sequences: fragments of a few words of documents of any language, dealt
-in random order (of a fixed seed), each word labelled with its document's language. The documents are a bounded sample: about `per_language` of each language,
-those of lowest hash of their id, and at most `window` characters of each. Every language is learned, or the `max_languages` most frequent if that is given.
+in random order (of a fixed seed), each word labelled with its document's language. The documents are a bounded sample: those of lowest hash of their id, at most
+`per_language` of each language and about `sample` in all, and at most `window` characters of each. Every language is learned, or the `max_languages` most frequent if that is given;
+with more languages the buckets of features get fewer, so that all weights stay below a fixed number.
 
 Inference is vectorised: documents are cut into blocks whose transfer matrices are multiplied in lockstep, messages pass
 from block to block, and then again in lockstep inside all blocks. The result is that of one pass over each document.
@@ -24,7 +25,7 @@ import sys
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +33,10 @@ from skyfix.llm.common import crc_mod, map_slices
 
 PER_LANGUAGE, WINDOW = 800, 2000
 BUCKETS, LEXICON, BLOCK, SLICE = 1 << 18, 1 << 16, 64, 1 << 20
+#: Entries of all blocks' transfer matrices at once: with many languages or a very long text blocks grow instead.
+PRODUCTS = 1 << 24
+#: Documents of the sample over all languages, each of which gives at least one, and weights of n-grams and affixes over all languages.
+SAMPLE, WEIGHTS = 3200, 1 << 24
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -85,10 +90,15 @@ class Words:
 @dataclasses.dataclass(frozen=True)
 class Model:
     languages: tuple[str, ...]
-    weights: np.ndarray  # BUCKETS + entries of the lexicon, languages
+    weights: np.ndarray  # buckets, then entries of the lexicon; a column for each language
     transitions: np.ndarray  # exp of the learned transitions
     lexicon: np.ndarray  # hash of the word in each slot (0: none)
     entries: np.ndarray  # its row in weights
+    buckets: int = BUCKETS  # a power of two
+
+
+#: Without any training row: no language.
+UNTRAINED = Model((), np.zeros((0, 0), np.float32), np.ones((0, 0)), np.zeros(LEXICON, np.uint64), np.zeros(LEXICON, np.int64))
 
 
 def word_keys(words: Words) -> np.ndarray:
@@ -112,9 +122,9 @@ def emissions(words: Words, m: Model) -> np.ndarray:
     if not len(out):
         return out
     for b in words.affixes():
-        out += w[b]
+        out += w[b & (m.buckets - 1)]
     for b, first in words.ngrams():
-        out += np.add.reduceat(w[b], first, axis=0)
+        out += np.add.reduceat(w[b & (m.buckets - 1)], first, axis=0)
     keys = word_keys(words)
     slot = _slot(keys)
     hit = m.lexicon[slot] == keys
@@ -129,6 +139,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def posteriors(scores: np.ndarray, a: np.ndarray, lengths: np.ndarray, block: int = BLOCK) -> np.ndarray:
     """Label probabilities of every word (exact forward-backward), for sequences of these lengths one after the other."""
     k = scores.shape[1]
+    block = max(block, -(-len(scores) * k * k // PRODUCTS))
     e = np.exp(scores.astype(np.float64) - scores.max(axis=1, keepdims=True, initial=-np.inf)) + 1e-300
     lengths = lengths[lengths > 0]
     if not len(lengths):
@@ -145,10 +156,14 @@ def posteriors(scores: np.ndarray, a: np.ndarray, lengths: np.ndarray, block: in
     going = [int(np.searchsorted(-size, -s, side="left")) for s in range(int(size[0]))]  # lanes with more than s words
     n = len(size)
     enter, leave = np.full((n, k), 1 / k), np.full((n, k), 1 / k)
+    begins = level[order] == 0  # lanes where a sequence begins: every label is as likely there, and no transition leads to it
     if blocks.max() > 1:
         product = np.broadcast_to(np.eye(k), (n, k, k)).copy()
         for s, g in enumerate(going):
-            product[:g] = _unit((product[:g].reshape(-1, k) @ a).reshape(g, k, k) * e[begin[:g] + s][:, None, :])
+            moved = (product[:g].reshape(-1, k) @ a).reshape(g, k, k)
+            if s == 0:
+                moved[begins] = product[begins]
+            product[:g] = _unit(moved * e[begin[:g] + s][:, None, :])
         by_level = np.argsort(level, kind="stable")
         bounds = np.searchsorted(level[by_level], np.arange(int(blocks.max()) + 1))
         for b in range(1, int(blocks.max())):
@@ -163,7 +178,10 @@ def posteriors(scores: np.ndarray, a: np.ndarray, lengths: np.ndarray, block: in
     message = enter
     for s, g in enumerate(going):
         at = begin[:g] + s
-        message[:g] = _unit((message[:g] @ a) * e[at])
+        moved = message[:g] @ a
+        if s == 0:
+            moved[begins] = enter[begins]
+        message[:g] = _unit(moved * e[at])
         out[at] = message[:g]
     message = leave
     back = a.T
@@ -176,14 +194,16 @@ def posteriors(scores: np.ndarray, a: np.ndarray, lengths: np.ndarray, block: in
 
 
 def _lanes_gradient(scores: np.ndarray, labels: np.ndarray, a: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of the negative log-likelihood, by scores and by transitions, for sequences of one length."""
+    """Of the negative log-likelihood, by scores and by transitions, for sequences of one length.
+
+    The first word has scores alone, in the gold path as in the sum over all paths."""
     k = scores.shape[1]
     n = len(scores) // length
     e = np.exp(scores - scores.max(axis=1, keepdims=True)).reshape(n, length, k)
     y = labels.reshape(n, length)
     forward, backward = np.empty((length, n, k)), np.ones((length, n, k))
-    m = np.full((n, k), 1 / k)
-    for s in range(length):
+    forward[0] = m = _unit(e[:, 0])
+    for s in range(1, length):
         forward[s] = m = _unit((m @ a) * e[:, s])
     for s in range(length - 1, 0, -1):
         backward[s - 1] = _unit((backward[s] * e[:, s]) @ a.T)
@@ -203,27 +223,29 @@ def train(rows: list[tuple[str, str]], seed: int = 13, length: int = 48, batch:
     """A model from (text, language) rows, by Adagrad on dealt fragments."""
     languages = tuple(sorted({lang for _, lang in rows}))
     k = len(languages)
-    empty = Model(languages, np.zeros((BUCKETS, k), np.float32), np.ones((k, k)), np.zeros(LEXICON, np.uint64), np.zeros(LEXICON, np.int64))
+    buckets = BUCKETS
+    while buckets * k > WEIGHTS and buckets > 1 << 10:
+        buckets >>= 1
     words = Words([t for t, _ in rows])
     if not len(words.starts):
-        return dataclasses.replace(empty, languages=())
-    label = np.repeat(np.array([languages.index(lang) for _, lang in rows]), words.per_text)
+        return UNTRAINED
+    place = {lang: i for i, lang in enumerate(languages)}
+    label = np.repeat(np.array([place[lang] for _, lang in rows]), words.per_text)
     rng = np.random.default_rng(seed)
     keys = word_keys(words)
     found, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
-    lexicon, entries = empty.lexicon, empty.entries
+    lexicon, entries = np.zeros(LEXICON, np.uint64), np.zeros(LEXICON, np.int64)
     frequent = np.flatnonzero(counts >= 5)
     frequent = frequent[np.argsort(counts[frequent], kind="stable")]  # where slots clash, the more frequent word stays
     lexicon[_slot(found[frequent])] = found[frequent]
-    entries[_slot(found[frequent])] = BUCKETS + np.arange(len(frequent))
-    # features of every training word: one flat list and its bounds
-    affix = np.stack(list(words.affixes()), axis=1)
+    entries[_slot(found[frequent])] = buckets + np.arange(len(frequent))
+    # features of every training word: affixes and lexicon as columns, n-grams as one flat list and its bounds
     slot = _slot(keys)
-    affix = np.concatenate([affix, np.where(lexicon[slot] == keys, entries[slot], BUCKETS + len(frequent))[:, None]], axis=1)
-    grams = [(b, first, np.diff(first, append=len(b))) for b, first in words.ngrams()]
-    weights = np.zeros((BUCKETS + len(frequent) + 1, k))
+    affix = np.stack([*((b & (buckets - 1)).astype(np.int32) for b in words.affixes()), np.where(lexicon[slot] == keys, entries[slot], buckets + len(frequent)).astype(np.int32)], axis=1)
+    grams = [((b & (buckets - 1)).astype(np.int32), first.astype(np.int32), np.diff(first, append=len(b)).astype(np.int32)) for b, first in words.ngrams()]
+    weights = np.zeros((buckets + len(frequent) + 1, k), np.float32)
     t = np.zeros((k, k))
-    seen_w, seen_t = np.full(weights.shape, 1e-2), np.full(t.shape, 1e-2)
+    seen_w, seen_t = np.full(weights.shape, 1e-2, np.float32), np.full(t.shape, 1e-2)
     for _ in range(epochs):
         # fragments of 3 to 24 words that don't cross documents, in random order
         cut = np.zeros(len(label), bool)
@@ -241,43 +263,47 @@ def train(rows: list[tuple[str, str]], seed: int = 13, length: int = 48, batch:
             order, use = np.resize(order, length), length
         for a0 in range(0, use, batch * length):
             own = order[a0 : min(a0 + batch * length, use)]
-            lists = [affix[own].ravel()]
-            whose = [np.repeat(np.arange(len(own)), affix.shape[1])]
+            lists, whose = [affix[own].ravel()], [np.repeat(np.arange(len(own)), affix.shape[1])]
+            scores = weights[affix[own]].sum(axis=1, dtype=np.float64)
             for b, f, c in grams:
-                n = c[own]
+                n = c[own].astype(np.int64)
                 start = np.cumsum(n) - n
                 lists.append(b[np.arange(int(n.sum())) + np.repeat(f[own] - start, n)])
                 whose.append(np.repeat(np.arange(len(own)), n))
+                scores += np.add.reduceat(weights[lists[-1]], start, axis=0)
             idx, who = np.concatenate(lists), np.concatenate(whose)
-            scores = np.stack([np.bincount(who, weights=weights[idx, j], minlength=len(own)) for j in range(k)], axis=1)
             by_score, by_pair = _lanes_gradient(scores, label[own], np.exp(t), length)
-            used, back = np.unique(idx, return_inverse=True)
-            for j in range(k):
-                g = np.bincount(back, weights=by_score[who, j], minlength=len(used)) / len(own) * batch
-                seen_w[used, j] += g * g
-                weights[used, j] -= rate * g / np.sqrt(seen_w[used, j])
+            by_feature = np.argsort(idx, kind="stable")
+            used, first = np.unique(idx[by_feature], return_index=True)
+            g = np.add.reduceat((by_score / len(own) * batch).astype(np.float32)[who[by_feature]], first, axis=0)
+            seen_w[used] += g * g
+            weights[used] -= rate * g / np.sqrt(seen_w[used])
             g = by_pair / len(own) * batch
             seen_t += g * g
             t -= rate * g / np.sqrt(seen_t)
     weights[-1] = 0
-    return Model(languages, weights.astype(np.float32), np.exp(t), lexicon, entries)
+    return Model(languages, weights, np.exp(t), lexicon, entries, buckets)
+
 
+def fit(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", held_out: tuple[int, int] = (4, 2), per_language: int = PER_LANGUAGE, window: int = WINDOW, sample: int = SAMPLE, max_languages: int | None = None) -> Model:
+    """Learns from rows whose crc32 of the id, modulo held_out[0], isn't held_out[1].
 
-def fit(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", held_out: tuple[int, int] = (4, 2), per_language: int = PER_LANGUAGE, window: int = WINDOW, max_languages: int | None = None) -> Model:
-    """Learns from rows whose crc32 of the id, modulo held_out[0], isn't held_out[1]."""
+    At most per_language documents of a language and about `sample` of all (but one of each language): those of lowest hash of their id."""
     known = documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(lang_column).alias("lang"))
     known = known.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("id", held_out[0]) != held_out[1]))
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang")
-    counts = (counts if max_languages is None else counts.limit(max_languages)).collect()
-    if not counts:
-        return Model((), np.zeros((BUCKETS, 0), np.float32), np.ones((0, 0)), np.zeros(LEXICON, np.uint64), np.zeros(LEXICON, np.int64))
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, per_language / r["n"])))])[F.col("lang")]
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    if max_languages is not None:
+        counts = counts.orderBy(F.desc("n"), "lang").limit(max_languages)
+    each = max(1, min(per_language, sample // max(1, counts.count())))
     draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / (1 << 30)
     spare = F.greatest(F.length("text") - window, F.lit(0))
     part = F.lit(1) + F.pmod(F.xxhash64("id", F.lit(1)), spare + 1)
-    rows = known.where(draw < share).select("id", "lang", F.substring("text", part.cast("int"), F.lit(window)).alias("text"), draw.alias("draw"))
-    rows = rows.orderBy("draw", "id", "text").limit(2 * per_language * len(counts)).collect()
-    return train([(r["text"], r["lang"]) for r in rows])
+    # few more than needed are drawn before they are ranked within their language
+    drawn = known.withColumn("draw", draw).join(F.broadcast(counts), "lang").where(F.col("draw") * F.col("n") < 4 * each + 40)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id", "text"))
+    rows = drawn.select("id", "lang", F.substring("text", part.cast("int"), F.lit(window)).alias("text"), "draw").withColumn("rank", rank).where(F.col("rank") <= each)
+    rows = rows.orderBy("draw", "id", "lang", "text").select("text", "lang").collect()
+    return train([(r["text"], r["lang"]) for r in rows]) if rows else UNTRAINED
 
 
 def label_words(text: str, model: Model) -> list[tuple[str, str, float]]:
@@ -312,8 +338,9 @@ def predict(documents: DataFrame, model: Model, id_column: str = "doc_id", text_
 
         return each
 
+    size = max(1 << 16, (4 * SLICE) // max(4, len(model.languages)))
     source = documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     fold = crc_mod("id", held_out[0]) == held_out[1] if held_out else F.lit(False)
     source = source.select("id", fold.alias("held_out"), "text")
     schema = T.StructType().add("id", kind).add("held_out", "boolean").add("lang_pred", "string").add("score", "double")
-    return map_slices(source, make, schema, limit=SLICE).withColumnRenamed("id", id_column)
+    return map_slices(source, make, schema, limit=size).withColumnRenamed("id", id_column)

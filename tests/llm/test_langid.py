@@ -1,5 +1,8 @@
 import itertools
+import pathlib
 import random
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -23,7 +26,7 @@ def test_forward_backward_is_exact(block):
     for n in lengths:
         p = np.zeros((n, k))
         for path in itertools.product(range(k), repeat=int(n)):
-            w = np.prod([np.exp(scores[at + i, y]) for i, y in enumerate(path)]) * (sum(a[:, path[0]]) if n else 1) * np.prod([a[x, y] for x, y in itertools.pairwise(path)])
+            w = np.prod([np.exp(scores[at + i, y]) for i, y in enumerate(path)]) * np.prod([a[x, y] for x, y in itertools.pairwise(path)])
             for i, y in enumerate(path):
                 p[i, y] += w
         want.append(p / p.sum(axis=1, keepdims=True) if n else p)
@@ -39,20 +42,23 @@ def test_gradient_is_that_of_the_likelihood():
     def loss(scores, t):
         total = 0.0
         for s in (0, 4):
-            m = np.full(k, 1 / k)
-            z, gold, before = 0.0, 0.0, None
+            m, gold, before = None, 0.0, None
             for i in range(s, s + length):
-                m = (m @ np.exp(t)) * np.exp(scores[i])
+                m = (1 if m is None else m @ np.exp(t)) * np.exp(scores[i])
                 gold += scores[i, y[i]] + (t[before, y[i]] if before is not None else 0)
                 before = y[i]
             total += np.log(m.sum()) - gold
         return total
 
-    by_score, _ = langid._lanes_gradient(scores, y, np.exp(t), length)
+    by_score, by_pair = langid._lanes_gradient(scores, y, np.exp(t), length)
     for i, j in ((0, 0), (5, 2), (7, 1)):
         d = np.zeros_like(scores)
         d[i, j] = 1e-5
         assert abs((loss(scores + d, t) - loss(scores - d, t)) / 2e-5 - by_score[i, j]) < 1e-4
+    for i, j in itertools.product(range(k), repeat=2):
+        d = np.zeros_like(t)
+        d[i, j] = 1e-5
+        assert abs((loss(scores, t + d) - loss(scores, t - d)) / 2e-5 - by_pair[i, j]) < 1e-4
 
 
 def test_code_switched_words():
@@ -97,3 +103,21 @@ def test_every_language_is_learned(spark):
     rare = langid.predict(df.where("doc_id >= 6400"), model).collect()
     assert [x.lang_pred for x in rare] == [f"l{x.doc_id // 100:02}" for x in rare] and len(rare) == 18
     assert langid.fit(df, held_out=(1, 1), max_languages=2).languages == ("l00", "l01")
+
+
+def test_a_hundred_languages_within_bounded_memory():
+    code = """
+import random, resource, sys
+sys.path.insert(0, %r)
+from skyfix.llm import langid
+r = random.Random(4)
+syl = [[chr(0x4E00 + 4 * i + j) for j in range(4)] for i in range(100)]
+rows = [(" ".join("".join(r.choices(syl[i], k=2)) for _ in range(220)), f"l{i}") for i in range(100) for _ in range(8)]
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+m = langid.train(rows, epochs=1)
+assert len(m.languages) == 100
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss) // 1024)
+""" % str(pathlib.Path(langid.__file__).parents[2])
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=600)
+    assert out.returncode == 0, out.stderr
+    assert int(out.stdout) < 900  # megabytes of the whole process, the libraries included
