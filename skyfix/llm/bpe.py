@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyfix.llm.common import map_slices
+from skyfix.llm.common import appended
 
 #: Unicode's White_Space, which the vocabulary's \s means.
 WHITE = "\t-\r \x85\xa0  -     　"
@@ -430,19 +430,19 @@ class Decoder:
         return self.machine.decode(b"", final=True)
 
 
-def encode_decode(df: DataFrame, vocabulary_path: str, id_column: str = "doc_id", text_column: str = "text", keep_ids: bool = False) -> DataFrame:
-    """Each row's text encoded, and its ids decoded again: n_tokens, ids_sha256, decoded_sha256 (and ids, if kept)."""
-    schema = T.StructType().add(id_column, df.schema[id_column].dataType).add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+def appended_ids(df: DataFrame, vocabulary_path: str, text_column: str = "text", keep_ids: bool = False) -> DataFrame:
+    """All columns of df, and of each text encoded, and its ids decoded again: n_tokens, ids_sha256, decoded_sha256 (and ids, if kept)."""
+    added = T.StructType().add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if keep_ids:
-        schema = schema.add("ids", T.ArrayType(T.IntegerType()))
+        added = added.add("ids", T.ArrayType(T.IntegerType()))
 
     def make():
         v = vocabulary(vocabulary_path)
         enc = Encoder(v)
 
-        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        def each(column: pa.Array) -> list[pa.Array]:
             counts, shas, texts, kept = [], [], [], []
-            for lists in enc.slice([t or "" for t in batch.column(1).to_pylist()]):
+            for lists in enc.slice([t or "" for t in column.to_pylist()]):
                 h, d, dec, n, own = hashlib.sha256(), hashlib.sha256(), Decoder(v), 0, []
                 for ids in lists:
                     if ids:
@@ -456,13 +456,14 @@ def encode_decode(df: DataFrame, vocabulary_path: str, id_column: str = "doc_id"
                 shas.append(h.hexdigest())
                 texts.append(d.hexdigest())
                 kept.append(own)
-            out = [batch.column(0), pa.array(counts, pa.int64()), pa.array(shas), pa.array(texts)]
-            names = [id_column, "n_tokens", "ids_sha256", "decoded_sha256"]
-            if keep_ids:
-                out.append(pa.array(kept, pa.list_(pa.int32())))
-                names.append("ids")
-            return pa.RecordBatch.from_arrays(out, names=names)
+            return [pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(texts, pa.string()), *([pa.array(kept, pa.list_(pa.int32()))] if keep_ids else [])]
 
         return each
 
-    return map_slices(df.select(F.col(id_column), F.col(text_column).alias("text")), make, schema, limit=SLICE)
+    return appended(df, text_column, make, added, SLICE)
+
+
+def encode_decode(df: DataFrame, vocabulary_path: str, id_column: str = "doc_id", text_column: str = "text", keep_ids: bool = False) -> DataFrame:
+    """Each row's id, n_tokens, ids_sha256, decoded_sha256 (and ids, if kept)."""
+    rows = df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    return appended_ids(rows, vocabulary_path, "text", keep_ids).drop("text").withColumnRenamed("id", id_column)

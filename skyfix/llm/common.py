@@ -97,6 +97,21 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.R
     return df.mapInArrow(run, schema)
 
 
+def appended(df: DataFrame, text: str, make: Callable[[], Callable[[pa.Array], list[pa.Array]]], added: T.StructType, limit: int = SLICE_BYTES) -> DataFrame:
+    """df with further columns that the function of make() gives for a slice of texts. Other columns only pass through, whatever their names."""
+    names, at = [f"_{i}" for i in range(len(df.columns))], df.columns.index(text)
+    plain = T.StructType([*(T.StructField(n, f.dataType) for n, f in zip(names, df.schema.fields)), *(T.StructField(f"_{len(names) + i}", f.dataType) for i, f in enumerate(added.fields))])
+
+    def run(batches):
+        each = make()
+        for batch in batches:
+            for part in slices(batch, names[at], limit):
+                yield pa.RecordBatch.from_arrays([*part.columns, *each(part.column(at))], names=plain.names)
+
+    bound_batches(df.sparkSession)
+    return df.toDF(*names).mapInArrow(run, plain).toDF(*df.columns, *added.names)
+
+
 def opened(uri: str):
     """(file system, path) of a folder that all executors share, made if it isn't there."""
     from pyarrow import fs

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyfix.llm.common import crc_mod, map_slices
+from skyfix.llm.common import appended, crc_mod
 
 PER_LANGUAGE, WINDOW = 800, 2000
 BUCKETS, LEXICON, BLOCK, SLICE = 1 << 18, 1 << 16, 64, 1 << 20
@@ -314,33 +314,35 @@ def label_words(text: str, model: Model) -> list[tuple[str, str, float]]:
     return [(low[a:b], model.languages[int(x.argmax())], float(x.max())) for a, b, x in zip(w.starts.tolist(), w.ends.tolist(), p)]
 
 
-def predict(documents: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", held_out: tuple[int, int] | None = (4, 2)) -> DataFrame:
-    """Per document: id, held_out (false without a fold), lang_pred, score."""
-    kind = documents.schema[id_column].dataType
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # 4 bytes x languages x (buckets + lexicon)
-
-    def make():
-        m = shared.value
-        names = [*m.languages, "und"]
-
-        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            n, k = batch.num_rows, len(m.languages)
-            best, score = np.full(n, k), np.zeros(n)
-            if k:
-                w = Words(batch.column(2).to_pylist())
-                p = posteriors(emissions(w, m), m.transitions, w.per_text)
-                has = np.flatnonzero(w.per_text)
-                if len(has):
-                    first = (np.cumsum(w.per_text) - w.per_text)[has]
-                    mean = np.add.reduceat(p, first, axis=0) / w.per_text[has][:, None]
-                    best[has], score[has] = mean.argmax(axis=1), np.clip(mean.max(axis=1), 0, 1)
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([names[i] for i in best]), pa.array(score)], names=["id", "held_out", "lang_pred", "score"])
-
-        return each
+def _judge(m: Model):
+    """A function that gives of texts the best language and its score."""
+    names = [*m.languages, "und"]
+
+    def each(texts: pa.Array) -> list[pa.Array]:
+        n, k = len(texts), len(m.languages)
+        best, score = np.full(n, k), np.zeros(n)
+        if k:
+            w = Words(texts.to_pylist())
+            p = posteriors(emissions(w, m), m.transitions, w.per_text)
+            has = np.flatnonzero(w.per_text)
+            if len(has):
+                first = (np.cumsum(w.per_text) - w.per_text)[has]
+                mean = np.add.reduceat(p, first, axis=0) / w.per_text[has][:, None]
+                best[has], score[has] = mean.argmax(axis=1), np.clip(mean.max(axis=1), 0, 1)
+        return [pa.array([names[i] for i in best]), pa.array(score)]
+
+    return each
+
 
+def judged(documents: DataFrame, model: Model, text_column: str = "text", label: str = "lang_pred", score: str = "score") -> DataFrame:
+    """All columns of documents, and the label and score of each text."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)  # its weights are bounded, see WEIGHTS
     size = max(1 << 16, (4 * SLICE) // max(4, len(model.languages)))
-    source = documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    return appended(documents, text_column, lambda: _judge(shared.value), T.StructType().add(label, "string").add(score, "double"), size)
+
+
+def predict(documents: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", held_out: tuple[int, int] | None = (4, 2)) -> DataFrame:
+    """Per document: id, held_out (false without a fold), lang_pred, score."""
     fold = crc_mod("id", held_out[0]) == held_out[1] if held_out else F.lit(False)
-    source = source.select("id", fold.alias("held_out"), "text")
-    schema = T.StructType().add("id", kind).add("held_out", "boolean").add("lang_pred", "string").add("score", "double")
-    return map_slices(source, make, schema, limit=size).withColumnRenamed("id", id_column)
+    source = documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).withColumn("held_out", fold)
+    return judged(source, model).select(F.col("id").alias(id_column), "held_out", "lang_pred", "score")

@@ -238,9 +238,13 @@ def _mask(open_: DataFrame, percent: int, step: int, rounds: int) -> DataFrame:
     return pairs.where(_fitting(percent)).select(F.col("d").alias("member"), F.col("pivot.d").alias("pivot"))
 
 
-def similar(documents: DataFrame, n: int = WIDTH, percent: int = 75, id_column: str = "doc_id", text_column: str = "text", rounds: int = 2) -> DataFrame:
-    """Per document: id, n_shingles, component_id (the smallest id reachable by links of at least this percentage of overlap to union)."""
+def similar(documents: DataFrame, n: int = WIDTH, percent: int = 75, id_column: str = "doc_id", text_column: str = "text", rounds: int = 2, tagged: bool = False) -> DataFrame:
+    """Per document: id, n_shingles, component_id (the smallest id reachable by links of at least this percentage of overlap to union).
+
+    tagged: also digest (SHA-256 of the text) and leads: true for one row of each component (of smallest id) and for rows without n-grams."""
     docs = documents.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("binary").alias("text"))
+    if tagged:
+        docs = docs.withColumn("tag", F.unhex(F.sha2("text", 256)))
     texts = text_table(docs, _probe(n, percent), "ngram-texts")
     each = written(firsts(texts), "ngram-firsts")
     alive = _survivors(texts, each)
@@ -257,10 +261,12 @@ def similar(documents: DataFrame, n: int = WIDTH, percent: int = 75, id_column:
     root = each.join(stars.select(F.col("u").alias("row"), F.col("v").alias("up")), "row", "left").withColumn("root", F.coalesce("up", "row"))
     heads = root.where("up is not null").select("root").distinct()
     tied = root.join(heads, "root", "left_semi")
-    least = tied.groupBy("root").agg(F.min("id").alias("component"))
-    moved = tied.join(least, "root").select("a", "b", "component").unionByName(root.join(heads, "root", "left_anti").where("copies > 1").select("a", "b", F.col("id").alias("component")))
-    moved = written(moved, "ngram-moved")  # texts of one row that stay alone aren't among them
-    out = texts.select("id", "n", "a", "b").join(moved, ["a", "b"], "left").select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    least = tied.groupBy("root").agg(F.min("id").alias("component"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))["row"].alias("leader"))
+    alone = root.join(heads, "root", "left_anti").where("copies > 1").select("a", "b", F.col("id").alias("component"), F.col("row").alias("leader"))
+    moved = written(tied.join(least, "root").select("a", "b", "component", "leader").unionByName(alone), "ngram-moved")  # texts of one row that stay alone aren't among them
+    out = texts.select("row", "id", "tag", "n", "a", "b").join(moved, ["a", "b"], "left")
+    more = [F.col("tag").alias("digest"), F.coalesce(F.col("row") == F.col("leader"), F.lit(True)).alias("leads")] if tagged else []
+    out = out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), *more)
     out = written(out, "ngram-components")
     discard(texts, each, rows, posts, stars, moved)
     return out
