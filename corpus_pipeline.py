@@ -18,36 +18,41 @@ LEAST_LANGUAGE_SCORE = 0.4
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told: neither `und` nor below LEAST_LANGUAGE_SCORE. Judged row by row on the text alone."""
-    model = langid.fit(docs)
-    row = fresh(docs, "row")
-    judged = langid.predict(docs.withColumn(row, F.struct(*docs.columns)), model, id_column=row, held_out=None)
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(f"{row}.*")
+    """Documents whose language is told: neither `und` (null or empty texts, texts without a letter) nor below LEAST_LANGUAGE_SCORE.
+
+    Judged row by row on the text alone: repeated rows go or stay together; an empty table stays empty."""
+    label, score = fresh(docs, "label"), fresh(docs, "score_of_label")
+    judged = langid.judged(docs, langid.fit(docs), "text", label, score)
+    return judged.where((F.col(label) != "und") & (F.col(score) >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one whose id names the component. Rows of one id go or stay together; rows without an id stay."""
-    gone = ngramjoin.similar(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(sent(gone, "duplicates"), "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group stays: the one of smallest id (rows with an id before those without); of equal rows any one. Documents without words are in no group and stay."""
+    joined = ngramjoin.similar(docs, tagged=True).where("n_shingles > 0").groupBy("doc_id", "digest").agg(F.max("leads").alias("leads"), F.count(F.lit(1)).alias("rows"))
+    joined = joined.select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest"), "leads", "rows")
+    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.unhex(F.sha2(F.col("text").cast("binary"), 256)) == F.col("gone_digest"))
+    kept = docs.join(sent(joined.where("not leads").select("gone_id", "gone_digest"), "duplicates"), same, "left_anti")
+    again = sent(joined.where("leads and rows > 1").select("gone_id", "gone_digest"), "repeated")
+    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that stand in a document of smaller id are cut; a document that was nothing else goes."""
+    """Passages that stand in a document of smaller id are cut; a document that was nothing else goes. Documents with shorter or no texts stay as they are."""
     return suffixes.without_repeats(docs)
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the benchmark contaminates go."""
-    found = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
-    return docs.join(sent(found, "contaminated"), "doc_id", "left_anti").select(*docs.columns)
+    """Documents that the benchmark contaminates go. Those without words, and all if it has no items, stay; rows are judged by their text alone."""
+    digest = F.sha2(F.col("text").cast("binary"), 256)
+    found = decontam.decontaminate(docs.select(digest.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).where("contaminated")
+    found = sent(found.select(F.col("doc_id").alias("gone_digest")).distinct(), "contaminated")
+    return docs.join(found, digest == F.col("gone_digest"), "left_anti").select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, as ids: with n_tokens, ids_sha256 and decoded_sha256."""
-    row = fresh(docs, "row")
-    out = bpe.encode_decode(docs.withColumn(row, F.struct(*docs.columns)), public_tokenizers.path("word_bpe_49k.json"), id_column=row)
+    """What is left, as ids: with n_tokens, ids_sha256 and decoded_sha256 (which replace columns of these names). A null text is the empty one; rows keep their number."""
     made = ["n_tokens", "ids_sha256", "decoded_sha256"]
-    return out.select(*[F.col(f"{row}.`{c}`") for c in docs.columns if c.lower() not in made], *made)
+    return bpe.appended_ids(docs.drop(*[c for c in docs.columns if c.lower() in made]), public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("contamination", contamination), ("encoded", encoded)]
