@@ -31,9 +31,11 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def workspace(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared one. Only where the session names none (as in tests) a local one is set."""
+    """A fresh folder under the shared one. Only on one machine, where the session names none (as in tests), a local one is set."""
     root = spark.conf.get(SHARED, None) or spark.sparkContext.getConf().get(SHARED)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {SHARED} to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="skyfix-")
         spark.conf.set(SHARED, root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -42,7 +44,7 @@ def workspace(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: df as a Parquet table in the shared folder, which outlives any executor."""
     path = workspace(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
@@ -66,7 +68,8 @@ BATCH_RECORDS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def bound_batches(session: SparkSession) -> None:
-    if session.conf.get(BATCH_RECORDS) == "10000":
+    """Only where the user hasn't named a number (10000 included) neither at the start nor since."""
+    if session.conf.get(BATCH_RECORDS) == "10000" and not session.sparkContext.getConf().contains(BATCH_RECORDS):
         session.conf.set(BATCH_RECORDS, "1000")
 
 

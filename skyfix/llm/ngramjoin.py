@@ -93,8 +93,7 @@ def _probe(n: int, percent: int):
 
 def _survivors(texts: DataFrame, each: DataFrame) -> DataFrame:
     """Rows of different texts that share enough of their probe."""
-    entries = own_keys(texts, each)
-    found = entries.join(held_by_several(entries), "key").groupBy("row").agg(F.count(F.lit(1)).alias("found"), F.first("n").alias("n"))
+    found = held_by_several(own_keys(texts, each)).groupBy("row").agg(F.count(F.lit(1)).alias("found")).join(texts.select("row", "n"), "row")
     return written(found.where(F.col("found") >= F.greatest(F.lit(1), (F.col("n") * PROBE_SHARED).cast("long"))).select("row"), "ngram-survivors")
 
 
@@ -113,12 +112,11 @@ def _columns(rows: DataFrame, n: int) -> DataFrame:
 
 def _prefixes(columns: DataFrame, percent: int) -> DataFrame:
     """(token, d, n, pos) of the rarest n-grams of rows that can link; pos: how many of the row's n-grams come before it."""
-    entries = columns.select("row", "n", F.explode("keys").alias("key"))
-    held = entries.join(held_by_several(entries), "key")
+    held = held_by_several(columns.select("row", F.explode("keys").alias("key")))
     # a row's entries that others hold, by rarity; those that none holds come before them
     list_ = F.sort_array(F.collect_list(F.struct("holders", "key"))).alias("held")
-    rows = held.groupBy("row").agg(F.first("n").alias("n"), list_).withColumn("shared", F.size("held")).withColumn("need", F.expr(f"-floor(-n * {percent} / 100)"))
-    rows = rows.where("shared >= need").withColumn("held", F.expr("slice(held, 1, cast(shared - need + 1 as int))"))
+    rows = held.groupBy("row").agg(list_).join(columns.select("row", "n"), "row").withColumn("shared", F.size("held")).withColumn("need", F.expr(f"-floor(-n * {percent} / 100)"))
+    rows = rows.where("shared >= need").withColumn("held", F.expr("slice(held, 1, greatest(0, cast(shared - need + 1 as int)))"))
     out = rows.select(F.col("row").alias("d"), "n", "shared", F.posexplode("held").alias("rank", "x")).select(F.col("x.key").alias("token"), "d", "n", (F.col("n") - F.col("shared") + F.col("rank")).alias("pos"))
     return written(out, "ngram-prefixes")
 

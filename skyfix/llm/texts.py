@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyfix.llm import wordhash
-from skyfix.llm.common import bound_batches, slices, written
+from skyfix.llm.common import MOST_SENT, bound_batches, slices, written
 
 SLICE = 2 << 20
 
@@ -62,10 +62,18 @@ def firsts(texts: DataFrame) -> DataFrame:
 
 
 def own_keys(texts: DataFrame, each: DataFrame) -> DataFrame:
-    """(row, n, key) of the different texts: copies' keys aren't told again."""
-    return texts.select("row", "n", "keys").join(each.select("row"), "row", "left_semi").select("row", "n", F.explode("keys").alias("key"))
+    """(row, key) of the different texts: copies' keys aren't told again."""
+    rows = each.select("row")
+    if rows.limit(MOST_SENT + 1).count() <= MOST_SENT:
+        rows = F.broadcast(rows)
+    return texts.select("row", "keys").join(rows, "row", "left_semi").select("row", F.explode("keys").alias("key"))
 
 
-def held_by_several(entries: DataFrame, on: str = "key") -> DataFrame:
-    """(key, holders) of keys with two entries at least. Two-step counts, no list of holders: a key that a third of the texts hold is one row a task."""
-    return entries.groupBy(on).agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
+def held_by_several(entries: DataFrame) -> DataFrame:
+    """The (row, key) entries whose key several rows hold, with the number of holders.
+
+    Entries cross the network once: they are dealt by key, counted there, and what was counted is joined with them where they are. A row has a key once, so that even a
+    key that all rows hold is a small share of the entries (one in the keys of a row)."""
+    dealt = entries.repartition("key")
+    held = dealt.groupBy("key").agg(F.min("row").alias("lo"), F.max("row").alias("hi"), F.count(F.lit(1)).alias("holders")).where("lo < hi").select("key", "holders")
+    return dealt.join(held, "key")
