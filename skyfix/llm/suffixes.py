@@ -52,14 +52,17 @@ def minimisers(w: wordhash.Words, min_words: int, k: int) -> tuple[np.ndarray, n
 
 
 def _heads(min_words: int, k: int):
-    """extract of texts.text_table: words of each text, and the k-grams at its minimisers."""
+    """extract of texts.text_table: words of each text, and the different k-grams at its minimisers."""
 
     def extract(w: wordhash.Words):
         _, places, grams = minimisers(w, min_words, k)
-        new = np.ones(len(places), bool)
-        new[1:] = places[1:] != places[:-1]
-        owner = np.searchsorted(w.first + w.counts, places[new], side="right")
-        return w.counts, np.bincount(owner, minlength=len(w.counts)), grams[new]
+        new = np.flatnonzero(np.diff(places, prepend=-1))
+        owner, grams = np.searchsorted(w.first + w.counts, places[new], side="right"), grams[new]
+        order = np.lexsort((grams, owner))
+        owner, grams = owner[order], grams[order]
+        once = np.ones(len(owner), bool)  # a line that a text repeats is one head
+        once[1:] = (owner[1:] != owner[:-1]) | (grams[1:] != grams[:-1])
+        return w.counts, np.bincount(owner[once], minlength=len(w.counts)), grams[once]
 
     return extract
 
