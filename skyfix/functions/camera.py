@@ -14,6 +14,12 @@ DEFAULT_SEARCH = {"radius_m": 120.0, "grid_step_m": 60.0, "scales_m": (50.0, 80.
 PLANE_UNIT_MM, INCH_MM, FULL_FRAME_MM = {2: 25.4, 3: 10.0, 4: 1.0}, 25.4, 36.0
 
 
+#: Fixed value: beyond this tilt a decomposition isn't trusted.
+MAX_TILT_DEG = 75.0
+#: Under which tags the width of an image is found, the first that is there.
+WIDTH_TAGS = ("ImageWidth", "ExifImageWidth", "PixelXDimension")
+
+
 def project(h: Column, x: Column, y: Column) -> tuple[Column, Column]:
     w = h[6] * x + h[7] * y + h[8]
     return (h[0] * x + h[1] * y + h[2]) / w, (h[3] * x + h[4] * y + h[5]) / w
@@ -57,6 +63,70 @@ def pose(h: Column, width: Column, height: Column, tile: str = "tile") -> dict[s
     return {"lat": lat, "lon": lon, "yaw_deg": yaw, "ground_m_per_px": F.hypot(rx - px, ry - py) * geo.metres_per_pixel(tile)[0] * F.cos(F.radians(lat))}
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def ground_pose(g: Column, k: Column) -> Column:
+    """Of a frame-to-ground-metres homography and the intrinsics: struct of the camera's foot point east and north of the frame's centre, height and tilt.
+
+    With B = inv(K) inv(G), the first two columns scaled to a mean length of one are two axes of the camera that are nearly at right angles. The nearest rotation
+    turns them to (A'A)^(-1/2) times themselves, which has a closed form for two columns; the third axis is their cross product. The sign of the scale changes
+    the height's sign only, so the height is taken above ground. Null if a matrix is singular, the height is none, or the tilt is over MAX_TILT_DEG."""
+
+    def posed(b: Column) -> Column:
+        c = [[b[3 * i + j] for i in range(3)] for j in range(3)]
+        norm = lambda v: F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2])
+        scaled = F.transform(F.array(*c[0], *c[1], *c[2]), lambda x: x / ((norm(c[0]) + norm(c[1])) / 2))
+        return let(scaled, rotated)
+
+    def rotated(m: Column) -> Column:
+        dot = lambda i, j: m[3 * i] * m[3 * j] + m[3 * i + 1] * m[3 * j + 1] + m[3 * i + 2] * m[3 * j + 2]
+        return let(F.struct(m.alias("m"), dot(0, 0).alias("p"), dot(0, 1).alias("q"), dot(1, 1).alias("s"), dot(0, 2).alias("x"), dot(1, 2).alias("y")), placed)
+
+    def placed(v: Column) -> Column:
+        p, q, s, m = v["p"], v["q"], v["s"], v["m"]
+        d = F.sqrt(p * s - q * q)
+        f = F.sqrt(p + s + 2 * d) / ((p + d) * (s + d) - q * q)
+        east, north = -f * ((s + d) * v["x"] - q * v["y"]), -f * ((p + d) * v["y"] - q * v["x"])
+        # the third axis: the cross product of the first two, whose length is d
+        third = [(m[(i + 1) % 3] * m[3 + (i + 2) % 3] - m[(i + 2) % 3] * m[3 + (i + 1) % 3]) / d for i in range(3)]
+        height = F.abs(third[0] * m[6] + third[1] * m[7] + third[2] * m[8])
+        tilt = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), -third[2]))))
+        found = F.struct(east.alias("east_m"), north.alias("north_m"), height.alias("altitude_m"), tilt.alias("tilt_deg"))
+        fine = (d > 0) & (height > 0) & (height < F.lit(float("inf"))) & ~F.isnan(east) & ~F.isnan(north) & (tilt <= MAX_TILT_DEG)
+        return F.when(fine, found)
+
+    whole = lambda m: m.isNotNull() & F.forall(m, lambda x: x.isNotNull())
+    given = F.struct(g.alias("g"), k.alias("k"))
+    back = lambda v: F.struct(let(v["g"], inverse).alias("g"), let(v["k"], inverse).alias("k"))
+    axes = lambda v: F.when(v["g"].isNotNull() & v["k"].isNotNull(), product(v["k"], v["g"]))
+    return let(let(let(given, back), axes), lambda b: F.when(whole(b), posed(b)))
+
+
+def nadir_pose(h: Column, width: Column, height: Column, k: Column, tile: str = "tile") -> dict[str, Column]:
+    """pose(), moved from the point under the frame's centre to the camera's foot point where the intrinsics k (else null) tell it; with tilt, height and whether it was moved."""
+    seen = pose(h, width, height, tile)
+    sx, sy = geo.metres_per_pixel(tile)
+    bx, by = geo.pixel_to_mercator(*project(h, width / 2, height / 2), tile)
+    centre = F.struct(bx.alias("x"), by.alias("y"), F.cos(F.radians(seen["lat"])).alias("shrink"), h.alias("h"))
+    zero = F.lit(0.0)
+
+    def moved(c: Column) -> Column:
+        to_ground = F.array(c["shrink"] * sx, zero, c["shrink"] * (F.col(f"{tile}.minx") - c["x"]), zero, -c["shrink"] * sy, c["shrink"] * (F.col(f"{tile}.maxy") - c["y"]), zero, zero, F.lit(1.0))
+        ground = let(F.struct(to_ground.alias("t"), c["h"].alias("h")), lambda v: product(v["t"], v["h"]))
+
+        def there(found: Column) -> Column:
+            lon, lat = geo.from_mercator(c["x"] + found["east_m"] / c["shrink"], c["y"] + found["north_m"] / c["shrink"])
+            return F.when(found.isNotNull(), F.struct(lat.alias("lat"), lon.alias("lon"), found["tilt_deg"].alias("tilt_deg"), found["altitude_m"].alias("altitude_m")))
+
+        return let(ground_pose(ground, k), there)
+
+    foot = let(centre, moved)
+    return seen | {"lat": F.coalesce(foot["lat"], seen["lat"]), "lon": F.coalesce(foot["lon"], seen["lon"]), "tilt_deg": foot["tilt_deg"], "altitude_m": foot["altitude_m"], "tilt_corrected": foot.isNotNull()}
+
+
 def altitude(h: Column, width: Column, height: Column, hfov: Column, tile: str = "tile") -> dict[str, Column]:
     """Height above ground from the footprint of the frame's corners; null where the footprint is degenerate."""
     zero = F.lit(0.0)
@@ -98,9 +168,44 @@ def sensor_width(tags: dict[str, Column], width_px: Column) -> Column:
     return F.coalesce(number(tags["SensorWidth"]), F.when(res > 0, width_px / res * mm))
 
 
+def image_width(tags: dict[str, Column]) -> Column:
+    """Of the first of its tags that is there, whether it can be read or not."""
+    return number(F.coalesce(*[tags[t].cast("string") for t in WIDTH_TAGS if t in tags], F.lit(None).cast("string")))
+
+
+def principal_point(tags: dict[str, Column]) -> Column:
+    """struct of cx and cy; null unless both can be read."""
+    x, y = (number(tags[t]) if t in tags else F.lit(None).cast("double") for t in ("CalibratedOpticalCenterX", "CalibratedOpticalCenterY"))
+    return F.when(x.isNotNull() & y.isNotNull(), F.struct(x.alias("cx"), y.alias("cy")))
+
+
+def tag_intrinsics(tags: dict[str, Column]) -> Column:
+    """Intrinsics of an image's tags: struct of focal_px, principal point and field of view; null without a focal length."""
+    fov = tag_fov(tags["FOV"].cast("string")) if "FOV" in tags else F.lit(None).cast("double")
+    focal = focal_px(tags)
+    return F.when(focal.isNotNull(), F.struct(focal.alias("focal_px"), principal_point(tags).alias("principal_point"), fov.alias("hfov_deg")))
+
+
+def config_intrinsics(camera: dict) -> Column:
+    """Intrinsics of a configuration's camera section, which must name focal_px."""
+    if not camera or camera.get("focal_px") is None:
+        raise ValueError("the configuration's camera section has no focal_px")
+    fov, point = camera.get("hfov_deg"), camera.get("principal_point")
+    middle = F.struct(F.lit(float(point[0])).alias("cx"), F.lit(float(point[1])).alias("cy")) if point else F.lit(None).cast("struct<cx: double, cy: double>")
+    return F.struct(F.lit(float(camera["focal_px"])).alias("focal_px"), middle.alias("principal_point"), F.lit(None if fov is None else float(fov)).cast("double").alias("hfov_deg"))
+
+
+def long_edge(width: Column, height: Column, most: int) -> tuple[Column, Column, Column]:
+    """Size with its longer edge reduced to `most` (never enlarged), and the factor."""
+    longer = F.greatest(width, height)
+    factor = F.when(longer > most, F.lit(float(most)) / longer).otherwise(F.lit(1.0))
+    size = lambda x: F.greatest(F.lit(1), F.bround(x * factor).cast("int"))
+    return size(width), size(height), factor
+
+
 def focal_px(tags: dict[str, Column]) -> Column:
     """Calibrated pixels, else millimetres on a known sensor, else the 35 mm equivalent; null if none can be read."""
-    width = number(tags["ImageWidth"])
+    width = image_width(tags)
     sensor = sensor_width(tags, width)
     return F.coalesce(number(tags["CalibratedFocalLength"]), F.when(sensor > 0, number(tags["FocalLength"]) * width / sensor), number(tags["FocalLengthIn35mmFormat"]) / FULL_FRAME_MM * width)
 

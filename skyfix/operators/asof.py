@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def nearest(probes: DataFrame, fixes: DataFrame, key: str, on: str = "frame", keep: tuple[str, ...] = ("lat", "lon")) -> DataFrame:
+def nearest(probes: DataFrame, fixes: DataFrame, key: str, on: str = "frame", keep: tuple[str, ...] = ("lat", "lon"), ordinal: str | None = None) -> DataFrame:
     """Every probe with the fix of nearest `on` of its key, the lower one of two equally near; null without any fix.
 
+    Of fixes at one place the first by `ordinal` counts, or without it that of least values.
     One sort of probes and fixes together: the last fix before and the first after a probe are the only candidates, so nothing is paired off."""
     what = F.struct(on, *keep)
+    fixes = fixes.groupBy(key, on).agg(F.min_by(F.struct(*keep), F.struct(ordinal or F.lit(0), *keep)).alias("_one")).select(key, on, "_one.*")
     both = probes.select(key, on, F.lit(1).alias("_kind"), F.struct(*probes.columns).alias("_probe"), F.lit(None).cast(fixes.select(what.alias("f")).schema["f"].dataType).alias("_fix"))
     marks = fixes.select(key, on, F.lit(0).alias("_kind"), F.lit(None).cast(both.schema["_probe"].dataType).alias("_probe"), what.alias("_fix"))
     up = Window.partitionBy(key).orderBy(on, "_kind")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -72,6 +74,16 @@ def shard_states(planned: DataFrame, frames: DataFrame, key: str) -> DataFrame:
     return rows.select(key, "shard", "n_frames", "n_written", "n_skipped", F.when(done, "complete").otherwise("partial").alias("status"))
 
 
+class IngestMismatchError(RuntimeError):
+    """A folder holds the frames of another video, or of other settings."""
+
+
+def require_match(manifest: DataFrame, video: DataFrame, key: str, fields: list[str]) -> None:
+    """Raises an IngestMismatchError that names the fields of the first manifest that differs from its video."""
+    if (bad := mismatches(manifest, video, key, fields).where(F.size("reasons") > 0).orderBy(key).first()) is not None:
+        raise IngestMismatchError(f"{bad[key]}: {', '.join(bad['reasons'])} differ")
+
+
 def mismatches(manifest: DataFrame, video: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """Which of the identity fields differ."""
     v = video.select(key, *[F.col(f).alias(f"_{f}") for f in fields])
@@ -79,12 +91,18 @@ def mismatches(manifest: DataFrame, video: DataFrame, key: str, fields: list[str
     return manifest.join(v, key).select(key, reasons.alias("reasons"))
 
 
-def verify(manifest: DataFrame, files: DataFrame) -> DataFrame:
-    """A row for each file of the manifest (shard, status, filename, bytes, sha1) with its first failing check, if any; files (filename, content)."""
-    found = files.select("filename", "content", F.lit(True).alias("_there"))
+def whole_picture(content: Column) -> Column:
+    """Whether bytes are a JPEG stream from its first marker to its last; a decoder may be given to verify() in its place."""
+    return (F.hex(F.substring(content, 1, 2)) == "FFD8") & (F.hex(F.substring(content, -2, 2)) == "FFD9")
+
+
+def verify(manifest: DataFrame, files: DataFrame, decodes: Callable[[Column], Column] = whole_picture) -> DataFrame:
+    """A row for each file of the manifest (shard, status, filename, bytes, sha1) with its first failing check, if any; files (filename, content).
+
+    Contents are looked at where they are read; their size, digest and check are what is joined."""
+    found = files.select("filename", F.length("content").alias("_size"), F.sha1("content").alias("_sha1"), F.coalesce(decodes(F.col("content")), F.lit(False)).alias("_decodes"))
     rows = manifest.join(found, "filename", "left")
-    picture = F.hex(F.substring("content", 1, 2)) == "FFD8"
-    problem = F.when(F.col("_there").isNull(), "missing").when(F.length("content") != F.col("bytes"), "size").when(F.sha1("content") != F.col("sha1"), "sha1").when(~picture, "undecodable")
+    problem = F.when(F.col("_size").isNull(), "missing").when(F.col("_size") != F.col("bytes"), "size").when(F.col("_sha1") != F.col("sha1"), "sha1").when(~F.col("_decodes"), "undecodable")
     return rows.select("shard", "status", "filename", problem.alias("problem"))
 
 

@@ -6,6 +6,7 @@ gate looks at both. `Axis state` is (e, n, ve, vn, p, c, v)."""
 from __future__ import annotations
 
 import dataclasses
+import math
 
 import numpy as np
 import pandas as pd
@@ -25,18 +26,21 @@ class Tuning:
     init_vel_std: float = 10.0
 
 
-def start(east: float, north: float, cfg: Tuning) -> np.ndarray:
-    return np.array([east, north, 0.0, 0.0, cfg.init_pos_std**2, 0.0, cfg.init_vel_std**2])
+State = tuple[float, float, float, float, float, float, float]
 
 
-def predict(s: np.ndarray, dt: float, first: bool, cfg: Tuning) -> np.ndarray:
+def start(east: float, north: float, cfg: Tuning) -> State:
+    return east, north, 0.0, 0.0, cfg.init_pos_std**2, 0.0, cfg.init_vel_std**2
+
+
+def predict(s: State, dt: float, first: bool, cfg: Tuning) -> State:
     """The state dt later; on the first step nothing moves but noise is added (for 1e-6 s at least)."""
     move, q, t = (0.0 if first else dt), cfg.accel_std**2, max(dt, 1e-6)
     e, n, ve, vn, p, c, v = s
-    return np.array([e + move * ve, n + move * vn, ve, vn, p + 2 * move * c + move * move * v + q * t**4 / 4, c + move * v + q * t**3 / 2, v + q * t * t])
+    return e + move * ve, n + move * vn, ve, vn, p + 2 * move * c + move * move * v + q * t**4 / 4, c + move * v + q * t**3 / 2, v + q * t * t
 
 
-def update(s: np.ndarray, zx: float, zy: float, std: float, place: bool, gate: float) -> tuple[np.ndarray, bool]:
+def update(s: State, zx: float, zy: float, std: float, place: bool, gate: float) -> tuple[State, bool]:
     """A measurement of position (or of velocity); whether the gate let it in."""
     e, n, ve, vn, p, c, v = s
     var = (p if place else v) + std * std
@@ -44,52 +48,58 @@ def update(s: np.ndarray, zx: float, zy: float, std: float, place: bool, gate: f
     if gate > 0 and (yx * yx + yy * yy) / var > gate:
         return s, False
     kp, kv = (p / var, c / var) if place else (c / var, v / var)
-    if place:
-        cov = (p - kp * p, c - kp * c, v - kv * c)
-    else:
-        cov = (p - kp * c, c - kp * v, v - kv * v)
-    return np.array([e + kp * yx, n + kp * yy, ve + kv * yx, vn + kv * yy, *cov]), True
+    w = c if place else v
+    cov = (p - kp * (p if place else c), c - kp * w, v - kv * w)
+    return (e + kp * yx, n + kp * yy, ve + kv * yx, vn + kv * yy, *cov), True
 
 
-def _smooth(prior: np.ndarray, post: np.ndarray, moves: np.ndarray) -> np.ndarray:
+def _smooth(prior: list[State], post: list[State], moves: list[float]) -> list[State]:
     """Backward sweep with the 2x2 gain of one axis, applied to both."""
-    out = post.copy()
+    out = list(post)
+    later = post[-1]
     for i in range(len(post) - 2, -1, -1):
         dt = moves[i + 1]
-        p, c, v = post[i, 4:]
-        pp, pc, pv = prior[i + 1, 4:]
+        e, n, ve, vn, p, c, v = post[i]
+        qe, qn, qve, qvn, pp, pc, pv = prior[i + 1]
         det = pp * pv - pc * pc
-        a = np.array([[p + dt * c, c], [c + dt * v, v]]) @ np.array([[pv, -pc], [-pc, pp]]) / det
-        d = out[i + 1] - prior[i + 1]
-        for j in (0, 1):
-            out[i, [j, j + 2]] = post[i, [j, j + 2]] + a @ d[[j, j + 2]]
-        cov = np.array([[p, c], [c, v]]) + a @ np.array([[d[4], d[5]], [d[5], d[6]]]) @ a.T
-        out[i, 4:] = cov[0, 0], (cov[0, 1] + cov[1, 0]) / 2, cov[1, 1]
+        m00, m01, m11 = p + dt * c, c, v
+        m10 = c + dt * v
+        g00, g01 = (m00 * pv - m01 * pc) / det, (m01 * pp - m00 * pc) / det
+        g10, g11 = (m10 * pv - m11 * pc) / det, (m11 * pp - m10 * pc) / det
+        de, dn, dve, dvn, dp, dc, dv = later[0] - qe, later[1] - qn, later[2] - qve, later[3] - qvn, later[4] - pp, later[5] - pc, later[6] - pv
+        h00, h01, h10, h11 = g00 * dp + g01 * dc, g00 * dc + g01 * dv, g10 * dp + g11 * dc, g10 * dc + g11 * dv
+        cov = p + h00 * g00 + h01 * g01, c + (h00 * g10 + h01 * g11 + h10 * g00 + h11 * g01) / 2, v + h10 * g10 + h11 * g11
+        later = out[i] = (e + g00 * de + g01 * dve, n + g00 * dn + g01 * dvn, ve + g10 * de + g11 * dve, vn + g10 * dn + g11 * dvn, *cov)
     return out
 
 
+def known_times(t: np.ndarray) -> np.ndarray:
+    """Missing times filled with the one before (the first known one at the start): such a step is simultaneous with it."""
+    return pd.Series(t, dtype=float).ffill().bfill().fillna(0.0).to_numpy()
+
+
 def fuse_steps(steps: pd.DataFrame, cfg: Tuning = Tuning(), smooth: bool = True) -> pd.DataFrame:
     """Steps in order (t_s, pos_e, pos_n, and if known pos_std, vel_e, vel_n, vel_std) to states. Steps before the first fix start from it."""
     known = steps["pos_e"].notna() & steps["pos_n"].notna()
     if not known.any():
         raise ValueError("a track needs at least one position fix")
     first = steps.loc[known].iloc[0]
-    s, n = start(first["pos_e"], first["pos_n"], cfg), len(steps)
-    col = lambda name: steps[name].to_numpy(float) if name in steps else np.full(n, np.nan)
-    t, pe, pn, ps, ve, vn, vs = (col(c) for c in ("t_s", "pos_e", "pos_n", "pos_std", "vel_e", "vel_n", "vel_std"))
-    prior, post, moves = np.zeros((n, 7)), np.zeros((n, 7)), np.zeros(n)
-    used, rejected = np.zeros(n, bool), np.zeros(n, bool)
-    for i in range(n):
-        dt = max(t[i] - t[i - 1], 0.0) if i else 0.0
-        moves[i] = dt
-        s = prior[i] = predict(s, dt, i == 0, cfg)
-        if not (np.isnan(pe[i]) or np.isnan(pn[i])):
-            s, used[i] = update(s, pe[i], pn[i], cfg.fix_std_m if np.isnan(ps[i]) else ps[i], True, cfg.gate_chi2)
+    s, n = start(float(first["pos_e"]), float(first["pos_n"]), cfg), len(steps)
+    col = lambda name: steps[name].to_numpy(float).tolist() if name in steps else [math.nan] * n
+    t = known_times(steps["t_s"].to_numpy(float)).tolist()
+    prior, post, moves, used, rejected, last = [], [], [], [False] * n, [False] * n, t[0]
+    for i, (now, pe, pn, ps, ve, vn, vs) in enumerate(zip(t, *(col(c) for c in ("pos_e", "pos_n", "pos_std", "vel_e", "vel_n", "vel_std")))):
+        dt, last = max(now - last, 0.0), now
+        moves.append(dt)
+        s = predict(s, dt, i == 0, cfg)
+        prior.append(s)
+        if pe == pe and pn == pn:
+            s, used[i] = update(s, pe, pn, ps if ps == ps else cfg.fix_std_m, True, cfg.gate_chi2)
             rejected[i] = not used[i]
-        if not (np.isnan(ve[i]) or np.isnan(vn[i])):
-            s, _ = update(s, ve[i], vn[i], cfg.velocity_std if np.isnan(vs[i]) else vs[i], False, 0.0)
-        post[i] = s
-    out = _smooth(prior, post, moves) if smooth and n > 1 else post
+        if ve == ve and vn == vn:
+            s, _ = update(s, ve, vn, vs if vs == vs else cfg.velocity_std, False, 0.0)
+        post.append(s)
+    out = np.array(_smooth(prior, post, moves) if smooth and n > 1 else post)
     return pd.DataFrame({"east": out[:, 0], "north": out[:, 1], "v_east": out[:, 2], "v_north": out[:, 3], "pos_std_m": np.sqrt(np.maximum(2 * out[:, 4], 0)), "fix_used": used, "fix_rejected": rejected})
 
 
@@ -97,11 +107,11 @@ STATE = "frame long, t_s double, east double, north double, v_east double, v_nor
 
 
 def fuse_tracks(steps: DataFrame, key: str, cfg: Tuning = Tuning(), smooth: bool = True) -> DataFrame:
-    """Every track of `key` fused, a track a task's unit: the smoother needs all of it. Tracks without any fix give no rows."""
+    """Every track of `key` fused in the order of its frames, a track a task's unit: the smoother needs all of it. Tracks without any fix give no rows."""
     kind = dict(steps.dtypes)[key]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t_s", "frame"], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["frame", "t_s"], kind="stable").reset_index(drop=True)
         if not (pdf["pos_e"].notna() & pdf["pos_n"].notna()).any():
             return pd.DataFrame(columns=[key, *(c.split(" ")[0] for c in STATE.split(", "))])
         return pd.concat([pdf[[key, "frame", "t_s"]], fuse_steps(pdf, cfg, smooth)], axis=1)
@@ -109,10 +119,17 @@ def fuse_tracks(steps: DataFrame, key: str, cfg: Tuning = Tuning(), smooth: bool
     return steps.groupBy(key).applyInPandas(run, f"{key} {kind}, {STATE}")
 
 
-def fuse_scores(scores: DataFrame, key: str, cfg: Tuning = Tuning(), smooth: bool = True) -> DataFrame:
-    """Scores to fused places: locked estimates are fixes in the plane at their mean, all frames come back. Groups without a lock give no rows."""
+def locked_origin(scores: DataFrame, key: str) -> DataFrame:
+    """(key, lat, lon): the mean of the locked estimates."""
+    return scores.where(F.col("locked") & F.col("est_lat").isNotNull()).groupBy(key).agg(F.avg("est_lat").alias("lat"), F.avg("est_lon").alias("lon"))
+
+
+def fuse_scores(scores: DataFrame, key: str, cfg: Tuning = Tuning(), smooth: bool = True, ref: tuple[float, float] | None = None) -> DataFrame:
+    """Scores to fused places: locked estimates are fixes in the plane at ref (lat, lon), or at their mean; all frames come back. Groups without a lock give no rows."""
     lock = F.col("locked") & F.col("est_lat").isNotNull()
-    origin = scores.where(lock).groupBy(key).agg(F.avg("est_lat").alias("_rlat"), F.avg("est_lon").alias("_rlon"))
+    origin = locked_origin(scores, key).withColumnsRenamed({"lat": "_rlat", "lon": "_rlon"})
+    if ref:
+        origin = origin.withColumns({"_rlat": F.lit(float(ref[0])), "_rlon": F.lit(float(ref[1]))})
     e, n = geo.to_local(F.col("est_lat"), F.col("est_lon"), F.col("_rlat"), F.col("_rlon"))
     rows = scores.join(origin, key)
     steps = rows.select(key, "frame", "t_s", F.when(lock, e).alias("pos_e"), F.when(lock, n).alias("pos_n"))

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Metrics of which more is better; of any other less is.
+from skyfix.functions import geo
+
+#: Metrics of which more is better; of any other less is.
 HIGHER_IS_BETTER = ("recall_1m", "recall_5m", "recall_10m", "lock_rate")
 #: Bounds of the bands of hops from an anchor.
 HOP_BANDS = (("0-10", 0, 10), ("11-50", 11, 50), ("51+", 51, None))
@@ -47,15 +49,55 @@ def best_overall(best: DataFrame, key: str, model: str = "model") -> DataFrame:
     return votes.orderBy(F.desc("votes"), "first_key").limit(1)
 
 
+def shaped_metrics(scores: DataFrame, *keys: str, order: str = "frame") -> DataFrame:
+    """field_metrics with the shape of the track of locked frames (errors raw and after a rigid fit, lengths); null for fewer than two such frames."""
+    from skyfix.operators import trajectory
+
+    track = scores.where(scored() & F.col("est_lat").isNotNull() & F.col("est_lon").isNotNull()).withColumn("_key", F.struct(*keys))
+    enough = track.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where("_n >= 2").select("_key")
+    shape = trajectory.score(track.join(enough, "_key", "left_semi"), "_key", order)
+    shape = shape.select(*[F.col(f"_key.{k}").alias(k) for k in keys], *[c for c in shape.columns if c not in ("_key", "n")])
+    return field_metrics(scores, *keys).join(shape, list(keys), "left")
+
+
+def method_errors(rows: DataFrame, methods: list[str], method: str, *keys: str) -> DataFrame:
+    """By frame: the error of every method (null where it isn't locked), the least one and the method that has it, the first by name of equal ones."""
+    own = [F.min(F.when(scored() & (F.col(method) == m), F.col("err_m"))).alias(f"err_{m}") for m in methods]
+    lead = F.min(F.when(scored(), F.struct("err_m", method)))
+    return rows.groupBy(*keys).agg(*own, lead["err_m"].alias("best_err_m"), lead[method].alias("winner"))
+
+
+def method_table(rows: DataFrame, methods: list[str], method: str, group: str, *keys: str) -> DataFrame:
+    """By group and method: frames, locked ones, frames won, median and least error."""
+    won = method_errors(rows, methods, method, group, *keys).where("winner is not null").groupBy(group, F.col("winner").alias(method)).agg(F.count(F.lit(1)).alias("n_won"))
+    err = F.when(scored(), F.col("err_m"))
+    per = rows.groupBy(group, method).agg(F.count(F.lit(1)).alias("n"), F.count(err).alias("n_locked"), F.median(err).alias("median_err_m"), F.min(err).alias("best_err_m"))
+    return per.join(won, [group, method], "left").withColumn("n_won", F.coalesce("n_won", F.lit(0)).cast("long"))
+
+
+def validated(located: DataFrame, track: DataFrame, key: str) -> DataFrame:
+    """Located frames (key, frame, est_lat, est_lon, ...) with the truth of nearest frame (null without any) and their distance from it."""
+    from skyfix.operators import asof
+
+    rows = asof.nearest(located, track, key)
+    err = geo.haversine(F.col("fix.lat"), F.col("fix.lon"), F.col("est_lat"), F.col("est_lon"))
+    return rows.select(*located.columns, F.col("fix.lat").alias("gt_lat"), F.col("fix.lon").alias("gt_lon"), err.alias("err_m"))
+
+
 def upper_median(c: Column) -> Column:
-    """The middle value, of an even number the upper one."""
+    """The middle value of a small group, of an even number the upper one."""
     values = F.sort_array(F.collect_list(c))
     return F.get(values, F.floor(F.size(values) / 2).cast("int"))
 
 
+def upper_median_of(column: str) -> Column:
+    """The same for groups of any size: values are counted before they are shuffled, not gathered in lists."""
+    return -F.expr(f"percentile_disc(0.5) within group (order by -{column})")
+
+
 def error_stats(rows: DataFrame, *keys: str) -> DataFrame:
     e = F.col("err_m")
-    return rows.where(e.isNotNull()).groupBy(*keys).agg(F.count(e).alias("n"), upper_median(e).alias("median_err_m"), F.avg(e).alias("mean_err_m"), F.sqrt(F.avg(e * e)).alias("rmse_m"), F.max(e).alias("worst_err_m"))
+    return rows.where(e.isNotNull()).groupBy(*keys).agg(F.count(e).alias("n"), upper_median_of("err_m").alias("median_err_m"), F.avg(e).alias("mean_err_m"), F.sqrt(F.avg(e * e)).alias("rmse_m"), F.max(e).alias("worst_err_m"))
 
 
 def hop_band(hops: Column) -> Column:
@@ -67,7 +109,7 @@ def hop_band(hops: Column) -> Column:
 
 def hop_bands(rows: DataFrame, *keys: str) -> DataFrame:
     e = F.col("err_m")
-    return rows.where(e.isNotNull()).withColumn("band", hop_band(F.col("hops"))).where(F.col("band").isNotNull()).groupBy(*keys, "band").agg(F.count(e).alias("n"), upper_median(e).alias("median_err_m"), F.max(e).alias("worst_err_m"))
+    return rows.where(e.isNotNull()).withColumn("band", hop_band(F.col("hops"))).where(F.col("band").isNotNull()).groupBy(*keys, "band").agg(F.count(e).alias("n"), upper_median_of("err_m").alias("median_err_m"), F.max(e).alias("worst_err_m"))
 
 
 def binned_median(rows: DataFrame, x: str, y: str, key: str, bins: int = 24) -> DataFrame:
@@ -79,13 +121,20 @@ def binned_median(rows: DataFrame, x: str, y: str, key: str, bins: int = 24) ->
     return binned.groupBy(key, "bin").agg(F.min("centre").alias("centre"), F.median(y).alias("median_y"))
 
 
+#: Configurations of a bar chart: every frame has a bar for each.
+MOST_CONFIGS = 200
+
+
 def comparison_rows(metrics: DataFrame) -> DataFrame:
     return metrics.select("scenario", "model", (100 * F.col("recall_5m")).alias("recall_pct"), (100 * F.col("lock_rate")).alias("coverage_pct"), "median_err_m")
 
 
 def bench_bars(bench: DataFrame, stub_share: float = 0.04) -> DataFrame:
     """(config, frame_id, err_m, locked) to bars over the union of all configs' frames, in numeric order of the ids."""
-    frames, configs = bench.select("frame_id").distinct(), bench.select("config").distinct()
+    frames = bench.select("frame_id").distinct()
+    configs = bench.select("config").distinct()
+    if configs.limit(MOST_CONFIGS + 1).count() > MOST_CONFIGS:
+        raise ValueError(f"a chart of more than {MOST_CONFIGS} configurations can't be read")
     stub = bench.agg(F.coalesce(F.max("err_m") * stub_share, F.lit(1.0)).alias("stub"))  # one row
     cells = frames.join(F.broadcast(configs)).join(bench, ["config", "frame_id"], "left").join(F.broadcast(stub))
     shown = F.col("err_m").isNotNull() & F.coalesce("locked", F.lit(True))

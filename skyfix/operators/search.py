@@ -47,11 +47,19 @@ def runner_up(cands: DataFrame, best: DataFrame, separation: Column, *keys: str)
 
 
 def lock_gate(cands: DataFrame, separation: Column, min_inliers: int, ratio: float, *keys: str) -> DataFrame:
-    """Best, rival, their ratio (null without a rival or against no inliers) and whether both gates let the best pass; a row for each key."""
-    best = best_candidate(cands, *keys)
-    rival = runner_up(cands, best, separation, *keys)
-    rows = cands.select(*keys).distinct().join(best, list(keys), "left").join(rival, list(keys), "left")
-    margin = F.when(F.col("rival_inliers") > 0, F.col("n_inliers") / F.col("rival_inliers"))
+    """Best, rival, their ratio (null without a rival, infinite against no inliers) and whether both gates let the best pass; a row for each key.
+
+    One window by key tells every candidate its key's best, so that the rival and the row of the key come out of one aggregation."""
+    lead = F.struct("n_inliers", (-F.col("scan_idx")).alias("_first"))
+    posed = F.col("has_pose")
+    w = Window.partitionBy(*keys)
+    rows = cands.withColumn("_best", F.max_by(F.struct("scan_idx", "x_m", "y_m"), F.when(posed, lead)).over(w))
+    far = (F.hypot(F.col("x_m") - F.col("_best.x_m"), F.col("y_m") - F.col("_best.y_m")) >= separation) & (F.col("scan_idx") != F.col("_best.scan_idx"))
+    rows = rows.withColumns({"_is_best": F.coalesce(posed & (F.col("scan_idx") == F.col("_best.scan_idx")), F.lit(False)), "_is_far": F.coalesce(posed & far, F.lit(False))})
+    own = [F.max_by(F.when(F.col("_is_best"), F.col(c)), F.col("_is_best").cast("int")).alias(c) for c in cands.columns if c not in keys]
+    rivals = [F.max_by(F.when(F.col("_is_far"), F.col("scan_idx")), F.when(F.col("_is_far"), lead)).alias("rival_idx"), F.max(F.when(F.col("_is_far"), F.col("n_inliers"))).alias("rival_inliers")]
+    rows = rows.groupBy(*keys).agg(*own, *rivals)
+    margin = F.when(F.col("rival_inliers") > 0, F.col("n_inliers") / F.col("rival_inliers")).when(F.col("rival_inliers") == 0, F.lit(float("inf")))
     beaten = F.coalesce(F.col("n_inliers") < ratio * F.col("rival_inliers"), F.lit(False))
     return rows.withColumns({"margin_ratio": margin, "locked": F.coalesce(F.col("n_inliers") >= min_inliers, F.lit(False)) & ~beaten})
 
@@ -60,6 +68,26 @@ def fine_scales(span: Column) -> Column:
     return F.array_sort(F.array_distinct(F.array(*[F.bround(span * f, 3) for f in FINE_SCALES])))
 
 
+def fine_cells(coarse: DataFrame, *keys: str) -> DataFrame:
+    """The fine pass's cells of locked frames (lat, lon, span_m of the best candidate): a grid of a quarter of the span over half of it to each side, by the fine scales. The best cell itself is among them."""
+    priors = coarse.where("locked").select(*keys, F.col("lat").alias("prior_lat"), F.col("lon").alias("prior_lon"), F.col("span_m").alias("_span"))
+    cells = grid_centres(priors, F.col("_span") * 0.5, F.col("_span") * 0.25)
+    rows = cells.select(*keys, "centre_idx", "lat", "lon", F.size(fine_scales(F.col("_span"))).alias("_n"), F.posexplode(fine_scales(F.col("_span"))).alias("_scale", "span_m"))
+    return rows.withColumn("scan_idx", F.col("centre_idx") * F.col("_n") + F.col("_scale")).drop("_n", "_scale")
+
+
+def both_passes(coarse: DataFrame, fine: DataFrame) -> DataFrame:
+    """All candidates of the coarse and the fine pass, with the pass they are of."""
+    return coarse.withColumn("pass", F.lit("coarse")).unionByName(fine.withColumn("pass", F.lit("fine")), allowMissingColumns=True)
+
+
+def cost(radius: Column, step: Column, scales: int) -> Column:
+    """How many candidates a search has: cells of its grid by scales."""
+    single = (radius <= 0) | (step <= 0) | (step >= 2 * radius)
+    side = F.when(single, F.lit(1)).otherwise(2 * F.floor((radius + 1e-9) / F.when(step > 0, step)) + 1)
+    return (side * side * scales).cast("long")
+
+
 def refine_pick(coarse: DataFrame, fine: DataFrame, *keys: str) -> DataFrame:
     """For locked frames the fine pass's best unless it has fewer inliers; others stay as they are."""
     f = best_candidate(fine, *keys).select(*keys, F.col("n_inliers").alias("_n"), F.col("scan_idx").alias("_i"))
@@ -89,6 +117,20 @@ def error_winner(rows: DataFrame, key: str, ordinal: str) -> DataFrame:
     return rows.select(key).distinct().join(best, key, "left")
 
 
+def multisource(rows: DataFrame, key: str, source: str) -> DataFrame:
+    """By frame the locked source of most inliers (the first by name of equal ones) with its estimate; frames without any stay, unlocked."""
+    best = match_winner(rows, key, source)
+    return rows.select(key).distinct().join(best, key, "left").withColumn("locked", F.coalesce("locked", F.lit(False)))
+
+
+def source_summary(chosen: DataFrame, source: str, *keys: str) -> DataFrame:
+    """Of chosen sources: frames, locked ones, median and worst error, and how often each source was chosen."""
+    counts = chosen.where(F.col(source).isNotNull()).groupBy(*keys, source).agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(source, "_n")))).alias("chosen"))  # one entry a source
+    out = chosen.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count(source).alias("n_locked"), F.median("err_m").alias("median_err_m"), F.max("err_m").alias("worst_err_m"))
+    return out.join(counts, list(keys), "left")
+
+
 def cascade_plan(frames: DataFrame, cheap: DataFrame, budget: int, group: str) -> DataFrame:
     """refine where the cheap matcher locked, recover for the first `budget` others of a group, skip the rest."""
     locks = cheap.where(F.col("locked") & F.col("est_lat").isNotNull()).select(group, "frame", F.col("est_lat").alias("centre_lat"), F.col("est_lon").alias("centre_lon"))

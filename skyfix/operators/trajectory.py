@@ -118,12 +118,34 @@ def nearest_anchor(nodes: DataFrame, key: str) -> DataFrame:
 
 def chain_homographies(links: DataFrame, chain: DataFrame, anchors: DataFrame, key: str) -> DataFrame:
     """The homography of every chained node to its anchor's reference: the links between them multiplied in order, normalised at
-    each step; forward in time by inverse links. Links (pos: from pos to pos + 1, h), anchors (pos as `anchor`, h_to_ref)."""
-    lo, hi = F.least("pos", "anchor"), F.greatest("pos", "anchor")
-    span = chain.select(key, "pos", "anchor", lo.alias("_lo"), hi.alias("_hi"))
-    steps = span.join(links.select(key, F.col("pos").alias("_at"), "h"), key).where("_at >= _lo and _at < _hi")
-    towards = F.when(F.col("pos") > F.col("anchor"), F.col("_at")).otherwise(-F.col("_at"))
-    listed = steps.groupBy(key, "pos", "anchor").agg(F.sort_array(F.collect_list(F.struct(towards.alias("o"), F.when(F.col("pos") > F.col("anchor"), camera.inverse(F.col("h"))).otherwise(F.col("h")).alias("h")))).alias("_steps"))
-    rows = chain.select(key, "pos", "anchor", "hops").join(anchors.select(key, "anchor", "h_to_ref"), [key, "anchor"]).join(listed, [key, "pos", "anchor"], "left")
-    h = F.aggregate(F.coalesce("_steps", F.array().cast(listed.schema["_steps"].dataType)), camera.normalised(F.col("h_to_ref")), lambda acc, s: camera.normalised(camera.product(acc, s["h"])))
-    return rows.select(key, "pos", "anchor", "hops", h.alias("h"))
+    each step; forward in time by inverse links. Links (pos: from pos to pos + 1, h), anchors (pos as `anchor`, h_to_ref).
+
+    Each node brings the one link that leads on from its neighbour nearer to the anchor; the nodes of an anchor's side are folded once, and every step of the fold is a node's."""
+    forward = F.col("pos") > F.col("anchor")
+    nodes = chain.where("hops > 0").select(key, "pos", "anchor", "hops", F.when(forward, F.col("pos") - 1).otherwise(F.col("pos")).alias("_at"))
+    steps = nodes.join(links.select(key, F.col("pos").alias("_at"), "h"), [key, "_at"])
+    step = F.struct("hops", "pos", F.when(forward, camera.inverse(F.col("h"))).otherwise(F.col("h")).alias("h"))
+    sides = steps.groupBy(key, "anchor", forward.alias("_forward")).agg(F.sort_array(F.collect_list(step)).alias("_steps"))  # one anchor's side: it is folded in order
+    rows = sides.join(anchors.select(key, "anchor", "h_to_ref"), [key, "anchor"])
+    begin = F.array(F.struct(F.lit(0).cast(chain.schema["hops"].dataType).alias("hops"), F.col("anchor").alias("pos"), camera.normalised(F.col("h_to_ref")).alias("h")))
+    on = lambda acc, s: F.concat(acc, F.array(F.struct(s["hops"].alias("hops"), s["pos"].alias("pos"), camera.normalised(camera.product(F.element_at(acc, -1)["h"], s["h"])).alias("h"))))
+    chained = rows.select(key, "anchor", F.explode(F.slice(F.aggregate("_steps", begin, on), F.lit(2), F.size("_steps"))).alias("_x")).select(key, F.col("_x.pos").alias("pos"), "anchor", F.col("_x.hops").alias("hops"), F.col("_x.h").alias("h"))
+    own = chain.where("hops = 0").join(anchors.select(key, "anchor", "h_to_ref"), [key, "anchor"]).select(key, "pos", "anchor", "hops", camera.normalised(F.col("h_to_ref")).alias("h"))
+    return own.unionByName(chained)
+
+
+def chain_poses(links: DataFrame, chain: DataFrame, anchors: DataFrame, key: str, width: Column, height: Column) -> DataFrame:
+    """Chained nodes with their pose on their anchor's tile: lat, lon, yaw_deg, ground_m_per_px, and as n_inliers the weakest link (0 at an anchor).
+
+    Anchors also bring `tile` (see functions.geo); chain also has `weakest`, as nearest_anchor gives it."""
+    h = chain_homographies(links, chain, anchors, key).join(chain.select(key, "pos", "weakest"), [key, "pos"]).join(anchors.select(key, "anchor", "tile"), [key, "anchor"])
+    seen = camera.pose(F.col("h"), width, height)
+    return h.select(key, "pos", "anchor", "hops", "h", *[c.alias(n) for n, c in seen.items()], F.col("weakest").alias("n_inliers"))
+
+
+def drift(poses: DataFrame, truth: DataFrame, key: str) -> DataFrame:
+    """Distance of chained poses (pos, lat, lon) from the truth of nearest frame, by hops from their anchor."""
+    from skyfix.operators import asof
+
+    rows = asof.nearest(poses.withColumnRenamed("pos", "frame"), truth, key).where("fix is not null")
+    return rows.withColumn("err_m", geo.haversine(F.col("fix.lat"), F.col("fix.lon"), F.col("lat"), F.col("lon")))
