@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skyfix.operators import metrics, search
+from skyfix.operators import fusion, metrics, search
 from skyfix.plans.fixtures import ctes, view
 from skyfix.plans.registry import query
 
@@ -83,7 +83,7 @@ def binned_median(spark, sf_dir):
     return rounded(metrics.binned_median(rows, "frame", "err_m", "scenario"), {"centre": 6, "median_y": 6})
 
 
-BENCH = "SELECT model AS config, cast(frame AS {}) AS frame_id, err_m, locked FROM {} WHERE scenario = 3 AND (frame % 3 <> 0 OR model = 'view')"
+BENCH = "SELECT model AS config, cast(frame * 10 + scenario AS {}) AS frame_id, err_m, locked FROM {} WHERE frame % 3 <> 0 OR model = 'view'"
 
 
 @query("bench_bar_prep", ctes("contests") + f""", bench AS ({BENCH.format('varchar', 'contests')}), s AS (SELECT coalesce(max(err_m) * 0.04e0, 1e0) AS stub FROM bench)
@@ -103,7 +103,7 @@ def track_bbox(spark, sf_dir):
 
 @query("locked_origin", ctes("frame_scores") + " SELECT scenario, round(avg(est_lat), 9) AS lat, round(avg(est_lon), 9) AS lon FROM frame_scores WHERE locked AND est_lat IS NOT NULL GROUP BY scenario")
 def locked_origin(spark, sf_dir):
-    return rounded(view(spark, sf_dir, "frame_scores").where("locked and est_lat is not null").groupBy("scenario").agg(F.avg("est_lat").alias("lat"), F.avg("est_lon").alias("lon")), {"lat": 9, "lon": 9})
+    return rounded(fusion.locked_origin(view(spark, sf_dir, "frame_scores"), "scenario"), {"lat": 9, "lon": 9})
 
 
 WIN = ", w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scenario, frame ORDER BY n_inliers DESC, model) AS k FROM contests WHERE locked AND est_lat IS NOT NULL) x WHERE k = 1)"
@@ -121,10 +121,9 @@ def matcher_winner(spark, sf_dir):
 @query("provider_choice", ctes("contests") + WIN + """, f AS (SELECT DISTINCT scenario, frame FROM contests)
 SELECT f.scenario, count(*) AS n, count(w.model) AS n_locked, round(median(w.err_m), 6) AS median_err_m, round(max(w.err_m), 6) AS worst_err_m, count(CASE WHEN w.model = 'view' THEN 1 END) AS n_view FROM f LEFT JOIN w USING (scenario, frame) GROUP BY f.scenario""")
 def provider_choice(spark, sf_dir):
-    rows = _keyed(spark, sf_dir)
-    best = search.match_winner(rows, "key", "model").select("key", "model", "err_m")
-    out = rows.select("scenario", "key").distinct().join(best, "key", "left").groupBy("scenario").agg(F.count(F.lit(1)).alias("n"), F.count("model").alias("n_locked"), F.median("err_m").alias("median_err_m"), F.max("err_m").alias("worst_err_m"), F.count_if(F.col("model") == "view").alias("n_view"))
-    return rounded(out)
+    chosen = search.multisource(_keyed(spark, sf_dir), "key", "model").select("key.scenario", "model", "err_m")
+    out = search.source_summary(chosen, "model", "scenario")
+    return rounded(out.withColumn("n_view", F.coalesce(F.col("chosen")["view"], F.lit(0))).drop("chosen"))
 
 
 @query("error_winner", ctes("contests") + """, w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scenario, frame ORDER BY err_m, model) AS k FROM contests WHERE locked AND err_m IS NOT NULL) x WHERE k = 1)
@@ -150,3 +149,18 @@ def cascade_coverage(spark, sf_dir):
     frames = rows.groupBy("scenario", "frame").agg(F.max(metrics.scored()).alias("hit")).groupBy("scenario").agg(F.count(F.lit(1)).alias("n_frames"), F.count_if("hit").alias("n_covered"))
     single = rows.groupBy("scenario", "model").agg(F.count_if("locked").alias("c")).groupBy("scenario").agg(F.max("c").alias("best_single"))
     return frames.join(single, "scenario").withColumn("coverage", F.round(F.col("n_covered") / F.col("n_frames"), 9))
+
+
+@query("method_errors", ctes("contests") + f""", k AS (SELECT scenario, frame, model, err_m, row_number() OVER (PARTITION BY scenario, frame ORDER BY err_m, model) AS r FROM contests WHERE {HIT})
+SELECT f.scenario, f.frame, round(f.v, 6) AS err_view, round(f.c, 6) AS err_click, round(k.err_m, 6) AS best_err_m, k.model AS winner
+FROM (SELECT scenario, frame, min(CASE WHEN {HIT} AND model = 'view' THEN err_m END) AS v, min(CASE WHEN {HIT} AND model = 'click' THEN err_m END) AS c FROM contests GROUP BY scenario, frame) f LEFT JOIN k ON k.scenario = f.scenario AND k.frame = f.frame AND k.r = 1""")
+def method_errors(spark, sf_dir):
+    return rounded(metrics.method_errors(view(spark, sf_dir, "contests"), ["view", "click"], "model", "scenario", "frame"), {"err_view": 6, "err_click": 6, "best_err_m": 6})
+
+
+@query("method_table", ctes("contests") + f""", k AS (SELECT scenario, model, row_number() OVER (PARTITION BY scenario, frame ORDER BY err_m, model) AS r FROM contests WHERE {HIT}),
+w AS (SELECT scenario, model, count(*) AS n_won FROM k WHERE r = 1 GROUP BY scenario, model)
+SELECT c.scenario, c.model, count(*) AS n, count(CASE WHEN {HIT} THEN 1 END) AS n_locked, round(median(CASE WHEN {HIT} THEN err_m END), 6) AS median_err_m, round(min(CASE WHEN {HIT} THEN err_m END), 6) AS best_err_m, coalesce(max(w.n_won), 0) AS n_won
+FROM contests c LEFT JOIN w ON w.scenario = c.scenario AND w.model = c.model GROUP BY c.scenario, c.model""")
+def method_table(spark, sf_dir):
+    return rounded(metrics.method_table(view(spark, sf_dir, "contests"), [], "model", "scenario", "frame"), {"median_err_m": 6, "best_err_m": 6})

@@ -9,6 +9,7 @@ from skyfix.plans.fixtures import ctes, view
 from skyfix.plans.geometry import lat_of, lon_of, merc_x, merc_y
 from skyfix.plans.registry import query
 from skyfix.plans.scoring import rounded
+from skyfix.sources import benchmark, tables
 
 PRIORS = "SELECT event_id, lat AS prior_lat, lon AS prior_lon, cast((event_id % 5) * 60 AS double) AS radius, cast(30 + (event_id % 3) * 30 AS double) AS step FROM {points}"
 GRID = f""", p AS ({PRIORS.replace('{points}', 'points')}), q AS (SELECT *, CASE WHEN radius <= 0 OR step <= 0 OR step >= 2 * radius THEN 0 ELSE cast(floor((radius + 1e-9) / step) AS bigint) END AS n FROM p),
@@ -27,9 +28,9 @@ def grid_centers(spark, sf_dir):
 
 
 @query("candidate_grid", ctes("points") + GRID + """, s AS (SELECT * FROM (VALUES (0, 50e0), (1, 80e0), (2, 110e0), (3, 140e0)) v(scale_idx, span_m)), m AS (SELECT * FROM (VALUES (0, 'pnoa'), (1, 'esri')) v(provider_ord, provider))
-SELECT event_id, provider, count(*) AS n_cells, max(((dy + n) * (2 * n + 1) + dx + n) * 4 + scale_idx) AS last_scan, round(sum(span_m), 3) AS span_sum FROM c, s, m WHERE event_id % 4 = 1 GROUP BY event_id, provider""")
+SELECT event_id, provider, count(*) AS n_cells, max(((dy + n) * (2 * n + 1) + dx + n) * 4 + scale_idx) AS last_scan, round(sum(span_m), 3) AS span_sum FROM c, s, m GROUP BY event_id, provider""")
 def candidate_grid(spark, sf_dir):
-    return candidate_grid_all(spark, sf_dir).where("event_id % 4 = 1")  # the rows that the SQL lists
+    return candidate_grid_all(spark, sf_dir)
 
 
 @query("candidate_grid_all")
@@ -90,7 +91,7 @@ SELECT event_id, CASE WHEN radius <= 0 OR step >= 2 * radius THEN 1 ELSE cast(po
   round(12 * CASE WHEN radius <= 0 OR step >= 2 * radius THEN 1 ELSE pow(2 * floor((radius + 1e-9) / step) + 1, 2) END * 4 * CASE event_type WHEN 'click' THEN 0.15e0 WHEN 'view' THEN 3.2e0 WHEN 'error' THEN 6e0 ELSE 1e0 END, 6) AS eta_s FROM s""")
 def cost_plan(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id", "event_type", "cast((event_id % 5) * 60 as double) as radius", "cast(30 + (event_id % 3) * 30 as double) as step")
-    n = F.when((F.col("radius") <= 0) | (F.col("step") >= 2 * F.col("radius")), F.lit(1)).otherwise(F.pow(2 * F.floor((F.col("radius") + 1e-9) / F.col("step")) + 1, F.lit(2))).cast("long") * 4
+    n = search.cost(F.col("radius"), F.col("step"), 4)
     seconds = F.expr("case event_type when 'click' then 0.15e0 when 'view' then 3.2e0 when 'error' then 6e0 else 1e0 end")
     return rows.select("event_id", n.alias("n_candidates"), F.round(12 * n * seconds, 6).alias("eta_s"))
 
@@ -116,24 +117,50 @@ def left_nearest_join(spark, sf_dir):
     return rounded(out.select("track", "frame", F.col("fix.frame").alias("fix_frame"), "fix.lat"), {"lat": 9})
 
 
-@query("stem_left_join", """WITH i AS (SELECT p_partkey, 'dir/IMG_' || (p_partkey % 700) || '.JPG' AS path FROM part), t AS (SELECT 'img_' || s_suppkey || '.png' AS filename, s_acctbal FROM supplier WHERE s_suppkey % 7 <> 0)
-SELECT i.p_partkey, row_number() OVER (ORDER BY i.p_partkey) - 1 AS idx, lower(regexp_replace(regexp_replace(path, '^.*/', ''), '\\.[^.]*$', '')) AS stem, t.s_acctbal FROM i LEFT JOIN t ON lower(regexp_replace(regexp_replace(path, '^.*/', ''), '\\.[^.]*$', '')) = lower(regexp_replace(regexp_replace(filename, '^.*/', ''), '\\.[^.]*$', ''))""")
+STEM = "lower(regexp_replace(regexp_replace({}, '^.*/', ''), '\\.[^.]*$', ''))"
+
+
+@query("stem_left_join", f"""WITH i AS (SELECT 'r' || (p_partkey % 2) AS region, 'dir/IMG_' || (p_partkey % 700) || '_' || p_partkey || '.JPG' AS path, p_partkey % 9 <> 0 AS readable FROM part),
+t AS (SELECT 'r' || (s_suppkey % 2) AS region, 'img_' || (s_suppkey % 700) || '_' || s_suppkey || '.png' AS filename, s_acctbal, s_suppkey FROM supplier WHERE s_suppkey % 7 <> 0 UNION ALL SELECT 'r' || ((s_suppkey + 1) % 2), 'IMG_' || (s_suppkey % 700) || '_' || s_suppkey || '.png', -1e0, s_suppkey + 1000000 FROM supplier),
+u AS (SELECT region, {STEM.format('filename')} AS stem, arg_max(s_acctbal, s_suppkey) AS lat FROM t GROUP BY 1, 2),
+n AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY path) - 1 AS frame FROM i)
+SELECT n.region, n.path, n.frame, {STEM.format('n.path')} AS stem, round(cast(u.lat AS double), 6) AS gt_lat FROM n LEFT JOIN u ON u.region = n.region AND u.stem = {STEM.format('n.path')} WHERE n.readable""")
 def stem_left_join(spark, sf_dir):
-    images = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey", "'dir/IMG_' || (p_partkey % 700) || '.JPG' as path")
-    truth = spark.read.parquet(f"{sf_dir}/supplier.parquet").where("s_suppkey % 7 <> 0").selectExpr("'img_' || s_suppkey || '.png' as filename", "s_acctbal")
-    rows = images.withColumn("stem", asof.file_stem(F.col("path"))).join(truth.select(asof.file_stem(F.col("filename")).alias("stem"), "s_acctbal"), "stem", "left")
-    index = images.agg(F.min("p_partkey").alias("lo"))  # keys are consecutive: a position without a global sort
-    return rows.join(F.broadcast(index)).select("p_partkey", (F.col("p_partkey") - F.col("lo")).alias("idx"), "stem", "s_acctbal")
+    """Two regions whose files share their stems."""
+    images = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("'r' || (p_partkey % 2) as region", "'dir/IMG_' || (p_partkey % 700) || '_' || p_partkey || '.JPG' as path", "p_partkey % 9 <> 0 as readable")
+    supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    name = "(s_suppkey % 700) || '_' || s_suppkey || '.png' as `Image_Name`"
+    truth = supplier.where("s_suppkey % 7 <> 0").selectExpr("'r' || (s_suppkey % 2) as region", f"'img_' || {name}", "cast(s_acctbal as string) as ` GPS-lat`", "'1' as long", "s_suppkey as _order")
+    other = supplier.selectExpr("'r' || ((s_suppkey + 1) % 2) as region", f"'IMG_' || {name}", "'-1' as ` GPS-lat`", "'1' as long", "s_suppkey + 1000000 as _order")
+    return benchmark.region_samples(images, truth.unionByName(other)).select("region", "path", "frame", "stem", F.round("gt_lat", 6).alias("gt_lat"))
+
+
+RANGED = "SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'sat' || s_suppkey || '.tif' WHEN 1 THEN 'map' || s_suppkey || '.png' ELSE 'm-' || s_suppkey || '.tif' END AS name, CASE WHEN s_suppkey % 11 <> 0 THEN s_suppkey / 10e0 END AS top FROM {supplier}"
 
 
-@query("cascading_range_lookup", """WITH q AS (SELECT o_orderkey, 'sat' || (o_orderkey % 300) AS k0, 'map' || (o_custkey % 300) AS k1, cast(o_orderkey % 450 AS varchar) AS k2, cast(o_custkey % 150 AS varchar) AS k3 FROM orders),
-r AS (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'sat' || s_suppkey WHEN 1 THEN 'map' || s_suppkey ELSE cast(s_suppkey AS varchar) END AS key FROM supplier)
-SELECT o_orderkey, coalesce(a.s_suppkey, b.s_suppkey, c.s_suppkey, d.s_suppkey) AS map_id, CASE WHEN a.s_suppkey IS NOT NULL THEN 0 WHEN b.s_suppkey IS NOT NULL THEN 1 WHEN c.s_suppkey IS NOT NULL THEN 2 WHEN d.s_suppkey IS NOT NULL THEN 3 END AS level
-FROM q LEFT JOIN r a ON a.key = k0 LEFT JOIN r b ON b.key = k1 LEFT JOIN r c ON c.key = k2 LEFT JOIN r d ON d.key = k3""")
+@query("cascading_range_lookup", f"""WITH q AS (SELECT o_orderkey, 'sat' || (o_orderkey % 300) AS k0, 'map' || (o_custkey % 300) AS k1, cast(o_orderkey % 300 AS varchar) AS k2, cast(o_custkey % 300 AS varchar) AS k3 FROM orders),
+r AS (SELECT * FROM ({RANGED.replace('{supplier}', 'supplier')}) x WHERE top IS NOT NULL),
+s AS (SELECT lower(regexp_replace(name, '\\.[^.]*$', '')) AS key, arg_max(top, s_suppkey) AS top FROM r GROUP BY 1),
+l AS (SELECT * FROM s UNION ALL SELECT * FROM (SELECT regexp_replace(name, '[^0-9]', '', 'g') AS key, arg_min(top, s_suppkey) AS top FROM r GROUP BY 1) d WHERE key NOT IN (SELECT key FROM s))
+SELECT o_orderkey, round(coalesce(a.top, b.top, c.top, d.top), 6) AS max_lat, CASE WHEN a.top IS NOT NULL THEN 0 WHEN b.top IS NOT NULL THEN 1 WHEN c.top IS NOT NULL THEN 2 WHEN d.top IS NOT NULL THEN 3 END AS level
+FROM q LEFT JOIN l a ON a.key = k0 LEFT JOIN l b ON b.key = k1 LEFT JOIN l c ON c.key = k2 LEFT JOIN l d ON d.key = k3""")
 def cascading_range_lookup(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey", "'sat' || (o_orderkey % 300) as k0", "'map' || (o_custkey % 300) as k1", "cast(o_orderkey % 450 as string) as k2", "cast(o_custkey % 150 as string) as k3")
-    ranges = spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr("s_suppkey as map_id", "case s_suppkey % 3 when 0 then 'sat' || s_suppkey when 1 then 'map' || s_suppkey else cast(s_suppkey as string) end as key")
-    return asof.first_of(rows, ranges, ["k0", "k1", "k2", "k3"], "key", "map_id").select("o_orderkey", "map_id", F.col("level").cast("long").alias("level"))
+    """Extents under the map's stem, the region's name, or the digits of either; rows without a corner have none."""
+    regions = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey", "'d/sat' || (o_orderkey % 300) || '.tif' as map_path", "'Map' || (o_custkey % 300) as region")
+    rows = spark.sql(RANGED, supplier=spark.read.parquet(f"{sf_dir}/supplier.parquet"))
+    ranges = rows.select(F.col("name").alias("Map Name"), F.col("top").alias("LT_lat_map"), F.lit(1.0).alias("west"), (F.col("top") - 1).alias("rb_lat"), F.lit(2.0).alias("east"), F.col("s_suppkey").alias("_order"))
+    ranges = tables.aliased(ranges, tables.RANGE_ALIASES, ("_order",))
+    return benchmark.region_maps(regions, ranges, "_order").select("o_orderkey", F.round("box.max_lat", 6).alias("max_lat"), F.col("level").cast("long").alias("level"))
+
+
+@query("fine_cells", ctes("candidates") + GATED + """, f AS (SELECT g.frame, b.span_m AS span, 43.521955e0 + b.x_m * 1e-5 AS lat FROM gated g JOIN best b USING (frame) WHERE locked),
+s AS (SELECT frame, span, unnest(list_sort(list_distinct([round_even(span * 0.85e0, 3), round_even(span * 0.925e0, 3), round_even(span, 3), round_even(span * 1.075e0, 3), round_even(span * 1.15e0, 3)]))) AS span_m FROM f)
+SELECT frame, 25 * count(*) AS n_cells, 25 * count(*) - 1 AS last_scan, round(25 * sum(span_m), 3) AS span_sum FROM s GROUP BY frame""")
+def fine_cells(spark, sf_dir):
+    """Size of the fine pass of every locked frame."""
+    cands = view(spark, sf_dir, "candidates").withColumns({"lat": F.lit(43.521955) + F.col("x_m") * 1e-5, "lon": F.lit(-5.62429) + F.col("y_m") * 1e-5})
+    cells = search.fine_cells(search.lock_gate(cands, F.lit(90.0), 20, 1.3, "frame"), "frame")
+    return cells.groupBy("frame").agg(F.count(F.lit(1)).alias("n_cells"), F.max("scan_idx").cast("long").alias("last_scan"), F.round(F.sum("span_m"), 3).alias("span_sum"))
 
 
 @query("missing_frames", "SELECT DISTINCT o_custkey AS frame FROM orders WHERE o_custkey NOT IN (SELECT user_id * 3 FROM events)")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +15,7 @@ from skyfix.plans.geometry import hav, m_lat, m_lon
 from skyfix.plans.registry import query
 from skyfix.plans.scoring import rounded
 from skyfix.sources import export, tables, telemetry
+from skyfix.sources.tables import shared_folder
 
 
 def _events(spark, sf_dir):
@@ -204,12 +207,9 @@ gt AS (SELECT track, frame % 97 AS frame, avg(lat) AS glat, avg(lon) AS glon FRO
 nr AS (SELECT p.*, glat, glon, row_number() OVER (PARTITION BY p.track, p.frame ORDER BY abs(g.frame - p.frame), g.frame) AS k FROM pose p JOIN gt g USING (track))
 SELECT track, frame, hops, anchor, round({hav('glat', 'glon', 'lat', 'lon')}, 6) AS err_m FROM nr WHERE k = 1""")
 def drift_curve(spark, sf_dir):
-    from skyfix.operators import asof
-
-    pose = _chain(spark, sf_dir).select("track", F.col("pos").alias("frame"), "hops", "anchor", (F.lit(43.521955) + F.col("pos") * 1e-6).alias("lat"), (F.lit(-5.62429) + F.col("hops") * 1e-6).alias("lon"))
+    pose = _chain(spark, sf_dir).select("track", "pos", "hops", "anchor", (F.lit(43.521955) + F.col("pos") * 1e-6).alias("lat"), (F.lit(-5.62429) + F.col("hops") * 1e-6).alias("lon"))
     truth = view(spark, sf_dir, "gps_track").groupBy("track", (F.col("frame") % 97).alias("frame")).agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
-    rows = asof.nearest(pose, truth, "track").where("fix is not null")
-    return rows.select("track", "frame", "hops", "anchor", F.round(geo.haversine(F.col("fix.lat"), F.col("fix.lon"), F.col("lat"), F.col("lon")), 6).alias("err_m"))
+    return trajectory.drift(pose, truth, "track").select("track", "frame", "hops", "anchor", F.round("err_m", 6).alias("err_m"))
 
 
 COORDS = "string_agg(CASE WHEN {a} IS NOT NULL THEN printf('%.8f,%.8f,0', {b}, {a}) END, ' ' ORDER BY frame)"
@@ -220,9 +220,9 @@ def _kml(rows):
     return export.kml(rows, "scenario").select("scenario", "estimated", "ground_truth")
 
 
-@query("kml_track", ctes("frame_scores") + f" SELECT scenario, coalesce({COORDS.format(a='(est_lat + 3e-11)', b='(est_lon + 3e-11)')}, '') AS estimated, coalesce({COORDS.format(a='gt_lat', b='gt_lon')}, '') AS ground_truth FROM frame_scores WHERE frame % 10 = 3 GROUP BY scenario")
+@query("kml_track", ctes("frame_scores") + f" SELECT scenario, coalesce({COORDS.format(a='(est_lat + 3e-11)', b='(est_lon + 3e-11)')}, '') AS estimated, coalesce({COORDS.format(a='gt_lat', b='gt_lon')}, '') AS ground_truth FROM frame_scores GROUP BY scenario")
 def kml_track(spark, sf_dir):
-    return _kml(view(spark, sf_dir, "frame_scores").where("frame % 10 = 3"))  # the frames that the SQL lists
+    return _kml(view(spark, sf_dir, "frame_scores"))
 
 
 @query("kml_track_all")
@@ -243,6 +243,16 @@ def geojson_track(spark, sf_dir):
     return export.geojson(view(spark, sf_dir, "frame_scores"), "scenario")
 
 
+@query("geojson_features", ctes("frame_scores") + """ SELECT * FROM (SELECT scenario, 'estimate' AS track, count(est_lat) AS n, CASE WHEN count(est_lat) > 1 THEN 'LineString' ELSE 'Point' END AS kind, round(arg_min(est_lon, frame) FILTER (WHERE est_lat IS NOT NULL), 10) AS first_lon FROM frame_scores GROUP BY scenario
+  UNION ALL SELECT scenario, 'ground_truth', count(gt_lat), CASE WHEN count(gt_lat) > 1 THEN 'LineString' ELSE 'Point' END, round(arg_min(gt_lon, frame), 10) FROM frame_scores GROUP BY scenario) x WHERE n > 0""")
+def geojson_features(spark, sf_dir):
+    """What the GeoJSON text says, read back."""
+    schema = "features ARRAY<STRUCT<properties: STRUCT<track: STRING, name: STRING, n: BIGINT>, geometry: STRUCT<type: STRING, coordinates: STRING>>>"
+    rows = export.geojson(view(spark, sf_dir, "frame_scores"), "scenario").select("scenario", F.explode(F.from_json("geojson", schema)["features"]).alias("f"))
+    first = F.regexp_extract("f.geometry.coordinates", r"([-0-9.E]+),", 1).cast("double")
+    return rows.select("scenario", "f.properties.track", "f.properties.n", F.col("f.geometry.type").alias("kind"), F.round(first, 10).alias("first_lon"))
+
+
 @query("ratio_test_knn", """WITH d AS (SELECT q.label, q.vec_id AS query_id, t.vec_id AS train_id, sqrt(list_sum(list_transform(list_zip(q.embedding, t.embedding), lambda x: pow(cast(x[1] AS double) - cast(x[2] AS double), 2)))) AS dist FROM embeddings q JOIN embeddings t ON q.label = t.label AND q.vec_id % 2 = 0 AND t.vec_id % 2 = 1),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, train_id) AS k, lead(dist) OVER (PARTITION BY query_id ORDER BY dist, train_id) AS nxt FROM d) SELECT query_id, train_id, round(dist, 6) AS distance FROM r WHERE k = 1 AND dist < 0.95e0 * nxt""")
 def ratio_test_knn(spark, sf_dir):
@@ -262,18 +272,29 @@ def doc_frame_order(spark, sf_dir):
     return rows.select("track", "doc", (F.row_number().over(Window.partitionBy("track").orderBy("doc")) - 1).cast("long").alias("slot"), (F.col("doc") - 1).alias("frame"))
 
 
-@query("telemetry_pivot")
+@query("telemetry_pivot", """WITH d AS (SELECT user_id AS track, event_id % 97 AS frame, arg_max(printf('%.6f', 43e0 + value / 1000e0), event_id) AS lat, arg_max(printf('%.6f', -5e0 - value / 1000e0), event_id) AS lon, max(event_id) AS t FROM events GROUP BY 1, 2)
+SELECT track, frame, cast(t AS double) AS t_s, cast(lat AS double) AS lat, cast(lon AS double) AS lon, cast(NULL AS double) AS alt_m, true AS valid FROM d WHERE abs(cast(lat AS double)) <= 90 AND abs(cast(lon AS double)) <= 180""")
 def telemetry_pivot(spark, sf_dir):
     """One grouped JSON object a track, made of its events, read back as fixes."""
     e = _events(spark, sf_dir)
     n = F.concat(F.lit("Doc"), (F.col("event_id") % 97 + 1).cast("string"), F.lit(":"))
-    tags = [F.struct(F.concat(n, F.lit(t)).alias("key"), v.cast("string").alias("value")) for t, v in (("GPSLatitude", 43 + F.col("value") / 1000), ("GPSLongitude", -5 - F.col("value") / 1000), ("SampleTime", F.concat(F.col("event_id").cast("string"), F.lit(" s"))))]
-    pairs = e.select("user_id", F.explode(F.array(*tags)).alias("t")).groupBy("user_id", "t.key").agg(F.max("t.value").alias("value"))
+    six = lambda c: F.format_string("%.6f", c)
+    tags = [F.struct(F.concat(n, F.lit(t)).alias("key"), v.alias("value")) for t, v in (("GPSLatitude", six(43 + F.col("value") / 1000)), ("GPSLongitude", six(-5 - F.col("value") / 1000)), ("SampleTime", F.concat(F.col("event_id").cast("string"), F.lit(" s"))))]
+    pairs = e.select("user_id", "event_id", F.explode(F.array(*tags)).alias("t")).groupBy("user_id", "t.key").agg(F.max_by("t.value", "event_id").alias("value"))
     docs = pairs.groupBy(F.col("user_id").alias("track")).agg(F.to_json(F.array(F.map_from_entries(F.collect_list(F.struct("key", "value"))))).alias("json"))
     return telemetry.fixes(docs).where("valid")
 
 
-@query("chain_homographies")
+CHAINED = BRUTE + """, lk AS (SELECT track, idx_from AS at, cos(theta) AS c, sin(theta) AS s, tx, ty FROM vo_links WHERE NOT is_break),
+st AS (SELECT b.track, b.anchor, b.pos, b.hops, b.pos > b.anchor AS fwd, CASE WHEN b.pos > b.anchor THEN c ELSE c END AS p, CASE WHEN b.pos > b.anchor THEN s ELSE -s END AS q, CASE WHEN b.pos > b.anchor THEN -(c * tx + s * ty) ELSE tx END AS u, CASE WHEN b.pos > b.anchor THEN s * tx - c * ty ELSE ty END AS z
+  FROM best b JOIN lk ON lk.track = b.track AND lk.at = CASE WHEN b.pos > b.anchor THEN b.pos - 1 ELSE b.pos END WHERE b.hops > 0),
+r AS (SELECT track, anchor, pos, hops, NULL::boolean AS fwd, 1e0 AS a, 0e0 AS b, 1500e0 AS x, 0e0 AS d, 1e0 AS e, 1500e0 AS y FROM best WHERE hops = 0
+  UNION ALL SELECT n.track, n.anchor, n.pos, n.hops, n.fwd, r.a * n.p - r.b * n.q, r.a * n.q + r.b * n.p, r.a * n.u + r.b * n.z + r.x, r.d * n.p - r.e * n.q, r.d * n.q + r.e * n.p, r.d * n.u + r.e * n.z + r.y
+  FROM r JOIN st n ON n.track = r.track AND n.anchor = r.anchor AND n.hops = r.hops + 1 AND coalesce(r.fwd, n.fwd) = n.fwd)
+SELECT track, pos, anchor, hops, round(a, 6) + 0e0 AS h0, round(b, 6) + 0e0 AS h1, round(x, 4) + 0e0 AS h2, round(d, 6) + 0e0 AS h3, round(e, 6) + 0e0 AS h4, round(y, 4) + 0e0 AS h5, 0e0 AS h6, 0e0 AS h7, 1e0 AS h8 FROM r"""
+
+
+@query("chain_homographies", ctes("vo_links").replace("WITH ", "WITH RECURSIVE ", 1) + CHAINED)
 def chain_homographies(spark, sf_dir):
     links = view(spark, sf_dir, "vo_links").withColumn("pos", F.col("idx_from").cast("long"))
     c, s = F.cos("theta"), F.sin("theta")
@@ -281,15 +302,17 @@ def chain_homographies(spark, sf_dir):
     h = F.array(c, -s, F.col("tx"), s, c, F.col("ty"), zero, zero, one)
     anchors = links.where("is_anchor").select("track", F.col("pos").alias("anchor"), F.array(one, zero, F.lit(1500.0), zero, one, F.lit(1500.0), zero, zero, one).alias("h_to_ref"))
     chain = trajectory.chain_homographies(links.where(~F.col("is_break")).select("track", "pos", h.alias("h")), _chain(spark, sf_dir), anchors, "track")
-    return chain.select("track", "pos", "anchor", "hops", *[F.col("h")[i].alias(f"h{i}") for i in range(9)])
+    return chain.select("track", "pos", "anchor", "hops", *[(F.round(F.col("h")[i], 4 if i in (2, 5) else 6) + F.lit(0.0)).alias(f"h{i}") for i in range(9)])
 
 
-@query("ground_pose_decompose")
+@query("ground_pose_decompose", ctes("homographies") + " SELECT frame, 0e0 AS east_m, 0e0 AS north_m, round(90e0 * sqrt(a * a + b * b), 6) AS altitude_m, 0e0 AS tilt_deg FROM homographies")
 def ground_pose_decompose(spark, sf_dir):
+    """A camera straight above the frame's centre: its height is the focal length times the metres of a pixel."""
     g = F.expr("array(a / 10, -b / 10, -64 * a + 36 * b, -b / 10, -a / 10, 64 * b + 36 * a, 0e0, 0e0, 1e0)")
     k = camera.intrinsics(F.lit(900.0), F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(1280.0), F.lit(720.0))
     rows = view(spark, sf_dir, "homographies").select("frame", g.alias("g"), k.alias("k"))
-    return rows.select("frame", matchers.ground_pose("g", "k").alias("p")).select("frame", "p.*")
+    found = rows.select("frame", camera.ground_pose(F.col("g"), F.col("k")).alias("p")).select("frame", "p.*")
+    return found.select("frame", *[(F.round(c, n) + F.lit(0.0)).alias(c) for c, n in (("east_m", 6), ("north_m", 6), ("altitude_m", 6), ("tilt_deg", 4))])
 
 
 @query("fuse_track")
@@ -302,26 +325,27 @@ def fuse_frame_scores(spark, sf_dir):
     return fusion.fuse_scores(view(spark, sf_dir, "frame_scores"), "scenario")
 
 
-@query("verify_ingest")
+@query("verify_ingest", """WITH m AS (SELECT event_id % 40 AS shard, CASE WHEN event_id % 40 < 30 THEN 'complete' ELSE 'partial' END AS status, event_id % 700 = 1 OR event_id % 501 = 0 OR event_id % 613 = 2 AS bad FROM events)
+SELECT shard, status, count(CASE WHEN bad THEN 1 END) AS n_problems, CASE WHEN status = 'complete' AND count(CASE WHEN bad THEN 1 END) > 0 THEN 'partial' ELSE status END AS new_status FROM m GROUP BY shard, status""")
 def verify_ingest(spark, sf_dir):
-    e = _events(spark, sf_dir).select("event_id", "event_type", F.concat(F.unhex(F.lit("FFD8")), F.col("props").cast("binary")).alias("content"))
+    e = _events(spark, sf_dir).select("event_id", "event_type", F.concat(F.unhex(F.lit("FFD8")), F.encode(F.coalesce("props", F.lit("")), "UTF-8"), F.unhex(F.when(F.col("event_id") % 613 == 2, "FF").otherwise("FFD9"))).alias("content"))
     name = F.format_string("frame_%06d.jpg", F.col("event_id"))
     manifest = e.select((F.col("event_id") % 40).alias("shard"), F.when(F.col("event_id") % 40 < 30, "complete").otherwise("partial").alias("status"), name.alias("filename"), (F.length("content") + (F.col("event_id") % 501 == 0).cast("int")).alias("bytes"), F.sha1("content").alias("sha1"))
     files = e.where("event_id % 700 <> 1").select(name.alias("filename"), "content")
     return fr.verified_shards(fr.verify(manifest, files))
 
 
-@query("csv_roundtrip")
-def csv_roundtrip(spark, sf_dir):
-    """Scores written as CSV and read back; rows and values are the same."""
-    import tempfile
-    import uuid
+#: Places to which the values of a score are compared.
+PLACES = {"t_s": 9, "est_lat": 10, "est_lon": 10, "gt_lat": 10, "gt_lon": 10, "err_m": 6, "runtime_s": 9}
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="skyfix-")
-    path = f"{root}/scores-{uuid.uuid4().hex}"
+
+@query("csv_roundtrip", ctes("frame_scores") + f" SELECT frame, {', '.join(f'round({c}, {n}) AS {c}' for c, n in PLACES.items())}, cast(NULL AS double) AS yaw_deg, n_inliers, locked FROM frame_scores")
+def csv_roundtrip(spark, sf_dir):
+    """Scores written as CSV, in the folder that all executors share, and read back; rows and values are the same."""
+    path = f"{shared_folder(spark)}/scores-{uuid.uuid4().hex}"
     rows = view(spark, sf_dir, "frame_scores").withColumn("yaw_deg", F.lit(None).cast("double"))
     tables.write_scores(rows.select(*[f.name for f in T._parse_datatype_string(tables.SCORES).fields]), path)
-    return tables.read_scores(spark, path)
+    return rounded(tables.read_scores(spark, path), PLACES)
 
 
 @query("estimate_homography")

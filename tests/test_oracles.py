@@ -1,6 +1,5 @@
 """Every query of the engine's own against its SQL counterpart in DuckDB."""
 
-import importlib.util
 import math
 
 import duckdb
@@ -12,11 +11,6 @@ from skyfix import plans
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 NAMES, SQL = dict(plans.QUERIES), dict(plans.ORACLES)
-if importlib.util.find_spec("skyfix.llm") is not None:
-    from skyfix.llm import queries as llm
-
-    NAMES |= {k: v for k, v in llm.queries().items() if k in llm.oracle_sql()}
-    SQL |= llm.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -37,13 +31,16 @@ def _rows(df, columns):
     return sorted((tuple(map(_value, r)) for r in df[columns].astype(object).itertuples(index=False, name=None)), key=str)
 
 
+def same_rows(got, want):
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    assert _rows(got, columns) == _rows(want, columns)
+
+
 @pytest.mark.parametrize("name", sorted(NAMES))
 def test_query(spark, duck, name):
     got = NAMES[name](spark, SF).toPandas()
-    columns = sorted(got.columns)
     if name not in SQL:
         assert len(got)
         return
-    want = duck.execute(SQL[name]).fetchdf()
-    assert columns == sorted(want.columns)
-    assert _rows(got, columns) == _rows(want, columns)
+    same_rows(got, duck.execute(SQL[name]).fetchdf())

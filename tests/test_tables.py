@@ -46,7 +46,7 @@ def test_search_grid_and_gates(spark):
     df = spark.createDataFrame(cands, "frame long, scan_idx long, x_m double, y_m double, n_inliers long, has_pose boolean")
     got = {r.frame: r for r in search.lock_gate(df, F.lit(90.0), 20, 1.1, "frame").collect()}
     assert [got[i].locked for i in range(1, 6)] == [True, False, False, False, True]
-    assert got[1].rival_inliers == 170 and got[4].scan_idx == 0 and got[5].margin_ratio is None
+    assert got[1].rival_inliers == 170 and got[4].scan_idx == 0 and got[5].margin_ratio == float("inf")
     assert search.lock_gate(df, F.lit(90.0), 20, 1.0, "frame").where("frame = 4").first().locked
 
 
