@@ -2,8 +2,8 @@
 
 Writing: every task writes its pages as gzip members of WARC/1.1 files in the shared folder, and its captures as a run
 sorted by URL key, timestamp and page id. A payload that several pages share is written once, by the page of smallest id; the others are revisits.
-Merging: runs are dealt to ranges of the key, and within a range a loser tree merges what every run has there, so that
-partition after partition gives the capture histories in global order. Reading: the merged captures go to tasks by file and are read
+Merging: the order is cut into ranges, and of every range a task merges what the runs have there, by a loser tree that reads the runs' files chunk by chunk,
+so that partition after partition gives the capture histories in global order and memory depends on the number of runs only; more than FAN_IN runs are first merged into longer ones. Reading: the merged captures go to tasks by file and are read
 in the order of their offsets; digests and lengths are verified.
 
 A task that is repeated writes new files, which only the rows of the successful attempt name; the index is a written table.
@@ -16,6 +16,7 @@ read. Empty input gives an empty result.
 from __future__ import annotations
 
 import base64
+import bisect
 import datetime
 import hashlib
 import itertools
@@ -25,15 +26,22 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyfix.llm.common import opened, workspace, written
+from skyfix.llm.common import discard, opened, workspace, written
 
 FILE_BYTES, GZIP_LEVEL = 256 << 20, 1
+#: Captures of a chunk (what a merge holds of each run at once) and, about, of a range; runs that are merged at once.
+CHUNK, RANGE, FAN_IN = 512, 1 << 15, 256
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-CAPTURE = "url_key string, stamp string, page_id long, url string, file string, offset long, length long, run string"
+CAPTURE = "url_key string, stamp string, page_id long, url string, file string, offset long, length long"
+CAPTURES = pa.schema([("url_key", pa.string()), ("stamp", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
+_ORDER = "struct<url_key: string, stamp: string, known: boolean, page: long>"
+#: A chunk of a run: where it is, how many captures it has, and the first and last in their order.
+CHUNKS = f"run string, chunk int, n long, first {_ORDER}, last {_ORDER}"
 
 
 class LoserTree:
@@ -155,13 +163,61 @@ def _gzip(data: bytes) -> bytes:
     return c.compress(data) + c.flush()
 
 
-def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, stamp_column: str | None = None, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Writes all pages; the captures in sorted runs, one run a file, as a written table."""
+def order_of(capture: tuple) -> tuple:
+    """The order of capture histories: URL key, timestamp, page id (none first)."""
+    return capture[0], capture[1], capture[2] is not None, capture[2] or 0
+
+
+class RunWriter:
+    """Writes sorted captures as a run in the shared folder, chunk by chunk; `chunks` tells of those written."""
+
+    def __init__(self, uri: str, size: int):
+        self.uri, self.size, self.held, self.chunks = uri, size, [], []
+        system, path = fs.FileSystem.from_uri(uri)
+        self.sink = system.open_output_stream(path, compression=None)
+        self.out = pa.ipc.new_file(self.sink, CAPTURES)
+
+    def add(self, capture: tuple) -> None:
+        self.held.append(capture)
+        if len(self.held) >= self.size:
+            self._flush()
+
+    def _flush(self) -> None:
+        if self.held:
+            self.out.write_batch(_batch(self.held))
+            first, last = (dict(zip(("url_key", "stamp", "known", "page"), order_of(c))) for c in (self.held[0], self.held[-1]))
+            self.chunks.append({"run": self.uri, "chunk": len(self.chunks), "n": len(self.held), "first": first, "last": last})
+            self.held = []
+
+    def close(self) -> pa.RecordBatch:
+        self._flush()
+        self.out.close()
+        self.sink.close()
+        kind = pa.struct([("url_key", pa.string()), ("stamp", pa.string()), ("known", pa.bool_()), ("page", pa.int64())])
+        return pa.RecordBatch.from_pylist(self.chunks, pa.schema([("run", pa.string()), ("chunk", pa.int32()), ("n", pa.int64()), ("first", kind), ("last", kind)]))
+
+
+def _batch(captures: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*captures), CAPTURES)], schema=CAPTURES)
+
+
+def read_run(uri: str, chunks: Iterable[int]) -> Iterator[tuple]:
+    """The captures of these chunks of a run, one chunk in memory at a time."""
+    system, path = fs.FileSystem.from_uri(uri)
+    with system.open_input_file(path) as source:
+        run = pa.ipc.open_file(source)
+        for i in chunks:
+            yield from zip(*(c.to_pylist() for c in run.get_batch(i).columns))
+
+
+def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, stamp_column: str | None = None, file_bytes: int = FILE_BYTES, chunk: int = CHUNK) -> DataFrame:
+    """Writes all pages, and of each file's captures a sorted run beside it; gives the runs' chunks as a written table."""
     columns = [F.col("page_id").cast("long").alias("page_id"), F.col("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")]
     stamp = F.col(stamp_column).cast("string") if stamp_column else F.lit(None).cast("string")
-    pages = pages.select(*columns, stamp.alias("stamp")).withColumn("digest", F.unhex(F.sha1("payload")))
-    shared = pages.where(F.length("payload") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 1)
-    rows = pages.join(shared.select("digest", "first"), "digest", "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))).select("page_id", "url", "payload", "stamp", "refers_to")
+    # payloads are equal if their SHA-256 and length are; the SHA-1 that the records bear doesn't decide it
+    pages = pages.select(*columns, stamp.alias("stamp")).withColumns({"digest": F.unhex(F.sha2("payload", 256)), "size": F.length("payload")})
+    shared = pages.where(F.col("size") >= min_bytes).groupBy("digest", "size").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 1)
+    rows = pages.join(shared.select("digest", "size", "first"), ["digest", "size"], "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))).select("page_id", "url", "payload", "stamp", "refers_to")
 
     def run(batches):
         system, path = opened(folder)
@@ -170,10 +226,10 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, stamp_colu
 
         def closed():
             out.close()
-            held.sort(key=lambda c: (c[0], c[1], c[2] is not None, c[2] or 0))
-            cols = list(zip(*held))
-            kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
-            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=["url_key", "stamp", "page_id", "url", "file", "offset", "length", "run"])
+            index = RunWriter(f"{folder}/{file}.index", chunk)
+            for capture in sorted(held, key=order_of):  # bounded by the file
+                index.add(capture)
+            return index.close()
 
         try:
             for batch in batches:
@@ -185,7 +241,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, stamp_colu
                     when = when or stamp_of(page)
                     data = _gzip(make_record(page, url, payload, when, refers))
                     out.write(data)
-                    held.append((url_key(url), when, page, url, file, at, len(data), file))
+                    held.append((url_key(url), when, page, url, file, at, len(data)))
                     at += len(data)
                     if at >= file_bytes:
                         yield closed()
@@ -197,27 +253,68 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, stamp_colu
             if out is not None:
                 out.close()
 
-    return written(rows.mapInArrow(run, CAPTURE), "warc-runs")
+    return written(rows.mapInArrow(run, CHUNKS), "warc-runs")
 
 
-def merge_index(runs: DataFrame) -> DataFrame:
-    """Capture histories: the runs merged by URL key, timestamp and page id, partition after partition in order."""
+def _fewer_runs(chunks: DataFrame, fan_in: int, size: int) -> DataFrame:
+    """Runs merged by fan_in at a time into longer ones, by a task for each lot, until there are no more than that."""
+    fan_in = max(2, fan_in)
+    while (n := chunks.select("run").distinct().count()) > fan_in:
+        lots = -(-n // fan_in)
+        lot = F.pmod(F.xxhash64("run"), F.lit(lots))
 
-    def merge(batches):
-        own: dict[str, list[list]] = {}
-        order = lambda c: (c[0], c[1], c[2] is not None, c[2] or 0)
+        def merge(batches):
+            for key, own in itertools.groupby(_rows(batches), lambda r: r[0]):
+                runs = {name: [r[2] for r in part] for name, part in itertools.groupby(own, lambda r: r[1])}
+                index = RunWriter(f"{min(runs).rpartition('/')[0]}/merged-{key:06d}-{uuid.uuid4().hex[:12]}.index", size)
+                for capture in LoserTree([read_run(uri, own) for uri, own in sorted(runs.items())], order_of):
+                    index.add(capture)
+                yield index.close()
+
+        dealt = chunks.select(lot.alias("lot"), "run", "chunk").repartition(lots, "lot").sortWithinPartitions("lot", "run", "chunk")
+        merged = written(dealt.mapInArrow(merge, CHUNKS), "warc-merged")
+        discard(chunks)
+        chunks = merged
+    return chunks
+
+
+def _rows(batches) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns))
+
+
+def merge_index(chunks: DataFrame, per_range: int = RANGE, fan_in: int = FAN_IN, size: int = CHUNK) -> DataFrame:
+    """Capture histories: the runs merged by URL key, timestamp and page id, partition after partition in order.
+
+    The order is cut into ranges by the chunks' first captures. A range's task feeds a loser tree from the runs' files, of each the chunks that reach into the range, and holds one chunk a run."""
+    chunks = _fewer_runs(chunks, fan_in, size)
+    n = max(1, -(-(chunks.agg(F.sum("n")).first()[0] or 0) // per_range))
+    cuts = chunks.select("first").repartitionByRange(n, "first").groupBy(F.spark_partition_id().alias("_p")).agg(F.min("first").alias("first"))
+    bounds = sorted((tuple(r["first"]) for r in cuts.collect()))[1:]  # one for each range
+    shared = chunks.sparkSession.sparkContext.broadcast(bounds)
+
+    def reach(batches):
+        ends = shared.value
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                lists = own.setdefault(row[7], [[]])
-                if lists[-1] and order(row) < order(lists[-1][-1]):  # a run may arrive in several sorted pieces
-                    lists.append([])
-                lists[-1].append(row)
-        merged = iter(LoserTree([piece for run in sorted(own) for piece in own[run]], order))
-        while part := list(itertools.islice(merged, 10_000)):
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*part), [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()])], names=[x.split(" ")[0] for x in CAPTURE.split(", ")])
-
-    dealt = runs.repartitionByRange("url_key", "stamp", "page_id")
-    return dealt.mapInArrow(merge, CAPTURE)
+            out = []
+            for run, chunk, first, last in zip(*(c.to_pylist() for c in batch.columns)):
+                a, b = (bisect.bisect_right(ends, tuple(x.values())) for x in (first, last))
+                out += [(r, run, chunk) for r in range(a, b + 1)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), (pa.int32(), pa.string(), pa.int32()))], names=["part", "run", "chunk"])
+
+    def merge(batches):
+        ends = shared.value
+        for part, own in itertools.groupby(_rows(batches), lambda r: r[0]):
+            runs = {name: [r[2] for r in rows] for name, rows in itertools.groupby(own, lambda r: r[1])}
+            low, high = ends[part - 1] if part else None, ends[part] if part < len(ends) else None
+            within = lambda c: (low is None or order_of(c) >= low) and (high is None or order_of(c) < high)
+            merged = iter(LoserTree([filter(within, read_run(uri, own)) for uri, own in sorted(runs.items())], order_of))
+            while piece := list(itertools.islice(merged, 10_000)):
+                yield _batch(piece)
+
+    parts = chunks.select("run", "chunk", "first", "last").mapInArrow(reach, "part int, run string, chunk int")
+    return parts.repartitionByRange(n, "part").sortWithinPartitions("part", "run", "chunk").mapInArrow(merge, CAPTURE)
 
 
 def read_captures(captures: DataFrame, folder: str, keep_payload: bool = False) -> DataFrame:

@@ -58,3 +58,32 @@ def test_histories_are_globally_ordered(spark):
     got = [(x.url_key, x.stamp, x.page_id) for x in warc.merge_index(runs).collect()]
     assert got == sorted((warc.url_key(u), warc.stamp_of(i), i) for i, u, _ in rows)
     assert warc.round_trip(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize(("per_range", "fan_in", "chunk"), [(1 << 15, 256, 512), (40, 3, 4), (7, 2, 1)])
+def test_merges_of_many_runs(spark, per_range, fan_in, chunk):
+    r = random.Random(2)
+    rows = [(i, f"http://{r.choice('abcé')}.com/{r.randint(0, 3)}" if i % 9 else None, str(i)) for i in range(400)]
+    df = spark.createDataFrame([*rows, (None, None, "x"), rows[3]], "page_id long, url string, html string").repartition(4)
+    runs = warc.write_archives(df, workspace(spark, "warc"), file_bytes=1500, chunk=chunk)
+    assert runs.select("run").distinct().count() > 40
+    got = [(x.url_key, x.stamp, x.page_id) for x in warc.merge_index(runs, per_range, fan_in, chunk).collect()]
+    want = sorted(((warc.url_key(u), warc.stamp_of(i), i) for i, u, _ in [*rows, (None, None, "x"), rows[3]]), key=warc.order_of)
+    assert got == want
+
+
+def test_a_merge_holds_one_chunk_of_each_run(tmp_path):
+    for n in range(100):
+        w = warc.RunWriter(f"file://{tmp_path}/run{n}", 8)
+        for i in range(80):
+            w.add((f"k{i:03}", f"{n:03}", i, "u", "f", i, 1))
+        assert w.close().num_rows == 10
+    read = {}
+
+    def counted(n):
+        for i, capture in enumerate(warc.read_run(f"file://{tmp_path}/run{n}", range(10))):
+            read[n] = i
+            yield capture
+
+    for at, capture in enumerate(warc.LoserTree([counted(n) for n in range(100)], warc.order_of)):
+        assert capture[0] == f"k{at // 100:03}" and max(read.values()) - min(read.values()) <= 1
