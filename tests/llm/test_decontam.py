@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from skyfix.llm import decontam
@@ -47,3 +48,29 @@ def test_empty_tables(spark):
     b = spark.createDataFrame([(1, "a")], "item_id long, text string")
     assert decontam.decontaminate(d.limit(0), b).collect() == []
     assert [r.contaminated for r in decontam.decontaminate(d, b.limit(0)).collect()] == [False]
+
+
+def test_clashing_windows_get_other_hashes(monkeypatch):
+    real, calls = decontam._hash, []
+
+    def weak(ids, starts, n, seed):
+        calls.append(seed)
+        return real(ids, starts, n, seed) & (np.uint64(1) if seed == n else np.uint64(2**64 - 1))
+
+    monkeypatch.setattr(decontam, "_hash", weak)
+    index = decontam.Index([(1, b"a b c d e f"), (2, b"b c d x"), (3, b"a b")], 3)
+    assert [len(x.hashes) for x in index.windows] == [1, 5] and max(calls) > 3
+    index.order_by_rarity({b"a": 3, b"b": 2, b"c": 9, b"d": 9, b"e": 9, b"f": 9, b"x": 0})
+    words = [index.vocabulary.get(w, -1) for w in b"z a b c d x b c".split()]
+    a, n, kind, w = index.find(np.array(words, np.int32), np.zeros(8, np.int64), np.full(8, 8))
+    assert sorted(zip(a.tolist(), n.tolist())) == [(1, 2), (1, 3), (2, 3), (3, 3)]
+
+
+def test_an_index_is_small():
+    r = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(20_000)]
+    items = [(i, " ".join(r.choices(vocabulary, k=1000)).encode()) for i in range(300)]
+    index = decontam.Index(items, 13)
+    index.order_by_rarity({})
+    held = index.words.nbytes + sum(x.hashes.nbytes + x.places.nbytes + x.first_item.nbytes + x.items.nbytes for x in index.windows) + index.offsets.nbytes + index.lengths.nbytes + index.first.nbytes
+    assert held < 56 * 300_000
