@@ -30,6 +30,14 @@ b AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
 r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT b.y, r.root FROM r JOIN b ON b.x = r.doc_id)
 SELECT r.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(root) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id"""
 
+OP6 = rf"""
+WITH d AS (SELECT doc_id, {_words(r'[^\x20\x09-\x0D]+')} AS w FROM documents),
+x AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50) y),
+h AS (SELECT win, min(doc_id) AS first FROM x GROUP BY win HAVING count(DISTINCT doc_id) > 1),
+m AS (SELECT doc_id, i, doc_id = first AS kept FROM x JOIN h USING (win)),
+g AS (SELECT *, sum(gap) OVER (PARTITION BY doc_id, kept ORDER BY i) AS run FROM (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id, kept ORDER BY i) > 50 THEN 1 ELSE 0 END AS gap FROM m) z)
+SELECT doc_id, min(i) - 1 AS start_word, max(i) + 49 AS end_word, max(i) - min(i) + 50 AS n_words, kept FROM g GROUP BY doc_id, kept, run"""
+
 _FIVE = "cast('0x' || substr(upper(sha1(coalesce(html, ''))), 5 * ((i - 1) // 4) + 1, 5) AS bigint)"
 OP7 = f"""
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, array_to_string(list_transform(range(1, 33), lambda i: substr('{UPPER}234567', cast(({_FIVE} >> (15 - 5 * ((i - 1) % 4))) & 31 AS bigint) + 1, 1)), '') AS payload_digest, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
@@ -43,4 +51,4 @@ g AS (SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY turn, role, text R
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, cast(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS bigint) AS loss_chars,
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256, cast(sum(CASE WHEN role = 'assistant' OR back = 1 THEN upto ELSE 0 END) AS bigint) AS formatted_chars FROM g GROUP BY conv_id"""
 
-ORACLES = {"op4_decontamination": OP4, "op5_ngram_join": OP5, "op7_warc": OP7, "op8_chat": OP8}
+ORACLES = {"op4_decontamination": OP4, "op5_ngram_join": OP5, "op6_suffix_dedup": OP6, "op7_warc": OP7, "op8_chat": OP8}

@@ -1,6 +1,9 @@
+import math
 import random
 import zlib
 
+import zstandard
+
 from skyfix.llm import quality
 
 
@@ -37,3 +40,17 @@ def test_empty_tables(spark):
     assert [r.score for r in quality.score(docs, quality.fit(docs, labels.limit(0))).collect()] == [0.5]
     assert quality.score(docs.limit(0), quality.fit(docs, labels)).collect() == []
     assert 0.9 < quality.score(docs, quality.fit(docs, labels.limit(1))).collect()[0].score <= 1 or zlib.crc32(b"1") % 5 == 0
+
+
+def test_scores_are_those_of_plain_compression(spark):
+    rows = _rows(200)
+    docs = spark.createDataFrame([*((i, t, 1, "x") for i, t, _ in rows), (900, "word " * 300_000, 1, "x"), (901, "é日本", 1, "x"), (902, None, 1, "x")], "doc_id long, text string, predicted int, held_out string")
+    model = quality.fit(docs, spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int"))
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    for i, t, *_ in docs.collect():
+        data = (t or "").encode()
+        sizes = [len(zstandard.ZstdCompressor(level=model.level, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False).compress(data)) for d in (model.good, model.bad)]
+        n = len(data) + 16
+        ratio = sizes[0] / n
+        x = [1, 20 * (sizes[1] - sizes[0]) / n, ratio, max(0.3 - ratio, 0) * 10, max(0.15 - ratio, 0) * 20, math.log(n)]
+        assert abs(got[i] - 1 / (1 + math.exp(-max(-30, min(30, sum(a * b for a, b in zip(model.weights, x))))))) < 1e-9
