@@ -86,10 +86,10 @@ def usable_regions(regions: DataFrame, samples: DataFrame, maps: DataFrame) -> D
     return rows.select("region", reason.alias("skipped"))
 
 
-def tile_request(lat: float, lon: float, span_m: float, pixels: int, layer: str, crs: str = "EPSG:3857", style: str = "", form: str = "image/jpeg") -> dict[str, str]:
+def tile_request(lat: float, lon: float, span_m: float, pixels: int, layer: str, crs: str = "EPSG:3857", style: str = "", form: str = "image/png") -> dict[str, str]:
     """Parameters of a WMS 1.3.0 GetMap request for a square of projected metres; fetching itself is the caller's."""
     box = map_request(lat, lon, span_m, pixels)["bbox"]
-    return {"SERVICE": "WMS", "VERSION": "1.3.0", "REQUEST": "GetMap", "LAYERS": layer, "STYLES": style, "CRS": crs, "BBOX": box, "WIDTH": str(pixels), "HEIGHT": str(pixels), "FORMAT": form}
+    return {"SERVICE": "WMS", "VERSION": "1.3.0", "REQUEST": "GetMap", "LAYERS": layer, "STYLES": style, "CRS": crs, "BBOX": box, "WIDTH": str(pixels), "HEIGHT": str(pixels), "FORMAT": form, "TRANSPARENT": "false"}
 
 
 def map_request(lat: float, lon: float, span_m: float, pixels: int) -> dict[str, str]:
