@@ -6,13 +6,13 @@ A row of the matrix is a different text (texts.py); copies are no further rows.
    that any other text holds can link with nothing. Most texts end here, for about a third of the entries.
 2. Columns. Whole rows of the rest are counted by column; rows whose entries held elsewhere are fewer than ceil(t n) go, and each row keeps
    as its prefix the (1 - t) n + 1 rarest n-grams, of which linked sets share one.
-3. Mask. A column of the prefixes ties its pivot (the smallest row outside the first one's component) to the members in other components, which is linear in
+3. Mask. A column of the prefixes ties its pivot (one of its members, drawn anew each round) to the members in other components, which is linear in
    the column, less those whose sizes differ too much or that have too few n-grams left from the column on.
 4. Product. Pivots are dealt to blocks of bounded text, and the members that the mask ties to a block go there once, in slices. A block task
    multiplies the slice of the matrix with the block's pivots, pivot by pivot: a member's overlap is the sum of the pivot's indicator over the member's
    columns. Entries of the masked pairs are computed only, and kept if the overlap reaches the bound of their sizes.
-5. Links join components; columns within one component have nothing left to tell. After `rounds` rounds of pivots the mask is all pairs of
-   members of different components that are left in a column, within the bounds.
+5. Links join components; columns within one component have nothing left to tell. Rounds of pivots (`rounds` at least, `most_rounds` at most) go on while the columns left
+   have many more pairs across components than entries; then the mask is all those pairs, within the bounds.
 
 The block task compares words, not hashes (wordhash.identities); a hash that clashes can only let more through to it. So no link between different
 sets is lost, and none is made that the words don't bear out; only links that don't change a component aren't listed.
@@ -39,6 +39,8 @@ WIDTH = 5
 PROBE_SHARED = 0.1
 #: Bytes of text of the pivots of one block, and of the members that one task multiplies with it.
 BLOCK_BYTES, MEMBER_BYTES = 1 << 20, 16 << 20
+#: Rounds of pivots go on while the columns still open have more pairs across components than this many times their entries.
+PAIRS = 4
 
 
 def shingles(w: wordhash.Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -222,21 +224,26 @@ def _fitting(percent: int):
     return F.expr(f"100 * least(n, pivot.n) >= {percent} * greatest(n, pivot.n) and 100 * {most} >= {percent} * (n + pivot.n - {most})")
 
 
-def _mask(open_: DataFrame, percent: int, step: int, rounds: int) -> DataFrame:
-    """(member, pivot) of the columns still open: the pivot's pairs of each column, or after all rounds every pair across components."""
+def _mask(open_: DataFrame, percent: int, step: int, last: bool) -> DataFrame:
+    """(member, pivot) of the columns still open: the pivot's pairs of each column, or at last every pair across components."""
     entry = F.struct("d", "label", "n", "pos")
-    if step < rounds:
-        # a column's pivot: its smallest row, and from the second round on the smallest outside that one's component
-        lead = open_.groupBy("token").agg(F.min(entry).alias("pivot"))
-        if step:
-            lead = open_.join(lead, "token").where("label <> pivot.label").groupBy("token").agg(F.min(entry).alias("pivot"))
-        pairs = open_.join(lead, "token").where("label <> pivot.label")
-    else:
+    if last:
         pairs = open_.join(open_.select("token", entry.alias("pivot")), "token").where("pivot.label < label")
+    else:
+        # a column's pivot: any of its members, another one each round, so that a family among them is met soon
+        lead = open_.groupBy("token").agg(F.min_by(entry, F.struct(F.xxhash64("d", F.lit(step)), F.col("d"))).alias("pivot"))
+        pairs = open_.join(lead, "token").where("label <> pivot.label")
     return pairs.where(_fitting(percent)).select(F.col("d").alias("member"), F.col("pivot.d").alias("pivot"))
 
 
-def similar(documents: DataFrame, n: int = WIDTH, percent: int = 75, id_column: str = "doc_id", text_column: str = "text", rounds: int = 2, tagged: bool = False) -> DataFrame:
+def _left(open_: DataFrame) -> tuple[int, int]:
+    """(entries of the columns still open, pairs across components in them)."""
+    sizes = open_.groupBy("token", "label").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("token").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
+    r = sizes.agg(F.coalesce(F.sum("s"), F.lit(0.0)), F.coalesce(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.lit(0.0))).first()
+    return int(r[0]), int(r[1])
+
+
+def similar(documents: DataFrame, n: int = WIDTH, percent: int = 75, id_column: str = "doc_id", text_column: str = "text", rounds: int = 2, most_rounds: int = 8, tagged: bool = False) -> DataFrame:
     """Per document: id, n_shingles, component_id (the smallest id reachable by links of at least this percentage of overlap to union).
 
     tagged: also digest (SHA-256 of the text) and leads: true for one row of each component (of smallest id) and for rows without n-grams."""
@@ -250,11 +257,15 @@ def similar(documents: DataFrame, n: int = WIDTH, percent: int = 75, id_column:
     columns = _columns(rows, n)
     posts = _prefixes(columns, percent)
     discard(alive, columns)
-    stars = None
-    for step in range(rounds + 1):
-        edges = _linked(_mask(_labelled(posts, stars), percent, step, rounds), rows, n, percent)
+    stars, step, last = None, 0, False
+    while not last:
+        open_ = written(_labelled(posts, stars), "ngram-open")
+        entries, pairs = _left(open_)
+        last = not entries or step >= most_rounds or (step >= rounds and pairs <= PAIRS * entries)
+        edges = _linked(_mask(open_, percent, step, last), rows, n, percent)
         before, stars = stars, components(edges if stars is None else edges.select("u", "v").unionByName(stars))
-        discard(edges, *[before] if before is not None else [])
+        discard(edges, open_, *[before] if before is not None else [])
+        step += 1
     # a component's smallest id, over the ids of its texts
     root = each.join(stars.select(F.col("u").alias("row"), F.col("v").alias("up")), "row", "left").withColumn("root", F.coalesce("up", "row"))
     heads = root.where("up is not null").select("root").distinct()

@@ -32,8 +32,8 @@ def brute(rows, percent=75):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("rounds", [0, 2])
-def test_equal_to_brute_force(spark, rounds):
+@pytest.mark.parametrize(("rounds", "most"), [(0, 0), (2, 8)])
+def test_equal_to_brute_force(spark, rounds, most):
     r = random.Random(11 + rounds)
     word = lambda: r.choice("abcdefgh") + r.choice("xyz") + str(r.randint(0, 40))
     rows, ids = [], iter(r.sample(range(10_000), 400))
@@ -48,7 +48,7 @@ def test_equal_to_brute_force(spark, rounds):
     rows += [(next(ids), " ".join(shared + [word() for _ in range(r.choice([2, 8, 200]))])) for _ in range(25)]
     rows += [(next(ids), None), (next(ids), ""), (next(ids), " \n"), (next(ids), "one two"), (next(ids), "ONE\ttwo "), (next(ids), "aé b c d"), (next(ids), "w " * 30_000), (None, rows[0][1]), (None, "no other"), rows[3], rows[3]]
     df = spark.createDataFrame([(*x, 7) for x in rows], "doc_id long, text string, component_id int").repartition(3)
-    got = sorted(map(tuple, ngramjoin.similar(df, rounds=rounds).collect()), key=str)
+    got = sorted(map(tuple, ngramjoin.similar(df, rounds=rounds, most_rounds=most).collect()), key=str)
     assert got == brute(rows)
 
 
