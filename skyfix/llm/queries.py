@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skyfix.llm import bpe, chat, decontam, flac, langid, ngramjoin, quality, suffixes, tokencount, warc
+from skyfix.llm import audit, bpe, chat, covertree, decontam, flac, langid, middle, ngramjoin, quality, suffixes, tokencount, warc
 from skyfix.llm.common import table
 from skyfix.llm.oracles import ORACLES
 
@@ -61,8 +61,21 @@ def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.decode_column(flac.encode_column(table(spark, sf_dir, "documents")))
 
 
+def op11_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_vectors(table(spark, sf_dir, "embeddings"), least=0.93)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_langid": op1_langid, "op2_bpe": op2_bpe, "op3_token_counts": op3_token_counts, "op4_decontamination": op4_decontamination, "op5_ngram_join": op5_ngram_join, "op6_suffix_dedup": op6_suffix_dedup, "op7_warc": op7_warc, "op8_chat": op8_chat, "op9_quality": op9_quality, "op10_flac": op10_flac}
+    every = [op1_langid, op2_bpe, op3_token_counts, op4_decontamination, op5_ngram_join, op6_suffix_dedup, op7_warc, op8_chat, op9_quality, op10_flac, op11_cover_tree, op12_filter_audit, op13_fill_in_middle]
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
