@@ -288,21 +288,22 @@ def train(rows: list[tuple[str, str]], seed: int = 13, length: int = 48, batch:
 def fit(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", held_out: tuple[int, int] = (4, 2), per_language: int = PER_LANGUAGE, window: int = WINDOW, sample: int = SAMPLE, max_languages: int | None = None) -> Model:
     """Learns from rows whose crc32 of the id, modulo held_out[0], isn't held_out[1].
 
-    At most per_language documents of a language and about `sample` of all (but one of each language): those of lowest hash of their id."""
+    At most per_language texts of a language and about `sample` of all (but one of each language): those of lowest hash of id and text, each once however often its row is repeated."""
     known = documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(lang_column).alias("lang"))
     known = known.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("id", held_out[0]) != held_out[1]))
     counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     if max_languages is not None:
         counts = counts.orderBy(F.desc("n"), "lang").limit(max_languages)
+        known = known.join(F.broadcast(counts.select("lang")), "lang", "left_semi")
     each = max(1, min(per_language, sample // max(1, counts.count())))
-    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / (1 << 30)
+    known = known.withColumn("draw", F.xxhash64("id", "text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id"))  # limited within tasks before rows meet by language
+    chosen = known.select("lang", "id", "draw").distinct().withColumn("rank", rank).where(F.col("rank") <= each).drop("rank")
     spare = F.greatest(F.length("text") - window, F.lit(0))
     part = F.lit(1) + F.pmod(F.xxhash64("id", F.lit(1)), spare + 1)
-    # few more than needed are drawn before they are ranked within their language
-    drawn = known.withColumn("draw", draw).join(F.broadcast(counts), "lang").where(F.col("draw") * F.col("n") < 4 * each + 40)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id", "text"))
-    rows = drawn.select("id", "lang", F.substring("text", part.cast("int"), F.lit(window)).alias("text"), "draw").withColumn("rank", rank).where(F.col("rank") <= each)
-    rows = rows.orderBy("draw", "id", "lang", "text").select("text", "lang").collect()
+    rows = known.select("lang", "id", "draw", F.substring("text", part.cast("int"), F.lit(window)).alias("text"))
+    rows = rows.join(F.broadcast(chosen), ["lang", "id", "draw"]).groupBy("lang", "id", "draw").agg(F.min("text").alias("text"))
+    rows = sorted(rows.collect(), key=lambda r: (r["draw"], r["id"], r["lang"]))
     return train([(r["text"], r["lang"]) for r in rows]) if rows else UNTRAINED
 
 

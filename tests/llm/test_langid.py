@@ -121,3 +121,15 @@ print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss) // 1024)
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=600)
     assert out.returncode == 0, out.stderr
     assert int(out.stdout) < 900  # megabytes of the whole process, the libraries included
+
+
+@pytest.mark.parametrize("own", [3, 77, 1234, 99_991])
+def test_a_language_under_one_id_is_learned(spark, own):
+    r = random.Random(own)
+    rows = [(200_000 + i, _text(r, "aa", 20), "aa") for i in range(300)]
+    many = spark.range(5000).selectExpr(f"cast({own} as long) as doc_id", "concat('schung einver verung ', cast(id % 50 as string), ' einschung ungver') as text", "'bb' as lang")
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").unionByName(many)
+    model = langid.fit(df, held_out=(1, 1), sample=400)
+    assert model.languages == ("aa", "bb")
+    got = {x.lang_pred for x in langid.predict(many.limit(50), model).collect()}
+    assert got == {"bb"}
