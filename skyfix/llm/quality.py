@@ -3,7 +3,7 @@
 A text is compressed once with either dictionary. (bad size - good size) / length is the normalised difference; a logistic
 curve fitted on labelled rows that the dictionaries haven't seen turns it, with how far the text compresses at all and its length, into
 the probability of label 1. All training rows come from a bounded sample: at most `per_class` labelled documents of
-each class, those of lowest hash of their id, and at most `window` characters of each, from a place given by the id.
+each class, those of lowest hash of their id, one text for each id (of several the one of lowest hash), and at most `window` characters of each, from a place given by the id.
 
 Defined results: a null text is the empty text and gets the score of no bytes at all; rows without an id are scored but never
 trained on; null labels and labels of documents that aren't there are passed over, contradictory labels of an id too. Without labels of both classes every
@@ -90,8 +90,9 @@ def fit(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
     ids = documents.sparkSession.createDataFrame([(i,) for i, v in chosen.items() if len(v) == 1], f"id {dict(known.dtypes)['id']}")
     n = F.greatest(F.length("text") - window, F.lit(0))
     part = F.expr(f"substring(text, cast(1 + pmod(xxhash64(id), n + 1) as int), {window})")
-    rows = documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(ids), "id").withColumn("n", n).select("id", part.alias("text")).collect()  # bounded: 2 * per_class ids
-    rows = sorted({(r["id"], r["text"]) for r in rows})
+    rows = documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(ids), "id").withColumn("n", n).select("id", F.xxhash64("text").alias("hash"), part.alias("text"))
+    rows = rows.groupBy("id").agg(F.min(F.struct("hash", "text")).alias("one")).select("id", "one.text").collect()  # at most 2 * per_class rows
+    rows = sorted((r["id"], r["text"]) for r in rows)
     use: dict = {0: [], 1: []}
     for i, text in rows:
         use[min(chosen[i])].append(text.encode("utf-8", "replace"))

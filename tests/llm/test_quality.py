@@ -54,3 +54,14 @@ def test_scores_are_those_of_plain_compression(spark):
         ratio = sizes[0] / n
         x = [1, 20 * (sizes[1] - sizes[0]) / n, ratio, max(0.3 - ratio, 0) * 10, max(0.15 - ratio, 0) * 20, math.log(n)]
         assert abs(got[i] - 1 / (1 + math.exp(-max(-30, min(30, sum(a * b for a, b in zip(model.weights, x))))))) < 1e-9
+
+
+def test_an_id_of_many_rows_is_learned_from_once(spark, monkeypatch):
+    rows = _rows(200)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").unionByName(spark.range(5000).selectExpr("cast(1 as long) as doc_id", "concat('more ', cast(id as string)) as text"))
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    seen, real = [], quality._dictionary
+    monkeypatch.setattr(quality, "_dictionary", lambda samples, size: seen.append(len(samples)) or real(samples, size))
+    model = quality.fit(docs, labels)
+    assert sum(seen) <= 200
+    assert model == quality.fit(docs.repartition(7), labels.repartition(3))
