@@ -8,7 +8,7 @@ The template wraps a turn in markers made of `<` and `[`; texts can't contain th
 and in names of other roles `>` as `\g`), so control strings in texts stay text, and the output is read back without loss.
 
 Defined results: null texts and roles are empty; rows of a conversation are ordered by turn (nulls first), ties by role and text,
-and repeated rows are turns of their own; rows without a conv_id are one conversation. Other columns are never read. Empty input, empty output.
+and repeated rows are turns of their own; a row without a conv_id belongs to nothing and is a conversation of its own. Other columns are never read. Empty input, empty output.
 An example holds its whole context, as the method says, so the output grows with the square of a conversation's turns; a conversation
 is one row of one task.
 """
@@ -58,7 +58,9 @@ def expand(turns: DataFrame) -> DataFrame:
     role, text = F.coalesce("role", F.lit("")), escape(F.coalesce("text", F.lit("")))
     open_, close = _opening(role), _closing(role)
     part = F.struct(F.col("turn"), role.alias("role"), F.coalesce("text", F.lit("")).alias("plain"), F.concat(open_, text, close).alias("text"), F.length(open_).alias("opening"), F.length(close).alias("closing"))
-    whole = turns.select("conv_id", part.alias("part")).groupBy("conv_id").agg(F.sort_array(F.collect_list("part")).alias("parts"))
+    rows = turns.select("conv_id", part.alias("part"))
+    whole = rows.where("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list("part")).alias("parts"))
+    whole = whole.unionByName(rows.where("conv_id is null").select("conv_id", F.array("part").alias("parts")))
     targets = F.expr(f"filter(sequence(0, size(parts) - 1), i -> parts[i].role = '{REPLY}' or i = size(parts) - 1)")
     each = whole.select("conv_id", "parts", F.explode(targets).alias("position"))
     upto = F.slice("parts", F.lit(1), F.col("position") + 1)
@@ -85,10 +87,11 @@ def read_turns(formatted: Column) -> Column:
 
 
 def digests(examples: DataFrame) -> DataFrame:
-    """Read back from examples, per conversation: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
+    """Read back from examples, per conversation (an example without a conv_id is one): n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
     loss = unescape(F.substring(F.col("formatted"), F.col("loss_start") + 1, F.col("loss_end") - F.col("loss_start")))
     rows = examples.select("conv_id", "position", "formatted", F.struct("position", loss.alias("text")).alias("loss"))
-    held = rows.groupBy("conv_id").agg(F.max_by("formatted", "position").alias("formatted"), F.sort_array(F.collect_list("loss")).alias("losses"), F.sum(F.length("formatted").cast("long")).alias("formatted_chars"))
+    held = rows.where("conv_id is not null").groupBy("conv_id").agg(F.max_by("formatted", "position").alias("formatted"), F.sort_array(F.collect_list("loss")).alias("losses"), F.sum(F.length("formatted").cast("long")).alias("formatted_chars"))
+    held = held.unionByName(rows.where("conv_id is null").select("conv_id", "formatted", F.array("loss").alias("losses"), F.length("formatted").cast("long").alias("formatted_chars")))
     held = held.select("conv_id", read_turns(F.col("formatted")).alias("turns"), F.array_join(F.transform("losses", lambda x: x["text"]), "").alias("loss"), "formatted_chars")
     text = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return held.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(text.cast("binary"), 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), "formatted_chars")

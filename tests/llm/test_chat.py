@@ -32,3 +32,11 @@ def test_examples_train_on_one_reply_each(spark):
     first = "[INST]q\\l1>[/INST]<s>a1</s>"
     assert got == [(1, 1, first, "a1"), (1, 3, first + "[INST]q2[/INST]<s>a\\s2]</s>", "a\\s2]"), (2, 0, "[INST]alone[/INST]", "")]
     assert chat.digests(chat.expand(df.limit(0))).collect() == []
+
+
+def test_rows_without_a_conversation_stay_apart(spark):
+    rows = spark.range(10_000).selectExpr("cast(null as long) as conv_id", "cast(0 as long) as turn", "if(id % 2 = 0, 'assistant', 'user') as role", "repeat('x', 100) as text")
+    examples = chat.expand(rows)
+    assert examples.agg({"formatted": "max"}).collect()[0][0].count("x") == 100 and examples.count() == 10_000
+    got = chat.digests(examples).groupBy("conv_id", "n_turns", "turns_sha256", "loss_chars", "formatted_chars").count().collect()
+    assert sorted((r.conv_id, r.n_turns, r.turns_sha256, r.loss_chars, r.formatted_chars, r["count"]) for r in got) == sorted([(None, 1, sha("assistant\n" + "x" * 100 + "\n"), 100, 107, 5000), (None, 1, sha("user\n" + "x" * 100 + "\n"), 0, 113, 5000)])
