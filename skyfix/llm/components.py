@@ -18,20 +18,16 @@ def _stars(edges: DataFrame) -> DataFrame:
     return tied.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return r[0], r[1]
+def _flat(edges: DataFrame) -> bool:
+    """Whether every node has one parent at most, and no parent has one."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("child"), F.lit(0).alias("parent")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("child"), F.lit(1).alias("parent")))
+    return ends.groupBy("x").agg(F.sum("child").alias("child"), F.max("parent").alias("parent")).where("child > 1 or child = 1 and parent = 1").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(u, v): every node of an edge that isn't its component's smallest, and that smallest. Edges (u, v) of unequal longs, in any direction."""
     now = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), "edges")
-    state = _state(now)
-    while state[0]:
+    while not _flat(now):  # flat: stars around their smallest nodes, as an edge leads to a smaller node
         before, now = now, written(_stars(now), "edges")
-        after = _state(now)
         discard(before)
-        if after == state:
-            break
-        state = after
     return now

@@ -6,13 +6,15 @@ A row of the matrix is a different text (texts.py); copies are no further rows.
    that any other text holds can link with nothing. Most texts end here, for about a third of the entries.
 2. Columns. Whole rows of the rest are counted by column; rows whose entries held elsewhere are fewer than ceil(t n) go, and each row keeps
    as its prefix the (1 - t) n + 1 rarest n-grams, of which linked sets share one.
-3. Mask. A column of the prefixes ties its pivot (one of its members, drawn anew each round) to the members in other components, which is linear in
-   the column, less those whose sizes differ too much or that have too few n-grams left from the column on.
+3. Mask. A column of the prefixes ties its pivot (one of its members; in the first round the one with the smallest share of n-grams of its own, as the text that others were made from has, then any) to
+   the members in other components, which is linear in the column, less those whose sizes differ too much or that have too few n-grams left from the column on. The pivot has met
+   all of its column then and leaves it, so no round repeats a pair of a column.
 4. Product. Pivots are dealt to blocks of bounded text, and the members that the mask ties to a block go there once, in slices. A block task
    multiplies the slice of the matrix with the block's pivots, pivot by pivot: a member's overlap is the sum of the pivot's indicator over the member's
    columns. Entries of the masked pairs are computed only, and kept if the overlap reaches the bound of their sizes.
-5. Links join components; columns within one component have nothing left to tell. Rounds of pivots (`rounds` at least, `most_rounds` at most) go on while the columns left
-   have many more pairs across components than entries; then the mask is all those pairs, within the bounds.
+5. Links join components; columns within one component have nothing left to tell. Rounds of pivots (`rounds` at least, `most_rounds` at most) go on while they find links and the columns left
+   have many more pairs across components than entries; then the mask is all those pairs, within the bounds and those of a parity bitmap: a bit for each of `PARITIES` classes of n-grams
+   tells whether a set has an odd number of them, and every bit in which two sets differ stands for at least one n-gram that only one of them has.
 
 The block task compares words, not hashes (wordhash.identities); a hash that clashes can only let more through to it. So no link between different
 sets is lost, and none is made that the words don't bear out; only links that don't change a component aren't listed.
@@ -41,6 +43,8 @@ PROBE_SHARED = 0.1
 BLOCK_BYTES, MEMBER_BYTES = 1 << 20, 16 << 20
 #: Rounds of pivots go on while the columns still open have more pairs across components than this many times their entries.
 PAIRS = 4
+#: Bits of a set's parity bitmap (a multiple of 64): they tell sets apart that are up to about as large.
+PARITIES = 1024
 
 
 def shingles(w: wordhash.Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,27 +103,37 @@ def _survivors(texts: DataFrame, each: DataFrame) -> DataFrame:
     return written(found.where(F.col("found") >= F.greatest(F.lit(1), (F.col("n") * PROBE_SHARED).cast("long"))).select("row"), "ngram-survivors")
 
 
+def parities(keys: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A bitmap for each set, as 64-bit numbers: bit i is set if an odd number of its n-grams have a key of class i."""
+    owner = np.repeat(np.arange(len(size)), size)
+    odd = np.zeros((len(size), PARITIES), np.uint8)
+    place, times = np.unique(owner * PARITIES + (keys & np.uint64(PARITIES - 1)).astype(np.int64), return_counts=True)
+    odd.ravel()[place] = times & 1
+    return np.packbits(odd, axis=1, bitorder="little").view("<i8")
+
+
 def _columns(rows: DataFrame, n: int) -> DataFrame:
-    """(row, n, keys) of whole rows of the matrix."""
+    """(row, n, keys, parity) of whole rows of the matrix."""
 
     def run(batches):
         for batch in batches:
             for piece in slices(batch, "words", SLICE):
                 keys, _, size = shingles(wordhash.Words(piece.column(1).to_pylist()), n)
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(size, pa.int64()), list_column(keys.astype(np.int64), size, pa.int64())], names=["row", "n", "keys"])
+                bits = parities(keys, size)
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(size, pa.int64()), list_column(keys.astype(np.int64), size, pa.int64()), list_column(bits.ravel(), np.full(len(size), bits.shape[1]), pa.int64())], names=["row", "n", "keys", "parity"])
 
     bound_batches(rows.sparkSession)
-    return written(rows.select("row", "words").mapInArrow(run, "row long, n long, keys array<long>"), "ngram-columns")
+    return written(rows.select("row", "words").mapInArrow(run, "row long, n long, keys array<long>, parity array<long>"), "ngram-columns")
 
 
 def _prefixes(columns: DataFrame, percent: int) -> DataFrame:
-    """(token, d, n, pos) of the rarest n-grams of rows that can link; pos: how many of the row's n-grams come before it."""
+    """(token, d, n, own, pos) of the rarest n-grams of rows that can link; own: how many of the row's n-grams none else holds, pos: how many come before this one."""
     held = held_by_several(columns.select("row", F.explode("keys").alias("key")))
     # a row's entries that others hold, by rarity; those that none holds come before them
     list_ = F.sort_array(F.collect_list(F.struct("holders", "key"))).alias("held")
     rows = held.groupBy("row").agg(list_).join(columns.select("row", "n"), "row").withColumn("shared", F.size("held")).withColumn("need", F.expr(f"-floor(-n * {percent} / 100)"))
     rows = rows.where("shared >= need").withColumn("held", F.expr("slice(held, 1, greatest(0, cast(shared - need + 1 as int)))"))
-    out = rows.select(F.col("row").alias("d"), "n", "shared", F.posexplode("held").alias("rank", "x")).select(F.col("x.key").alias("token"), "d", "n", (F.col("n") - F.col("shared") + F.col("rank")).alias("pos"))
+    out = rows.select(F.col("row").alias("d"), "n", "shared", F.posexplode("held").alias("rank", "x")).select(F.col("x.key").alias("token"), "d", "n", (F.col("n") - F.col("shared")).alias("own"), (F.col("n") - F.col("shared") + F.col("rank")).alias("pos"))
     return written(out, "ngram-prefixes")
 
 
@@ -167,6 +181,10 @@ def _linked(mask: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame
     texts = rows.select("row", "words", F.length("words").alias("bytes"))
     at = "ngram-mask"
     mask = written(mask.distinct(), at)
+    if mask.isEmpty():
+        mask_ = mask.select(F.col("member").alias("u"), F.col("pivot").alias("v"))
+        mask_._written_at = mask._written_at
+        return mask_
     pivots = mask.select(F.col("pivot").alias("row")).distinct().join(texts, "row")
     blocks = max(1, int((pivots.agg(F.sum("bytes")).first()[0] or 0) // BLOCK_BYTES))
     block = F.pmod(F.xxhash64("pivot"), F.lit(blocks))
@@ -224,18 +242,27 @@ def _fitting(percent: int):
     return F.expr(f"100 * least(n, pivot.n) >= {percent} * greatest(n, pivot.n) and 100 * {most} >= {percent} * (n + pivot.n - {most})")
 
 
-def _mask(open_: DataFrame, percent: int, step: int, last: bool) -> DataFrame:
-    """(member, pivot) of the columns still open: the pivot's pairs of each column, or at last every pair across components."""
-    entry = F.struct("d", "label", "n", "pos")
-    if last:
-        pairs = open_.join(open_.select("token", entry.alias("pivot")), "token").where("pivot.label < label")
-    else:
-        # a column's pivot: any of its members, another one each round, so that a family among them is met soon
-        lead = open_.groupBy("token").agg(F.min_by(entry, F.struct(F.xxhash64("d", F.lit(step)), F.col("d"))).alias("pivot"))
-        pairs = open_.join(lead, "token").where("label <> pivot.label")
+def _leads(open_: DataFrame, step: int) -> DataFrame:
+    """(token, pivot) of the columns still open: first the member with the smallest share of n-grams of its own, then any; another one for each column and round."""
+    draw = [F.xxhash64("d", "token", F.lit(step)), F.col("d")]
+    order = F.struct((F.col("own") * 64 / F.col("n")).cast("int"), *draw) if step == 0 else F.struct(*draw)
+    return written(open_.groupBy("token").agg(F.min_by(F.struct("d", "label", "n", "pos"), order).alias("pivot")), "ngram-leads")
+
+
+def _mask(open_: DataFrame, leads: DataFrame, percent: int) -> DataFrame:
+    """(member, pivot): the pivot's pairs of each column."""
+    pairs = open_.join(leads, "token").where("label <> pivot.label")
     return pairs.where(_fitting(percent)).select(F.col("d").alias("member"), F.col("pivot.d").alias("pivot"))
 
 
+def _whole_mask(open_: DataFrame, columns: DataFrame, percent: int) -> DataFrame:
+    """(member, pivot): every pair across components of a column that sizes, positions and parities allow."""
+    rows = open_.join(columns.select(F.col("row").alias("d"), "parity"), "d")
+    pairs = rows.join(rows.select("token", F.struct("d", "label", "n", "pos", "parity").alias("pivot")), "token").where("pivot.label < label")
+    apart = " + ".join(f"bit_count(parity[{i}] ^ pivot.parity[{i}])" for i in range(PARITIES // 64))
+    return pairs.where(_fitting(percent)).where(f"{100 + percent} * ({apart}) <= {100 - percent} * (n + pivot.n)").select(F.col("d").alias("member"), F.col("pivot.d").alias("pivot"))
+
+
 def _left(open_: DataFrame) -> tuple[int, int]:
     """(entries of the columns still open, pairs across components in them)."""
     sizes = open_.groupBy("token", "label").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("token").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
@@ -243,7 +270,7 @@ def _left(open_: DataFrame) -> tuple[int, int]:
     return int(r[0]), int(r[1])
 
 
-def similar(documents: DataFrame, n: int = WIDTH, percent: int = 75, id_column: str = "doc_id", text_column: str = "text", rounds: int = 2, most_rounds: int = 8, tagged: bool = False) -> DataFrame:
+def similar(documents: DataFrame, n: int = WIDTH, percent: int = 75, id_column: str = "doc_id", text_column: str = "text", rounds: int = 1, most_rounds: int = 8, tagged: bool = False) -> DataFrame:
     """Per document: id, n_shingles, component_id (the smallest id reachable by links of at least this percentage of overlap to union).
 
     tagged: also digest (SHA-256 of the text) and leads: true for one row of each component (of smallest id) and for rows without n-grams."""
@@ -256,16 +283,28 @@ def similar(documents: DataFrame, n: int = WIDTH, percent: int = 75, id_column:
     rows = written(texts.join(alive, "row", "left_semi").select("row", "words"), "ngram-rows")
     columns = _columns(rows, n)
     posts = _prefixes(columns, percent)
-    discard(alive, columns)
-    stars, step, last = None, 0, False
+    discard(alive)
+    stars, step, last, found = None, 0, False, True
     while not last:
         open_ = written(_labelled(posts, stars), "ngram-open")
+        discard(posts)
         entries, pairs = _left(open_)
-        last = not entries or step >= most_rounds or (step >= rounds and pairs <= PAIRS * entries)
-        edges = _linked(_mask(open_, percent, step, last), rows, n, percent)
-        before, stars = stars, components(edges if stars is None else edges.select("u", "v").unionByName(stars))
-        discard(edges, open_, *[before] if before is not None else [])
+        last = not entries or step >= most_rounds or (step >= rounds and (pairs <= PAIRS * entries or not found))
+        if last:
+            edges = _linked(_whole_mask(open_, columns, percent), rows, n, percent)
+        else:
+            leads = _leads(open_, step)
+            edges = _linked(_mask(open_, leads, percent), rows, n, percent)
+            posts = written(open_.drop("label").join(leads.select("token", F.col("pivot.d").alias("met")), "token").where("d <> met").drop("met"), "ngram-prefixes")
+            discard(leads)
+        found = not edges.isEmpty()
+        before = stars
+        if found or stars is None:
+            stars = components(edges if stars is None else edges.select("u", "v").unionByName(stars))
+            discard(*[before] if before is not None else [])
+        discard(edges, open_)
         step += 1
+    discard(columns)
     # a component's smallest id, over the ids of its texts
     root = each.join(stars.select(F.col("u").alias("row"), F.col("v").alias("up")), "row", "left").withColumn("root", F.coalesce("up", "row"))
     heads = root.where("up is not null").select("root").distinct()
@@ -277,5 +316,5 @@ def similar(documents: DataFrame, n: int = WIDTH, percent: int = 75, id_column:
     more = [F.col("tag").alias("digest"), F.coalesce(F.col("row") == F.col("leader"), F.lit(True)).alias("leads")] if tagged else []
     out = out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), *more)
     out = written(out, "ngram-components")
-    discard(texts, each, rows, posts, stars, moved)
+    discard(texts, each, rows, stars, moved)
     return out

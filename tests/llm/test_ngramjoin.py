@@ -102,3 +102,47 @@ def test_sets_and_overlaps_are_of_words_not_hashes(monkeypatch, hashed):
     mask = [[0, 1, 2, 3, 4, 5] for _ in texts[6:]]
     member, pivot, overlap, union = ngramjoin._overlaps(w, 5, 6, mask)
     assert {(m, p): (o, u) for m, p, o, u in zip(*(x.tolist() for x in (member, pivot, overlap, union)))} == {(m, p): (len(sets[p] & sets[m + 6]), len(sets[p] | sets[m + 6])) for m in range(4) for p in range(6)}
+
+
+def test_parities_never_exceed_the_difference():
+    r = random.Random(12)
+    base = [f"w{r.randint(0, 500)}" for _ in range(400)]
+    texts = [" ".join(base).encode(), " ".join(base[: r.randint(50, 380)]).encode(), " ".join(w if r.random() < 0.9 else "x" + w for w in base).encode(), b"", b"one", " ".join(r.sample(base, 300)).encode()]
+    w = wordhash.Words(texts)
+    keys, _, size = ngramjoin.shingles(w, 5)
+    bits = ngramjoin.parities(keys, size)
+    ends = np.cumsum(size)
+    sets = [set(keys[e - n : e].tolist()) for e, n in zip(ends, size)]
+    apart = [[int(np.bitwise_count((a ^ b).view(np.uint64)).sum()) for b in bits] for a in bits]
+    assert all(apart[i][j] <= len(sets[i] ^ sets[j]) and (apart[i][j] - len(sets[i] ^ sets[j])) % 2 == 0 for i in range(6) for j in range(6))
+    assert apart[0][1] > 20 and bits[3].any() == False  # noqa: E712
+
+
+def test_texts_of_common_blocks_make_few_pairs(spark, monkeypatch):
+    """Texts of 20 out of 40 blocks: all share their rarest n-grams, none link. The last mask must not grow with the square of the texts."""
+    r = random.Random(3)
+    blocks = [" ".join(f"b{i}x{j}" for j in range(20)) for i in range(40)]
+    counts, real = [], ngramjoin._whole_mask
+    monkeypatch.setattr(ngramjoin, "_whole_mask", lambda *a: counts.append(real(*a).count()) or real(*a))
+    for n in (150, 300):
+        rows = [(i, " ".join(blocks[b] for b in sorted(r.sample(range(40), 20)))) for i in range(n)]
+        got = ngramjoin.similar(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert all(x.component_id <= x.doc_id for x in got.collect())
+    assert counts[1] <= max(100, 2.5 * counts[0]), counts
+
+
+def test_families_around_a_text_that_is_not_the_first(spark):
+    """Members at 80 % of their base but below 75 % of each other: only the base ties them."""
+    r = random.Random(4)
+    rows = []
+    for f in range(3):
+        base = [f"f{f}w{i}" for i in range(200)]
+        for m in range(25):
+            own = list(base)
+            for k in r.sample(range(0, 200, 8), 4):  # four words, at most twenty n-grams each way
+                own[k] = f"new{f}x{m}x{k}"
+            rows.append((100 * f + m + 1, " ".join(own)))
+        rows.append((100 * f + 50, " ".join(base)))
+    got = sorted(map(tuple, ngramjoin.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == brute(rows) or sorted(got, key=str) == brute(rows)
+    assert len({c for *_, c in got}) == 3
