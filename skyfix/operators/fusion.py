@@ -10,10 +10,13 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from skyfix.functions import geo
+from skyfix.operators import scan
 
 
 @dataclasses.dataclass(frozen=True)
@@ -106,17 +109,294 @@ def fuse_steps(steps: pd.DataFrame, cfg: Tuning = Tuning(), smooth: bool = True)
 STATE = "frame long, t_s double, east double, north double, v_east double, v_north double, pos_std_m double, fix_used boolean, fix_rejected boolean"
 
 
-def fuse_tracks(steps: DataFrame, key: str, cfg: Tuning = Tuning(), smooth: bool = True) -> DataFrame:
-    """Every track of `key` fused in the order of its frames, a track a task's unit: the smoother needs all of it. Tracks without any fix give no rows."""
-    kind = dict(steps.dtypes)[key]
+#: What a step may measure, besides its time.
+MEASURED = ("pos_e", "pos_n", "pos_std", "vel_e", "vel_n", "vel_std")
+#: The filter over a run of steps, as in Sarkka and Garcia-Fernandez (2021): the state after it is normal with mean A x + b and covariance C, given the state x before it, and
+#: eta and J are what its measurements say of x. b and eta have a column for each axis, which share A, C and J.
+FILTER = [(2, 2)] * 5
+#: The smoother over a run of steps: mean E x + g and covariance E P E' + L of its first step, given the state (x, P) of the step after it.
+SMOOTHER = [(2, 2)] * 3
+#: Rounds in which the gate of a block is settled by scans; what is left is done step by step.
+GATE_ROUNDS = 12
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["frame", "t_s"], kind="stable").reset_index(drop=True)
-        if not (pdf["pos_e"].notna() & pdf["pos_n"].notna()).any():
-            return pd.DataFrame(columns=[key, *(c.split(" ")[0] for c in STATE.split(", "))])
-        return pd.concat([pdf[[key, "frame", "t_s"]], fuse_steps(pdf, cfg, smooth)], axis=1)
 
-    return steps.groupBy(key).applyInPandas(run, f"{key} {kind}, {STATE}")
+def _eye(n: int) -> np.ndarray:
+    return np.repeat(np.eye(2)[:, :, None], n, axis=2)
+
+
+def compose(a: scan.Element, b: scan.Element) -> scan.Element:
+    """The filter over a run of steps a and then b."""
+    (a1, b1, c1, e1, j1), (a2, b2, c2, e2, j2) = a, b
+    eye = _eye(a1.shape[-1])
+    left = scan.mul(a2, scan.inverse2(eye + scan.mul(c1, j2)))
+    right = scan.mul(scan.transposed(a1), scan.inverse2(eye + scan.mul(j2, c1)))
+    return scan.mul(left, a1), scan.mul(left, b1 + scan.mul(c1, e2)) + b2, scan.mul(scan.mul(left, c1), scan.transposed(a2)) + c2, scan.mul(right, e2 - scan.mul(j2, b1)) + e1, scan.mul(scan.mul(right, j2), a1) + j1
+
+
+def compose_back(a: scan.Element, b: scan.Element) -> scan.Element:
+    """The smoother over a run of steps a and then b."""
+    (e1, g1, l1), (e2, g2, l2) = a, b
+    return scan.mul(e1, e2), scan.mul(e1, g2) + g1, scan.mul(scan.mul(e1, l2), scan.transposed(e1)) + l1
+
+
+def after(mean: np.ndarray, cov: np.ndarray, run: scan.Element) -> tuple[np.ndarray, np.ndarray]:
+    """States after runs of steps, from the states before them."""
+    a, b, c, eta, j = run
+    left = scan.mul(a, scan.inverse2(_eye(a.shape[-1]) + scan.mul(cov, j)))
+    return scan.mul(left, mean + scan.mul(cov, eta)) + b, scan.mul(scan.mul(left, cov), scan.transposed(a)) + c
+
+
+@dataclasses.dataclass
+class Steps:
+    """The steps of many blocks, one after the other: moves and noise, fixes, velocities; and where each block starts."""
+
+    sizes: np.ndarray
+    move: np.ndarray
+    noise: np.ndarray
+    fix: np.ndarray
+    fix_var: np.ndarray
+    speed: np.ndarray
+    speed_var: np.ndarray
+
+    def __post_init__(self):
+        self.place, self.back = scan.places(self.sizes)
+        self.fixed, self.timed = ~np.isnan(self.fix).any(axis=0), ~np.isnan(self.speed).any(axis=0)
+        n = len(self.move)
+        self.f = _eye(n)
+        self.f[0, 1] = self.move
+
+    def elements(self, use: np.ndarray) -> scan.Element:
+        """One step each: the motion, the fix where it is used, the velocity."""
+        n = len(self.move)
+        zero = np.zeros((2, 2, n))
+        a, b, c, eta, j = self.f.copy(), zero.copy(), self.noise.copy(), zero.copy(), zero.copy()
+        at = np.flatnonzero(use)
+        if len(at):
+            f, q, z = self.f[..., at], self.noise[..., at], self.fix[:, at]
+            s = q[0, 0] + self.fix_var[at]
+            gain = q[:, 0] / s
+            keep = _eye(len(at))
+            keep[:, 0] -= gain
+            a[..., at], b[..., at], c[..., at] = scan.mul(keep, f), gain[:, None] * z[None], scan.mul(keep, q)
+            row = f[0]  # of the fix's first row, as seen from the state before
+            eta[..., at], j[..., at] = row[:, None] * z[None] / s, row[:, None] * row[None] / s
+        step, at = (a, b, c, eta, j), np.flatnonzero(self.timed)
+        if len(at):
+            m = len(at)
+            none = np.zeros((2, 2, m))
+            e2, j2 = none.copy(), none.copy()
+            e2[1], j2[1, 1] = self.speed[:, at] / self.speed_var[at], 1 / self.speed_var[at]
+            got = compose(tuple(x[..., at] for x in step), (_eye(m), none, none, e2, j2))
+            for x, g in zip(step, got):
+                x[..., at] = g
+        return step
+
+    def prior(self, mean: np.ndarray, cov: np.ndarray, post: np.ndarray, post_cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """States before the measurements of each step; mean and cov are those of the step before each block."""
+        m, p = np.empty_like(post), np.empty_like(post_cov)
+        first = self.place == 0
+        at = np.flatnonzero(~first)
+        m[..., at], p[..., at] = post[..., at - 1], post_cov[..., at - 1]
+        m[..., first], p[..., first] = mean, cov
+        return scan.mul(self.f, m), scan.mul(scan.mul(self.f, p), scan.transposed(self.f)) + self.noise
+
+    def filtered(self, mean: np.ndarray, cov: np.ndarray, use: np.ndarray, gate: float):
+        """(prior, its covariance, posterior, its covariance, fixes used) of each step from the states before each block.
+
+        The gate of a step depends on those before it: with the fixes that one round lets in the next is computed; a round settles at least the first step of each block that it changes."""
+        owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        use = use & self.fixed
+        for _ in range(GATE_ROUNDS):
+            post, post_cov = after(mean[..., owner], cov[..., owner], scan.inclusive(compose, self.elements(use), self.place))
+            m, p = self.prior(mean, cov, post, post_cov)
+            if gate <= 0:
+                return m, p, post, post_cov, use
+            now = self._inside(m, p, gate)
+            if np.array_equal(now, use):
+                return m, p, post, post_cov, use
+            use = now
+        return self._in_turn(mean, cov, gate)
+
+    def _inside(self, m: np.ndarray, p: np.ndarray, gate: float) -> np.ndarray:
+        with np.errstate(invalid="ignore"):
+            return self.fixed & ~(((self.fix - m[0]) ** 2).sum(axis=0) / (p[0, 0] + self.fix_var) > gate)
+
+    def _in_turn(self, mean: np.ndarray, cov: np.ndarray, gate: float):
+        """The same step by step, all blocks abreast."""
+        n = len(self.move)
+        m, p, post, post_cov, use = np.empty((2, 2, n)), np.empty((2, 2, n)), np.empty((2, 2, n)), np.empty((2, 2, n)), np.zeros(n, bool)
+        start = np.cumsum(self.sizes) - self.sizes
+        for i in range(int(self.sizes.max(initial=0))):
+            lane = np.flatnonzero(self.sizes > i)
+            at = start[lane] + i
+            x, v = (mean[..., lane], cov[..., lane]) if i == 0 else (post[..., at - 1], post_cov[..., at - 1])
+            x, v = scan.mul(self.f[..., at], x), scan.mul(scan.mul(self.f[..., at], v), scan.transposed(self.f[..., at])) + self.noise[..., at]
+            m[..., at], p[..., at] = x, v
+            with np.errstate(invalid="ignore"):
+                use[at] = self.fixed[at] & ~(((self.fix[:, at] - x[0]) ** 2).sum(axis=0) / (v[0, 0] + self.fix_var[at]) > gate)
+            for k, own, z, var in ((0, use[at], self.fix[:, at], self.fix_var[at]), (1, self.timed[at], self.speed[:, at], self.speed_var[at])):
+                gain = np.where(own, v[:, k] / (v[k, k] + var), 0.0)
+                x = x + gain[:, None] * np.where(own, z - x[k], 0.0)[None]
+                v = v - gain[:, None] * v[k][None]
+            post[..., at], post_cov[..., at] = x, v
+        return m, p, post, post_cov, use
+
+
+def _steps_of(batch: pa.RecordBatch, cfg: Tuning) -> Steps:
+    """The steps of a batch of blocks; times are filled with the one before."""
+    t, sizes = scan.flat(batch.column("t_s"))
+    value = {c: scan.flat(batch.column(c))[0] for c in MEASURED}
+    before = batch.column("time_before").fill_null(0.0).to_numpy(zero_copy_only=False)
+    owner, (place, _) = np.repeat(np.arange(len(sizes)), sizes), scan.places(sizes)
+    known = np.where(np.isnan(t), -1, np.arange(len(t)))
+    last = np.maximum.accumulate(known) if len(t) else known
+    own = last >= np.arange(len(t)) - place  # the last known time stands in this block
+    filled = np.where(own, t[np.maximum(last, 0)], before[owner])
+    earlier = np.where(place == 0, before[owner], np.roll(filled, 1))
+    dt = np.maximum(filled - earlier, 0.0)
+    opening = (place == 0) & batch.column("opening").to_numpy(zero_copy_only=False)[owner]
+    d, q = np.maximum(np.where(opening, 0.0, dt), 1e-6), cfg.accel_std**2
+    noise = np.array([[q * d**4 / 4, q * d**3 / 2], [q * d**3 / 2, q * d * d]])
+    std = lambda name, default: np.where(np.isnan(value[name]), default, value[name]) ** 2
+    return Steps(sizes, np.where(opening, 0.0, dt), noise, np.stack([value["pos_e"], value["pos_n"]]), std("pos_std", cfg.fix_std_m), np.stack([value["vel_e"], value["vel_n"]]), std("vel_std", cfg.velocity_std))
+
+
+def _starts(batch: pa.RecordBatch, cfg: Tuning) -> tuple[np.ndarray, np.ndarray]:
+    """The state before the first step of each block's track."""
+    n = batch.num_rows
+    mean, cov = np.zeros((2, 2, n)), np.zeros((2, 2, n))
+    mean[0] = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("first_e", "first_n")]
+    cov[0, 0], cov[1, 1] = cfg.init_pos_std**2, cfg.init_vel_std**2
+    return mean, cov
+
+
+def _before(batch: pa.RecordBatch, cfg: Tuning) -> tuple[np.ndarray, np.ndarray]:
+    """The state before each block: what the blocks before it make of the track's start."""
+    mean, cov = _starts(batch, cfg)
+    at = np.flatnonzero(batch.column("before").is_valid().to_numpy(zero_copy_only=False))
+    if len(at):
+        run = scan.unpacked(np.stack([np.array(batch.column("before")[int(i)].as_py()) for i in at]), FILTER)
+        mean[..., at], cov[..., at] = after(mean[..., at], cov[..., at], run)
+    return mean, cov
+
+
+def _pick(run: scan.Element, at: np.ndarray) -> scan.Element:
+    return tuple(x[..., at] for x in run)
+
+
+def _headed(blocks: DataFrame, key: str) -> DataFrame:
+    """Blocks of tracks that have a fix, with what they need of their track: the time before them, whether they open it, its first fix, the move that follows them."""
+    fix = F.filter(F.arrays_zip("pos_e", "pos_n"), lambda x: x["pos_e"].isNotNull() & x["pos_n"].isNotNull())
+    known = F.filter("t_s", lambda t: t.isNotNull())
+    heads = blocks.select("block", key, F.get(fix, F.lit(0)).alias("fix"), F.get(known, F.lit(0)).alias("first_t"), F.get(known, F.size(known) - 1).alias("last_t"), F.col("t_s")[0].alias("own_t"))
+    w = Window.partitionBy(key).orderBy("block")
+    every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = F.coalesce(F.last("last_t", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.first("first_t", ignorenulls=True).over(every), F.lit(0.0))
+    heads = heads.withColumns({"time_before": before, "opening": F.row_number().over(w) == 1, "first_fix": F.first("fix", ignorenulls=True).over(every), "next_t": F.lead("own_t").over(w), "closing": F.lead("block").over(w).isNull()})
+    at_end = F.coalesce("last_t", "time_before")
+    heads = heads.where("first_fix is not null").select("block", "time_before", "opening", "closing", F.col("first_fix.pos_e").alias("first_e"), F.col("first_fix.pos_n").alias("first_n"), F.greatest(F.coalesce(F.col("next_t") - at_end, F.lit(0.0)), F.lit(0.0)).alias("next_move"))
+    return scan.written(blocks.join(heads, "block"), "fusion-blocks")
+
+
+def fuse_tracks(steps: DataFrame, key: str, cfg: Tuning = Tuning(), smooth: bool = True, block: int = scan.BLOCK, rounds: int = 1 << 30) -> DataFrame:
+    """Every track of `key` fused in the order of its frames. Tracks without any fix give no rows.
+
+    Filter and smoother are scans over blocks (operators.scan): no task holds a track. With a gate, blocks first count every fix in; a replay from the state before a block tells which fixes the gate
+    takes, and the scan is repeated while that changes a block that others follow. What a block takes is settled once all before it are, so there are at most as many repeats as a track has blocks;
+    the filter forgets where it started, so that few are needed."""
+    kinds = dict(steps.dtypes)
+    plain = steps.select(key, F.col("frame").cast("long").alias("frame"), *[(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) if c in kinds else F.lit(None).cast("double")).alias(c) for c in ("t_s", *MEASURED)])
+    blocks = _headed(scan.blocked(plain, [key], [F.col("frame").asc(), F.col("t_s").asc_nulls_last()], ["frame", "t_s", *MEASURED], block), key)
+    kind, gate = kinds[key], cfg.gate_chi2
+    taken = blocks.withColumn("used", F.lit(None).cast("array<boolean>"))
+    for _ in range(rounds):
+        held = taken
+
+        def summary(batches):
+            for batch in batches:
+                s = _steps_of(batch, cfg)
+                use = _used(batch, s)
+                whole = scan.inclusive(compose, s.elements(use), s.place)
+                yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column(key), scan.packed(_pick(whole, np.cumsum(s.sizes) - 1))], names=["block", key, "element"])
+
+        def replay(batches):
+            for batch in batches:
+                s, (mean, cov) = _steps_of(batch, cfg), _before(batch, cfg)
+                use = _used(batch, s)
+                m, p, post, post_cov, now = s.filtered(mean, cov, use, gate)
+                changed = np.logical_or.reduceat(now != use, np.cumsum(s.sizes) - s.sizes)
+                rows = [scan.lists(np.ascontiguousarray(np.concatenate([x.reshape(4, -1) for x in (m, p, post, post_cov)]).T).ravel(), s.sizes * 16), scan.lists(now, s.sizes), pa.array(changed)]
+                yield pa.RecordBatch.from_arrays([batch.column("block"), *rows], names=["block", "states", "now", "changed"])
+
+        summaries = held.mapInArrow(summary, f"block long, `{key}` {kind}, element array<double>")
+        ready = held.join(scan.carried(summaries, [key], compose, FILTER), "block")
+        names = held.columns
+        states = scan.written(ready.select(*names, "before").mapInArrow(replay, "block long, states array<double>, now array<boolean>, changed boolean"), "fusion-states")
+        if gate <= 0 or states.join(blocks.select("block", "closing"), "block").where("changed and not closing").isEmpty():
+            break
+        taken = scan.written(blocks.join(states.select("block", F.col("now").alias("used")), "block"), "fusion-blocks")
+    return _told(blocks, states, key, kind, cfg, smooth)
+
+
+def _used(batch: pa.RecordBatch, s: Steps) -> np.ndarray:
+    """The fixes that the round before let in; all in the first."""
+    column = batch.column("used")
+    if column.null_count == len(column):
+        return s.fixed.copy()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(bool)
+
+
+def _told(blocks: DataFrame, states: DataFrame, key: str, kind: str, cfg: Tuning, smooth: bool) -> DataFrame:
+    """A row for each step, from the states of its block; smoothed from the end of the track on."""
+    rows = blocks.join(states, "block")
+
+    def back(batch: pa.RecordBatch) -> tuple:
+        s = _steps_of(batch, cfg)
+        n = len(s.move)
+        held = scan.unpacked(scan.flat(batch.column("states"))[0].reshape(n, 16), [(2, 2)] * 4)
+        m, p, post, post_cov = held
+        # the gain of a step is over the motion of the next one, which for the last of a block comes with its head
+        last = s.back == 0
+        move = np.where(last, batch.column("next_move").to_numpy(zero_copy_only=False)[np.repeat(np.arange(len(s.sizes)), s.sizes)], np.roll(s.move, -1))
+        f = _eye(n)
+        f[0, 1] = move
+        d, q = np.maximum(move, 1e-6), cfg.accel_std**2
+        ahead = scan.mul(scan.mul(f, post_cov), scan.transposed(f)) + np.array([[q * d**4 / 4, q * d**3 / 2], [q * d**3 / 2, q * d * d]])
+        gain = scan.mul(scan.mul(post_cov, scan.transposed(f)), scan.inverse2(ahead))
+        end = last & batch.column("closing").to_numpy(zero_copy_only=False)[np.repeat(np.arange(len(s.sizes)), s.sizes)]
+        gain[..., end] = 0
+        e = (gain, post - scan.mul(gain, scan.mul(f, post)), post_cov - scan.mul(scan.mul(gain, ahead), scan.transposed(gain)))
+        return s, post, post_cov, scan.suffix(compose_back, e, s.back)
+
+    def summary(batches):
+        for batch in batches:
+            s, _, _, whole = back(batch)
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column(key), scan.packed(_pick(whole, np.cumsum(s.sizes) - s.sizes))], names=["block", key, "element"])
+
+    def tell(batches):
+        for batch in batches:
+            if smooth:
+                s, mean, cov, whole = back(batch)
+                owner = np.repeat(np.arange(len(s.sizes)), s.sizes)
+                m, p = np.zeros((2, 2, len(s.sizes))), np.zeros((2, 2, len(s.sizes)))  # the smoothed state after each block; the end of a track needs none
+                at = np.flatnonzero(batch.column("before").is_valid().to_numpy(zero_copy_only=False))
+                if len(at):
+                    _, m[..., at], p[..., at] = scan.unpacked(np.stack([np.array(batch.column("before")[int(i)].as_py()) for i in at]), SMOOTHER)
+                e, g, l_ = whole
+                mean, cov = scan.mul(e, m[..., owner]) + g, scan.mul(scan.mul(e, p[..., owner]), scan.transposed(e)) + l_
+            else:
+                s = _steps_of(batch, cfg)
+                owner = np.repeat(np.arange(len(s.sizes)), s.sizes)
+                _, _, mean, cov = scan.unpacked(scan.flat(batch.column("states"))[0].reshape(len(owner), 16), [(2, 2)] * 4)
+            used = batch.column("now").flatten()
+            missed = pa.array(s.fixed & ~used.to_numpy(zero_copy_only=False).astype(bool))
+            numbers = [mean[0, 0], mean[0, 1], mean[1, 0], mean[1, 1], np.sqrt(np.maximum(2 * cov[0, 0], 0))]
+            made = [batch.column(key).take(pa.array(owner)), batch.column("frame").flatten(), batch.column("t_s").flatten(), *map(pa.array, numbers), used, missed]
+            yield pa.RecordBatch.from_arrays(made, names=[key, *(c.split(" ")[0] for c in STATE.split(", "))])
+
+    if smooth:
+        rows = rows.join(scan.carried(rows.mapInArrow(summary, f"block long, `{key}` {kind}, element array<double>"), [key], compose_back, SMOOTHER, from_end=True), "block")
+    return rows.mapInArrow(tell, f"`{key}` {kind}, {STATE}")
 
 
 def locked_origin(scores: DataFrame, key: str) -> DataFrame:
