@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skyfix.functions import camera, geo
+from skyfix.operators import scan
 
 
 def path_length(points: DataFrame, key: str, order: str, x: str, y: str, name: str = "length_m") -> DataFrame:
@@ -116,20 +121,55 @@ def nearest_anchor(nodes: DataFrame, key: str) -> DataFrame:
     return out.select(key, "pos", hops.alias("hops"), pick(F.col("_prev"), F.col("_next")).alias("anchor"), F.when(hops == 0, F.lit(0)).otherwise(pick(F.col("_weak_prev"), F.col("_weak_next"))).alias("weakest"))
 
 
-def chain_homographies(links: DataFrame, chain: DataFrame, anchors: DataFrame, key: str) -> DataFrame:
-    """The homography of every chained node to its anchor's reference: the links between them multiplied in order, normalised at
-    each step; forward in time by inverse links. Links (pos: from pos to pos + 1, h), anchors (pos as `anchor`, h_to_ref).
+def _chain(a: scan.Element, b: scan.Element) -> scan.Element:
+    """Motions a and then b; scaled, as a homography has no scale, so that long products stay in range."""
+    m = scan.mul(a[0], b[0])
+    return (m / np.abs(m).max(axis=(0, 1)),)
+
+
+def chain_homographies(links: DataFrame, chain: DataFrame, anchors: DataFrame, key: str, block: int = scan.BLOCK) -> DataFrame:
+    """The homography of every chained node to its anchor's reference: the links between them multiplied in order and normalised;
+    forward in time by inverse links. Links (pos: from pos to pos + 1, h), anchors (pos as `anchor`, h_to_ref).
 
-    Each node brings the one link that leads on from its neighbour nearer to the anchor; the nodes of an anchor's side are folded once, and every step of the fold is a node's."""
+    Each node brings the one link that leads on from its neighbour nearer to the anchor; an anchor's side is a scan of products over blocks (operators.scan), so a side of any length
+    costs each task its blocks. From a link without an inverse on, a side's homographies hold nulls."""
     forward = F.col("pos") > F.col("anchor")
     nodes = chain.where("hops > 0").select(key, "pos", "anchor", "hops", F.when(forward, F.col("pos") - 1).otherwise(F.col("pos")).alias("_at"))
-    steps = nodes.join(links.select(key, F.col("pos").alias("_at"), "h"), [key, "_at"])
-    step = F.struct("hops", "pos", F.when(forward, camera.inverse(F.col("h"))).otherwise(F.col("h")).alias("h"))
-    sides = steps.groupBy(key, "anchor", forward.alias("_forward")).agg(F.sort_array(F.collect_list(step)).alias("_steps"))  # one anchor's side: it is folded in order
-    rows = sides.join(anchors.select(key, "anchor", "h_to_ref"), [key, "anchor"])
-    begin = F.array(F.struct(F.lit(0).cast(chain.schema["hops"].dataType).alias("hops"), F.col("anchor").alias("pos"), camera.normalised(F.col("h_to_ref")).alias("h")))
-    on = lambda acc, s: F.concat(acc, F.array(F.struct(s["hops"].alias("hops"), s["pos"].alias("pos"), camera.normalised(camera.product(F.element_at(acc, -1)["h"], s["h"])).alias("h"))))
-    chained = rows.select(key, "anchor", F.explode(F.slice(F.aggregate("_steps", begin, on), F.lit(2), F.size("_steps"))).alias("_x")).select(key, F.col("_x.pos").alias("pos"), "anchor", F.col("_x.hops").alias("hops"), F.col("_x.h").alias("h"))
+    step = nodes.join(links.select(key, F.col("pos").alias("_at"), "h"), [key, "_at"])
+    on = F.when(forward, camera.inverse(F.col("h"))).otherwise(F.col("h"))
+    names = [f"h{i}" for i in range(9)]
+    rows = step.select(key, "anchor", forward.alias("forward"), "pos", "hops", on.alias("h")).select(key, "anchor", "forward", "pos", "hops", *[F.col("h")[i].alias(n) for i, n in enumerate(names)])
+    side, kinds = [key, "anchor", "forward"], dict(rows.dtypes)
+    blocks = scan.blocked(rows, side, [F.col("hops")], ["pos", "hops", *names], block)
+
+    def products(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        h = [scan.flat(batch.column(n)) for n in names]
+        sizes = h[0][1]
+        return scan.inclusive(_chain, (np.stack([v for v, _ in h]).reshape(3, 3, -1),), scan.places(sizes)[0])[0], sizes
+
+    def summary(batches):
+        for batch in batches:
+            m, sizes = products(batch)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("block", *side)] + [scan.packed((m[..., np.cumsum(sizes) - 1],))], names=["block", *side, "element"])
+
+    def replay(batches):
+        for batch in batches:
+            m, sizes = products(batch)
+            start = np.array([np.eye(3).ravel() if x is None else x for x in batch.column("before").to_pylist()]).reshape(-1, 9)
+            ref = np.array([x if x is not None else [math.nan] * 9 for x in batch.column("h_to_ref").to_pylist()], float).reshape(-1, 9)
+            first = scan.mul(ref.T.reshape(3, 3, -1), start.T.reshape(3, 3, -1))
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            whole = scan.mul(first[..., owner], m)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                whole = (whole / whole[2, 2]).reshape(9, -1).T
+            h = pa.array(np.ascontiguousarray(whole).ravel(), mask=~np.isfinite(whole).ravel())
+            at = pa.array(owner)
+            made = [batch.column(key).take(at), batch.column("pos").flatten(), batch.column("anchor").take(at), batch.column("hops").flatten(), pa.ListArray.from_arrays(pa.array(np.arange(0, len(whole) * 9 + 1, 9), pa.int32()), h)]
+            yield pa.RecordBatch.from_arrays(made, names=[key, "pos", "anchor", "hops", "h"])
+
+    before = scan.carried(blocks.mapInArrow(summary, "block long, " + ", ".join(f"`{c}` {kinds[c]}" for c in side) + ", element array<double>"), side, _chain, [(3, 3)])
+    ready = blocks.join(before, "block").join(anchors.select(key, "anchor", "h_to_ref"), [key, "anchor"])
+    chained = ready.mapInArrow(replay, f"`{key}` {kinds[key]}, pos {kinds['pos']}, anchor {kinds['anchor']}, hops {kinds['hops']}, h array<double>")
     own = chain.where("hops = 0").join(anchors.select(key, "anchor", "h_to_ref"), [key, "anchor"]).select(key, "pos", "anchor", "hops", camera.normalised(F.col("h_to_ref")).alias("h"))
     return own.unionByName(chained)
 

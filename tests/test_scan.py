@@ -85,3 +85,42 @@ def test_a_gate_that_rounds_do_not_settle(monkeypatch):
     s = fusion._steps_of(batch, cfg)
     _, _, post, cov, used = s.filtered(*fusion._starts(batch, cfg), s.fixed, cfg.gate_chi2)
     assert used.tolist() == want["fix_used"].tolist() and np.allclose(post[0, 0], want["east"]) and np.allclose(np.sqrt(2 * cov[0, 0]), want["pos_std_m"])
+
+
+def test_a_long_chain_in_blocks(spark):
+    """One anchor on a track of 50,000 links, both ways."""
+    from skyfix.operators import trajectory
+
+    r = np.random.default_rng(9)
+    n, at = 50_000, 20_000
+    th, t = r.normal(size=n) * 0.02, r.normal(size=(n, 2)) * 3
+    links = pd.DataFrame({"track": 1, "pos": np.arange(n), "h": [[math.cos(a), -math.sin(a), x, math.sin(a), math.cos(a), y, 0.0, 0.0, 1.0] for a, (x, y) in zip(th.tolist(), t.tolist())]})
+    nodes = pd.DataFrame({"track": 1, "pos": np.arange(n + 1), "anchor": at, "hops": np.abs(np.arange(n + 1) - at)})
+    anchors = spark.createDataFrame([(1, at, [2.0, 0.0, 500.0, 0.0, 2.0, 700.0, 0.0, 0.0, 2.0])], "track long, anchor long, h_to_ref array<double>")
+    out = trajectory.chain_homographies(spark.createDataFrame(links), spark.createDataFrame(nodes), anchors, "track", block=1000)
+    got = out.toPandas().sort_values("pos")
+    assert got["pos"].tolist() == list(range(n + 1))
+    have = np.array(got["h"].tolist()).reshape(-1, 3, 3)
+    start = np.array([[1, 0, 250.0], [0, 1, 350.0], [0, 0, 1]])
+    step = np.array(links["h"].tolist()).reshape(-1, 3, 3)
+    m = start
+    for i in range(at, n):
+        m = m @ np.linalg.inv(step[i])
+        if i % 997 == 0 or i == n - 1:
+            assert np.allclose(have[i + 1], m, atol=1e-6)
+    m = start
+    for i in range(at - 1, -1, -1):
+        m = m @ step[i]
+        if i % 997 == 0:
+            assert np.allclose(have[i], m, atol=1e-6)
+
+
+def test_a_link_without_an_inverse(spark):
+    from skyfix.operators import trajectory
+
+    unit, flat = [1.0, 0, 0, 0, 1, 0, 0, 0, 1], [0.0] * 8 + [1.0]
+    links = spark.createDataFrame([(1, 0, [float(x) for x in unit]), (1, 1, [float(x) for x in flat]), (1, 2, [float(x) for x in unit])], "track long, pos long, h array<double>")
+    chain = spark.createDataFrame([(1, p, 0, p) for p in range(4)], "track long, pos long, anchor long, hops long")
+    anchors = spark.createDataFrame([(1, 0, [float(x) for x in unit])], "track long, anchor long, h_to_ref array<double>")
+    got = {r.pos: r.h for r in trajectory.chain_homographies(links, chain, anchors, "track").collect()}
+    assert got[1] == [float(x) for x in unit] and got[2] == got[3] == [None] * 9
