@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from skyfix.functions import camera, geo
 from skyfix.operators import frames as fr
-from skyfix.operators import fusion, matchers, metrics, trajectory
+from skyfix.operators import features, fusion, matchers, metrics, trajectory
 from skyfix.plans.fixtures import ctes, view
 from skyfix.plans.geometry import hav, m_lat, m_lon
 from skyfix.plans.registry import query
@@ -257,7 +257,7 @@ def geojson_features(spark, sf_dir):
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, train_id) AS k, lead(dist) OVER (PARTITION BY query_id ORDER BY dist, train_id) AS nxt FROM d) SELECT query_id, train_id, round(dist, 6) AS distance FROM r WHERE k = 1 AND dist < 0.95e0 * nxt""")
 def ratio_test_knn(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
-    out = matchers.ratio_test(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), "label", 0.95)
+    out = features.ratio_test(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), "label", 0.95)
     return out.select("query_id", "train_id", F.round("distance", 6).alias("distance"))
 
 
@@ -369,16 +369,35 @@ def csv_roundtrip(spark, sf_dir):
     return rounded(tables.read_scores(spark, path), PLACES)
 
 
-@query("estimate_homography")
+PLANTED = (1.02, -0.05, 300.0, 0.04, 0.98, 200.0, 1e-5, 2e-5, 1.0)
+_U, _V, _W = (f"({PLANTED[3 * i]!r} * sx + {PLANTED[3 * i + 1]!r} * sy + {PLANTED[3 * i + 2]!r})" for i in range(3))
+
+
+@query("estimate_homography", f"""WITH e AS (SELECT user_id AS frame, event_id AS o, cast(event_id * 37 % 1280 AS double) AS sx, cast(event_id * 53 % 720 AS double) AS sy FROM events),
+g AS (SELECT frame, CASE WHEN o % 5 = 0 THEN sqrt(pow({_U} / {_W} - o % 700, 2) + pow({_V} / {_W} - o % 500, 2)) ELSE 0 END AS off FROM e),
+c AS (SELECT frame, count(*) AS n_matches, CASE WHEN count(*) < 4 THEN 0 ELSE count(CASE WHEN off < 5 THEN 1 END) END AS n_inliers FROM g GROUP BY frame)
+SELECT frame, n_matches, n_inliers, n_inliers >= 12 AS accepted, {', '.join(f'CASE WHEN n_inliers >= 12 THEN {x!r} END AS h{i}' for i, x in enumerate(PLANTED))} FROM c""")
 def estimate_homography(spark, sf_dir):
-    """Planted homographies recovered from correspondences of which a fifth are wrong."""
-    e = _events(spark, sf_dir).select((F.col("user_id") + 0).alias("frame"), F.col("event_id").alias("ordinal"), (F.col("event_id") * 37 % 1280).cast("double").alias("sx"), (F.col("event_id") * 53 % 720).cast("double").alias("sy"))
-    h = F.array(*[F.lit(x) for x in (1.02, -0.05, 300.0, 0.04, 0.98, 200.0, 1e-5, 2e-5, 1.0)])
-    dx, dy = camera.project(h, F.col("sx"), F.col("sy"))
+    """A planted homography recovered from correspondences of which a fifth are wrong."""
+    e = _events(spark, sf_dir).select(F.col("user_id").alias("frame"), F.col("event_id").alias("ordinal"), (F.col("event_id") * 37 % 1280).cast("double").alias("sx"), (F.col("event_id") * 53 % 720).cast("double").alias("sy"))
+    dx, dy = camera.project(F.array(*[F.lit(x) for x in PLANTED]), F.col("sx"), F.col("sy"))
     wrong = F.col("ordinal") % 5 == 0
     pairs = e.select("frame", "ordinal", "sx", "sy", F.when(wrong, F.col("ordinal") % 700).otherwise(dx).alias("dx"), F.when(wrong, F.col("ordinal") % 500).otherwise(dy).alias("dy"))
     out = matchers.homographies(pairs, "frame")
-    return out.select("frame", "n_matches", "n_inliers", F.col("h").isNotNull().alias("accepted"))
+    return out.select("frame", "n_matches", "n_inliers", F.col("h").isNotNull().alias("accepted"), *[F.round(F.col("h")[i], n).alias(f"h{i}") for i, n in enumerate((3, 3, 1, 3, 3, 1, 6, 6, 6))])
+
+
+SIGNS = "SELECT label, vec_id, list_transform(embedding, lambda x: x > 0) AS b FROM embeddings"
+
+
+@query("binary_two_nearest", f"""WITH s AS ({SIGNS}), d AS (SELECT q.label, q.vec_id AS query_id, t.vec_id AS train_id, len(list_filter(list_zip(q.b, t.b), lambda x: x[1] <> x[2])) AS dist FROM s q JOIN s t ON q.label = t.label AND q.vec_id % 2 = 0 AND t.vec_id % 2 = 1),
+r AS (SELECT *, row_number() OVER w AS k, lead(dist) OVER w AS nxt FROM d WINDOW w AS (PARTITION BY query_id ORDER BY dist, train_id)) SELECT query_id, train_id, cast(dist AS double) AS distance, cast(nxt AS double) AS second FROM r WHERE k = 1 AND nxt IS NOT NULL""")
+def binary_two_nearest(spark, sf_dir):
+    """Signs of the embeddings as binary descriptors, in small blocks: the nearest two by Hamming distance."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    octets = F.transform(F.expr("sequence(0, size(embedding) div 8 - 1)"), lambda i: F.lpad(F.conv(F.array_join(F.transform(F.slice("embedding", (i * 8 + 1).cast("int"), F.lit(8)), lambda x: F.when(x > 0, "1").otherwise("0")), ""), 2, 16), 2, "0"))
+    bits = rows.select("label", F.col("vec_id").alias("id"), F.unhex(F.array_join(octets, "")).alias("vector"))
+    return features.two_nearest(bits.where("id % 2 = 0"), bits.where("id % 2 = 1"), "label", block=64).select("query_id", "train_id", "distance", "second")
 
 
 @query("focus_measure")
