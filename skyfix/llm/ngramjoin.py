@@ -12,9 +12,9 @@ A row of the matrix is a different text (texts.py); copies are no further rows.
 4. Product. Pivots are dealt to blocks of bounded text, and the members that the mask ties to a block go there once, in slices. A block task
    multiplies the slice of the matrix with the block's pivots, pivot by pivot: a member's overlap is the sum of the pivot's indicator over the member's
    columns. Entries of the masked pairs are computed only, and kept if the overlap reaches the bound of their sizes.
-5. Links join components; columns within one component have nothing left to tell. Rounds of pivots (`rounds` at least, `most_rounds` at most) go on while they find links and the columns left
-   have many more pairs across components than entries; then the mask is all those pairs, within the bounds and those of a parity bitmap: a bit for each of `PARITIES` classes of n-grams
-   tells whether a set has an odd number of them, and every bit in which two sets differ stands for at least one n-gram that only one of them has.
+5. Links join components; columns within one component have nothing left to tell. Rounds of pivots (`rounds` at least, `most_rounds` at most) go on while the columns left
+   have many more pairs than entries and each round at least halves the pairs; then the mask is all those across components, within the bounds and those of a parity bitmap: a bit for each of
+   `PARITIES` classes of n-grams tells whether a set has an odd number of them, and every bit in which two sets differ stands for at least one n-gram that only one of them has.
 
 The block task compares words, not hashes (wordhash.identities); a hash that clashes can only let more through to it. So no link between different
 sets is lost, and none is made that the words don't bear out; only links that don't change a component aren't listed.
@@ -41,7 +41,7 @@ WIDTH = 5
 PROBE_SHARED = 0.1
 #: Bytes of text of the pivots of one block, and of the members that one task multiplies with it.
 BLOCK_BYTES, MEMBER_BYTES = 1 << 20, 16 << 20
-#: Rounds of pivots go on while the columns still open have more pairs across components than this many times their entries.
+#: Rounds of pivots go on while the columns still open have more pairs than this many times their entries.
 PAIRS = 4
 #: Bits of a set's parity bitmap (a multiple of 64): they tell sets apart that are up to about as large.
 PARITIES = 1024
@@ -243,10 +243,10 @@ def _fitting(percent: int):
 
 
 def _leads(open_: DataFrame, step: int) -> DataFrame:
-    """(token, pivot) of the columns still open: first the member with the smallest share of n-grams of its own, then any; another one for each column and round."""
+    """(token, pivot, held) of the columns still open: first the member with the smallest share of n-grams of its own, then any, another one for each column and round; and how many members a column has."""
     draw = [F.xxhash64("d", "token", F.lit(step)), F.col("d")]
     order = F.struct((F.col("own") * 64 / F.col("n")).cast("int"), *draw) if step == 0 else F.struct(*draw)
-    return written(open_.groupBy("token").agg(F.min_by(F.struct("d", "label", "n", "pos"), order).alias("pivot")), "ngram-leads")
+    return written(open_.groupBy("token").agg(F.min_by(F.struct("d", "label", "n", "pos"), order).alias("pivot"), F.count(F.lit(1)).cast("double").alias("held")), "ngram-leads")
 
 
 def _mask(open_: DataFrame, leads: DataFrame, percent: int) -> DataFrame:
@@ -263,13 +263,6 @@ def _whole_mask(open_: DataFrame, columns: DataFrame, percent: int) -> DataFrame
     return pairs.where(_fitting(percent)).where(f"{100 + percent} * ({apart}) <= {100 - percent} * (n + pivot.n)").select(F.col("d").alias("member"), F.col("pivot.d").alias("pivot"))
 
 
-def _left(open_: DataFrame) -> tuple[int, int]:
-    """(entries of the columns still open, pairs across components in them)."""
-    sizes = open_.groupBy("token", "label").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("token").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
-    r = sizes.agg(F.coalesce(F.sum("s"), F.lit(0.0)), F.coalesce(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.lit(0.0))).first()
-    return int(r[0]), int(r[1])
-
-
 def similar(documents: DataFrame, n: int = WIDTH, percent: int = 75, id_column: str = "doc_id", text_column: str = "text", rounds: int = 1, most_rounds: int = 8, tagged: bool = False) -> DataFrame:
     """Per document: id, n_shingles, component_id (the smallest id reachable by links of at least this percentage of overlap to union).
 
@@ -284,26 +277,23 @@ def similar(documents: DataFrame, n: int = WIDTH, percent: int = 75, id_column:
     columns = _columns(rows, n)
     posts = _prefixes(columns, percent)
     discard(alive)
-    stars, step, last, found = None, 0, False, True
+    stars, step, last, before = None, 0, False, float("inf")
     while not last:
         open_ = written(_labelled(posts, stars), "ngram-open")
         discard(posts)
-        entries, pairs = _left(open_)
-        last = not entries or step >= most_rounds or (step >= rounds and (pairs <= PAIRS * entries or not found))
+        leads = _leads(open_, step)
+        entries, pairs = leads.agg(F.coalesce(F.sum("held"), F.lit(0.0)), F.coalesce(F.sum(F.col("held") * (F.col("held") - 1) / 2), F.lit(0.0))).first()
+        last = not entries or step >= most_rounds or (step >= rounds and (pairs <= PAIRS * entries or 2 * pairs > before))
         if last:
             edges = _linked(_whole_mask(open_, columns, percent), rows, n, percent)
         else:
-            leads = _leads(open_, step)
             edges = _linked(_mask(open_, leads, percent), rows, n, percent)
             posts = written(open_.drop("label").join(leads.select("token", F.col("pivot.d").alias("met")), "token").where("d <> met").drop("met"), "ngram-prefixes")
-            discard(leads)
-        found = not edges.isEmpty()
-        before = stars
-        if found or stars is None:
-            stars = components(edges if stars is None else edges.select("u", "v").unionByName(stars))
-            discard(*[before] if before is not None else [])
-        discard(edges, open_)
-        step += 1
+        if stars is None or not (last and edges.isEmpty()):
+            old, stars = stars, components(edges if stars is None else edges.select("u", "v").unionByName(stars))
+            discard(*[old] if old is not None else [])
+        discard(edges, open_, leads)
+        step, before = step + 1, pairs
     discard(columns)
     # a component's smallest id, over the ids of its texts
     root = each.join(stars.select(F.col("u").alias("row"), F.col("v").alias("up")), "row", "left").withColumn("root", F.coalesce("up", "row"))
