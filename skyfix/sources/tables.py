@@ -121,19 +121,19 @@ def manifest_frames(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("shard").cast("int").alias("shard"), F.col("s.status").alias("status"), F.explode("s.frames").alias("f")).select("shard", "status", "f.*").orderBy("shard", "index")
 
 
-#: Columns of a frame index.
-FRAME_INDEX = ("filename", "index", "t_ms", "shard", "blur_score", "bytes", "sha1")
+#: The columns of frames.csv.
+FRAME_INDEX = ("shard", "index", "t_ms", "blur_score", "filename", "bytes", "sha1")
 
 
 def manifest_head(spark: SparkSession, path: str) -> DataFrame:
     """What a manifest says of its video and settings: identity fields and settings as text, one row, for frames.mismatches."""
-    schema = "video STRUCT<name: STRING, size_bytes: BIGINT, fps: DOUBLE, total_frames: BIGINT, width: BIGINT, height: BIGINT, sha1_head: STRING>, settings_hash STRING, settings MAP<STRING, STRING>, completed BOOLEAN"
+    schema = "video STRUCT<name: STRING, size_bytes: BIGINT, n_frames: BIGINT, fps: DOUBLE, width: BIGINT, height: BIGINT>, settings_hash STRING, settings MAP<STRING, STRING>, completed BOOLEAN"
     return spark.read.schema(schema).option("multiLine", True).json(path).select("video.*", "settings_hash", "settings", F.coalesce("completed", F.lit(False)).alias("completed"))
 
 
 def frame_index(shards: DataFrame) -> DataFrame:
-    """The frame index of complete shards, by number: the columns of frames.csv."""
-    return shards.where("status = 'complete'").select(*[F.col(c) for c in FRAME_INDEX if c in shards.columns]).orderBy("index")
+    """The columns of frames.csv, in numeric order of shards and frames; frames of partial shards are listed too."""
+    return shards.select(*FRAME_INDEX).orderBy("shard", "index")
 
 
 def write_frame_index(shards: DataFrame, path: str) -> None:
@@ -141,8 +141,8 @@ def write_frame_index(shards: DataFrame, path: str) -> None:
 
 
 def missing_from_index(index: DataFrame, shards: DataFrame) -> DataFrame:
-    """Frames of complete shards that a frame index doesn't list, or lists with another size."""
-    want = shards.where("status = 'complete'").select("filename", F.col("bytes").cast("long").alias("bytes"))
+    """Frames that an index doesn't list, or lists with another size."""
+    want = shards.select("filename", F.col("bytes").cast("long").alias("bytes"))
     rows = want.join(index.select("filename", F.col("bytes").cast("long").alias("_bytes"), F.lit(True).alias("_listed")), "filename", "left")
     problem = F.when(F.col("_listed").isNull(), "not listed").when(~F.col("bytes").eqNullSafe(F.col("_bytes")), "size")
     return rows.select("filename", problem.alias("problem")).where("problem is not null")

@@ -65,12 +65,17 @@ def test_frame_index_and_mismatches(spark, tmp_path):
     shards = spark.createDataFrame([(0, "complete", 1, 10, 2.0, "a.jpg", 5, "x"), (0, "complete", 0, 0, 2.0, "b.jpg", 6, "y"), (1, "partial", 9, 90, 1.0, "c.jpg", 7, "z")], "shard int, status string, index long, t_ms long, blur_score double, filename string, bytes long, sha1 string")
     tables.write_frame_index(shards, str(tmp_path / "frames"))
     back = spark.read.option("header", True).csv(str(tmp_path / "frames"))
-    assert [r.filename for r in back.orderBy("index").collect()] == ["b.jpg", "a.jpg"]
+    assert tuple(back.columns) == ("shard", "index", "t_ms", "blur_score", "filename", "bytes", "sha1")
+    assert [tuple(r) for r in back.orderBy(F.col("shard").cast("int"), F.col("index").cast("int")).collect()] == [("0", "0", "0", "2.0", "b.jpg", "6", "y"), ("0", "1", "10", "2.0", "a.jpg", "5", "x"), ("1", "9", "90", "1.0", "c.jpg", "7", "z")]
     assert tables.missing_from_index(back, shards).collect() == []
-    assert [tuple(r) for r in tables.missing_from_index(back.where("filename <> 'a.jpg'").withColumn("bytes", F.lit(1)), shards).orderBy("filename").collect()] == [("a.jpg", "not listed"), ("b.jpg", "size")]
-    (tmp_path / "m.json").write_text('{"video": {"name": "v", "size_bytes": 5, "fps": 29.97}, "settings_hash": "h", "settings": {"step": 5}, "completed": false}')
+    assert [tuple(r) for r in tables.missing_from_index(back.where("filename <> 'a.jpg'").withColumn("bytes", F.lit(1)), shards).orderBy("filename").collect()] == [("a.jpg", "not listed"), ("b.jpg", "size"), ("c.jpg", "size")]
+    (tmp_path / "m.json").write_text('{"video": {"name": "v", "size_bytes": 5, "n_frames": 90, "fps": 29.97, "width": 4, "height": 3}, "settings_hash": "h", "settings": {"step": 5}, "completed": false}')
     head = tables.manifest_head(spark, str(tmp_path / "m.json")).withColumn("k", F.lit(1))
     assert head.first().settings == {"step": "5"}
-    frames.require_match(head, head, "k", ["name", "size_bytes", "settings_hash"])
+    video = spark.createDataFrame([(1, "v", 5, 90, "h")], "k int, name string, size_bytes long, n_frames long, settings_hash string")
+    identity = ["name", "size_bytes", "n_frames", "settings_hash"]
+    frames.require_match(head, video, "k", identity)
+    with pytest.raises(frames.IngestMismatchError, match="n_frames"):
+        frames.require_match(head, video.withColumn("n_frames", F.lit(91)), "k", identity)
     with pytest.raises(frames.IngestMismatchError, match="size_bytes, settings_hash"):
         frames.require_match(head, head.withColumns({"size_bytes": F.lit(6), "settings_hash": F.lit("g")}), "k", ["name", "size_bytes", "settings_hash"])
