@@ -11,10 +11,10 @@ from skyfix.functions import camera, geo
 from skyfix.operators import frames as fr
 from skyfix.operators import features, fusion, matchers, metrics, trajectory
 from skyfix.plans.fixtures import ctes, view
-from skyfix.plans.geometry import hav, m_lat, m_lon
+from skyfix.plans.geometry import hav, lat_of, lon_of, m_lat, m_lon, merc_x, merc_y
 from skyfix.plans.registry import query
 from skyfix.plans.scoring import rounded
-from skyfix.sources import export, tables, telemetry
+from skyfix.sources import export, store, tables, telemetry
 from skyfix.sources.tables import shared_folder
 
 
@@ -315,6 +315,52 @@ def ground_pose_decompose(spark, sf_dir):
     return found.select("frame", *[(F.round(c, n) + F.lit(0.0)).alias(c) for c, n in (("east_m", 6), ("north_m", 6), ("altitude_m", 6), ("tilt_deg", 4))])
 
 
+BOXES = f"SELECT event_id AS tile_id, {merc_x('lon')} AS x, {merc_y('lat')} AS y, span_m FROM "
+
+
+@query("tiles_holding", ctes("points") + f""", b AS ({BOXES} points) SELECT p.tile_id AS event_id, t.tile_id FROM b p JOIN b t ON p.x >= t.x - t.span_m / 2e0 AND p.x <= t.x + t.span_m / 2e0 AND p.y >= t.y - t.span_m / 2e0 AND p.y <= t.y + t.span_m / 2e0""")
+def tiles_holding(spark, sf_dir):
+    """Every place with the tiles that hold it: the tiles are squares about the same places."""
+    x, y = geo.to_mercator(F.col("lon"), F.col("lat"))
+    rows = view(spark, sf_dir, "points").select("event_id", x.alias("x"), y.alias("y"), "span_m")
+    half = F.col("span_m") / 2
+    box = F.struct((F.col("x") - half).alias("minx"), (F.col("y") - half).alias("miny"), (F.col("x") + half).alias("maxx"), (F.col("y") + half).alias("maxy"))
+    return store.holding(rows.select("event_id", "x", "y"), rows.select(F.col("event_id").alias("tile_id"), box.alias("tile"))).select("event_id", "tile_id")
+
+
+TILTED_SQL = """SELECT event_id AS frame, event_id % 13 * 5e0 AS tilt, 60e0 + event_id % 90 AS height, radians(event_id % 360) AS heading FROM {events}"""
+
+
+#: The frame's centre is at one place; the camera stands off it, against its heading.
+FOOT = [f"({PX} - height * tan(radians(tilt)) * {f}(heading) / cos(radians(43.5e0)))" for PX, f in ((merc_x("-5.6e0"), "sin"), (merc_y("43.5e0"), "cos"))]
+
+
+@query("nadir_pose", "WITH c AS (" + TILTED_SQL.replace("{events}", "events") + f""") SELECT frame, round(tilt, 5) AS tilt_deg, round(height, 5) AS altitude_m, round({lat_of(FOOT[1])}, 8) AS lat, round({lon_of(FOOT[0])}, 8) AS lon FROM c""")
+def nadir_pose(spark, sf_dir):
+    """Tilted cameras that look at one place from all sides: the homography to a tile is made from the camera, and the place under the camera is found again.
+
+    A camera at this height above the origin whose axis leans by the tilt towards the heading sees the ground point (e, n) at K R (e, n, -height); the inverse maps pixels to ground, and ground to the tile."""
+    rows = spark.sql(TILTED_SQL, events=_events(spark, sf_dir)).withColumns({"a": F.radians("tilt"), "f": F.lit(900.0)})
+    sa, ca, sh, ch = F.sin("a"), F.cos("a"), F.sin("heading"), F.cos("heading")
+    zero, one = F.lit(0.0), F.lit(1.0)
+    # rows of the rotation: to the right, down in the picture, along the axis
+    right, axis = (ch, -sh, zero), (sa * sh, sa * ch, -ca)
+    down = (axis[1] * right[2] - axis[2] * right[1], axis[2] * right[0] - axis[0] * right[2], axis[0] * right[1] - axis[1] * right[0])
+    view_ = [r[c] if c < 2 else -F.col("height") * r[2] for r in (right, down, axis) for c in range(3)]
+    k = F.array(F.col("f"), zero, F.lit(640.0), zero, F.col("f"), F.lit(360.0), zero, zero, one)
+    x, y = geo.to_mercator(F.lit(-5.6), F.lit(43.5))
+    tile = F.struct((x - 2000).alias("minx"), (y - 2000).alias("miny"), (x + 2000).alias("maxx"), (y + 2000).alias("maxy"), F.lit(4000).alias("width"), F.lit(4000).alias("height"))
+    rows = rows.select("frame", "height", "a", "heading", F.array(*view_).alias("view"), k.alias("k"), tile.alias("tile"))
+    rows = rows.select("frame", "height", "a", "heading", "k", "tile", camera.inverse(camera.product(F.col("k"), F.col("view"))).alias("ground"))
+    stretch = 1 / F.cos(F.radians(F.lit(43.5)))  # metres of the map for one of ground, where the frame's centre is
+    east, north = (F.col("height") * F.tan("a") * f("heading") for f in (F.sin, F.cos))
+    to_tile = F.array(stretch, zero, F.lit(2000.0) - east * stretch, zero, -stretch, F.lit(2000.0) + north * stretch, zero, zero, one)
+    rows = rows.select("frame", "k", "tile", camera.product(to_tile, F.col("ground")).alias("h"))
+    seen = camera.nadir_pose(F.col("h"), F.lit(1280.0), F.lit(720.0), F.col("k"))
+    found = rows.select("frame", *[c.alias(n) for n, c in seen.items()])
+    return found.select("frame", (F.round("tilt_deg", 5) + F.lit(0.0)).alias("tilt_deg"), F.round("altitude_m", 5).alias("altitude_m"), F.round("lat", 8).alias("lat"), F.round("lon", 8).alias("lon"))
+
+
 #: The filter forwards and the smoother backwards, one step of all tracks a recursion: e, n, ve, vn and the three numbers of the covariance; q... before the step's fix.
 FUSED = """, z AS (SELECT track, frame, t_s, pos_e, pos_n, row_number() OVER (PARTITION BY track ORDER BY frame) AS i, coalesce(t_s - lag(t_s) OVER (PARTITION BY track ORDER BY frame), 0e0) AS dt FROM fusion_steps),
 b AS (SELECT track, arg_min(pos_e, i) AS e0, arg_min(pos_n, i) AS n0 FROM z WHERE pos_e IS NOT NULL GROUP BY track),
