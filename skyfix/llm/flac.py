@@ -2,7 +2,8 @@
 
 A payload's bytes, less 128, are the samples. A stream is the marker, STREAMINFO (with the MD5 of the samples), a SEEKTABLE
 with the first sample of every `seek_every`th frame, and frames of `block` samples. Each frame's subframe is a constant, or the
-cheapest of the fixed linear predictors of order 0 to 2 with Rice-coded residuals (one partition), or verbatim where Rice codes would be longer.
+cheapest of the fixed linear predictors of order 0 to 2 and a quantised linear predictor of order 8 fitted to the frame, with Rice-coded residuals in as many partitions as are shortest,
+or verbatim where Rice codes would be longer.
 
 Decoding reads what the format allows for such streams in general: constant, verbatim, fixed (order 0 to 4) and LPC
 subframes, residuals in either Rice coding method with any number of partitions and escaped partitions, 8-bit mono frames of one block size (a shorter
@@ -33,6 +34,8 @@ FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
 SIZE_CODE, RATE_CODE, BITS_CODE = 2, 4, 1
 #: Frames handled in one lockstep pass.
 LANES = 4096
+#: Order and bits of the fitted predictor, and the most partitions of a frame, as a power of two.
+ORDER, PRECISION, MOST_PARTITIONS = 8, 12, 4
 
 
 @functools.lru_cache(maxsize=2)
@@ -105,22 +108,80 @@ def _residuals(samples: np.ndarray, order: int) -> np.ndarray:
     return np.diff(samples, n=order, axis=1) if order else samples
 
 
+def _fitted(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(taps, shift): quantised predictors of all frames, from their autocorrelations by the Levinson recursion."""
+    x = samples.astype(np.float64)
+    r = np.stack([(x[:, lag:] * x[:, : x.shape[1] - lag]).sum(axis=1) for lag in range(ORDER + 1)])
+    error, taps = r[0] * (1 + 1e-9) + 1e-9, np.zeros((ORDER, len(x)))
+    for i in range(ORDER):
+        k = (r[i + 1] - (taps[:i] * r[i:0:-1]).sum(axis=0)) / error
+        before = taps[:i].copy()
+        taps[:i], taps[i] = before - k * before[::-1], k
+        error = np.maximum(error * (1 - k * k), 1e-9)
+    top = np.maximum(np.abs(taps).max(axis=0), 1e-9)
+    shift = np.clip(PRECISION - 2 - np.floor(np.log2(top)), 0, 15).astype(np.int64)
+    most = (1 << (PRECISION - 1)) - 1
+    return np.clip(np.rint(taps * 2.0**shift), -most - 1, most).astype(np.int32), shift
+
+
+def _unpredicted(samples: np.ndarray, taps: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """Residuals of the fitted predictors, of every sample but the first ORDER."""
+    n = samples.shape[1]
+    guess = np.zeros((len(samples), n - ORDER), np.int32)
+    for j in range(ORDER):
+        guess += taps[j][:, None] * samples[:, ORDER - 1 - j : n - 1 - j]
+    return samples[:, ORDER:] - (guess >> shift[:, None].astype(np.int32))
+
+
+def _rice_bits(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bits, parameter) of Rice codes of rows of folded residuals along the last axis, parameters apart."""
+    near = np.clip(np.log2(u.mean(axis=-1) + 1e-9), 0, 13).astype(np.int32)  # the best parameter is this or one less
+    best = None
+    for k in (near, np.maximum(near - 1, 0)):
+        bits = (u >> k[..., None]).sum(axis=-1, dtype=np.int64) + (k.astype(np.int64) + 1) * u.shape[-1]
+        best = (bits, k) if best is None else (np.minimum(best[0], bits), np.where(bits < best[0], k, best[1]))
+    return best
+
+
+def _partitioned(u: np.ndarray, order: int, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bits, partition order, parameters of up to 2^MOST_PARTITIONS partitions) of rows of folded residuals; the first partition lacks the predictor's first samples."""
+    n = len(u)
+    bits, k = _rice_bits(u)
+    bits, at, ks = bits + 4, np.zeros(n, np.int64), np.zeros((n, 1 << MOST_PARTITIONS), np.int64)
+    ks[:, 0] = k
+    for p in range(1, MOST_PARTITIONS + 1):
+        size, parts = block >> p, 1 << p
+        if block % parts or size <= order:
+            break
+        first, k0 = _rice_bits(u[:, : size - order])
+        rest, k1 = _rice_bits(u[:, size - order :].reshape(n, parts - 1, size))
+        total = first + rest.sum(axis=1) + 4 * parts
+        better = total < bits
+        bits, at = np.where(better, total, bits), np.where(better, p, at)
+        ks[better, 0], ks[better, 1:parts] = k0[better], k1[better]
+    return bits, at, ks
+
+
 def encode_frames(samples: np.ndarray, numbers: np.ndarray) -> list[bytes]:
     """Frames of int samples (frames x block) with these numbers."""
     n, block = samples.shape
-    best_bits = np.full(n, 8 * block, np.int64)
-    best_order, best_k = np.full(n, -1), np.zeros(n, np.int64)
-    folded = []
-    for order in (0, 1, 2):
-        r = _residuals(samples, order)
+    taps, shift = _fitted(samples)
+    best_bits, best_kind = np.full(n, 8 * block, np.int64), np.full(n, -1)  # kinds: the fixed order, or 3 for the fitted predictor
+    orders, extra, folded = (0, 1, 2, ORDER), (0, 0, 0, 9 + ORDER * PRECISION), []
+    for kind, order in enumerate(orders):
+        r = _unpredicted(samples, taps, shift) if kind == 3 else _residuals(samples, order)
         u = ((r << 1) ^ (r >> 31)).astype(np.int32)
         folded.append(u)
-        near = np.clip(np.log2(u.mean(axis=1) + 1e-9), 0, 13).astype(np.int32)  # the best parameter is this or one less
-        for k in (near, np.maximum(near - 1, 0)):
-            bits = (u >> k[:, None]).sum(axis=1, dtype=np.int64) + (k + 1) * u.shape[1] + 8 * order + 10
-            better = bits < best_bits
-            best_bits[better], best_order[better], best_k[better] = bits[better], order, k[better]
+        bits = _rice_bits(u)[0] + 8 * order + extra[kind] + 10
+        better = bits < best_bits
+        best_bits[better], best_kind[better] = bits[better], kind
     constant = (samples == samples[:, :1]).all(axis=1)
+    partitions, ks = np.zeros(n, np.int64), np.zeros((n, 1 << MOST_PARTITIONS), np.int64)
+    for kind, order in enumerate(orders):
+        rows = np.flatnonzero(~constant & (best_kind == kind))
+        if len(rows):
+            bits, partitions[rows], ks[rows] = _partitioned(folded[kind][rows], order, block)
+            best_bits[rows] = bits + 8 * order + extra[kind] + 6
     heads = [_frame_header(int(x)) for x in numbers]
     head_size = np.fromiter(map(len, heads), np.int64, n)
     body_bits = np.where(constant, 8 + 8, 8 + best_bits)
@@ -130,8 +191,8 @@ def encode_frames(samples: np.ndarray, numbers: np.ndarray) -> list[bytes]:
 
     def put(bit: np.ndarray, value: np.ndarray, width: np.ndarray | int) -> None:
         """ORs values of up to 24 bits, given where they begin; disjoint bits add up exactly."""
-        word, shift = bit >> 5, 64 - (bit & 31) - width
-        wide = value.astype(np.uint64) << shift.astype(np.uint64)
+        word, shift_ = bit >> 5, 64 - (bit & 31) - width
+        wide = value.astype(np.uint64) << shift_.astype(np.uint64)
         base = int(word[0]) if len(word) else 0
         span = int(word[-1]) - base + 2 if len(word) else 0
         if not span:
@@ -140,30 +201,38 @@ def encode_frames(samples: np.ndarray, numbers: np.ndarray) -> list[bytes]:
         words[base : base + span] += np.bincount(word - base + 1, weights=(wide & np.uint64(0xFFFFFFFF)).astype(np.float64), minlength=span)[:span]
 
     body = (starts + head_size) * 8
-    kind = np.where(constant, 0, np.where(best_order < 0, 1 << 1, (8 + np.maximum(best_order, 0)) << 1))
-    put(body, kind, 8)
+    type_ = np.array([8 << 1, 9 << 1, 10 << 1, (31 + ORDER) << 1, 1 << 1])  # of kinds; the last, at -1, is verbatim
+    put(body, np.where(constant, 0, type_[best_kind]), 8)
     raw = samples & 0xFF
     if constant.any():
         put(body[constant] + 8, raw[constant, 0], 8)
-    verbatim = ~constant & (best_order < 0)
+    verbatim = ~constant & (best_kind < 0)
     if verbatim.any():
         at = body[verbatim][:, None] + 8 + 8 * np.arange(block)[None, :]
         put(at.ravel(), raw[verbatim].ravel(), 8)
-    for order in (0, 1, 2):
-        rows = np.flatnonzero(~constant & (best_order == order))
-        if not len(rows):
-            continue
-        for i in range(order):
-            put(body[rows] + 8 + 8 * i, raw[rows, i], 8)
-        k = best_k[rows]
-        put(body[rows] + 8 + 8 * order, k, 10)  # method 0, partition order 0, the parameter
-        u = folded[order][rows]
-        q = u >> k[:, None]
-        lens = q + 1 + k[:, None]
-        ends = np.cumsum(lens, axis=1) + (body[rows] + 18 + 8 * order)[:, None]
-        width = (k + 1)[:, None]
-        code = (1 << k)[:, None] | (u & ((1 << k) - 1)[:, None])
-        put((ends - width).ravel(), code.ravel(), np.broadcast_to(width, code.shape).ravel())
+    for kind, order in enumerate(orders):
+        for p in range(MOST_PARTITIONS + 1):
+            rows = np.flatnonzero(~constant & (best_kind == kind) & (partitions == p))
+            if not len(rows):
+                continue
+            at = body[rows] + 8
+            for i in range(order):
+                put(at + 8 * i, raw[rows, i], 8)
+            at = at + 8 * order
+            if kind == 3:
+                put(at, ((PRECISION - 1) << 5) | shift[rows], 9)
+                for j in range(ORDER):
+                    put(at + 9 + PRECISION * j, taps[j, rows] & ((1 << PRECISION) - 1), PRECISION)
+                at = at + 9 + PRECISION * ORDER
+            put(at, np.full(len(rows), p), 6)  # method 0, the partition order
+            part = np.arange(order, block) // (block >> p)
+            opens = np.diff(part, prepend=-1) > 0
+            u, k = folded[kind][rows], ks[rows][:, part]
+            lens = (u >> k) + 1 + k
+            ends = np.cumsum(lens + 4 * opens, axis=1) + (at + 6)[:, None]
+            put((ends - lens - 4)[:, opens].ravel(), k[:, opens].ravel(), 4)
+            width = k + 1
+            put((ends - width).ravel(), ((1 << k) | (u & ((1 << k) - 1))).ravel(), width.ravel())
     flat = words.astype(np.uint32).astype(">u4").view(np.uint8)[: int(sizes.sum())]
     for length in np.unique(head_size):
         rows = np.flatnonzero(head_size == length)
@@ -272,8 +341,9 @@ def decode_subframes(bits: _Bits, at: np.ndarray, block: int) -> tuple[np.ndarra
                 if order:
                     got = np.cumsum(got, axis=0)
             else:
+                taps = np.ascontiguousarray(taps.T)
                 for i in range(order, block):
-                    predicted = sum(taps[:, j] * got[i - 1 - j] for j in range(order)) if order else 0
+                    predicted = (taps * got[i - order : i][::-1]).sum(axis=0) if order else 0
                     got[i] += predicted >> shift
             out[rows] = got.T
             end[rows] = pos
@@ -450,18 +520,74 @@ def _one_frame(stream: bytes, at: int, number: int, block: int) -> tuple[bytes,
     return (samples[0] + 128).astype(np.uint8).tobytes(), at + length + 2
 
 
-def pcm_blocks(stream: bytes, from_sample: int, count: int) -> bytes:
-    """PCM bytes from a sample offset on, reading from the nearest seek point before it."""
-    h = Stream(stream)
-    upto = min(h.samples, from_sample + count)
-    sample, offset = max((p for p in h.seek if p[0] <= from_sample), default=(0, 0))
-    at, number, rows = h.first + offset, sample // h.block, []
+def _frames_of(s: bytes, h: Stream, first: int, upto: int, careful: bool) -> list[tuple[int, int, int]]:
+    """(begin, end, header size) of the frames that hold samples first to upto, from the nearest seek point before on. A frame ends where the next header stands; careful: only if its CRC-16 says so."""
+    sample, offset = max((p for p in h.seek if p[0] <= first), default=(0, 0))
+    at, number, out = h.first + offset, sample // h.block, []
     while number * h.block < upto:
-        payload, at = _one_frame(stream, at, number, h.block)
-        rows.append(payload)
-        number += 1
-    data = b"".join(rows)
-    return data[from_sample - sample : upto - sample]
+        head = _frame_header(number)
+        if s[at : at + len(head)] != head:
+            _parse_header(s, at)
+            raise CorruptStream("frame number")
+        end = len(s)
+        if (number + 1) * h.block < h.samples:
+            follow = _frame_header(number + 1)
+            end = s.find(follow, at + len(head))
+            while careful and end >= 0 and int(crc16(np.frombuffer(s, np.uint8, end - at, at), np.zeros(1, np.int64), np.array([end - at - 2]))[0]) != int.from_bytes(s[end - 2 : end]):
+                end = s.find(follow, end + 1)
+            if end < 0:
+                raise CorruptStream("a frame is missing")
+        if (number + 1) * h.block > first:
+            out.append((at, end, len(head)))
+        at, number = end, number + 1
+    return out
+
+
+def pcm_ranges(streams: list[bytes], ranges: list[tuple[int, int]], careful: bool = False) -> list[bytes]:
+    """PCM bytes of a range (first sample, count) of each stream: only its frames are decoded and their CRC-16 checked, those of all streams in lockstep."""
+    heads = [Stream(s) for s in streams]
+    ends = [min(h.samples, first + count) for h, (first, count) in zip(heads, ranges)]
+    held = [_frames_of(s, h, first, upto, careful) for s, h, (first, _), upto in zip(streams, heads, ranges, ends)]
+    counts = np.fromiter(map(len, held), np.int64, len(held))
+    flat = np.frombuffer(b"".join(s[a:b] for s, own in zip(streams, held) for a, b, _ in own), np.uint8)
+    sizes = np.array([b - a for own in held for a, b, _ in own], np.int64)
+    starts, tops = np.cumsum(sizes) - sizes, np.array([t for own in held for *_, t in own], np.int64)
+    samples, bits = np.zeros((len(sizes), BLOCK), np.uint8), _Bits(flat)
+    for a in range(0, len(sizes), LANES):
+        z = slice(a, a + LANES)
+        if (crc16(flat, starts[z], sizes[z] - 2) != (flat[starts[z] + sizes[z] - 2].astype(np.uint32) << 8 | flat[starts[z] + sizes[z] - 1])).any():
+            if careful:
+                raise CorruptStream("frame checksum")
+            return pcm_ranges(streams, ranges, True)  # the bytes of a header may stand inside a frame
+        got, end = decode_subframes(bits, (starts[z] + tops[z]) * 8, BLOCK)
+        if ((end + 7) // 8 + 2 != starts[z] + sizes[z]).any():
+            raise CorruptStream("a frame's length doesn't fit its content")
+        samples[z] = (got + 128).astype(np.uint8)
+    out, at = [], 0
+    for n, (first, _), upto, h in zip(counts.tolist(), ranges, ends, heads):
+        out.append(samples[at : at + n].tobytes()[first % h.block : first % h.block + max(0, upto - first)])
+        at += n
+    return out
+
+
+def pcm_blocks(stream: bytes, from_sample: int, count: int) -> bytes:
+    """PCM bytes of one stream from a sample offset on."""
+    return pcm_ranges([stream], [(from_sample, count)])[0]
+
+
+def pcm_table(df: DataFrame, id_column: str = "doc_id", block: int = SEEK_EVERY * BLOCK) -> DataFrame:
+    """(id, sample_offset, pcm): what the media column holds as PCM blocks of `block` samples, each with the offset of its first sample, decoded and verified a stream at a time."""
+    kind = dict(df.select(id_column).dtypes)[id_column]
+
+    def make():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            payloads = decode_streams(batch.column(1).to_pylist())
+            rows = [(i, at, p[at : at + block]) for i, p in zip(batch.column(0).to_pylist(), payloads) for at in range(0, len(p), block)]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], batch.schema.field(0).type), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["id", "sample_offset", "pcm"])
+
+        return each
+
+    return map_slices(df.select(F.col(id_column).alias("id"), "media"), make, f"id {kind}, sample_offset long, pcm binary", text="media").withColumnRenamed("id", id_column)
 
 
 def padded(data: bytes, block: int = BLOCK) -> bytes:
@@ -502,8 +628,11 @@ def decode_column(df: DataFrame, id_column: str = "doc_id", keep_pcm: bool = Fal
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             media = batch.column(2).to_pylist()
             payloads = decode_streams(media)
+            tails = pcm_ranges(media, [(len(p) - 32, 32) for p in payloads])  # read by sample offset
+            if any(t != p[-32:] for t, p in zip(tails, payloads)):
+                raise CorruptStream("a range differs from the whole")
             out = [
-                batch.column(0), batch.column(1), pa.array(list(map(len, payloads)), pa.int64()), pa.array(list(map(sha, payloads))), pa.array([zlib.crc32(p[-32:]) for p in payloads], pa.int64()),
+                batch.column(0), batch.column(1), pa.array(list(map(len, payloads)), pa.int64()), pa.array(list(map(sha, payloads))), pa.array([zlib.crc32(t) for t in tails], pa.int64()),
                 pa.array(list(map(len, media)), pa.int64()), pa.array(list(map(sha, media))), pa.array(list(map(feature, payloads))),
             ]
             names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]

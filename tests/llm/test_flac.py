@@ -102,3 +102,33 @@ def test_query_edge_cases(spark):
         assert bytes(r.pcm) == pad and (r.n_bytes, r.payload_bytes) == (len(data), len(pad))
         assert r.payload_sha256 == hashlib.sha256(pad).hexdigest() and r.tail_crc32 == zlib.crc32(pad[-32:])
     assert flac.decode_column(flac.encode_column(df.limit(0))).collect() == []
+
+
+def test_streams_of_text_hold_fitted_predictors_and_partitions():
+    r = random.Random(5)
+    text = " ".join("".join(r.choices("etaoinshrdlu", k=r.randint(1, 9))) for _ in range(4000)).encode() + b"\n" * 2000 + bytes(r.randrange(256) for _ in range(600))
+    payload = flac.padded(text)
+    stream = flac.encode_streams([payload])[0]
+    h, kinds, partitions = flac.Stream(stream), [], []
+    for a, _, head in flac._frames_of(stream, h, 0, h.samples, True):
+        kind = stream[a + head] >> 1
+        kinds.append(kind)
+        if kind == 31 + flac.ORDER:
+            at = 8 * (a + head) + 8 + 8 * flac.ORDER + 9 + flac.ORDER * flac.PRECISION
+            partitions.append(int.from_bytes(stream[at // 8 : at // 8 + 3]) >> (24 - at % 8 - 6) & 15)
+    assert kinds.count(31 + flac.ORDER) > 0.8 * (len(kinds) - 6) and 0 in kinds and max(partitions) > 0
+    assert flac.decode_streams([stream]) == [payload] and len(stream) < 0.95 * len(payload)
+    assert flac.pcm_ranges([stream, stream], [(10, 3000), (h.samples - 32, 32)]) == [payload[10:3010], payload[-32:]]
+
+
+def test_blocks_of_samples_by_offset(spark):
+    df = spark.createDataFrame([(1, "text " * 20_000), (2, ""), (3, None)], "doc_id long, text string")
+    media = flac.encode_column(df)
+    streams = {r.doc_id: bytes(r.media) for r in media.collect()}
+    blocks = sorted((r.doc_id, r.sample_offset, bytes(r.pcm)) for r in flac.pcm_table(media).collect())
+    assert [b[:2] for b in blocks] == [(1, 0), (1, 36864), (1, 73728), (2, 0), (3, 0)]
+    assert all(p == flac.pcm_blocks(streams[i], at, len(p)) for i, at, p in blocks)
+    damaged = bytearray(streams[1])
+    damaged[-20] ^= 4
+    with pytest.raises(flac.CorruptStream):
+        flac.pcm_blocks(bytes(damaged), 99_990, 10)
