@@ -37,6 +37,33 @@ def parse_frames(spec: Column, total: Column) -> Column:
     return F.when(F.forall(out, lambda i: (i >= 0) & (i < total)), out)
 
 
+def require_frames(spec: str, total: int) -> list[int]:
+    """The frames of a specification; a ValueError that says what is wrong with it, where parse_frames gives null."""
+    if total <= 0:
+        raise ValueError(f"a video of {total} frames has none to take")
+    parts = [p.strip() for p in spec.split(",")] if "," in spec else None
+    try:
+        if parts is not None:
+            out = sorted({int(p) for p in parts if p})
+        elif (n := int(spec)) < 1:
+            raise ValueError(f"{n} is no number of frames")
+        else:
+            out = [0] if n == 1 else sorted({round(i * (total - 1) / (n - 1)) for i in range(n)})
+    except ValueError as e:
+        raise ValueError(f"bad frames {spec!r}: {e}") from None
+    if not out or out[0] < 0 or out[-1] >= total:
+        raise ValueError(f"bad frames {spec!r}: {out or 'none'}, of 0 to {total - 1}")
+    return out
+
+
+def grabbed(frames: DataFrame, wanted: DataFrame, *on: str, named: int = 20) -> DataFrame:
+    """The wanted frames; a LookupError names the first of those that aren't there."""
+    lost = wanted.select(*on).distinct().join(frames, list(on), "left_anti").orderBy(*on).limit(named).collect()
+    if lost:
+        raise LookupError(f"frames that aren't there: {', '.join(str(tuple(r)) for r in lost)}")
+    return frames.join(wanted.select(*on).distinct(), list(on), "left_semi")
+
+
 def shard_of(t_s: Column, seconds: float) -> Column:
     return F.floor(t_s / seconds).cast("long")
 

@@ -6,6 +6,7 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SCORES = "frame BIGINT, t_s DOUBLE, est_lat DOUBLE, est_lon DOUBLE, gt_lat DOUBLE, gt_lon DOUBLE, err_m DOUBLE, yaw_deg DOUBLE, n_inliers BIGINT, locked INT, runtime_s DOUBLE"
 TRACK = "frame BIGINT, t_s DOUBLE, lat DOUBLE, lon DOUBLE, alt_m DOUBLE"
@@ -75,9 +76,28 @@ def normal_header(name: str) -> str:
     return name.lstrip("\ufeff").strip().lower().replace(" ", "").replace("-", "_")
 
 
+def distinct_headers(names: list[str | None]) -> list[str]:
+    """Column names for headers as a file has them: of names that differ in case only the later ones get spaces at their end, which normal_header takes off again."""
+    out, taken = [], set()
+    for i, name in enumerate(names):
+        name = f"_c{i}" if not name else name.lstrip("\ufeff")
+        while name.lower() in taken:
+            name += " "
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def read_headed(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV table of any header as text columns, and `_order`: file, place of the block and row, which rises in the order of each file."""
-    rows = spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
+    """A CSV table of any header as text columns, and `_order`: file, place of the block and row, which rises in the order of each file.
+
+    The header is read as the file has it, as the reader itself would rename columns that differ in case only."""
+    reader = spark.read.option("encoding", "UTF-8")
+    first = reader.csv(path).limit(1).collect()
+    if first:
+        names = distinct_headers(list(first[0]))
+        reader = reader.schema(T.StructType([T.StructField(n, T.StringType()) for n in names]))
+    rows = reader.option("header", True).csv(path)
     place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
     return rows.select("*", place.alias("_order"))
 

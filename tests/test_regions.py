@@ -13,6 +13,13 @@ def test_every_header_is_found(spark):
     assert tables.normal_header(" LT-lat_Map ") == "lt_lat_map"
 
 
+def test_headers_that_differ_in_case_only(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("\ufefffile,lat,Lat,LON,,lon\na.jpg,,1.5,2,x,\nb.jpg,3,4,,y,6\n", encoding="utf-8")
+    rows = tables.read_headed(spark, str(tmp_path / "t.csv"))
+    assert tables.distinct_headers(["a", "A", None, "a "]) == ["a", "A ", "_c2", "a  "]
+    assert [(r.filename, r.lat, r.lon) for r in tables.aliased(rows).orderBy("filename").collect()] == [("a.jpg", 1.5, 2.0), ("b.jpg", 3.0, 6.0)]
+
+
 def test_a_row_without_a_corner_has_no_extent(spark):
     df = spark.createDataFrame([("m1.tif", 2.0, 1.0, None, 3.0, 0), ("m2.tif", 1.0, 3.0, 2.0, 1.0, 1)], "map string, north double, west double, south double, east double, o int")
     got = {r.key: r.box for r in tables.ranges_by_key(tables.aliased(df, tables.RANGE_ALIASES, ("o",)), "o").collect()}
