@@ -43,8 +43,6 @@ BLOCK, STRIP, FEW = 2048, 16, 8
 MOST_GROUPS, MOST_PIVOTS, SAMPLE_NUMBERS = 256, 64, 1 << 20
 #: Chords are taken for exact to this; nodes of a smaller radius are not split by nets any more.
 SLACK, LEAST_RADIUS = 1e-6, 2.0**-10
-#: Bytes of an Arrow batch where whole blocks are rows.
-BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def units(x: np.ndarray) -> np.ndarray:
@@ -408,9 +406,6 @@ def _joined(blocks: DataFrame, least: float) -> DataFrame:
                 if len(rows):
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rows, links, root)], names=["row", "links", "root"])
 
-    session = blocks.sparkSession
-    if not session.sparkContext.getConf().contains(BATCH_BYTES):
-        session.conf.set(BATCH_BYTES, str(32 << 20))
     dealt = lefts.unionByName(rights).repartition("left", "strip").sortWithinPartitions("left", "strip", "kind")
     out = written(dealt.mapInArrow(run, "row long, links long, root long"), "vector-links")
     discard(pairs)
