@@ -362,7 +362,7 @@ def nadir_pose(spark, sf_dir):
 
 
 #: The filter forwards and the smoother backwards, one step of all tracks a recursion: e, n, ve, vn and the three numbers of the covariance; q... before the step's fix.
-FUSED = """, z AS (SELECT track, frame, t_s, pos_e, pos_n, row_number() OVER (PARTITION BY track ORDER BY frame) AS i, coalesce(t_s - lag(t_s) OVER (PARTITION BY track ORDER BY frame), 0e0) AS dt FROM fusion_steps),
+STATES = """, z AS (SELECT track, frame, t_s, pos_e, pos_n, row_number() OVER (PARTITION BY track ORDER BY frame) AS i, coalesce(t_s - lag(t_s) OVER (PARTITION BY track ORDER BY frame), 0e0) AS dt FROM fusion_steps),
 b AS (SELECT track, arg_min(pos_e, i) AS e0, arg_min(pos_n, i) AS n0 FROM z WHERE pos_e IS NOT NULL GROUP BY track),
 r AS (SELECT track, 0::bigint AS i, 0e0 AS dt, 0e0 AS qe, 0e0 AS qn, 0e0 AS qp, 0e0 AS qc, 0e0 AS qv, e0 AS e, n0 AS n, 0e0 AS ve, 0e0 AS vn, 2500e0 AS p, 0e0 AS c, 100e0 AS v, false AS used, false AS rejected FROM b
   UNION ALL SELECT track, i, dt, qe, qn, qp, qc, qv, qe + k * (pos_e - qe), qn + k * (pos_n - qn), ve + m * (pos_e - qe), vn + m * (pos_n - qn), qp - k * qp, qc - k * qc, qv - m * qc, hit, fix AND NOT hit
@@ -376,7 +376,8 @@ g2 AS (SELECT *, ((p + d * c) * lv - c * lc) / det AS a1, (c * lp - (p + d * c)
 s AS (SELECT track, i, e, n, ve, vn, p, c, v FROM g2 WHERE d IS NULL
   UNION ALL SELECT g2.track, g2.i, g2.e + a1 * (s.e - le) + a2 * (s.ve - g2.ve), g2.n + a1 * (s.n - ln) + a2 * (s.vn - g2.vn), g2.ve + a3 * (s.e - le) + a4 * (s.ve - g2.ve), g2.vn + a3 * (s.n - ln) + a4 * (s.vn - g2.vn),
     g2.p + (a1 * (s.p - lp) + a2 * (s.c - lc)) * a1 + (a1 * (s.c - lc) + a2 * (s.v - lv)) * a2, g2.c + (a1 * (s.p - lp) + a2 * (s.c - lc)) * a3 + (a1 * (s.c - lc) + a2 * (s.v - lv)) * a4, g2.v + (a3 * (s.p - lp) + a4 * (s.c - lc)) * a3 + (a3 * (s.c - lc) + a4 * (s.v - lv)) * a4
-  FROM s JOIN g2 ON g2.track = s.track AND g2.i = s.i - 1)
+  FROM s JOIN g2 ON g2.track = s.track AND g2.i = s.i - 1)"""
+FUSED = STATES + """
 SELECT track, z.frame, round(z.t_s, 6) AS t_s, round(s.e, 5) + 0e0 AS east, round(s.n, 5) + 0e0 AS north, round(s.ve, 5) + 0e0 AS v_east, round(s.vn, 5) + 0e0 AS v_north, round(sqrt(greatest(2e0 * s.p, 0e0)), 5) AS pos_std_m, r.used AS fix_used, r.rejected AS fix_rejected
 FROM s JOIN r USING (track, i) JOIN z USING (track, i)"""
 
@@ -387,9 +388,20 @@ def fuse_track(spark, sf_dir):
     return out.select("track", "frame", F.round("t_s", 6).alias("t_s"), *[(F.round(c, 5) + F.lit(0.0)).alias(c) for c in ("east", "north", "v_east", "v_north", "pos_std_m")], "fix_used", "fix_rejected")
 
 
-@query("fuse_frame_scores")
+FUSED_SCORES = (
+    f""", o AS (SELECT scenario, avg(est_lat) AS rlat, avg(est_lon) AS rlon FROM frame_scores WHERE locked AND est_lat IS NOT NULL GROUP BY scenario),
+fusion_steps AS (SELECT scenario AS track, frame, t_s, CASE WHEN locked AND est_lat IS NOT NULL THEN (est_lon - rlon) * {m_lon('rlat')} END AS pos_e, CASE WHEN locked AND est_lat IS NOT NULL THEN (est_lat - rlat) * {m_lat('rlat')} END AS pos_n FROM frame_scores JOIN o USING (scenario))"""
+    + STATES
+    + f"""
+SELECT s.track AS scenario, z.frame, round(z.t_s, 6) AS t_s, round(rlat + s.n / {m_lat('rlat')}, 9) AS lat, round(rlon + s.e / {m_lon('rlat')}, 9) AS lon, round(sqrt(greatest(2e0 * s.p, 0e0)), 5) AS pos_std_m, r.used AS fix_used, r.rejected AS fix_rejected
+FROM s JOIN r USING (track, i) JOIN z USING (track, i) JOIN o ON o.scenario = s.track"""
+)
+
+
+@query("fuse_frame_scores", ctes("frame_scores").replace("WITH ", "WITH RECURSIVE ", 1) + FUSED_SCORES)
 def fuse_frame_scores(spark, sf_dir):
-    return fusion.fuse_scores(view(spark, sf_dir, "frame_scores"), "scenario")
+    out = fusion.fuse_scores(view(spark, sf_dir, "frame_scores"), "scenario")
+    return rounded(out, {"t_s": 6, "lat": 9, "lon": 9, "pos_std_m": 5})
 
 
 @query("verify_ingest", """WITH m AS (SELECT event_id % 40 AS shard, CASE WHEN event_id % 40 < 30 THEN 'complete' ELSE 'partial' END AS status, event_id % 700 = 1 OR event_id % 501 = 0 OR event_id % 613 = 2 AS bad FROM events)
