@@ -163,6 +163,33 @@ def fine_cells(spark, sf_dir):
     return cells.groupBy("frame").agg(F.count(F.lit(1)).alias("n_cells"), F.max("scan_idx").cast("long").alias("last_scan"), F.round(F.sum("span_m"), 3).alias("span_sum"))
 
 
+SPANS = """, spans AS (SELECT g.frame, b.span_m AS span FROM gated g JOIN best b USING (frame) WHERE locked),
+cells AS (SELECT frame, 25 * len(list_distinct([round_even(span * 0.85e0, 3), round_even(span * 0.925e0, 3), round_even(span, 3), round_even(span * 1.075e0, 3), round_even(span * 1.15e0, 3)])) AS n FROM spans),
+fine AS (SELECT frame, scan_idx, (scan_idx * 37 + frame) % 60 AS n_inliers FROM (SELECT frame, unnest(range(0, n)) AS scan_idx FROM cells) c WHERE scan_idx % 4 <> 1),
+fb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY n_inliers DESC, scan_idx) AS k FROM fine) x WHERE k = 1)"""
+
+
+@query("two_pass_search", ctes("candidates") + GATED + SPANS + """ SELECT g.frame, g.locked AND coalesce(fb.n_inliers >= g.n_inliers, false) AS refined, CASE WHEN g.locked AND fb.n_inliers >= g.n_inliers THEN fb.n_inliers ELSE g.n_inliers END AS best_inliers,
+  CASE WHEN g.locked AND fb.n_inliers >= g.n_inliers THEN fb.scan_idx ELSE g.scan_idx END AS best_idx FROM gated g LEFT JOIN fb USING (frame)""")
+def two_pass_search(spark, sf_dir):
+    """The cells of the fine pass about every lock, matched by rule, feed the pick."""
+    cands = view(spark, sf_dir, "candidates").withColumns({"lat": F.lit(43.521955) + F.col("x_m") * 1e-5, "lon": F.lit(-5.62429) + F.col("y_m") * 1e-5})
+    coarse = search.lock_gate(cands, F.lit(90.0), 20, 1.3, "frame")
+    fine = search.fine_cells(coarse, "frame").withColumns({"n_inliers": (F.col("scan_idx") * 37 + F.col("frame")) % 60, "has_pose": F.col("scan_idx") % 4 != 1})
+    out = search.refine_pick(coarse, fine, "frame")
+    return out.select("frame", "refined", F.col("best_inliers").cast("long").alias("best_inliers"), F.col("best_idx").cast("long").alias("best_idx"))
+
+
+ALONE = "SELECT frame, scan_idx, x_m, y_m, span_m, CASE WHEN scan_idx = 0 OR frame % 3 = 0 THEN n_inliers ELSE 0 END AS n_inliers, has_pose FROM {candidates}"
+
+
+@query("lock_gate_alone", ctes("candidates").replace("candidates AS", "every AS") + f", candidates AS ({ALONE.replace('{candidates}', 'every')})" + GATED + " SELECT frame, scan_idx, n_inliers, rival_inliers, coalesce(rival_inliers = 0, false) AS unrivalled, locked FROM gated")
+def lock_gate_alone(spark, sf_dir):
+    """Best cells whose rivals have no inliers at all: their ratio is infinite, and they pass the gate."""
+    out = search.lock_gate(spark.sql(ALONE, candidates=view(spark, sf_dir, "candidates")), F.lit(90.0), 20, 1.3, "frame")
+    return out.select("frame", F.col("scan_idx").cast("long").alias("scan_idx"), "n_inliers", "rival_inliers", F.coalesce(F.col("margin_ratio") == float("inf"), F.lit(False)).alias("unrivalled"), "locked")
+
+
 @query("missing_frames", "SELECT DISTINCT o_custkey AS frame FROM orders WHERE o_custkey NOT IN (SELECT user_id * 3 FROM events)")
 def missing_frames(spark, sf_dir):
     wanted = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_custkey as frame")

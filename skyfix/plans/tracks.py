@@ -328,6 +328,28 @@ def tiles_holding(spark, sf_dir):
     return store.holding(rows.select("event_id", "x", "y"), rows.select(F.col("event_id").alias("tile_id"), box.alias("tile"))).select("event_id", "tile_id")
 
 
+_LINK = CHAINED[: CHAINED.index("SELECT track, pos, anchor, hops, round(a, 6)")]
+_PX, _PY = "(r.a * 200e0 + r.b * 200e0 + r.x)", "(r.d * 200e0 + r.e * 200e0 + r.y)"
+
+
+@query("chain_drift", ctes("vo_links", "gps_track", "tile_row").replace("WITH ", "WITH RECURSIVE ", 1) + _LINK + f""", pose AS (SELECT r.track, r.pos AS frame, r.hops, r.anchor, {lat_of(f'maxy - {_PY} * (maxy - miny) / height')} AS lat, {lon_of(f'minx + {_PX} * (maxx - minx) / width')} AS lon FROM r, tile_row),
+gt AS (SELECT track, frame % 97 AS frame, avg(lat) AS glat, avg(lon) AS glon FROM gps_track GROUP BY track, frame % 97),
+nr AS (SELECT p.*, glat, glon, row_number() OVER (PARTITION BY p.track, p.frame ORDER BY abs(g.frame - p.frame), g.frame) AS k FROM pose p JOIN gt g USING (track))
+SELECT track, frame, hops, anchor, round({hav('glat', 'glon', 'lat', 'lon')}, 4) AS err_m FROM nr WHERE k = 1""")
+def chain_drift(spark, sf_dir):
+    """Chained poses on their anchors' tile, and how far they are from the truth."""
+    links = view(spark, sf_dir, "vo_links").withColumn("pos", F.col("idx_from").cast("long"))
+    c, s = F.cos("theta"), F.sin("theta")
+    zero, one = F.lit(0.0), F.lit(1.0)
+    h = F.array(c, -s, F.col("tx"), s, c, F.col("ty"), zero, zero, one)
+    tile = view(spark, sf_dir, "tile_row").select(F.struct("width", "height", "minx", "miny", "maxx", "maxy").alias("tile")).first()["tile"]
+    tile = F.struct(*[F.lit(tile[c]).alias(c) for c in ("width", "height", "minx", "miny", "maxx", "maxy")])
+    anchors = links.where("is_anchor").select("track", F.col("pos").alias("anchor"), F.array(one, zero, F.lit(1500.0), zero, one, F.lit(1500.0), zero, zero, one).alias("h_to_ref"), tile.alias("tile"))
+    poses = trajectory.chain_poses(links.where(~F.col("is_break")).select("track", "pos", h.alias("h")), _chain(spark, sf_dir), anchors, "track", F.lit(400.0), F.lit(400.0))
+    truth = view(spark, sf_dir, "gps_track").groupBy("track", (F.col("frame") % 97).alias("frame")).agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
+    return trajectory.drift(poses, truth, "track").select("track", "frame", "hops", "anchor", F.round("err_m", 4).alias("err_m"))
+
+
 TILTED_SQL = """SELECT event_id AS frame, event_id % 13 * 5e0 AS tilt, 60e0 + event_id % 90 AS height, radians(event_id % 360) AS heading FROM {events}"""
 
 
