@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyfix.llm.common import appended, crc_mod
+from skyfix.llm.common import appended, crc_mod, discard, written
 
 PER_LANGUAGE, WINDOW = 800, 2000
 BUCKETS, LEXICON, BLOCK, SLICE = 1 << 18, 1 << 16, 64, 1 << 20
@@ -296,14 +296,19 @@ def fit(documents: DataFrame, id_column: str = "doc_id", text_column: str = "tex
         counts = counts.orderBy(F.desc("n"), "lang").limit(max_languages)
         known = known.join(F.broadcast(counts.select("lang")), "lang", "left_semi")
     each = max(1, min(per_language, sample // max(1, counts.count())))
-    known = known.withColumn("draw", F.xxhash64("id", "text"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id"))  # limited within tasks before rows meet by language
-    chosen = known.select("lang", "id", "draw").distinct().withColumn("rank", rank).where(F.col("rank") <= each).drop("rank")
+    known = known.withColumn("draw", F.shiftrightunsigned(F.xxhash64("id", "text"), 1))
+    # draws are counted by their leading zeros, and only those of as many as are needed are ranked: about twice `each` rows of a language meet, whatever it has
+    own = written(known.select("lang", "id", "draw").distinct().withColumn("level", 63 - F.ceil(F.log2(F.col("draw") + 1)).cast("int")), "langid-draws")
+    upto = F.sum("n").over(Window.partitionBy("lang").orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, -1))
+    levels = own.groupBy("lang", "level").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(upto, F.lit(0))).where(F.col("before") < each).groupBy("lang").agg(F.min("level").alias("least"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id"))
+    chosen = own.join(F.broadcast(levels), "lang").where("level >= least").withColumn("rank", rank).where(F.col("rank") <= each).select("lang", "id", "draw")
     spare = F.greatest(F.length("text") - window, F.lit(0))
     part = F.lit(1) + F.pmod(F.xxhash64("id", F.lit(1)), spare + 1)
     rows = known.select("lang", "id", "draw", F.substring("text", part.cast("int"), F.lit(window)).alias("text"))
     rows = rows.join(F.broadcast(chosen), ["lang", "id", "draw"]).groupBy("lang", "id", "draw").agg(F.min("text").alias("text"))
     rows = sorted(rows.collect(), key=lambda r: (r["draw"], r["id"], r["lang"]))
+    discard(own)
     return train([(r["text"], r["lang"]) for r in rows]) if rows else UNTRAINED
 
 
