@@ -19,7 +19,8 @@ RANGE_FILE = "satellite_coordinates_range.csv"
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """Every file under root: path below it and size. Contents aren't read."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
-    return rows.select(F.regexp_replace("path", "^.*?" + root.rstrip("/").split(":")[-1].replace("//", "/").lstrip("/").replace(".", "[.]") + "/", "").alias("path"), "length")
+    own = "/" + root.rstrip("/").split(":")[-1].strip("/") + "/"  # by length, as a path may hold any sign
+    return rows.select(F.substring("path", F.instr("path", own) + len(own), F.length("path")).alias("path"), "length")
 
 
 def _parts(files: DataFrame) -> DataFrame:

@@ -62,6 +62,21 @@ def test_discovery_and_skips(spark, tmp_path):
     assert got == {"a": "no ground truth", "b": "no map", "c": "no extent", "d": "undecodable", "e": None}
 
 
+def test_a_root_of_any_signs(spark, tmp_path):
+    plain = tmp_path / "a+b (1)"
+    (plain / "02").mkdir(parents=True)
+    (plain / "02" / "q.jpg").write_bytes(b"x")
+    assert [tuple(r) for r in benchmark.list_files(spark, str(plain)).collect()] == [("02/q.jpg", 1)]
+
+
+def test_many_configurations_of_a_chart(spark):
+    from skyfix.operators import metrics
+
+    rows = [(f"c{i}", str(f), float(i), True) for i in range(300) for f in range(3) if (i + f) % 2]
+    got = metrics.bench_bars(spark.createDataFrame(rows, "config string, frame_id string, err_m double, locked boolean")).collect()
+    assert len(got) == 900 and sum(r.no_lock for r in got) == 450 and {r.height for r in got if r.no_lock} == {299 * 0.04}
+
+
 def test_of_repeated_fixes_the_first_counts(spark):
     fixes = spark.createDataFrame([(1, 5, 9.0, 1.0, 0), (1, 5, 2.0, 1.0, 1)], "k long, frame long, lat double, lon double, o int")
     probes = spark.createDataFrame([(1, 4)], "k long, frame long")
