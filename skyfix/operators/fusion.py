@@ -116,6 +116,8 @@ MEASURED = ("pos_e", "pos_n", "pos_std", "vel_e", "vel_n", "vel_std")
 FILTER = [(2, 2)] * 5
 #: The smoother over a run of steps: mean E x + g and covariance E P E' + L of its first step, given the state (x, P) of the step after it.
 SMOOTHER = [(2, 2)] * 3
+#: Blocks of tracks that have others: a track of one block needs no scan.
+SEVERAL = "not (opening and closing)"
 #: Rounds in which the gate of a block is settled by scans; what is left is done step by step.
 GATE_ROUNDS = 12
 
@@ -328,8 +330,8 @@ def fuse_tracks(steps: DataFrame, key: str, cfg: Tuning = Tuning(), smooth: bool
                 rows = [scan.lists(np.ascontiguousarray(np.concatenate([x.reshape(4, -1) for x in (m, p, post, post_cov)]).T).ravel(), s.sizes * 16), scan.lists(now, s.sizes), pa.array(changed)]
                 yield pa.RecordBatch.from_arrays([batch.column("block"), *rows], names=["block", "states", "now", "changed"])
 
-        summaries = held.mapInArrow(summary, f"block long, `{key}` {kind}, element array<double>")
-        ready = held.join(scan.carried(summaries, [key], compose, FILTER), "block")
+        summaries = held.where(SEVERAL).mapInArrow(summary, f"block long, `{key}` {kind}, element array<double>")
+        ready = held.join(scan.carried(summaries, [key], compose, FILTER), "block", "left")
         names = held.columns
         states = scan.written(ready.select(*names, "before").mapInArrow(replay, "block long, states array<double>, now array<boolean>, changed boolean"), "fusion-states")
         if gate <= 0 or states.join(blocks.select("block", "closing"), "block").where("changed and not closing").isEmpty():
@@ -395,7 +397,7 @@ def _told(blocks: DataFrame, states: DataFrame, key: str, kind: str, cfg: Tuning
             yield pa.RecordBatch.from_arrays(made, names=[key, *(c.split(" ")[0] for c in STATE.split(", "))])
 
     if smooth:
-        rows = rows.join(scan.carried(rows.mapInArrow(summary, f"block long, `{key}` {kind}, element array<double>"), [key], compose_back, SMOOTHER, from_end=True), "block")
+        rows = rows.join(scan.carried(rows.where(SEVERAL).mapInArrow(summary, f"block long, `{key}` {kind}, element array<double>"), [key], compose_back, SMOOTHER, from_end=True), "block", "left")
     return rows.mapInArrow(tell, f"`{key}` {kind}, {STATE}")
 
 

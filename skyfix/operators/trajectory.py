@@ -167,8 +167,9 @@ def chain_homographies(links: DataFrame, chain: DataFrame, anchors: DataFrame, k
             made = [batch.column(key).take(at), batch.column("pos").flatten(), batch.column("anchor").take(at), batch.column("hops").flatten(), pa.ListArray.from_arrays(pa.array(np.arange(0, len(whole) * 9 + 1, 9), pa.int32()), h)]
             yield pa.RecordBatch.from_arrays(made, names=[key, "pos", "anchor", "hops", "h"])
 
-    before = scan.carried(blocks.mapInArrow(summary, "block long, " + ", ".join(f"`{c}` {kinds[c]}" for c in side) + ", element array<double>"), side, _chain, [(3, 3)])
-    ready = blocks.join(before, "block").join(anchors.select(key, "anchor", "h_to_ref"), [key, "anchor"])
+    several = blocks.join(blocks.groupBy(*side).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"), side, "left_semi")  # a side of one block needs no scan
+    before = scan.carried(several.mapInArrow(summary, "block long, " + ", ".join(f"`{c}` {kinds[c]}" for c in side) + ", element array<double>"), side, _chain, [(3, 3)])
+    ready = blocks.join(before, "block", "left").join(anchors.select(key, "anchor", "h_to_ref"), [key, "anchor"])
     chained = ready.mapInArrow(replay, f"`{key}` {kinds[key]}, pos {kinds['pos']}, anchor {kinds['anchor']}, hops {kinds['hops']}, h array<double>")
     own = chain.where("hops = 0").join(anchors.select(key, "anchor", "h_to_ref"), [key, "anchor"]).select(key, "pos", "anchor", "hops", camera.normalised(F.col("h_to_ref")).alias("h"))
     return own.unionByName(chained)
