@@ -2,9 +2,14 @@
 
 import json
 
+import duckdb
+import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from skyfix import plans
+from skyfix.operators import matchers, search
 
 
 @pytest.fixture(scope="module")
@@ -44,3 +49,8 @@ def test_tracks_have_every_point(spark, events):
     got = {r.scenario: r for r in plans.QUERIES["kml_track_all"](spark, events).collect()}
     assert {s: r.ground_truth for s, r in got.items()} == {s: " ".join(f"{x:.8f},{y:.8f},0" for x, y in points) for s, points in truth.items()}
     assert sum(len(r.estimated.split()) for r in got.values()) == sum(f % 11 != 0 for f in range(600))
+
+
+def test_sizes_of_ids_whose_cube_is_no_long(spark, tmp_path):
+    spark.createDataFrame([(3,), (5_999_999,)], "event_id long").write.parquet(f"{tmp_path}/events.parquet")
+    assert {r.event_id: r.size for r in plans.QUERIES["human_bytes"](spark, str(tmp_path)).collect()} == {3: "2.6 KB", 5_999_999: "18609104.9 PB"}  # 2.1e22 bytes
