@@ -151,7 +151,8 @@ def search_for(altitude_m: Column, fov: Column) -> dict[str, Column]:
     """Search radius, step and scale ladder from the expected footprint, or the defaults."""
     known = (altitude_m > 0) & fov.isNotNull()
     span = 2 * altitude_m * F.tan(F.radians(fov) / 2)
-    pick = lambda c, default: F.when(known, F.bround(c, 1)).otherwise(F.lit(default))
+    # the noise of a tangent is rounded off first, so that it doesn't decide ties
+    pick = lambda c, default: F.when(known, F.bround(F.bround(c, 9), 1)).otherwise(F.lit(default))
     out = {"radius_m": pick(span, DEFAULT_SEARCH["radius_m"]), "grid_step_m": pick(span / 2, DEFAULT_SEARCH["grid_step_m"])}
     return out | {f"scale_{i}": pick(span * f, d) for i, (f, d) in enumerate(zip(LADDER, DEFAULT_SEARCH["scales_m"]))}
 
