@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,9 +33,17 @@ def candidates(centres: DataFrame, scales: list[float]) -> DataFrame:
     return rows.withColumn("scan_idx", F.col("centre_idx") * len(scales) + F.col("scale_idx")).drop("scale_idx")
 
 
+def _lead(cands: DataFrame) -> Column:
+    """Orders candidates by inliers, and of equal ones the first in scan order highest. Whole numbers stand in one number of 38 digits, which is kept in a hash table where a struct would have all candidates sorted."""
+    if all(dict(cands.dtypes)[c] in ("tinyint", "smallint", "int", "bigint") for c in ("n_inliers", "scan_idx")):
+        most = F.coalesce(F.col("n_inliers").cast("long"), F.lit(-(1 << 63)))  # none known: below all
+        return most.cast("decimal(19,0)") * F.lit(decimal.Decimal(10**18)) * F.lit(10).cast("decimal(2,0)") - F.col("scan_idx").cast("decimal(19,0)")
+    return F.struct("n_inliers", -F.col("scan_idx"))
+
+
 def best_candidate(cands: DataFrame, *keys: str) -> DataFrame:
     """The posed candidate of most inliers, the first in scan order of equal ones."""
-    lead = F.struct("n_inliers", -F.col("scan_idx"))
+    lead = _lead(cands)
     return cands.where("has_pose").groupBy(*keys).agg(*[F.max_by(c, lead).alias(c) for c in cands.columns if c not in keys])
 
 
@@ -70,9 +80,10 @@ def fine_scales(span: Column) -> Column:
 
 def fine_cells(coarse: DataFrame, *keys: str) -> DataFrame:
     """The fine pass's cells of locked frames (lat, lon, span_m of the best candidate): a grid of a quarter of the span over half of it to each side, by the fine scales. The best cell itself is among them."""
-    priors = coarse.where("locked").select(*keys, F.col("lat").alias("prior_lat"), F.col("lon").alias("prior_lon"), F.col("span_m").alias("_span"))
+    scales = fine_scales(F.col("span_m"))  # once a lock, not once a cell
+    priors = coarse.where("locked").select(*keys, F.col("lat").alias("prior_lat"), F.col("lon").alias("prior_lon"), F.col("span_m").alias("_span"), scales.alias("_scales"))
     cells = grid_centres(priors, F.col("_span") * 0.5, F.col("_span") * 0.25)
-    rows = cells.select(*keys, "centre_idx", "lat", "lon", F.size(fine_scales(F.col("_span"))).alias("_n"), F.posexplode(fine_scales(F.col("_span"))).alias("_scale", "span_m"))
+    rows = cells.select(*keys, "centre_idx", "lat", "lon", F.size("_scales").alias("_n"), F.posexplode("_scales").alias("_scale", "span_m"))
     return rows.withColumn("scan_idx", F.col("centre_idx") * F.col("_n") + F.col("_scale")).drop("_n", "_scale")
 
 

@@ -63,3 +63,18 @@ def test_ties_of_a_search_are_not_left_to_noise(spark, tmp_path):
     con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
     got = plans.QUERIES["scene_search"](spark, str(tmp_path)).orderBy("event_id").collect()
     assert [tuple(r) for r in got] == con.execute(plans.ORACLES["scene_search"] + " ORDER BY event_id").fetchall() and got[0].scale_1 == 80.8
+
+
+def test_cells_are_chosen_without_sorting_them(spark):
+    rows = [(1, 5, 3, True), (1, 5, 2, True), (1, (1 << 62) + 1, 9, True), (1, 1 << 62, 1, True), (2, None, 4, True), (3, 0, 7, True), (3, 9, 6, False)]
+    best = search.best_candidate(spark.createDataFrame(rows, "k long, n_inliers long, scan_idx long, has_pose boolean"), "k")
+    assert sorted((r.k, r.scan_idx) for r in best.collect()) == [(1, 9), (2, 4), (3, 7)]
+    assert "Sort" not in best._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rounding_of_spans_is_done_once_a_lock(spark):
+    locks = spark.createDataFrame([(1, True, 43.0, -5.0, 100.0)], "frame long, locked boolean, lat double, lon double, span_m double")
+    plan = search.fine_cells(locks, "frame").groupBy("frame").agg(F.sum("span_m"))._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    first = min(i for i, line in enumerate(plan) if "explode" in line)
+    last = max(i for i, line in enumerate(plan) if "explode" in line)
+    assert not any("bround" in line for line in plan[first : last + 1]) and any("bround" in line for line in plan[last + 1 :])
