@@ -78,3 +78,19 @@ def test_rounding_of_spans_is_done_once_a_lock(spark):
     first = min(i for i, line in enumerate(plan) if "explode" in line)
     last = max(i for i, line in enumerate(plan) if "explode" in line)
     assert not any("bround" in line for line in plan[first : last + 1]) and any("bround" in line for line in plan[last + 1 :])
+
+
+def test_pictures_of_one_size_are_measured_together(spark):
+    rng = np.random.default_rng(5)
+    pictures = [rng.integers(0, 256, s, dtype=np.uint8) for s in ((16, 16), (5, 7), (16, 16), (1, 9), (1100, 20))]
+    got = spark.createDataFrame([(i, p.tobytes(), p.shape[1], p.shape[0]) for i, p in enumerate(pictures)], "i int, d binary, w int, h int").coalesce(1)
+    got = got.select("i", matchers.focus_measure("d", "w", "h").alias("f")).orderBy("i").collect()
+    assert [r.f for r in got] == pytest.approx([matchers.focus(p) for p in pictures], rel=1e-12)
+    calls = []
+    whole = matchers.focuses
+    try:
+        matchers.focuses = lambda images: calls.append(len(images)) or whole(images)
+        matchers.focus_measure.func(pd.Series([p.tobytes() for p in pictures]), pd.Series([p.shape[1] for p in pictures]), pd.Series([p.shape[0] for p in pictures]))
+    finally:
+        matchers.focuses = whole
+    assert sorted(calls) == [1, 1, 1, 2]
