@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skyfix.functions import geo
 
@@ -68,63 +71,54 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def ground_pose(g: Column, k: Column) -> Column:
-    """Of a frame-to-ground-metres homography and the intrinsics: struct of the camera's foot point east and north of the frame's centre, height and tilt.
+def _inverses(m: list) -> list:
+    """inverse() of matrices given as nine arrays; NaN where singular."""
+    a, b, c, d, e, f, g, i, j = m
+    det = a * (e * j - f * i) - b * (d * j - f * g) + c * (d * i - e * g)
+    det = np.where(det != 0, det, np.nan)
+    return [p / det for p in (e * j - f * i, c * i - b * j, b * f - c * e, f * g - d * j, a * j - c * g, c * d - a * f, d * i - e * g, b * g - a * i, a * e - b * d)]
+
+
+@F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in ("east_m", "north_m", "altitude_m", "tilt_deg")]))
+def _ground_poses(*m: pd.Series) -> pd.DataFrame:
+    """Of the numbers of many homographies and intrinsics, one column each."""
+    with np.errstate(all="ignore"):
+        g, k = (_inverses([x.to_numpy(float) for x in part]) for part in (m[:9], m[9:]))
+        b = [k[3 * r] * g[c] + k[3 * r + 1] * g[3 + c] + k[3 * r + 2] * g[6 + c] for r in range(3) for c in range(3)]
+        c = [np.stack([b[3 * i + j] for i in range(3)]) for j in range(3)]
+        u, v, shift = (x / ((np.sqrt((c[0] ** 2).sum(axis=0)) + np.sqrt((c[1] ** 2).sum(axis=0))) / 2) for x in c)
+        p, q, s, x, y = (u * u).sum(axis=0), (u * v).sum(axis=0), (v * v).sum(axis=0), (u * shift).sum(axis=0), (v * shift).sum(axis=0)
+        d = np.sqrt(p * s - q * q)
+        f = np.sqrt(p + s + 2 * d) / ((p + d) * (s + d) - q * q)
+        east, north = -f * ((s + d) * x - q * y), -f * ((p + d) * y - q * x)
+        third = np.cross(u, v, axis=0) / d  # the third axis: the cross product of the first two, whose length is d
+        height, tilt = np.abs((third * shift).sum(axis=0)), np.degrees(np.arccos(np.clip(-third[2], -1, 1)))
+        fine = (d > 0) & (height > 0) & (height < np.inf) & ~np.isnan(east) & ~np.isnan(north) & (tilt <= MAX_TILT_DEG)
+    return pd.DataFrame({n: np.where(fine, z, np.nan) for n, z in (("east_m", east), ("north_m", north), ("altitude_m", height), ("tilt_deg", tilt))})
+
+
+def ground_pose(g: Column | list[Column], k: Column) -> Column:
+    """Of a frame-to-ground-metres homography (or its nine numbers) and the intrinsics: struct of the camera's foot point east and north of the frame's centre, height and tilt.
 
     With B = inv(K) inv(G), the first two columns scaled to a mean length of one are two axes of the camera that are nearly at right angles. The nearest rotation
     turns them to (A'A)^(-1/2) times themselves, which has a closed form for two columns; the third axis is their cross product. The sign of the scale changes
     the height's sign only, so the height is taken above ground. Null if a matrix is singular, the height is none, or the tilt is over MAX_TILT_DEG."""
-
-    def posed(b: Column) -> Column:
-        c = [[b[3 * i + j] for i in range(3)] for j in range(3)]
-        norm = lambda v: F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2])
-        scaled = F.transform(F.array(*c[0], *c[1], *c[2]), lambda x: x / ((norm(c[0]) + norm(c[1])) / 2))
-        return let(scaled, rotated)
-
-    def rotated(m: Column) -> Column:
-        dot = lambda i, j: m[3 * i] * m[3 * j] + m[3 * i + 1] * m[3 * j + 1] + m[3 * i + 2] * m[3 * j + 2]
-        return let(F.struct(m.alias("m"), dot(0, 0).alias("p"), dot(0, 1).alias("q"), dot(1, 1).alias("s"), dot(0, 2).alias("x"), dot(1, 2).alias("y")), placed)
-
-    def placed(v: Column) -> Column:
-        p, q, s, m = v["p"], v["q"], v["s"], v["m"]
-        d = F.sqrt(p * s - q * q)
-        f = F.sqrt(p + s + 2 * d) / ((p + d) * (s + d) - q * q)
-        east, north = -f * ((s + d) * v["x"] - q * v["y"]), -f * ((p + d) * v["y"] - q * v["x"])
-        # the third axis: the cross product of the first two, whose length is d
-        third = [(m[(i + 1) % 3] * m[3 + (i + 2) % 3] - m[(i + 2) % 3] * m[3 + (i + 1) % 3]) / d for i in range(3)]
-        height = F.abs(third[0] * m[6] + third[1] * m[7] + third[2] * m[8])
-        tilt = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), -third[2]))))
-        found = F.struct(east.alias("east_m"), north.alias("north_m"), height.alias("altitude_m"), tilt.alias("tilt_deg"))
-        fine = (d > 0) & (height > 0) & (height < F.lit(float("inf"))) & ~F.isnan(east) & ~F.isnan(north) & (tilt <= MAX_TILT_DEG)
-        return F.when(fine, found)
-
-    whole = lambda m: m.isNotNull() & F.forall(m, lambda x: x.isNotNull())
-    given = F.struct(g.alias("g"), k.alias("k"))
-    back = lambda v: F.struct(let(v["g"], inverse).alias("g"), let(v["k"], inverse).alias("k"))
-    axes = lambda v: F.when(v["g"].isNotNull() & v["k"].isNotNull(), product(v["k"], v["g"]))
-    return let(let(let(given, back), axes), lambda b: F.when(whole(b), posed(b)))
+    found = _ground_poses(*[m[i].cast("double") for m in (g, k) for i in range(9)])
+    return F.when(found["altitude_m"].isNotNull() & ~F.isnan(found["altitude_m"]), found)
 
 
 def nadir_pose(h: Column, width: Column, height: Column, k: Column, tile: str = "tile") -> dict[str, Column]:
     """pose(), moved from the point under the frame's centre to the camera's foot point where the intrinsics k (else null) tell it; with tilt, height and whether it was moved."""
     seen = pose(h, width, height, tile)
     sx, sy = geo.metres_per_pixel(tile)
-    bx, by = geo.pixel_to_mercator(*project(h, width / 2, height / 2), tile)
-    centre = F.struct(bx.alias("x"), by.alias("y"), F.cos(F.radians(seen["lat"])).alias("shrink"), h.alias("h"))
-    zero = F.lit(0.0)
-
-    def moved(c: Column) -> Column:
-        to_ground = F.array(c["shrink"] * sx, zero, c["shrink"] * (F.col(f"{tile}.minx") - c["x"]), zero, -c["shrink"] * sy, c["shrink"] * (F.col(f"{tile}.maxy") - c["y"]), zero, zero, F.lit(1.0))
-        ground = let(F.struct(to_ground.alias("t"), c["h"].alias("h")), lambda v: product(v["t"], v["h"]))
-
-        def there(found: Column) -> Column:
-            lon, lat = geo.from_mercator(c["x"] + found["east_m"] / c["shrink"], c["y"] + found["north_m"] / c["shrink"])
-            return F.when(found.isNotNull(), F.struct(lat.alias("lat"), lon.alias("lon"), found["tilt_deg"].alias("tilt_deg"), found["altitude_m"].alias("altitude_m")))
-
-        return let(ground_pose(ground, k), there)
-
-    foot = let(centre, moved)
-    return seen | {"lat": F.coalesce(foot["lat"], seen["lat"]), "lon": F.coalesce(foot["lon"], seen["lon"]), "tilt_deg": foot["tilt_deg"], "altitude_m": foot["altitude_m"], "tilt_corrected": foot.isNotNull()}
+    x, y = geo.pixel_to_mercator(*project(h, width / 2, height / 2), tile)
+    shrink = F.cos(F.radians(seen["lat"]))
+    mx, my = shrink * (F.col(f"{tile}.minx") - x), shrink * (F.col(f"{tile}.maxy") - y)
+    # tile to ground times h, number by number: an array would be copied whole for each of its numbers when the query is planned
+    ground = [shrink * sx * h[c] + mx * h[6 + c] for c in range(3)] + [my * h[6 + c] - shrink * sy * h[3 + c] for c in range(3)] + [h[6 + c] for c in range(3)]
+    found = ground_pose(ground, k)
+    lon, lat = geo.from_mercator(x + found["east_m"] / shrink, y + found["north_m"] / shrink)
+    return seen | {"lat": F.coalesce(lat, seen["lat"]), "lon": F.coalesce(lon, seen["lon"]), "tilt_deg": found["tilt_deg"], "altitude_m": found["altitude_m"], "tilt_corrected": found.isNotNull()}
 
 
 def altitude(h: Column, width: Column, height: Column, hfov: Column, tile: str = "tile") -> dict[str, Column]:

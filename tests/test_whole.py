@@ -94,3 +94,9 @@ def test_pictures_of_one_size_are_measured_together(spark):
     finally:
         matchers.focuses = whole
     assert sorted(calls) == [1, 1, 1, 2]
+
+
+def test_foot_points_are_planned_in_seconds(spark, events):
+    """The numbers of expressions in the plan: homographies that are copied into each other had it grow to over 70,000 characters."""
+    plan = plans.QUERIES["nadir_pose"](spark, events)._jdf.queryExecution().executedPlan().toString()
+    assert len(plan) < 60_000
