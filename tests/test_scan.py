@@ -124,3 +124,28 @@ def test_a_link_without_an_inverse(spark):
     anchors = spark.createDataFrame([(1, 0, [float(x) for x in unit])], "track long, anchor long, h_to_ref array<double>")
     got = {r.pos: r.h for r in trajectory.chain_homographies(links, chain, anchors, "track").collect()}
     assert got[1] == [float(x) for x in unit] and got[2] == got[3] == [None] * 9
+
+
+def test_products_of_segments_are_reduced():
+    rng = np.random.default_rng(3)
+    sizes = np.array([1, 7, 64, 2, 33])
+    matrices = np.eye(2)[:, :, None] + 0.1 * rng.normal(size=(2, 2, int(sizes.sum())))
+    counted = []
+    product = lambda a, b: counted.append(a[0].shape[-1]) or (scan.mul(a[0], b[0]),)
+    (got,) = scan.reduced(product, (matrices,), sizes)
+    for k, end in enumerate(np.cumsum(sizes)):
+        want = np.eye(2)
+        for i in range(end - sizes[k], end):
+            want = want @ matrices[..., i]
+        assert np.allclose(got[..., k], want, rtol=1e-12)
+    assert sum(counted) == sizes.sum() - len(sizes)
+
+
+def test_a_gate_takes_no_scans_within_blocks(monkeypatch):
+    """Fixes of which the gate lets few in took a dozen scans over all steps before they were gone through one by one."""
+    n = 500
+    rng = np.random.default_rng(4)
+    s = fusion.Steps(np.array([n]), np.full(n, 1.0), np.repeat(np.array([[0.25, 0.5], [0.5, 1.0]])[:, :, None], n, axis=2), rng.normal(size=(2, n)) * 60, np.full(n, 64.0), np.full((2, n), np.nan), np.full(n, 1.0))
+    monkeypatch.setattr(scan, "inclusive", lambda *a: pytest.fail("a scan over steps"))
+    *_, use = s.filtered(np.zeros((2, 2, 1)), np.diag([2500.0, 100.0])[:, :, None], s.fixed, 13.816)
+    assert 0 < use.sum() < n
