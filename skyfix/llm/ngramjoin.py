@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from skyfix.llm import wordhash
 from skyfix.llm.common import bound_batches, discard, slices, written
 from skyfix.llm.components import components
-from skyfix.llm.texts import SLICE, firsts, held_by_several, list_column, own_keys, text_table
+from skyfix.llm.texts import SLICE, firsts, held_by_several, list_column, narrowed, own_keys, text_table
 
 WIDTH = 5
 #: What a set must share in its probe, as a share of the whole set: more makes probes longer and rows fewer.
@@ -274,6 +274,7 @@ def similar(documents: DataFrame, n: int = WIDTH, percent: int = 75, id_column:
     each = written(firsts(texts), "ngram-firsts")
     alive = _survivors(texts, each)
     rows = written(texts.join(alive, "row", "left_semi").select("row", "words"), "ngram-rows")
+    texts = narrowed(texts, "ngram-ids")
     columns = _columns(rows, n)
     posts = _prefixes(columns, percent)
     discard(alive)

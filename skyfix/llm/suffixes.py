@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyfix.llm import wordhash
-from skyfix.llm.common import bound_batches, discard, fresh, slices, written
-from skyfix.llm.texts import SLICE, bytes_column, firsts, list_column, own_keys, text_table
+from skyfix.llm.common import MOST_SENT, bound_batches, discard, fresh, slices, written
+from skyfix.llm.texts import SLICE, bytes_column, firsts, list_column, narrowed, own_keys, text_table
 
 MIN_WORDS, K = 50, 8
 NO_ID = (1 << 63) - 1
@@ -233,6 +233,7 @@ def repeats(documents: DataFrame, min_words: int = MIN_WORDS, k: int = K, id_col
     texts = text_table(docs.withColumn("tag", F.unhex(F.sha2("text", 256))), _heads(min_words, k), "suffix-texts")
     each = written(firsts(texts.where(F.col("n") >= min_words)), "suffix-firsts")
     suffixes = _suffixes(texts, each, min_words, k)
+    texts = narrowed(texts, "suffix-ids")
     windows = _compared(suffixes, min_words, segment)
     discard(suffixes)
 
@@ -269,6 +270,9 @@ def without_repeats(documents: DataFrame, min_words: int = MIN_WORDS, k: int = K
     """The documents table without the words of windows that a document of smaller id holds; n_chars follows. A document of which nothing is left goes."""
     key, digest, cuts = (fresh(documents, n) for n in ("_key", "_digest", "_spans"))
     spans = repeats(documents, min_words, k, whole=True).where("not kept").groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias(key), F.col("digest").alias(digest)).agg(F.sort_array(F.collect_set(F.struct("start_word", "end_word"))).alias(cuts))
+    spans = written(spans, "suffix-cuts")
+    if (spans.agg(F.sum(F.size(cuts))).first()[0] or 0) <= MOST_SENT:  # then no text has to move
+        spans = F.broadcast(spans)
     rows = documents.withColumns({key: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), digest: F.unhex(F.sha2(F.col("text").cast("binary"), 256))}).join(spans, [key, digest], "left").drop(key, digest)
     kinds = documents.schema
     names = kinds.names

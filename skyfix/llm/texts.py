@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyfix.llm import wordhash
-from skyfix.llm.common import MOST_SENT, bound_batches, slices, written
+from skyfix.llm.common import MOST_SENT, bound_batches, discard, slices, written
 
 SLICE = 2 << 20
 
@@ -61,6 +61,13 @@ def firsts(texts: DataFrame) -> DataFrame:
     return texts.where(F.col("a").isNotNull()).groupBy("a", "b").agg(lead, F.count(F.lit(1)).alias("copies")).select("a", "b", "lead.row", "lead.id", "copies")
 
 
+def narrowed(texts: DataFrame, name: str) -> DataFrame:
+    """The written table without keys and words, which go from disk."""
+    out = written(texts.drop("keys", "words"), name)
+    discard(texts)
+    return out
+
+
 def own_keys(texts: DataFrame, each: DataFrame) -> DataFrame:
     """(row, key) of the different texts: copies' keys aren't told again."""
     rows = each.select("row")
@@ -73,7 +80,8 @@ def held_by_several(entries: DataFrame) -> DataFrame:
     """The (row, key) entries whose key several rows hold, with the number of holders.
 
     Entries cross the network once: they are dealt by key, counted there, and what was counted is joined with them where they are. A row has a key once, so that even a
-    key that all rows hold is a small share of the entries (one in the keys of a row)."""
-    dealt = entries.repartition("key")
+    key that all rows hold is a small share of the entries (one in the keys of a row). Without nulls from the start, as a later join by row would leave them out of
+    one side only, and the two sides would be dealt separately."""
+    dealt = entries.where("row is not null and key is not null").repartition("key")
     held = dealt.groupBy("key").agg(F.min("row").alias("lo"), F.max("row").alias("hi"), F.count(F.lit(1)).alias("holders")).where("lo < hi").select("key", "holders")
     return dealt.join(held, "key")
