@@ -149,3 +149,35 @@ def test_a_gate_takes_no_scans_within_blocks(monkeypatch):
     monkeypatch.setattr(scan, "inclusive", lambda *a: pytest.fail("a scan over steps"))
     *_, use = s.filtered(np.zeros((2, 2, 1)), np.diag([2500.0, 100.0])[:, :, None], s.fixed, 13.816)
     assert 0 < use.sum() < n
+
+
+@pytest.mark.parametrize("accel", [1.0, 3.0])
+def test_long_gaps_leave_the_deviation_exact(spark, accel):
+    """Steps 1 to 3000 s apart, against the same filter and smoother in 80 digits."""
+    import decimal
+
+    D = decimal.Decimal
+
+    r = np.random.default_rng(12)
+    gaps = [0] + [int(x) for x in r.choice([1, 40, 900, 3000], 30)]
+    fixed = [i % 3 != 2 for i in range(len(gaps))]
+    steps = [(1, i, float(t), 0.0 if f else None, 0.0 if f else None) for i, (t, f) in enumerate(zip(np.cumsum(gaps), fixed))]
+    got = [x.pos_std_m for x in fusion.fuse_tracks(spark.createDataFrame(steps, "track long, frame long, t_s double, pos_e double, pos_n double"), "track", fusion.Tuning(accel_std=accel)).orderBy("frame").collect()]
+    p, c, v, q = D(2500), D(0), D(100), D(accel) ** 2
+    prior, post = [], []
+    decimal.getcontext().prec = 80
+    for d, f in zip(gaps, fixed):
+        t = max(D(d), D(1e-6))
+        p, c, v = p + 2 * d * c + d * d * v + q * t**4 / 4, c + d * v + q * t**3 / 2, v + q * t * t
+        prior.append((p, c, v))
+        if f:
+            p, c, v = p - p * p / (p + 64), c - p * c / (p + 64), v - c * c / (p + 64)
+        post.append((p, c, v))
+    want = [post[-1]]
+    for (p, c, v), (pp, pc, pv), d in zip(post[-2::-1], prior[:0:-1], gaps[:0:-1]):
+        det, a, b = pp * pv - pc * pc, p + d * c, c + d * v
+        g = (a * pv - c * pc) / det, (c * pp - a * pc) / det, (b * pv - v * pc) / det, (v * pp - b * pc) / det
+        x, y, z = (i - j for i, j in zip(want[-1], (pp, pc, pv)))
+        h = g[0] * x + g[1] * y, g[0] * y + g[1] * z, g[2] * x + g[3] * y, g[2] * y + g[3] * z
+        want.append((p + h[0] * g[0] + h[1] * g[1], c + h[0] * g[2] + h[1] * g[3], v + h[2] * g[2] + h[3] * g[3]))
+    assert np.allclose(got, [math.sqrt(2 * float(x[0])) for x in want[::-1]], rtol=1e-11, atol=0)
